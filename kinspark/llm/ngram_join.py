@@ -8,12 +8,12 @@ without loss:
 * Two sets with |A & B| / |A | B| >= t share an n-gram among the first
   n - ceil(t n) + 1 of the global order in each (prefix bound), so documents meet
   in buckets of equal prefix n-grams.
-* In a bucket every member is paired with the bucket's least document (its hub)
-  first: a count that is linear in the bucket. The links found give components.
+* In a bucket every member is paired with a first document of about its size (its
+  hub) first: a count that is linear in the bucket. The links found give components.
 * Pairs of different components that share a bucket follow. Pairs inside one
   component need no count: they can't change it.
 
-Sizes, the first common position and the counts of 64 cuts of the hash range bound
+Sizes, the first common position and the counts in equal cuts of the hash range bound
 the overlap from above and spare most unlike pairs the count. Equal sets are known
 by a 128-bit sum of their members and link without one.
 
@@ -43,7 +43,7 @@ from kinspark.llm.shared import keep_where, slices, stored, text_buffers
 from kinspark.llm.words import mix, shingle_sets
 
 FRAGMENTS = 8
-_CUTS = 64
+_BAND = float(np.log(1.05))
 _WINDOW = 2_000_000
 _LEAST_FREQUENT = 64
 _MOST_FREQUENT = 1 << 18
@@ -57,7 +57,7 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def _profile(k: int):
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("cuts", pa.list_(pa.int16())), ("gram", pa.int64()), ("times", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("cuts", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())])
 
     def seen(window: list[np.ndarray]) -> pa.RecordBatch:
         grams, times = np.unique(np.concatenate(window), return_counts=True)
@@ -72,20 +72,16 @@ def _profile(k: int):
             sets = shingle_sets(*text_buffers(part.column("text")), k)
             n = np.array([len(s) for s in sets], np.int32)
             one, two = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
-            cuts = np.zeros((len(sets), _CUTS), np.int64)
             flat = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets)), n)
             u = flat.view(np.uint64)
             ends = np.concatenate([[0], np.cumsum(n)])
             for out, seed in ((one, _SEED_A), (two, _SEED_B)):
                 sums = np.zeros(len(flat) + 1, np.uint64)
                 np.cumsum(mix(u ^ seed), out=sums[1:])
                 out[:] = (sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)
-            cell = owner * _CUTS + (u >> np.uint64(58)).astype(np.int64)
-            cuts = np.minimum(np.bincount(cell, minlength=len(sets) * _CUTS), 32767).astype(np.int16)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(cuts) + 1, _CUTS), pa.int32()), pa.array(cuts))
+            cuts = [_cut_counts(x) for x in sets]
             m = len(sets)
-            yield _batch(schema, part.column("doc"), n, one, two, lists, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()))
+            yield _batch(schema, part.column("doc"), n, one, two, cuts, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()))
             window.append(flat)
             held += len(flat)
             if held >= _WINDOW:
@@ -94,7 +90,41 @@ def _profile(k: int):
         if held:
             yield seen(window)
 
-    return kernel, "doc long, n int, k1 long, k2 long, cuts array<smallint>, gram long, times long"
+    return kernel, "doc long, n int, k1 long, k2 long, cuts binary, gram long, times long"
+
+
+def _cut_counts(grams: np.ndarray) -> bytes:
+    """How many of a set lie in each of 2^i equal cuts of the hash range, four to eight on average (up to 2^16 cuts)."""
+    i = min(max(len(grams).bit_length() - 3, 2), 16)
+    counts = np.bincount((grams.view(np.uint64) >> np.uint64(64 - i)).astype(np.int64), minlength=1 << i)
+    return counts.astype("<u4" if len(grams) > 1 << 15 else "<u2").tobytes()
+
+
+def _most_shared(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
+    """An upper bound of the overlap of two sets: the sum over common cuts of the smaller count."""
+    x, y = (np.frombuffer(v, "<u4" if n > 1 << 15 else "<u2").astype(np.int64) for v, n in ((a, n_a), (b, n_b)))
+    while len(x) > len(y):
+        x = x.reshape(-1, 2).sum(1)
+    while len(y) > len(x):
+        y = y.reshape(-1, 2).sum(1)
+    return int(np.minimum(x, y).sum())
+
+
+def _bounded(num: int, den: int):
+    """Pairs with both profiles: keep equal sets (same) and pairs whose bound allows a link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("same", pa.bool_())])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_pylist() for c in ("n_a", "n_b"))
+            same = batch.column("same").to_numpy(zero_copy_only=False)
+            ca, cb = batch.column("cuts_a"), batch.column("cuts_b")
+            keep = same.copy()
+            for i in np.flatnonzero(~same).tolist():
+                keep[i] = _most_shared(ca[i].as_py(), cb[i].as_py(), na[i], nb[i]) * (num + den) >= num * (na[i] + nb[i])
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in schema], schema=schema).filter(pa.array(keep))
+
+    return kernel, "a long, b long, n_a int, n_b int, same boolean"
 
 
 def _in_order(grams: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
@@ -133,14 +163,15 @@ def _postings(k: int, frequent: np.ndarray, num: int, den: int):
 
 
 def _name_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (gram, salt, doc): drop buckets of one row, give each other row its bucket's first document and its size.
+    """Rows sorted by (gram, salt, n, doc): drop buckets of one row, give each other row a hub and the hub's size.
 
-    Only one row of an open bucket is held, however long the bucket is. Salted buckets of frequent
-    n-grams keep single rows, as they meet the other salts' hubs later.
+    The hub is the first row of the bucket's rows in the same band of sizes (5 % wide). Only one row of an
+    open bucket is held, however long the bucket is. Salted buckets of frequent n-grams keep single rows, as
+    they meet the other salts' hubs later.
     """
     schema = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("hub", pa.int64()), ("hub_n", pa.int32())])
     open_key: tuple[int, int] | None = None
-    hub = hub_n = 0
+    open_band = hub = hub_n = 0
     held: list[np.ndarray] | None = None
     for batch in batches:
         cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "salt", "doc", "n", "pos")]
@@ -150,23 +181,27 @@ def _name_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, s, d, n, _ = cols
         if not len(g):
             continue
+        band = np.floor(np.log(n) / _BAND).astype(np.int64)
         start = np.ones(len(g), bool)
         start[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
-        at = np.flatnonzero(start)
-        run = np.cumsum(start) - 1
-        size = np.diff(np.append(at, len(g)))
-        hubs, hub_ns = d[at].copy(), n[at].copy()
-        many = (size > 1) | (s[at] >= 0)
+        part = start.copy()
+        part[1:] |= band[1:] != band[:-1]
+        at, sub = np.flatnonzero(start), np.flatnonzero(part)
+        run, piece = np.cumsum(start) - 1, np.cumsum(part) - 1
+        many = (np.diff(np.append(at, len(g))) > 1) | (s[at] >= 0)
+        hubs, hub_ns = d[sub].copy(), n[sub].copy()
         if open_key == (int(g[0]), int(s[0])):
-            hubs[0], hub_ns[0], many[0] = hub, hub_n, True
+            many[0] = True
+            if band[0] == open_band:
+                hubs[0], hub_ns[0] = hub, hub_n
         if not many[-1]:
             held = [c[-1:] for c in cols]
             open_key = None
         else:
-            open_key, hub, hub_n = (int(g[-1]), int(s[-1])), int(hubs[-1]), int(hub_ns[-1])
+            open_key, open_band, hub, hub_n = (int(g[-1]), int(s[-1])), int(band[-1]), int(hubs[-1]), int(hub_ns[-1])
         keep = many[run]
         if keep.any():
-            yield _batch(schema, *(c[keep] for c in cols), hubs[run][keep], hub_ns[run][keep])
+            yield _batch(schema, *(c[keep] for c in cols), hubs[piece][keep], hub_ns[piece][keep])
 
 
 def _across(num: int, den: int):
@@ -251,20 +286,20 @@ def _links(texts: DataFrame, pairs: DataFrame, profile: DataFrame, k: int, frequ
     two = pairs.join(side.select(F.col("doc").alias("a"), F.struct("k1", "k2").alias("key_a"), F.col("cuts").alias("cuts_a")), "a")
     two = two.join(side.select(F.col("doc").alias("b"), F.struct("k1", "k2").alias("key_b"), F.col("cuts").alias("cuts_b")), "b")
     total = F.col("n_a") + F.col("n_b")
-    most = F.aggregate(F.zip_with("cuts_a", "cuts_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda x, y: x + y)
     same = (F.col("n_a") == F.col("n_b")) & (F.col("key_a") == F.col("key_b"))
     # inter >= t (n_a + n_b - inter)  <=>  inter (den + num) >= num (n_a + n_b)
-    may = (F.greatest("n_a", "n_b") >= 32767) | (most.cast("long") * (num + den) >= total.cast("long") * num)
-    two = stored(two.select("a", "b", "n_a", "n_b", same.alias("same"), (~same & may).alias("count")).where("same or count"), "ngram_pairs")
+    kernel, schema = _bounded(num, den)
+    two = stored(two.select("a", "b", "n_a", "n_b", same.alias("same"), "cuts_a", "cuts_b").mapInArrow(kernel, schema), "ngram_pairs")
     known = two.where("same").select("a", "b")
-    open_pairs = two.where("count").select("a", "b", "n_a", "n_b")
+    open_pairs = two.where("not same").select("a", "b", "n_a", "n_b")
     ids = open_pairs.select(F.col("a").alias("doc")).union(open_pairs.select("b")).distinct()
     sieve = _sieve(ids)
     if not sieve.any():
         return known
     kernel, schema = _segments(k, frequent, sieve)
-    segments = keep_where(texts.mapInArrow(kernel, schema), "doc", ids, "left_semi")
-    left = open_pairs.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("items").alias("items_a")), "a")
+    segments = texts.mapInArrow(kernel, schema)
+    left = open_pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    left = left.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("items").alias("items_a")), ["a", "fragment"])
     both = left.join(segments.select(F.col("doc").alias("b"), "fragment", F.col("items").alias("items_b")), ["b", "fragment"])
     counted = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("partial"))
     summed = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("inter"))
@@ -288,16 +323,23 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     frequent = np.sort(late.toArrow().column("gram").to_numpy().astype(np.int64))
     usable = texts.where("doc is not null")
     kernel, schema = _postings(k, frequent, num, den)
-    dealt = usable.mapInArrow(kernel, schema).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "doc")
+    dealt = usable.mapInArrow(kernel, schema).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "n", "doc")
     shared = stored(dealt.mapInArrow(_name_hubs, "gram long, salt int, doc long, n int, pos int, hub long, hub_n int"), "ngram_shared")
 
+    # Equal sets are one node from here on: the least document that has the set.
+    profile = rows.where("doc is not null and n > 0")
+    classes = profile.groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    rep_of = stored(profile.join(classes, ["n", "k1", "k2"]).where("doc <> rep").select(F.col("doc").alias("copy"), "rep"), "ngram_copies")
+    shared = shared.join(rep_of, F.col("doc") == F.col("copy"), "left").withColumn("doc", F.coalesce("rep", "doc")).drop("copy", "rep").distinct()
+    shared = shared.join(rep_of, F.col("hub") == F.col("copy"), "left").withColumn("hub", F.coalesce("rep", "hub")).drop("copy", "rep")
+    shared = stored(shared, "ngram_nodes")
+
     near = (F.least("n", "hub_n").cast("long") * den) >= (F.greatest("n", "hub_n").cast("long") * num)
     to_hub = shared.where("doc <> hub").where(near).select(F.col("hub").alias("a"), F.col("doc").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b"))
     heads = shared.where("salt >= 0 and doc = hub").select("gram", "doc", "n").distinct()
     top = heads.groupBy("gram").agg(F.min(F.struct("doc", "n")).alias("top"))
     heads = heads.join(top, "gram").where("doc <> top.doc").select(F.col("top.doc").alias("a"), F.col("doc").alias("b"), F.col("top.n").alias("n_a"), F.col("n").alias("n_b"))
     heads = heads.where(F.least("n_a", "n_b").cast("long") * den >= F.greatest("n_a", "n_b").cast("long") * num)
-    profile = rows.where("doc is not null and n > 0")
     first = stored(_links(usable, to_hub.union(heads).distinct(), profile, k, frequent, num, den), "ngram_links")
     label = connected_components(first, "a", "b")
 
@@ -313,7 +355,8 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     merged = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b")
     merged = merged.select(F.col("node").alias("was"), F.col("component").alias("now"))
     own = rows.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))
-    own = own.join(named, F.col("doc_id") == F.col("node"), "left").withColumn("was", F.coalesce("component", "doc_id"))
+    own = own.join(rep_of, F.col("doc_id") == F.col("copy"), "left").withColumn("own_node", F.coalesce("rep", "doc_id"))
+    own = own.join(named, F.col("own_node") == F.col("node"), "left").withColumn("was", F.coalesce("component", "own_node"))
     return own.join(merged, "was", "left").select("doc_id", "n_shingles", F.coalesce("now", "was").alias("component_id"))
 
 
