@@ -9,17 +9,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinspark.llm import exact_dedup, ngram_join, ordinal_toxicity
+from kinspark.llm import exact_dedup, mixing, ngram_join, ordinal_toxicity, packing, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_to_targets(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3.0)
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokens.default_path("byte_bpe_50k.json"), window=1024, end_id=0)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_copies(_table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -30,7 +39,7 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join, op9_exact_dedup, op10_ordinal_toxicity)}
+    return {f.__name__: f for f in (op3_source_mix, op4_ngram_jaccard_join, op5_packing, op9_exact_dedup, op10_ordinal_toxicity)}
 
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

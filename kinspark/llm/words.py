@@ -95,10 +95,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
     full = mix(full).view(np.int64)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= k:
-            out.append(np.unique(full[a : b - k + 1]))
+            own = np.sort(full[a : b - k + 1])
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own[new])
         elif b > a:
-            short = words[a:b] * _SLOT[: b - a]
-            out.append(mix(np.array([short.sum(dtype=np.uint64) + np.uint64(b - a) * _SLOT[40]])).view(np.int64))
+            short = np.append(words[a:b] * _SLOT[: b - a], _SLOT[40 : 40 + b - a])
+            out.append(mix(short.sum(dtype=np.uint64, keepdims=True)).view(np.int64))
         else:
             out.append(np.zeros(0, np.int64))
     return out
