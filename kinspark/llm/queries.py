@@ -8,14 +8,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinspark.llm import exact_dedup, mixing, ngram_join, ordinal_toxicity, packing, tokens
+from kinspark.llm import cotrain, exact_dedup, mixing, ngram_join, nn_descent, ordinal_toxicity, packing, pii, preference, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_to_targets(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3.0)
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
@@ -29,6 +34,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokens.default_path("byte_bpe_50k.json"), window=1024, end_id=0)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_spans(_table(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    base = F.sha2(pii.listed("spans", pii.BASE_KINDS).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.listed("spans").alias("spans"))
+
+
+def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return cotrain.score_quality(docs, cotrain.fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = preference.conversations(_table(spark, sf_dir, "conversations"))
+    return preference.format_preferences(convs, preference.pair_by_first_turn(convs))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_copies(_table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -39,7 +62,11 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mix, op4_ngram_jaccard_join, op5_packing, op9_exact_dedup, op10_ordinal_toxicity)}
+    found = (
+        op1_nn_descent, op3_source_mix, op4_ngram_jaccard_join, op5_packing, op6_personal_data,
+        op7_cotrained_quality, op8_preferences, op9_exact_dedup, op10_ordinal_toxicity,
+    )
+    return {f.__name__: f for f in found}
 
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -69,5 +96,42 @@ FROM (SELECT doc_id, {_FOLD} AS k FROM documents)
 """
 
 
+_SQL_OP8 = """
+WITH rows AS (
+  SELECT conv_id, {'turn': coalesce(turn, 4611686018427387904), 'role': coalesce(role, ''), 'text': coalesce(text, '')} AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, list_sort(list(r)) AS turns, sum(CASE WHEN r.role = 'assistant' THEN length(r.text) ELSE 0 END) AS weight
+  FROM rows GROUP BY conv_id),
+opening AS (
+  SELECT conv_id, weight, turns[1].role || chr(10) || turns[1].text AS o,
+    CAST(ceil(count(*) OVER (PARTITION BY turns[1].role || chr(10) || turns[1].text) / 1024.0) AS BIGINT) AS sets
+  FROM convs),
+ahead AS (
+  SELECT conv_id, weight, lead(conv_id) OVER w AS other, lead(weight) OVER w AS other_weight, lag(conv_id) OVER w AS before
+  FROM opening WINDOW w AS (PARTITION BY o, conv_id % sets ORDER BY conv_id)),
+pairs AS (
+  SELECT CASE WHEN other IS NULL OR weight >= other_weight THEN conv_id ELSE other END AS chosen_id,
+    CASE WHEN other IS NULL OR weight >= other_weight THEN other ELSE conv_id END AS rejected_id
+  FROM ahead WHERE other IS NOT NULL OR before IS NULL),
+duo AS (
+  SELECT chosen_id, rejected_id, a.turns AS a, b.turns AS b,
+    CASE WHEN b.turns IS NULL THEN len(a.turns) ELSE coalesce(
+      list_min(list_filter(generate_series(1, least(len(a.turns), len(b.turns))),
+        lambda i: a.turns[i].role <> b.turns[i].role OR a.turns[i].text <> b.turns[i].text)) - 1,
+      least(len(a.turns), len(b.turns))) END AS n
+  FROM pairs JOIN convs a ON a.conv_id = chosen_id LEFT JOIN convs b ON b.conv_id = rejected_id)
+SELECT chosen_id, rejected_id, CAST(n AS BIGINT) AS prefix_turns,
+  coalesce(array_to_string(list_transform(a[1:n], lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS prompt,
+  coalesce(array_to_string(list_transform(a[n + 1:], lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS chosen,
+  coalesce(array_to_string(list_transform(a[n + 1:], lambda t: CASE WHEN t.role = 'assistant'
+    THEN '0:' || (length(t.role) + 5) || ',1:' || (length(t.text) + 8) ELSE '0:' || (length(t.role) + length(t.text) + 13) END), ','), '') AS chosen_mask,
+  CASE WHEN b IS NOT NULL THEN coalesce(array_to_string(list_transform(b[n + 1:], lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') END AS rejected,
+  CASE WHEN b IS NOT NULL THEN coalesce(array_to_string(list_transform(b[n + 1:], lambda t: CASE WHEN t.role = 'assistant'
+    THEN '0:' || (length(t.role) + 5) || ',1:' || (length(t.text) + 8) ELSE '0:' || (length(t.role) + length(t.text) + 13) END), ','), '') END AS rejected_mask
+FROM duo
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": _SQL_OP4, "op9_exact_dedup": _SQL_OP9}
+    return {"op8_preferences": _SQL_OP8, "op4_ngram_jaccard_join": _SQL_OP4, "op9_exact_dedup": _SQL_OP9}
