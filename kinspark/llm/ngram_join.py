@@ -42,7 +42,7 @@ from kinspark.llm.components import connected_components
 from kinspark.llm.shared import keep_where, slices, stored, text_buffers
 from kinspark.llm.words import mix, shingle_sets
 
-FRAGMENTS = 8
+FRAGMENTS = 4
 _BAND = float(np.log(1.05))
 _WINDOW = 2_000_000
 _LEAST_FREQUENT = 64
@@ -137,12 +137,12 @@ def _in_order(grams: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]
 
 
 def _postings(k: int, frequent: np.ndarray, num: int, den: int):
-    schema = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    schema = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("place", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             docs = part.column("doc").to_numpy(zero_copy_only=False)
-            grams, salts, owners, sizes, places = [], [], [], [], []
+            grams, salts, orders, owners, sizes, places = [], [], [], [], [], []
             for doc, grown in zip(docs.tolist(), shingle_sets(*text_buffers(part.column("text")), k), strict=True):
                 n = len(grown)
                 if not n:
@@ -153,19 +153,21 @@ def _postings(k: int, frequent: np.ndarray, num: int, den: int):
                 salt = np.full(p, -1, np.int32)
                 salt[light:] = (doc * 0x9E3779B1 >> 7) % _SALTS
                 salts.append(salt)
+                orders.append(np.full(p, int(np.log(n) / _BAND) << 40 | light, np.int64))
                 owners.append(np.full(p, doc, np.int64))
                 sizes.append(np.full(p, n, np.int32))
                 places.append(np.arange(p, dtype=np.int32))
             if grams:
-                yield _batch(schema, *(np.concatenate(c) for c in (grams, salts, owners, sizes, places)))
+                yield _batch(schema, *(np.concatenate(c) for c in (grams, salts, orders, owners, sizes, places)))
 
-    return kernel, "gram long, salt int, doc long, n int, pos int"
+    return kernel, "gram long, salt int, place long, doc long, n int, pos int"
 
 
 def _name_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (gram, salt, n, doc): drop buckets of one row, give each other row a hub and the hub's size.
+    """Rows sorted by (gram, salt, place, doc): drop buckets of one row, give each other row a hub and the hub's size.
 
-    The hub is the first row of the bucket's rows in the same band of sizes (5 % wide). Only one row of an
+    A place is a band of sizes (5 % wide), then how many n-grams of the document are not frequent. So the hub,
+    the first row of its band, is the one most made of what the bucket's documents share. Only one row of an
     open bucket is held, however long the bucket is. Salted buckets of frequent n-grams keep single rows, as
     they meet the other salts' hubs later.
     """
@@ -174,14 +176,14 @@ def _name_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_band = hub = hub_n = 0
     held: list[np.ndarray] | None = None
     for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "salt", "doc", "n", "pos")]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "salt", "doc", "n", "pos", "place")]
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
             held = None
-        g, s, d, n, _ = cols
+        g, s, d, n, _, place = cols
         if not len(g):
             continue
-        band = np.floor(np.log(n) / _BAND).astype(np.int64)
+        band = place >> 40
         start = np.ones(len(g), bool)
         start[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
         part = start.copy()
@@ -201,7 +203,7 @@ def _name_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             open_key, open_band, hub, hub_n = (int(g[-1]), int(s[-1])), int(band[-1]), int(hubs[-1]), int(hub_ns[-1])
         keep = many[run]
         if keep.any():
-            yield _batch(schema, *(c[keep] for c in cols), hubs[piece][keep], hub_ns[piece][keep])
+            yield _batch(schema, *(c[keep] for c in cols[:5]), hubs[piece][keep], hub_ns[piece][keep])
 
 
 def _across(num: int, den: int):
@@ -323,7 +325,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     frequent = np.sort(late.toArrow().column("gram").to_numpy().astype(np.int64))
     usable = texts.where("doc is not null")
     kernel, schema = _postings(k, frequent, num, den)
-    dealt = usable.mapInArrow(kernel, schema).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "n", "doc")
+    dealt = usable.mapInArrow(kernel, schema).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "place", "doc")
     shared = stored(dealt.mapInArrow(_name_hubs, "gram long, salt int, doc long, n int, pos int, hub long, hub_n int"), "ngram_shared")
 
     # Equal sets are one node from here on: the least document that has the set.
