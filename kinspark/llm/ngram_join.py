@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.llm.components import connected_components
-from kinspark.llm.shared import keep_where, slices, stored, text_buffers
+from kinspark.llm.shared import keep_where, map_texts, slices, stored, text_buffers
 from kinspark.llm.words import mix, shingle_sets
 
 FRAGMENTS = 4
@@ -299,7 +299,7 @@ def _links(texts: DataFrame, pairs: DataFrame, profile: DataFrame, k: int, frequ
     if not sieve.any():
         return known
     kernel, schema = _segments(k, frequent, sieve)
-    segments = texts.mapInArrow(kernel, schema)
+    segments = map_texts(texts, kernel, schema)
     left = open_pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     left = left.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("items").alias("items_a")), ["a", "fragment"])
     both = left.join(segments.select(F.col("doc").alias("b"), "fragment", F.col("items").alias("items_b")), ["b", "fragment"])
@@ -312,7 +312,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """One row per row of ``docs``: (doc_id, n_shingles, component_id); a link is den * |A & B| >= num * |A | B|."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     kernel, schema = _profile(k)
-    scanned = stored(texts.mapInArrow(kernel, schema), "ngram_profile")
+    scanned = stored(map_texts(texts, kernel, schema), "ngram_profile")
     rows = scanned.where("n is not null")
     sums = rows.agg(F.count("doc"), F.count_distinct("doc"), F.sum("n")).first()
     if sums[0] > sums[1]:  # ids repeat: one document each, with its greatest text
@@ -325,7 +325,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     frequent = np.sort(late.toArrow().column("gram").to_numpy().astype(np.int64))
     usable = texts.where("doc is not null")
     kernel, schema = _postings(k, frequent, num, den)
-    dealt = usable.mapInArrow(kernel, schema).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "place", "doc")
+    dealt = map_texts(usable, kernel, schema).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "place", "doc")
     shared = stored(dealt.mapInArrow(_name_hubs, "gram long, salt int, doc long, n int, pos int, hub long, hub_n int"), "ngram_shared")
 
     # Equal sets are one node from here on: the least document that has the set.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.shared import slices, text_buffers
+from kinspark.llm.shared import map_texts, slices, text_buffers
 from kinspark.llm.words import letter_spans, mix, word_hashes
 
 GRADES = 4
@@ -74,7 +74,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int, seed: int,
     sample = clean.groupBy("_label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.lit(seed), "_label_id"), "_label_id").limit(max_labelled)
     texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("text"))
     joined = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_label_id")).select("toxic", "text")
-    return joined.mapInArrow(_features_of, "toxic int, hashes binary, counts binary").toArrow()
+    return map_texts(joined, _features_of, "toxic int, hashes binary, counts binary").toArrow()
 
 
 def fit_ordinal(
@@ -182,7 +182,7 @@ def score_severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(kernel, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
+    return map_texts(rows, kernel, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
@@ -196,4 +196,4 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
             x = _linear_scores(features, sieve, *text_buffers(part.column(text_col)))
             yield part.filter(pa.array(features.probabilities(x)[:, 0] <= 0.5))
 
-    return docs.mapInArrow(kernel, schema)
+    return map_texts(docs, kernel, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.llm import tokens
-from kinspark.llm.shared import slices, stored
+from kinspark.llm.shared import map_texts, slices, stored
 
 MAX_SOURCES = 100_000
 
@@ -221,7 +221,7 @@ def pack(
     """
     kernel, schema = _encode(tokenizer_path, end_id)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    coded = stored(texts.mapInArrow(kernel, schema), "pack_ids")
+    coded = stored(map_texts(texts, kernel, schema), "pack_ids")
     parts = stored(coded.groupBy("source", "part").agg(F.sum("doc_tokens").alias("n")), "pack_parts")
     queues = parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_last()).limit(max_sources + 1).collect()
     if len(queues) > max_sources:

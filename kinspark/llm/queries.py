@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspark.llm import cotrain, exact_dedup, mixing, ngram_join, nn_descent, ordinal_toxicity, packing, pii, preference, tokens
+from kinspark.llm import cotrain, exact_dedup, mixing, ngram_join, nn_descent, ordinal_toxicity, packing, pii, preference, token_files, tokens
+from kinspark.llm.shared import working_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,12 @@ def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = working_path(spark, "token_files")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, tokens.default_path("word_bpe_49k.json"), end_id=2)
+    return token_files.document_index(token_files.read_token_files(spark, path))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_to_targets(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3.0)
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
@@ -63,7 +70,7 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_nn_descent, op3_source_mix, op4_ngram_jaccard_join, op5_packing, op6_personal_data,
+        op1_nn_descent, op2_token_files, op3_source_mix, op4_ngram_jaccard_join, op5_packing, op6_personal_data,
         op7_cotrained_quality, op8_preferences, op9_exact_dedup, op10_ordinal_toxicity,
     )
     return {f.__name__: f for f in found}

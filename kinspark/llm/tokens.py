@@ -23,7 +23,7 @@ import pyarrow as pa
 
 from kinspark.llm.shared import text_buffers
 
-_KNOWN_CHUNKS = 400_000
+_KNOWN_CHUNKS = 250_000
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
