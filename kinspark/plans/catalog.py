@@ -1 +1,2 @@
 """Imports every module that registers queries."""
+from kinspark.plans import q_match  # noqa: F401
