@@ -165,7 +165,7 @@ def _encode(path: str, end_id: int):
         enc = tokens.encoder(path)
         part_id = TaskContext.get().partitionId()
         seen: dict[str | None, int] = {}
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", tokens.SLICE_BYTES):
             ids, at = enc.encode(part.column("text"))
             n = part.num_rows
             full = np.full(len(ids) + n, end_id, np.uint32)

@@ -42,7 +42,7 @@ def _write(path: str, end_id: int, container_ids: int):
             row = [[part_id], [number], [before], [[d for x in docs for d in x]], [np.concatenate(counts)], [range_coder.encode(np.concatenate(ids))]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(row, fields, strict=True)], [n for n, _ in fields])
 
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", tokens.SLICE_BYTES):
             flat, at = enc.encode(part.column("text"))
             n = part.num_rows
             full = np.full(len(flat) + n, end_id, np.uint32)

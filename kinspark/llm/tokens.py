@@ -16,19 +16,26 @@ U+00C0..U+00FF) just cause fewer cuts.
 
 from __future__ import annotations
 
+import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from kinspark.llm.shared import text_buffers
 
+#: Text bytes encoded at once: larger slices repeat more chunks.
+SLICE_BYTES = 4 << 20
 _KNOWN_CHUNKS = 250_000
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,;:!?%$#&*()"]] = True
+#: How byte-level files write bytes: visible ones as themselves, the others as the characters from U+0100 on, in order.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_FORMS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 _SOLID = np.array([b < 128 and not _SPACE[b] for b in range(256)])
 
 
@@ -85,6 +92,12 @@ class ChunkEncoder:
         self._starts = np.zeros(1 << 12, np.int64)
         self._lengths = np.zeros(1 << 12, np.int64)
         self._seen = np.zeros(1 << 12, np.int64)
+        settings = json.loads(self._tokenizer.to_str())
+        self._folds = "Lowercase" in json.dumps(settings.get("normalizer"))
+        self._direct = True
+        probes = [b"the", b" the", b"The", b" Wordless", b"x", b" zqXk", b" internationalisation", " \u00c9tude".encode(), "na\u00efve\u00df".encode()]
+        direct = self._lists(probes)
+        self._direct = direct == [self._tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in probes]
 
     def _forget(self) -> None:
         """Drop the chunks used once or, should most be used often, the half used least."""
@@ -100,11 +113,37 @@ class ChunkEncoder:
         m = len(self._known)
         self._starts[:m], self._lengths[:m], self._seen[:m], self._seen[m:] = ends - lengths, lengths, 0, 0
 
+    def _plain_form(self, chunk: bytes) -> str | None:
+        """What the model itself takes for a chunk that is one piece of Latin letters; None for all others."""
+        word = chunk[1:] if chunk[:1] == b" " else chunk
+        lead = "" if word is chunk or self._folds else "\u0120"
+        if word.isalpha():  # of bytes: ASCII letters only
+            return lead + (word.lower() if self._folds else word).decode()
+        text = word.decode()
+        if not text.isalpha() or max(text) > "\u00ff":
+            return None
+        return lead + (text.lower().encode() if self._folds else word).decode("latin-1").translate(_BYTE_FORMS)
+
+    def _lists(self, chunks: list[bytes]) -> list[list[int]]:
+        """Ids of each chunk. Plain words go straight to the model, past normalizer and splitter, which would not change them."""
+        run = self._tokenizer.model.tokenize
+        out: list[list[int] | None] = []
+        rest: list[int] = []
+        for i, c in enumerate(chunks):
+            form = self._plain_form(c) if self._direct else None
+            if form is None:
+                rest.append(i)
+                out.append(None)
+            else:
+                out.append([t.id for t in run(form)])
+        for i, e in zip(rest, self._tokenizer.encode_batch_fast([chunks[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def _learn(self, chunks: list[bytes]) -> None:
-        found = self._tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        lists = [e.ids for e in found]
+        lists = self._lists(chunks)
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
         at, total = len(self._known), len(self._known) + len(chunks)
         while self._used + len(flat) > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
@@ -127,10 +166,14 @@ class ChunkEncoder:
         distinct = coded.dictionary.to_pylist()
         if len(self._known) > _KNOWN_CHUNKS:
             self._forget()
-        if new := [c for c in distinct if c not in self._known]:
-            self._learn(new)
         index = coded.indices.to_numpy()
-        each = np.fromiter(map(self._known.__getitem__, distinct), np.int64, len(distinct))
+        find = self._known.get
+        each = np.fromiter((find(c, -1) for c in distinct), np.int64, len(distinct))
+        fresh = np.flatnonzero(each < 0)
+        if len(fresh):
+            at = len(self._known)
+            self._learn([distinct[i] for i in fresh.tolist()])
+            each[fresh] = np.arange(at, len(self._known))
         self._seen[each] += np.bincount(index, minlength=len(each))
         place = each[index]
         lengths = self._lengths[place]
