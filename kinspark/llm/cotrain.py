@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.shared import map_texts, slices, text_buffers
+from kinspark.llm.shared import map_arrow, slices, text_buffers
 from kinspark.llm.words import mix, word_hashes, word_spans
 
 FORMS = 1024
@@ -212,7 +212,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, ma
     ids = rows.select("doc_id").where("doc_id is not null").join(marks, "doc_id", "left_anti").withColumn("_order", order).orderBy("_order", "doc_id").limit(max_pool)
     sample = F.broadcast(some.unionByName(ids.withColumn("label", F.lit(-1))))
     chosen = rows.join(sample, "doc_id").select("_order", "label", "text", "source", "lang", "n_chars")
-    table = map_texts(chosen, _view_rows, "_order long, label int, a binary, b binary").toArrow()
+    table = map_arrow(chosen, _view_rows, "_order long, label int, a binary, b binary").toArrow()
     if not table.num_rows:
         return None
     table = table.sort_by([("_order", "ascending"), ("a", "ascending")])
@@ -232,4 +232,4 @@ def score_quality(docs: DataFrame, model: CoTrained | None) -> DataFrame:
             p = model.probabilities(text_view(data, offsets), metadata_view(part, data, offsets)) if model else (half, half, half)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, p), pa.array(p[0] >= 0.5)], ["doc_id", "p_quality", "p_text", "p_meta", "kept"])
 
-    return map_texts(_inputs(docs), kernel, "doc_id long, p_quality double, p_text double, p_meta double, kept boolean")
+    return map_arrow(_inputs(docs), kernel, "doc_id long, p_quality double, p_text double, p_meta double, kept boolean")

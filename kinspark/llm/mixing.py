@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.llm.shared import map_texts, slices, stored, text_buffers, with_columns_renamed_free
+from kinspark.llm.shared import map_arrow, slices, stored, text_buffers, with_columns_renamed_free
 from kinspark.llm.words import mix, word_counts
 
 #: Words that the knapsack closes; the bits of its table of reachable sums.
@@ -143,7 +143,7 @@ def mix_to_targets(
     """One row per row of ``docs``: (doc_id, source, size, source_size, target, copies, taken)."""
     kernel, schema = _sizes(seed)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    sized = stored(map_texts(texts, kernel, schema), "mix_sizes")
+    sized = stored(map_arrow(texts, kernel, schema), "mix_sizes")
     counts = stored(sized.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "mix_counts")
     targets = stored(target_sizes(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, cap), "mix_targets")
     of = targets.withColumnRenamed("source", "_source")

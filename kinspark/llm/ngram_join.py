@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.llm.components import connected_components
-from kinspark.llm.shared import keep_where, map_texts, slices, stored, text_buffers
+from kinspark.llm.shared import keep_where, map_arrow, slices, stored, text_buffers
 from kinspark.llm.words import mix, shingle_sets
 
 FRAGMENTS = 4
@@ -48,6 +48,7 @@ _WINDOW = 2_000_000
 _LEAST_FREQUENT = 64
 _MOST_FREQUENT = 1 << 18
 _SALTS = 32
+_FIRST_PARTNERS = 3
 _SIEVE_BITS = 1 << 23
 _SEED_A, _SEED_B = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
@@ -111,20 +112,19 @@ def _most_shared(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
 
 
 def _bounded(num: int, den: int):
-    """Pairs with both profiles: keep equal sets (same) and pairs whose bound allows a link."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("same", pa.bool_())])
+    """Pairs with both profiles: those whose bound of the overlap allows a link, with that bound."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("most", pa.int32())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(c).to_pylist() for c in ("n_a", "n_b"))
-            same = batch.column("same").to_numpy(zero_copy_only=False)
-            ca, cb = batch.column("cuts_a"), batch.column("cuts_b")
-            keep = same.copy()
-            for i in np.flatnonzero(~same).tolist():
-                keep[i] = _most_shared(ca[i].as_py(), cb[i].as_py(), na[i], nb[i]) * (num + den) >= num * (na[i] + nb[i])
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in schema], schema=schema).filter(pa.array(keep))
+            cuts = zip(batch.column("cuts_a").to_pylist(), batch.column("cuts_b").to_pylist(), na, nb, strict=True)
+            most = np.fromiter((_most_shared(*c) for c in cuts), np.int64, len(na))
+            keep = most * (num + den) >= num * (np.array(na, np.int64) + np.array(nb, np.int64))
+            cols = [*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(most.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema).filter(pa.array(keep))
 
-    return kernel, "a long, b long, n_a int, n_b int, same boolean"
+    return kernel, "a long, b long, n_a int, n_b int, most int"
 
 
 def _in_order(grams: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
@@ -282,37 +282,50 @@ def _sieve(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _links(texts: DataFrame, pairs: DataFrame, profile: DataFrame, k: int, frequent: np.ndarray, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` (a, b, n_a, n_b) that link."""
-    side = profile.select("doc", "k1", "k2", "cuts")
-    two = pairs.join(side.select(F.col("doc").alias("a"), F.struct("k1", "k2").alias("key_a"), F.col("cuts").alias("cuts_a")), "a")
-    two = two.join(side.select(F.col("doc").alias("b"), F.struct("k1", "k2").alias("key_b"), F.col("cuts").alias("cuts_b")), "b")
-    total = F.col("n_a") + F.col("n_b")
-    same = (F.col("n_a") == F.col("n_b")) & (F.col("key_a") == F.col("key_b"))
-    # inter >= t (n_a + n_b - inter)  <=>  inter (den + num) >= num (n_a + n_b)
+def _possible(pairs: DataFrame, profile: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """Of pairs (a, b, n_a, n_b) those that the counts in cuts of the hash range don't rule out, with the bound (most)."""
+    side = profile.select("doc", "cuts")
+    two = pairs.join(side.select(F.col("doc").alias("a"), F.col("cuts").alias("cuts_a")), "a").join(side.select(F.col("doc").alias("b"), F.col("cuts").alias("cuts_b")), "b")
     kernel, schema = _bounded(num, den)
-    two = stored(two.select("a", "b", "n_a", "n_b", same.alias("same"), "cuts_a", "cuts_b").mapInArrow(kernel, schema), "ngram_pairs")
-    known = two.where("same").select("a", "b")
-    open_pairs = two.where("not same").select("a", "b", "n_a", "n_b")
-    ids = open_pairs.select(F.col("a").alias("doc")).union(open_pairs.select("b")).distinct()
-    sieve = _sieve(ids)
-    if not sieve.any():
-        return known
-    kernel, schema = _segments(k, frequent, sieve)
-    segments = map_texts(texts, kernel, schema)
-    left = open_pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    return stored(map_arrow(two.select("a", "b", "n_a", "n_b", "cuts_a", "cuts_b"), kernel, schema), name)
+
+
+def _counted(texts: DataFrame, pairs: DataFrame, k: int, frequent: np.ndarray, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs that link: overlaps are counted fragment by fragment and summed."""
+    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    kernel, schema = _segments(k, frequent, _sieve(ids))
+    segments = map_arrow(texts, kernel, schema)
+    left = pairs.select("a", "b", "n_a", "n_b").withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     left = left.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("items").alias("items_a")), ["a", "fragment"])
     both = left.join(segments.select(F.col("doc").alias("b"), "fragment", F.col("items").alias("items_b")), ["b", "fragment"])
-    counted = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("partial"))
-    summed = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("inter"))
-    return known.union(summed.where(F.col("inter") * (num + den) >= total.cast("long") * num).select("a", "b"))
+    partial = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("partial"))
+    summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("inter"))
+    # inter >= t (n_a + n_b - inter)  <=>  inter (den + num) >= num (n_a + n_b)
+    return summed.where(F.col("inter") * (num + den) >= (F.col("n_a") + F.col("n_b")).cast("long") * num).select("a", "b")
+
+
+def _renamed(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links: components of components."""
+    mine = label.select("node", "component")
+    ends = links.join(mine.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(mine.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    merged = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b").select(F.col("node").alias("was"), F.col("component").alias("now"))
+    old = mine.join(merged, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    new = merged.join(mine.select(F.col("node").alias("was")), "was", "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return stored(old.unionByName(new), "ngram_labels")
+
+
+def _between(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    side = label.select("node", "component")
+    both = pairs.join(side.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(side.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_shingles, component_id); a link is den * |A & B| >= num * |A | B|."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     kernel, schema = _profile(k)
-    scanned = stored(map_texts(texts, kernel, schema), "ngram_profile")
+    scanned = stored(map_arrow(texts, kernel, schema), "ngram_profile")
     rows = scanned.where("n is not null")
     sums = rows.agg(F.count("doc"), F.count_distinct("doc"), F.sum("n")).first()
     if sums[0] > sums[1]:  # ids repeat: one document each, with its greatest text
@@ -325,8 +338,8 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     frequent = np.sort(late.toArrow().column("gram").to_numpy().astype(np.int64))
     usable = texts.where("doc is not null")
     kernel, schema = _postings(k, frequent, num, den)
-    dealt = map_texts(usable, kernel, schema).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "place", "doc")
-    shared = stored(dealt.mapInArrow(_name_hubs, "gram long, salt int, doc long, n int, pos int, hub long, hub_n int"), "ngram_shared")
+    dealt = map_arrow(usable, kernel, schema).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "place", "doc")
+    shared = stored(map_arrow(dealt, _name_hubs, "gram long, salt int, doc long, n int, pos int, hub long, hub_n int"), "ngram_shared")
 
     # Equal sets are one node from here on: the least document that has the set.
     profile = rows.where("doc is not null and n > 0")
@@ -342,24 +355,30 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     top = heads.groupBy("gram").agg(F.min(F.struct("doc", "n")).alias("top"))
     heads = heads.join(top, "gram").where("doc <> top.doc").select(F.col("top.doc").alias("a"), F.col("doc").alias("b"), F.col("top.n").alias("n_a"), F.col("n").alias("n_b"))
     heads = heads.where(F.least("n_a", "n_b").cast("long") * den >= F.greatest("n_a", "n_b").cast("long") * num)
-    first = stored(_links(usable, to_hub.union(heads).distinct(), profile, k, frequent, num, den), "ngram_links")
-    label = connected_components(first, "a", "b")
+    hubs = _possible(to_hub.union(heads).distinct(), profile, num, den, "ngram_hub_pairs")
+    label = stored(connected_components(_counted(usable, hubs, k, frequent, num, den), "a", "b"), "ngram_labels")
 
     here = shared.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     here = stored(here, "ngram_buckets")
     mixed = here.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
     kernel, schema = _across(num, den)
     dealt = here.join(mixed, "gram", "left_semi").repartition("gram").sortWithinPartitions("gram", "n", "doc")
-    rest = stored(dealt.mapInArrow(kernel, schema).distinct(), "ngram_across")
-    second = _links(usable, rest, profile, k, frequent, num, den)
-    named = label.select(F.col("node"), "component")
-    ends = second.join(named.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(named.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    merged = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b")
-    merged = merged.select(F.col("node").alias("was"), F.col("component").alias("now"))
+    rest = stored(map_arrow(dealt, kernel, schema).distinct(), "ngram_across")
+    # Of what is left each document first tries its likeliest partners: mostly that joins the components, and the
+    # other pairs between them need no count any more. Then all that still lie between components are counted.
+    rest = _possible(rest, profile, num, den, "ngram_pairs").withColumn("_share", F.col("most") / (F.col("n_a") + F.col("n_b")))
+    for partners in (_FIRST_PARTNERS, None):
+        tried = _between(rest, label)
+        if partners:
+            best = [F.row_number().over(Window.partitionBy(e).orderBy(F.col("_share").desc(), o)).alias(f"_{e}") for e, o in (("a", "b"), ("b", "a"))]
+            tried = tried.select("*", *best).where(F.least("_a", "_b") <= partners)
+        tried = stored(tried.select("a", "b", "n_a", "n_b"), "ngram_tried")
+        label = _renamed(label, _counted(usable, tried, k, frequent, num, den))
+    named = label
     own = rows.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))
     own = own.join(rep_of, F.col("doc_id") == F.col("copy"), "left").withColumn("own_node", F.coalesce("rep", "doc_id"))
-    own = own.join(named, F.col("own_node") == F.col("node"), "left").withColumn("was", F.coalesce("component", "own_node"))
-    return own.join(merged, "was", "left").select("doc_id", "n_shingles", F.coalesce("now", "was").alias("component_id"))
+    own = own.join(named, F.col("own_node") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "own_node").alias("component_id"))
+    return own
 
 
 def keep_representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.llm.components import connected_components
-from kinspark.llm.shared import stored
+from kinspark.llm.shared import map_arrow, stored
 
 log = logging.getLogger(__name__)
 _WINDOW_ROWS = 96
@@ -173,7 +173,7 @@ def _round(graph: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
     lists = graph.select("u", "v", "fresh").union(back).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
     sides = nodes.select(F.col("node").alias("v"), F.col("small").alias("unit")).join(worst.withColumnRenamed("u", "v"), "v")
     dealt = lists.join(sides, "v").select("u", "v", "fresh", "worst", "unit").repartition("u").sortWithinPartitions("u")
-    found = dealt.mapInArrow(_local_join, _EDGE)
+    found = map_arrow(dealt, _local_join, _EDGE)
     return _keep_best(graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), k)
 
 
@@ -238,12 +238,12 @@ def _whole_components(members: DataFrame, threshold: float) -> DataFrame:
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("long").alias("blocks"))
     dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.select("component", "block", "node", "times", "unit").repartition("component", "block").sortWithinPartitions("component", "block", "node")
-    blocks = stored(dealt.mapInArrow(_pack_blocks, "component long, block long, nodes binary, times binary, units binary"), "nn_blocks")
+    blocks = stored(map_arrow(dealt, _pack_blocks, "component long, block long, nodes binary, times binary, units binary"), "nn_blocks")
     pairs = sizes.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("b", F.explode(F.sequence(F.col("a"), F.col("blocks") - 1)))
     for side in ("a", "b"):
         pairs = pairs.join(blocks.select("component", F.col("block").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("nodes", "times", "units")]), ["component", side])
     kernel, schema = _count_blocks(threshold)
-    return pairs.drop("blocks", "component").mapInArrow(kernel, schema).groupBy("node").agg(F.sum("links").alias("links"))
+    return map_arrow(pairs.drop("blocks", "component"), kernel, schema).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def _audit(nodes: DataFrame, found: DataFrame, threshold: float, audit_size: int, seed: int) -> float:
@@ -262,7 +262,7 @@ def _audit(nodes: DataFrame, found: DataFrame, threshold: float, audit_size: int
                 total += near @ batch.column("times").to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["node", "true_links"])
 
-    true = nodes.select("node", "times", "unit").mapInArrow(kernel, "node long, true_links long").groupBy("node").agg(F.sum("true_links").alias("true_links"))
+    true = map_arrow(nodes.select("node", "times", "unit"), kernel, "node long, true_links long").groupBy("node").agg(F.sum("true_links").alias("true_links"))
     got = true.join(found, "node", "left").agg(F.sum("true_links"), F.sum(F.least("true_links", F.coalesce("links", F.lit(0))))).first()
     return 1.0 if not got[0] else got[1] / got[0]
 
@@ -282,7 +282,7 @@ def near_duplicates(
         found = found.withColumnRenamed("vec_id", "_vec")
         return raw.select("vec_id").join(found, F.col("vec_id").eqNullSafe(F.col("_vec"))).drop("_vec")
     kernel, schema = _units(dim)
-    units = stored(raw.repartition("vec_id").mapInArrow(kernel, schema), "nn_units")
+    units = stored(map_arrow(raw.repartition("vec_id"), kernel, schema), "nn_units")
     usable = units.where("key is not null and vec_id is not null")
     nodes = stored(usable.groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("times"), F.first("unit").alias("unit")), "nn_nodes")
     own = usable.select("vec_id", "key").join(nodes.select("key", "node"), "key").select("vec_id", "node")
@@ -304,9 +304,9 @@ def _search(nodes: DataFrame, threshold: float, k: int, tables: int, max_rounds:
     n = nodes.count()
     bits = min(max((n // _WINDOW_ROWS).bit_length(), 1), 48)
     kernel, schema = _orders(dim, range(tables), bits, seed)
-    dealt = nodes.select("node", "unit").mapInArrow(kernel, schema).repartitionByRange("t", "code", "along").sortWithinPartitions("t", "code", "along", "node")
+    dealt = map_arrow(nodes.select("node", "unit"), kernel, schema).repartitionByRange("t", "code", "along").sortWithinPartitions("t", "code", "along", "node")
     kernel, schema = _best_in_windows(k)
-    graph = stored(_keep_best(dealt.mapInArrow(kernel, schema).withColumn("fresh", F.lit(True)), k), "nn_graph")
+    graph = stored(_keep_best(map_arrow(dealt, kernel, schema).withColumn("fresh", F.lit(True)), k), "nn_graph")
     vectors = stored(nodes.select("node", _narrow("unit").alias("small")), "nn_small")
     for r in range(max_rounds):
         graph = stored(_round(graph, vectors, k, seed + r), "nn_graph")
@@ -332,7 +332,7 @@ def _resolve(nodes: DataFrame, edges: DataFrame, threshold: float, k: int) -> tu
     for side in ("a", "b"):
         near = near.join(nodes.select(F.col("node").alias(side), F.col("unit").alias(f"unit_{side}")), side)
     kernel, schema = _exact(threshold)
-    links = stored(near.mapInArrow(kernel, schema), "nn_links")
+    links = stored(map_arrow(near, kernel, schema), "nn_links")
     label = connected_components(links, "a", "b")
     both = links.union(links.select("b", "a"))
     times = nodes.select(F.col("node").alias("b"), "times")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.shared import map_texts, slices, text_buffers
+from kinspark.llm.shared import map_arrow, release_memory, slices, text_buffers
 from kinspark.llm.words import letter_spans, mix, word_hashes
 
 GRADES = 4
@@ -74,11 +74,11 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int, seed: int,
     sample = clean.groupBy("_label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.lit(seed), "_label_id"), "_label_id").limit(max_labelled)
     texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("text"))
     joined = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_label_id")).select("toxic", "text")
-    return map_texts(joined, _features_of, "toxic int, hashes binary, counts binary").toArrow()
+    return map_arrow(joined, _features_of, "toxic int, hashes binary, counts binary").toArrow()
 
 
 def fit_ordinal(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", flag: str = "toxic", max_features: int = 4096
+    docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", flag: str = "toxic", max_features: int = 4096
 ) -> OrdinalModel:
     """Fit on at most ``max_labelled`` labelled documents (the documented bound of the sample)."""
     table = _labelled(docs, labels, max_labelled, seed, id_col, text_col, flag)
@@ -86,7 +86,11 @@ def fit_ordinal(
     lists = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
     # Rows in an order of their own content: the fit does not depend on how Spark deals the tasks.
     order = np.lexsort(([int(v.sum(dtype=np.uint64)) for v in lists], y)) if len(y) else np.zeros(0, np.int64)
-    return fit_rows(y[order], [lists[i] for i in order], [np.frombuffer(table.column("counts")[int(i)].as_py(), np.uint8) for i in order], max_features)
+    counts = [np.frombuffer(b, np.uint8) for b in table.column("counts").to_pylist()]
+    model = fit_rows(y[order], [lists[i] for i in order], [counts[i] for i in order], max_features)
+    del table, lists, counts
+    release_memory()
+    return model
 
 
 def fit_rows(y: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray], max_features: int = 4096) -> OrdinalModel:
@@ -182,7 +186,7 @@ def score_severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_texts(rows, kernel, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
+    return map_arrow(rows, kernel, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
@@ -196,4 +200,4 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
             x = _linear_scores(features, sieve, *text_buffers(part.column(text_col)))
             yield part.filter(pa.array(features.probabilities(x)[:, 0] <= 0.5))
 
-    return map_texts(docs, kernel, schema)
+    return map_arrow(docs, kernel, schema)

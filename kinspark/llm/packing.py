@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.llm import tokens
-from kinspark.llm.shared import map_texts, slices, stored
+from kinspark.llm.shared import map_arrow, slices, stored
 
 MAX_SOURCES = 100_000
+#: Offsets (one for each write task and source) up to this many are broadcast, about 40 MB; more are joined by a shuffle.
+BROADCAST_OFFSETS = 500_000
 
 
 @dataclass(frozen=True)
@@ -221,7 +223,7 @@ def pack(
     """
     kernel, schema = _encode(tokenizer_path, end_id)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    coded = stored(map_texts(texts, kernel, schema), "pack_ids")
+    coded = stored(map_arrow(texts, kernel, schema), "pack_ids", compression="zstd")
     parts = stored(coded.groupBy("source", "part").agg(F.sum("doc_tokens").alias("n")), "pack_parts")
     queues = parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_last()).limit(max_sources + 1).collect()
     if len(queues) > max_sources:
@@ -234,7 +236,9 @@ def pack(
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(names, F.col("source").eqNullSafe(F.col("_source")))
     offsets = offsets.select(F.col("part").alias("_part"), "_source", "queue", "first")
+    if parts.limit(BROADCAST_OFFSETS + 1).count() <= BROADCAST_OFFSETS:  # then the ids themselves are not shuffled
+        offsets = F.broadcast(offsets)
     placed = coded.join(offsets, (F.col("part") == F.col("_part")) & F.col("source").eqNullSafe(F.col("_source")))
     placed = placed.select("doc_id", "queue", (F.col("first") + F.col("before")).alias("start"), "doc_tokens", "width", "ids")
     kernel, schema = _pieces(plan, int(sizes.sum()), window, grain)
-    return placed.mapInArrow(kernel, schema)
+    return map_arrow(placed, kernel, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.shared import map_texts, slices
+from kinspark.llm.shared import map_arrow, slices
 
 #: In the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
@@ -164,7 +164,7 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(kind))], ["doc_id", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_texts(rows, kernel, f"doc_id long, spans {SPANS}")
+    return map_arrow(rows, kernel, f"doc_id long, spans {SPANS}")
 
 
 def mask_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -188,7 +188,7 @@ def mask_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = pa.array([masked(t, automaton) for t in part.column(i).to_pylist()], part.schema.field(i).type)
             yield part.set_column(i, part.schema.field(i), new)
 
-    return map_texts(docs, kernel, schema)
+    return map_arrow(docs, kernel, schema)
 
 
 def listed(spans: str, kinds: tuple[str, ...] = KINDS):  # noqa: ANN201

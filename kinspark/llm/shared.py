@@ -6,6 +6,9 @@ Everything that outlives one stage goes to the folder the cluster names in
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -43,12 +46,12 @@ def working_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/kinspark-{uuid.uuid4().hex}/{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a columnar working table to the shared folder and read it back."""
     spark = df.sparkSession
     path = working_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -85,12 +88,30 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def map_texts(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow over rows that hold whole texts, in batches of BATCH_ROWS unless the session says otherwise."""
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers and the driver live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, kernel: Kernel, schema: str | StructType) -> DataFrame:
+    """mapInArrow in batches of BATCH_ROWS unless the session says otherwise; a task's memory is released at its end."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(key, None) is None:
         conf.set(key, BATCH_ROWS)
-    return df.mapInArrow(kernel, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def with_columns_renamed_free(df: DataFrame, name: str) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspark.llm import range_coder, tokens
-from kinspark.llm.shared import map_texts, slices
+from kinspark.llm.shared import map_arrow, slices
 
 #: Ids that one container holds at least, unless its part ends.
 CONTAINER_IDS = 4 << 20
@@ -63,7 +63,7 @@ def _write(path: str, end_id: int, container_ids: int):
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, container_ids: int = CONTAINER_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    map_texts(dealt, _write(tokenizer_path, end_id, container_ids), _SCHEMA).write.parquet(path)
+    map_arrow(dealt, _write(tokenizer_path, end_id, container_ids), _SCHEMA).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -98,4 +98,4 @@ def document_index(files: DataFrame) -> DataFrame:
                 start = first[row.column("part")[0].as_py()] + row.column("before")[0].as_py() + ends - counts
                 yield pa.RecordBatch.from_arrays([row.column("docs").flatten(), pa.array(start), pa.array(counts), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("part", "before", "docs", "counts", "coded").mapInArrow(kernel, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(files.select("part", "before", "docs", "counts", "coded"), kernel, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -26,8 +26,8 @@ import pyarrow as pa
 from kinspark.llm.shared import text_buffers
 
 #: Text bytes encoded at once: larger slices repeat more chunks.
-SLICE_BYTES = 4 << 20
-_KNOWN_CHUNKS = 250_000
+SLICE_BYTES = 2 << 20
+_KNOWN_CHUNKS = 150_000
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
