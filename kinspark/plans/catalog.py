@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 from kinspark.plans import q_match  # noqa: F401
 from kinspark.plans import q_sets  # noqa: F401
+from kinspark.plans import q_agg  # noqa: F401
