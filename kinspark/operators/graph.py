@@ -89,3 +89,51 @@ def propagate(candidates: DataFrame, matches: DataFrame, edges_old: DataFrame, e
             break
         known = settle(known.unionByName(found))
     return known
+
+
+def wave_profile(nodes: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
+    """(wave, n): size of the first ``levels`` waves, and of all later ones together under ``levels``. One job a level, not one a wave."""
+    edges = settle(edges.where("src <> dst").distinct())
+    open_nodes = settle(nodes.select("node").distinct())
+    spark = nodes.sparkSession
+    sizes = []
+    for level in range(levels):
+        blocked = edges.join(open_nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        rest = settle(open_nodes.join(blocked, "node", "left_semi"))
+        before, after = open_nodes.count(), rest.count()
+        if before > after:
+            sizes.append((level, before - after))
+        open_nodes = rest
+        if after == 0 or before == after:
+            break
+    left = open_nodes.count()
+    if left:
+        sizes.append((levels, left))
+    return spark.createDataFrame(sizes, "wave long, n long")
+
+
+def nearest_topological(rows: DataFrame, group: str) -> DataFrame:
+    """(group, node, place): of the nodes whose constraint (after) is placed, always the one with the lowest desired rank, then the lowest id."""
+    import heapq
+
+    import pandas as pd
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        rank = dict(zip(pdf["node"], pdf["rank"], strict=True))
+        follow: dict[int, list[int]] = {}
+        ready = []
+        for n, a in zip(pdf["node"], pdf["after"], strict=True):
+            if pd.isna(a) or int(a) not in rank:
+                ready.append((rank[n], n))
+            else:
+                follow.setdefault(int(a), []).append(n)
+        heapq.heapify(ready)
+        out = []
+        while ready:
+            _, n = heapq.heappop(ready)
+            out.append(n)
+            for m in follow.get(n, ()):
+                heapq.heappush(ready, (rank[m], m))
+        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(out), "node": out, "place": range(len(out))})
+
+    return rows.groupBy(group).applyInPandas(order, f"{group} long, node long, place long")

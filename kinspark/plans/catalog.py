@@ -2,3 +2,6 @@
 from kinspark.plans import q_match  # noqa: F401
 from kinspark.plans import q_sets  # noqa: F401
 from kinspark.plans import q_agg  # noqa: F401
+from kinspark.plans import q_window  # noqa: F401
+from kinspark.plans import q_place  # noqa: F401
+from kinspark.plans import q_source  # noqa: F401

@@ -130,7 +130,7 @@ _CONT = "WITH c AS (SELECT d.source AS true_group, d.lang || '/' || l.quality AS
 def _contingency(spark: SparkSession, sf: str) -> DataFrame:
     d, la = t(spark, sf, "documents"), t(spark, sf, "labels")
     pred = d.join(la, "doc_id").select("doc_id", F.concat_ws("/", "lang", F.col("quality").cast("string")).alias("cluster"))
-    return scores.contingency(d, pred_group, "doc_id", "source", "cluster")
+    return scores.contingency(d, pred, "doc_id", "source", "cluster")
 
 
 @query("contingency_table", _CONT + " SELECT true_group, pred_group, n FROM c")
