@@ -35,7 +35,7 @@ from kinspark.llm.shared import map_arrow, stored
 
 log = logging.getLogger(__name__)
 _WINDOW_ROWS = 96
-_BLOCK = 512
+_BLOCK = 256
 _EDGE = "u long, v long, sim float"
 
 
