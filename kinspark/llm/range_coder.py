@@ -26,7 +26,7 @@ import numpy as np
 
 _HEAD = struct.Struct("<4sBBIQII")
 _MAGIC, _VERSION = b"KSRC", 1
-_SLOTS = 1024
+_SLOTS = 512
 _ONE32, _LOW48 = np.uint64(1 << 32), np.uint64((1 << 48) - 1)
 
 
@@ -62,58 +62,68 @@ def _first_rates() -> np.ndarray:
 _RATES = _first_rates()
 
 
+def _at(table: np.ndarray, index: np.ndarray) -> np.ndarray:
+    return table.take(index, mode="clip")  # indexes beyond the ends saturate; within them this is the fast mode
+
+
 class _Model:
-    """The state of all blocks at one position: contexts, candidates, the mixed probability and its update."""
+    """The state of all blocks at one position: contexts, candidates, the mixed probability and its update.
+
+    A slot of the order-1 and order-2 tables holds a symbol and how sure it is: symbol * 16 + confidence.
+    """
 
     def __init__(self, lanes: int, weight: np.ndarray):
         self.base = np.arange(lanes, dtype=np.int64) * _SLOTS
         self.base_a = np.arange(lanes, dtype=np.int64) * 256
         self.base_b = np.arange(lanes, dtype=np.int64) * 32
-        self.follow2 = np.zeros(lanes * _SLOTS, np.int32)
-        self.follow1 = np.zeros(lanes * _SLOTS, np.int32)
-        self.sure2 = np.zeros(lanes * _SLOTS, np.int8)
-        self.sure1 = np.zeros(lanes * _SLOTS, np.int8)
+        self.slots1 = np.zeros(lanes * _SLOTS, np.int32)
+        self.slots2 = np.zeros(lanes * _SLOTS, np.int32)
         self.rate_a = np.tile(_RATES, lanes)
         self.rate_b = np.full(lanes * 32, 16384, np.int32)
         self.w_a, self.w_b, self.w_0 = (np.full(lanes, w, np.int32) for w in (46000, 16000, 6000))
         self.last1 = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
+        self.mixed2 = np.zeros(lanes, np.int64)
         self.recent = np.zeros(lanes, np.int64)
         self.share = weight  # stretched order-0 probability of each symbol
+        self.steps = 0
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The candidate symbol of each block and the 12-bit probability that it is right."""
         mixed1 = self.last1 * 0x9E3779B1
-        self.i1 = self.base + ((mixed1 >> 15) & (_SLOTS - 1))
-        self.i2 = self.base + (((mixed1 + self.last2 * 0x85EBCA6B) >> 17) & (_SLOTS - 1))
-        self.c1, self.c2 = self.follow1.take(self.i1), self.follow2.take(self.i2)
-        self.k1, self.k2 = self.sure1.take(self.i1), self.sure2.take(self.i2)
+        self.i1 = (mixed1 >> 15 & (_SLOTS - 1)) + self.base
+        self.i2 = (mixed1 + self.mixed2 >> 17 & (_SLOTS - 1)) + self.base
+        s1, s2 = _at(self.slots1, self.i1), _at(self.slots2, self.i2)
+        self.k1, self.k2 = s1 & 15, s2 & 15
+        self.c1, self.c2 = s1 >> 4, s2 >> 4
         candidate = np.where(self.k2 > 0, self.c2, self.c1)
-        self.ia = self.base_a + self.k2 * np.int64(16) + self.k1
+        self.ia = self.base_a + (self.k2 << 4 | self.k1)
         self.ib = self.base_b + self.recent * 2 + (self.c1 == self.c2)
-        self.ra, self.rb = self.rate_a.take(self.ia), self.rate_b.take(self.ib)
-        self.s_a, self.s_b, self.s_0 = _STRETCH.take(self.ra >> 4), _STRETCH.take(self.rb >> 4), self.share.take(candidate)
-        dot = (self.w_a * self.s_a + self.w_b * self.s_b + self.w_0 * self.s_0) >> 16
-        self.p = _SQUASH.take(np.clip(dot, -2047, 2047) + 2048)
+        self.ra, self.rb = _at(self.rate_a, self.ia), _at(self.rate_b, self.ib)
+        self.s_a, self.s_b, self.s_0 = _at(_STRETCH, self.ra >> 4), _at(_STRETCH, self.rb >> 4), _at(self.share, candidate)
+        dot = self.w_a * self.s_a
+        dot += self.w_b * self.s_b
+        dot += self.w_0 * self.s_0
+        self.p = _at(_SQUASH, (dot >> 16) + 2048)
         return candidate, self.p
 
     def update(self, symbol: np.ndarray, hit: np.ndarray) -> None:
         error = (hit.astype(np.int32) << 12) - self.p
-        self.w_a += (self.s_a * error + 4096) >> 13
-        self.w_b += (self.s_b * error + 4096) >> 13
-        self.w_0 += (self.s_0 * error + 4096) >> 13
-        for w in (self.w_a, self.w_b, self.w_0):
-            np.clip(w, -262144, 262144, out=w)
+        self.w_a += self.s_a * error + 4096 >> 13
+        self.w_b += self.s_b * error + 4096 >> 13
+        self.w_0 += self.s_0 * error + 4096 >> 13
+        self.steps += 1
+        if self.steps % 8 == 0:  # eight steps can't leave the range of 32 bits
+            for w in (self.w_a, self.w_b, self.w_0):
+                np.minimum(w, 200_000, out=w)
+                np.maximum(w, -200_000, out=w)
         aim = hit.astype(np.int32) * 65535
-        self.rate_a[self.ia] = self.ra + ((aim - self.ra) >> 5)
-        self.rate_b[self.ib] = self.rb + ((aim - self.rb) >> 5)
-        for i, c, k, follow, sure in ((self.i1, self.c1, self.k1, self.follow1, self.sure1), (self.i2, self.c2, self.k2, self.follow2, self.sure2)):
-            same = c == symbol
-            worn = k >> 1
-            sure[i] = np.where(same, np.minimum(k + 1, 15), np.maximum(worn, 1))
-            follow[i] = np.where(same | (worn > 0), c, symbol)
-        self.recent = (self.recent * 2 + hit) & 15
-        self.last2 = self.last1
+        self.rate_a[self.ia] = self.ra + (aim - self.ra >> 5)
+        self.rate_b[self.ib] = self.rb + (aim - self.rb >> 5)
+        for i, c, k, slots in ((self.i1, self.c1, self.k1, self.slots1), (self.i2, self.c2, self.k2, self.slots2)):
+            # Right: surer. Wrong: half as sure; once not sure at all, the new symbol takes the slot.
+            slots[i] = np.where(c == symbol, c << 4 | np.minimum(k + 1, 15), np.where(k > 1, c << 4 | k >> 1, symbol << 4 | 1))
+        self.recent = (self.recent << 1 | hit) & 15
+        self.mixed2 = self.last1 * 0x85EBCA6B
         self.last1 = symbol.astype(np.int64)
 
 
@@ -130,13 +140,17 @@ def _stretched(shares: np.ndarray, bits: int) -> np.ndarray:
     return _STRETCH[np.minimum(shares << 12 >> bits, 4095)]
 
 
-def encode(ids: np.ndarray, block: int = 4096) -> bytes:
+def encode(ids: np.ndarray, block: int = 2048) -> bytes:
     """A container of all ``ids`` (uint32)."""
     n = len(ids)
     if n == 0:
         return _HEAD.pack(_MAGIC, _VERSION, 16, block, 0, 0, 0)
     block = int(min(max(n // 1024, 256), block))
-    distinct, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    distinct = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int32)
+    place[distinct] = np.arange(len(distinct))
+    symbols, counts = place[ids], counts[distinct]
     bits, shares = _shares(counts.astype(np.int64))
     lanes = -(-n // block)
     grid = np.zeros(lanes * block, np.int32)

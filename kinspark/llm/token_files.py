@@ -24,7 +24,7 @@ from kinspark.llm import range_coder, tokens
 from kinspark.llm.shared import map_arrow, slices
 
 #: Ids that one container holds at least, unless its part ends.
-CONTAINER_IDS = 4 << 20
+CONTAINER_IDS = 6 << 20
 _SCHEMA = "part int, number int, before long, docs array<bigint>, counts array<bigint>, coded binary"
 
 

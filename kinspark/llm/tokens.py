@@ -36,6 +36,8 @@ _MARK[[ord(c) for c in ".,;:!?%$#&*()"]] = True
 #: How byte-level files write bytes: visible ones as themselves, the others as the characters from U+0100 on, in order.
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_FORMS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SOLID = np.array([b < 128 and not _SPACE[b] for b in range(256)])
 
 
@@ -159,6 +161,8 @@ class ChunkEncoder:
         """All ids one after another (uint32) and the n + 1 offsets of the texts in them (null: empty)."""
         data, offsets = text_buffers(column)
         cuts = cut_points(data, offsets)
+        if self._folds and b"<|" not in data.tobytes():  # upper case makes no difference then, and chunks get fewer
+            data = _LOWER[data]
         if len(cuts) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
