@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.operators.gates import equal_count_keys, injective, strict_best, unique_both_sides
+from kinspark.operators.graph import settle
 
 
 def bucket_candidates(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -82,6 +83,8 @@ def cascade(old: DataFrame, new: DataFrame, bucket: str, verdict_pairs: list[tup
     keyless = [t for t in tiers if t.open_null]
     if len(keyless) > 1 or (keyless and tiers[0] is not keyless[0]):
         raise ValueError("only the first tier may keep the pool of records without a value")
+    used = list(dict.fromkeys(["id", bucket, *[t.column for t in tiers], *[c for p in verdict_pairs for c in p], *([shingles] if shingles else [])]))
+    old, new = settle(old.select(*used)), settle(new.select(*used))  # each is read once for every tier
     frames = []
     parts = [(old.where(F.col(tiers[0].column).isNotNull()), tiers), (old.where(F.col(tiers[0].column).isNull()), tiers[1:])] if keyless else [(old, tiers)]
     for rows, steps in parts:
@@ -109,7 +112,7 @@ def cascade(old: DataFrame, new: DataFrame, bucket: str, verdict_pairs: list[tup
         tier = F.when(n0 == 0, "unmatched").when((n0 == 1) & rejects, "unmatched").when(n0 == 1, "bucketUnique").otherwise(tier)
         target = F.when(n0 == 0, F.lit(None)).when((n0 == 1) & rejects, F.lit(None)).when(n0 == 1, F.col("_m0")).otherwise(target)
         frames.append(state.select(F.col("id").alias("old_id"), target.alias("new_id"), tier.alias("tier"), bucket, *[t.column for t in tiers]))
-    out = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    out = settle(frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1]))
     decided = out.where("tier <> 'open'").select("old_id", "new_id", "tier")
     still = out.where("tier = 'open'")
     if shingles:
@@ -124,7 +127,7 @@ def cascade(old: DataFrame, new: DataFrame, bucket: str, verdict_pairs: list[tup
         still = still.join(best, "old_id", "left").select("old_id", F.col("_cand").alias("new_id"), F.when(F.col("_cand").isNull(), "ambiguous").otherwise("shingleSimilarity").alias("tier"))
     else:
         still = still.select("old_id", "new_id", F.lit("ambiguous").alias("tier"))
-    every = decided.unionByName(still)
+    every = settle(decided.unionByName(still))
     kept, demoted = injective(every.where("new_id is not null"), "new_id")
     return kept.unionByName(demoted.withColumn("new_id", F.lit(None).cast("long")).withColumn("tier", F.lit("demoted"))).unionByName(every.where("new_id is null"))
 
