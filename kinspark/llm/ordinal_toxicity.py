@@ -107,7 +107,7 @@ def fit_rows(y: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray],
     odds = np.log((pos + 0.25) / (n_pos + 0.5)) - np.log((neg + 0.25) / (n_neg + 0.5))
     # Shares of equal size give a log-odds of 0 with a deviation of about sqrt(1/pos + 1/neg).
     strength = odds / np.sqrt(1 / (pos + 0.25) + 1 / (neg + 0.25))
-    able = np.flatnonzero((pos >= 3) & (odds >= 1.5) & (strength >= 2.0))
+    able = np.flatnonzero((pos >= 3) & (odds >= 2.0) & (strength >= 2.5))
     able = np.sort(able[np.lexsort((vocabulary[able], -strength[able]))][:max_features])
     if not len(able):
         return nothing
@@ -124,8 +124,8 @@ def fit_rows(y: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray],
     return OrdinalModel(vocabulary[able], w, theta)
 
 
-def _descend(grade: np.ndarray, r: np.ndarray, c: np.ndarray, v: np.ndarray, m: int, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Adam on the cumulative-link likelihood; thresholds are a first one and positive steps, which keeps their order."""
+def _descend(grade: np.ndarray, r: np.ndarray, c: np.ndarray, v: np.ndarray, m: int, rounds: int = 1500, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Adam with falling steps on the cumulative-link likelihood; thresholds are a first one and positive steps, which keeps their order."""
     n = len(grade)
     p = np.concatenate([np.zeros(m), [2.0], np.full(GRADES - 2, 1.0)])
     m1, m2 = np.zeros_like(p), np.zeros_like(p)
@@ -151,7 +151,7 @@ def _descend(grade: np.ndarray, r: np.ndarray, c: np.ndarray, v: np.ndarray, m:
         tails = np.cumsum(g_theta[::-1])[::-1][1:]
         g[m + 1 :] = -tails / n / (1 + np.exp(-p[m + 1 :]))
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
-        p = p - rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+        p = p - rate * (1 - t / (rounds + 1)) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     steps = np.logaddexp(0, p[m + 1 :])
     return p[:m], p[m] + np.concatenate([[0.0], np.cumsum(steps)])
 
