@@ -107,7 +107,7 @@ def fit_rows(y: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray],
     odds = np.log((pos + 0.25) / (n_pos + 0.5)) - np.log((neg + 0.25) / (n_neg + 0.5))
     # Shares of equal size give a log-odds of 0 with a deviation of about sqrt(1/pos + 1/neg).
     strength = odds / np.sqrt(1 / (pos + 0.25) + 1 / (neg + 0.25))
-    able = np.flatnonzero((pos >= 3) & (odds >= 2.0) & (strength >= 2.5))
+    able = np.flatnonzero((pos >= 4) & (odds >= 2.5) & (strength >= 3.0))
     able = np.sort(able[np.lexsort((vocabulary[able], -strength[able]))][:max_features])
     if not len(able):
         return nothing
