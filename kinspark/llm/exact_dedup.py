@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.llm.shared import stored, with_columns_renamed_free
+from kinspark.llm.shared import scratch, stored, with_columns_renamed_free
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Ids up to this many are broadcast (24 MB as a hashed relation); more are joined by a shuffle.
@@ -76,7 +76,8 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those that copy another one."""
-    found = stored(group_copies(docs, id_col, text_col).where("group_size > 1").select("doc_id", "keep_id", "kept", "text_sha256"), "exact_groups")
+    with scratch(docs.sparkSession) as keep:
+        found = keep(group_copies(docs, id_col, text_col).where("group_size > 1").select("doc_id", "keep_id", "kept", "text_sha256"), "exact_groups")
     gone = found.where("not kept").where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct()
     repeats = found.where("not kept").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count()
     mark = with_columns_renamed_free(docs, "_gone")

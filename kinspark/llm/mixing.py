@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.llm.shared import map_arrow, slices, stored, text_buffers, with_columns_renamed_free
+from kinspark.llm.shared import map_arrow, scratch, slices, stored, text_buffers, with_columns_renamed_free
 from kinspark.llm.words import mix, word_counts
 
 #: Words that the knapsack closes; the bits of its table of reachable sums.
@@ -172,8 +172,9 @@ def take_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float
     Rows that share an id are all taken as often as the one of them taken most. Documents without words,
     which no budget counts, stay once.
     """
-    plan = mix_to_targets(docs, weights, cap, seed, id_col, text_col, source_col)
-    times = stored(plan.groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias("times")).where("times > 0"), "mix_times")
+    with scratch(docs.sparkSession) as keep:
+        plan = mix_to_targets(docs, weights, cap, seed, id_col, text_col, source_col)
+        times = keep(plan.groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias("times")).where("times > 0"), "mix_times")
     mark, n = (with_columns_renamed_free(docs, c) for c in ("_mix_id", "_mix_times"))
     side = times.select(F.col("doc_id").alias(mark), F.col("times").alias(n))
     joined = docs.join(side, docs[id_col].cast("long").eqNullSafe(F.col(mark)))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.llm.components import connected_components
-from kinspark.llm.shared import keep_where, map_arrow, slices, stored, text_buffers
+from kinspark.llm.shared import keep_where, map_arrow, scratch, slices, stored, text_buffers
 from kinspark.llm.words import mix, shingle_sets
 
 FRAGMENTS = 4
@@ -171,7 +171,7 @@ def _name_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open bucket is held, however long the bucket is. Salted buckets of frequent n-grams keep single rows, as
     they meet the other salts' hubs later.
     """
-    schema = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("hub", pa.int64()), ("hub_n", pa.int32())])
+    schema = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("light", pa.int32()), ("hub", pa.int64()), ("hub_n", pa.int32())])
     open_key: tuple[int, int] | None = None
     open_band = hub = hub_n = 0
     held: list[np.ndarray] | None = None
@@ -203,7 +203,7 @@ def _name_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             open_key, open_band, hub, hub_n = (int(g[-1]), int(s[-1])), int(band[-1]), int(hubs[-1]), int(hub_ns[-1])
         keep = many[run]
         if keep.any():
-            yield _batch(schema, *(c[keep] for c in cols[:5]), hubs[piece][keep], hub_ns[piece][keep])
+            yield _batch(schema, *(c[keep] for c in cols[:5]), (place[keep] & ((1 << 40) - 1)).astype(np.int32), hubs[piece][keep], hub_ns[piece][keep])
 
 
 def _across(num: int, den: int):
@@ -314,6 +314,14 @@ def _renamed(label: DataFrame, links: DataFrame) -> DataFrame:
     return stored(old.unionByName(new), "ngram_labels")
 
 
+def _mixed_buckets(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows (gram, doc, n, pos, light, hub, component) of the buckets that hold more than one component."""
+    here = shared.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    here = stored(here.select("gram", "doc", "n", "pos", "light", "hub", "component"), "ngram_buckets")
+    mixed = here.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
+    return here.join(mixed, "gram", "left_semi")
+
+
 def _between(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     side = label.select("node", "component")
@@ -323,6 +331,11 @@ def _between(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_shingles, component_id); a link is den * |A & B| >= num * |A | B|."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_components(docs, k, num, den, id_col, text_col), "ngram_components")
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     kernel, schema = _profile(k)
     scanned = stored(map_arrow(texts, kernel, schema), "ngram_profile")
@@ -339,7 +352,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     usable = texts.where("doc is not null")
     kernel, schema = _postings(k, frequent, num, den)
     dealt = map_arrow(usable, kernel, schema).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "place", "doc")
-    shared = stored(map_arrow(dealt, _name_hubs, "gram long, salt int, doc long, n int, pos int, hub long, hub_n int"), "ngram_shared")
+    shared = stored(map_arrow(dealt, _name_hubs, "gram long, salt int, doc long, n int, pos int, light int, hub long, hub_n int"), "ngram_shared")
 
     # Equal sets are one node from here on: the least document that has the set.
     profile = rows.where("doc is not null and n > 0")
@@ -358,11 +371,15 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     hubs = _possible(to_hub.union(heads).distinct(), profile, num, den, "ngram_hub_pairs")
     label = stored(connected_components(_counted(usable, hubs, k, frequent, num, den), "a", "b"), "ngram_labels")
 
-    here = shared.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    here = stored(here, "ngram_buckets")
-    mixed = here.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
+    # Components that share a bucket first try one pair of members, those most made of shared n-grams; then all pairs
+    # of the components that are still apart.
     kernel, schema = _across(num, den)
-    dealt = here.join(mixed, "gram", "left_semi").repartition("gram").sortWithinPartitions("gram", "n", "doc")
+    mixed = _mixed_buckets(shared, label)
+    first = F.min(F.struct("light", "doc", "n", "pos", "hub")).alias("x")
+    reps = mixed.groupBy("gram", "component").agg(first).select("gram", "component", "x.*").repartition("gram").sortWithinPartitions("gram", "n", "doc")
+    tried = _possible(map_arrow(reps, kernel, schema).distinct(), profile, num, den, "ngram_rep_pairs")
+    label = _renamed(label, _counted(usable, tried, k, frequent, num, den))
+    dealt = _mixed_buckets(shared, label).repartition("gram").sortWithinPartitions("gram", "n", "doc")
     rest = stored(map_arrow(dealt, kernel, schema).distinct(), "ngram_across")
     # Of what is left each document first tries its likeliest partners: mostly that joins the components, and the
     # other pairs between them need no count any more. Then all that still lie between components are counted.
@@ -383,6 +400,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 def keep_representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which each group of linked documents keeps its least id."""
-    found = ngram_components(docs, k, num, den, id_col, text_col)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)), "ngram_gone")
+    with scratch(docs.sparkSession) as keep:
+        found = ngram_components(docs, k, num, den, id_col, text_col)
+        gone = keep(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)), "ngram_gone")
     return keep_where(docs, id_col, gone, "left_anti")

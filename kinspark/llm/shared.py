@@ -12,6 +12,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,38 @@ def working_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/kinspark-{uuid.uuid4().hex}/{name}"
 
 
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("kinspark_scopes", default=())
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Working tables stored inside are deleted at the end, but for what the given function stores: results that outlive them."""
+    outer, own = _scopes.get(), []
+    token = _scopes.set((*outer, own))
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inner = _scopes.set(outer)
+        try:
+            return stored(df, name)
+        finally:
+            _scopes.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _scopes.reset(token)
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at.getParent(), True)
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a columnar working table to the shared folder and read it back."""
     spark = df.sparkSession
     path = working_path(spark, name)
     schema = df.schema
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
