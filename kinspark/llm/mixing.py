@@ -8,7 +8,8 @@ over the lengths still available closes the window exactly where it can. Documen
 a length are picked in the order of a seeded hash, so reruns agree.
 
 Only per-length counts meet in one task, never documents: a source with a third of
-all rows is a few thousand lengths. The pick within a length is decided by buckets
+all rows is a few thousand lengths. The table of sources (one row each) is ordered in
+one task, which spills if it must. The pick within a length is decided by buckets
 of the hash, and only the bucket in which the count runs out is ranked.
 
 Defined results: a null or blank text has size 0 and is taken 0 times; a null source

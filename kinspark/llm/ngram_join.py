@@ -10,8 +10,10 @@ without loss:
   in buckets of equal prefix n-grams.
 * In a bucket every member is paired with a first document of about its size (its
   hub) first: a count that is linear in the bucket. The links found give components.
-* Pairs of different components that share a bucket follow. Pairs inside one
-  component need no count: they can't change it.
+* Pairs of different components that share a bucket follow: first one pair of
+  representatives, then each document's likeliest partners, then all others that
+  still lie between components. Pairs inside one component need no count: they
+  can't change it.
 
 Sizes, the first common position and the counts in equal cuts of the hash range bound
 the overlap from above and spare most unlike pairs the count. Equal sets are known
