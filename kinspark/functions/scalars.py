@@ -32,8 +32,11 @@ def token_set(c: Column, least: int = 3) -> Column:
 
 def shingles(words: Column, n: int) -> Column:
     """Distinct n-grams of an array of words; none where there are fewer words."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    m = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    grams = F.slice(words, F.lit(1), m)  # no lambda refers to the words themselves, which it would evaluate anew for each gram
+    for j in range(1, n):
+        grams = F.zip_with(grams, F.slice(words, F.lit(j + 1), m), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.array_distinct(grams)
 
 
 def magnitude(c: Column) -> Column:

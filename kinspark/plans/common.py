@@ -1,7 +1,7 @@
 """Frames and SQL fragments that many queries start from.
 
-Snapshots: documents with even ids are the prior snapshot (A), those with odd ids the fresh one (B);
-both together are the whole table. The same goes for parts, orders and conversations.
+Snapshots: runs of twenty document ids belong in turn to the prior snapshot (A) and the fresh one (B), so that
+either holds every source; both together are the whole table. Parts, orders and conversations go by even and odd ids.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def units(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as records: id, side, source, lang, text, n_chars, h (hash of the squeezed text)."""
     d = t(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 2).alias("side"), "source", "lang", "text", "n_chars", scalars.hash16(scalars.squeeze(F.col("text"))).alias("h"))
+    return d.select(F.col("doc_id").alias("id"), (F.floor(F.col("doc_id") / 20) % 2).alias("side"), "source", "lang", "text", "n_chars", scalars.hash16(scalars.squeeze(F.col("text"))).alias("h"))
 
 
 def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,7 +36,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 #: DuckDB: u, a and b as units() and sides() give them.
 UNITS = r"""
 WITH u AS (
-  SELECT doc_id AS id, doc_id % 2 AS side, source, lang, text, n_chars,
+  SELECT doc_id AS id, (doc_id // 20) % 2 AS side, source, lang, text, n_chars,
     substr(sha256(trim(regexp_replace(lower(text), '[ \t\n\r\f]+', ' ', 'g'))), 1, 16) AS h
   FROM documents),
 a AS (SELECT * FROM u WHERE side = 0), b AS (SELECT * FROM u WHERE side = 1)"""

@@ -394,13 +394,13 @@ def unique_stem_join(spark: SparkSession, sf: str) -> DataFrame:
     UNITS
     + r""",
 t AS (SELECT id, side, source, lang, n_chars, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS s, list_distinct(string_split(text, chr(10))) AS ls FROM u),
-c AS (SELECT x.id AS old_id, y.id AS new_id, x.s AS xs, y.s AS ys, x.ls AS xl, y.ls AS yl FROM t x JOIN t y ON x.side = 0 AND y.side = 1 AND x.source = y.source AND x.lang = y.lang AND x.n_chars // 50 = y.n_chars // 50)
+c AS (SELECT x.id AS old_id, y.id AS new_id, x.s AS xs, y.s AS ys, x.ls AS xl, y.ls AS yl FROM t x JOIN t y ON x.side = 0 AND y.side = 1 AND x.source = y.source AND x.lang = y.lang AND x.n_chars // 200 = y.n_chars // 200)
 SELECT old_id, new_id, len(list_intersect(xl, yl)) > 0 AS aligned, CASE WHEN len(xs) = 0 OR len(ys) = 0 THEN false ELSE len(list_intersect(xs, ys)) / len(list_distinct(xs || ys)) >= 0.5 END AS alike
 FROM c WHERE len(list_intersect(xl, yl)) > 0 OR (len(xs) > 0 AND len(ys) > 0 AND len(list_intersect(xs, ys)) / len(list_distinct(xs || ys)) >= 0.5)""",
 )
 def close_match_corroboration(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of like size that an aligned statement or half of their tokens corroborate."""
-    u = units(spark, sf).withColumn("s", scalars.token_set(F.col("text"))).withColumn("ls", F.array_distinct(F.split("text", "\n"))).withColumn("band", F.floor(F.col("n_chars") / 50))
+    u = units(spark, sf).withColumn("s", scalars.token_set(F.col("text"))).withColumn("ls", F.array_distinct(F.split("text", "\n"))).withColumn("band", F.floor(F.col("n_chars") / 200))
     a, b = sides(u)
     x = a.select(F.col("id").alias("old_id"), "source", "lang", "band", F.col("s").alias("xs"), F.col("ls").alias("xl"))
     y = b.select(F.col("id").alias("new_id"), "source", "lang", "band", F.col("s").alias("ys"), F.col("ls").alias("yl"))

@@ -146,7 +146,14 @@ def region_exclusion(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("statements"))
 
 
-@query("shingle_cap", UNITS + ", w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS w FROM u), s AS (SELECT id, list_transform(generate_series(1, len(w) - 3), lambda k: array_to_string(w[k:k + 3], ' ')) AS g FROM w WHERE len(w) >= 4), f AS (SELECT id, x, min(i) AS pos FROM (SELECT id, unnest(g) AS x, unnest(generate_series(1, len(g))) AS i FROM s) GROUP BY ALL) SELECT id, least(count(*), 2048) AS kept, count(*) AS shingles, max(pos) AS last_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS r FROM f) GROUP BY id")
+@query(
+    "shingle_cap",
+    UNITS
+    + """, r AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS w FROM u), w AS (SELECT id, unnest(w) AS v, unnest(generate_series(1, len(w))) AS i FROM r),
+g AS (SELECT id, i, v || ' ' || lead(v, 1) OVER q || ' ' || lead(v, 2) OVER q || ' ' || lead(v, 3) OVER q AS x FROM w WINDOW q AS (PARTITION BY id ORDER BY i)),
+f AS (SELECT id, x, min(i) AS pos FROM g WHERE x IS NOT NULL GROUP BY id, x)
+SELECT id, least(count(*), 2048) AS kept, count(*) AS shingles, max(pos) AS last_at FROM f GROUP BY id""",
+)
 def shingle_cap(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct shingles in order of first position; a role keeps the first 2048 of them (the feature of that role)."""
     g = units(spark, sf).select("id", scalars.tokens(F.col("text"), 2).alias("w")).where(F.size("w") >= 4)

@@ -172,13 +172,13 @@ def graph_position_join(spark: SparkSession, sf: str) -> DataFrame:
     "heir_veto",
     _SETS
     + """, good AS (SELECT a_id, count(*) AS heirs FROM j WHERE score >= 0.6 GROUP BY a_id),
-weak AS (SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.source = b.source AND a.lang = b.lang AND a.n_chars // 20 = b.n_chars // 20)
+weak AS (SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.source = b.source AND a.lang = b.lang AND a.n_chars // 100 = b.n_chars // 100)
 SELECT a_id, b_id FROM weak JOIN i p ON p.id = a_id JOIN i q ON q.id = b_id WHERE NOT (a_id IN (SELECT a_id FROM good) AND len(p.items) > 0 AND len(q.items) > 0 AND len(list_intersect(p.items, q.items)) = 0)""",
 )
 def heir_veto(spark: SparkSession, sf: str) -> DataFrame:
     """Weak candidates, without those that share nothing while a real heir of the prior record exists."""
     a, b = _item_sides(spark, sf)
-    a, b = (s.withColumn("band", F.floor(F.col("n_chars") / 20)) for s in (a, b))
+    a, b = (s.withColumn("band", F.floor(F.col("n_chars") / 100)) for s in (a, b))
     scored = sim.shared_items(a, b).where(F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter")) >= 0.6)
     weak = a.select(F.col("id").alias("a_id"), "source", "lang", "band", F.col("items").alias("x")).join(b.select(F.col("id").alias("b_id"), "source", "lang", "band", F.col("items").alias("y")), ["source", "lang", "band"])
     vetoed = weak.where((F.size("x") > 0) & (F.size("y") > 0) & ~F.arrays_overlap("x", "y")).join(scored.select("a_id").distinct(), "a_id", "left_semi").select("a_id", "b_id")
@@ -191,14 +191,16 @@ _WORDS4 = "regexp_extract_all(lower(text), '[a-z0-9]{2,}')"
 @query(
     "role_agreement",
     UNITS
-    + f""", r AS (SELECT id, side, h, source, lang, n_chars // 20 AS band, {_WORDS4} AS w FROM u),
-s AS (SELECT *, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(generate_series(1, len(w) - 3), lambda k: array_to_string(w[k:k + 3], ' '))) ELSE [] END AS sh FROM r)
+    + f""", r AS (SELECT id, {_WORDS4} AS w FROM u), w AS (SELECT id, unnest(w) AS v, unnest(generate_series(1, len(w))) AS i FROM r),
+g AS (SELECT id, v || ' ' || lead(v, 1) OVER q || ' ' || lead(v, 2) OVER q || ' ' || lead(v, 3) OVER q AS x FROM w WINDOW q AS (PARTITION BY id ORDER BY i)),
+d AS (SELECT id, list(DISTINCT x) AS sh FROM g WHERE x IS NOT NULL GROUP BY id),
+s AS (SELECT u.id, side, h, source, lang, n_chars // 100 AS band, coalesce(sh, []) AS sh FROM u LEFT JOIN d USING (id))
 SELECT x.id AS old_id, y.id AS new_id, CASE WHEN x.h = y.h THEN 'hash' WHEN len(x.sh) = 0 AND len(y.sh) = 0 THEN 'absent' WHEN len(x.sh) = 0 OR len(y.sh) = 0 THEN 'one-sided'
   WHEN len(list_intersect(x.sh, y.sh)) / len(list_distinct(x.sh || y.sh)) >= 0.5 THEN 'content' ELSE 'differs' END AS role
 FROM s x JOIN s y ON x.side = 0 AND y.side = 1 AND x.source = y.source AND x.lang = y.lang AND x.band = y.band""",
 )
 def role_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    u = units(spark, sf).withColumn("sh", scalars.shingles(scalars.tokens(F.col("text"), 2), 4)).withColumn("band", F.floor(F.col("n_chars") / 20))
+    u = units(spark, sf).withColumn("sh", scalars.shingles(scalars.tokens(F.col("text"), 2), 4)).withColumn("band", F.floor(F.col("n_chars") / 100))
     a, b = sides(u)
     x = a.select(F.col("id").alias("old_id"), "source", "lang", "band", F.col("h").alias("hx"), F.col("sh").alias("sx"))
     y = b.select(F.col("id").alias("new_id"), "source", "lang", "band", F.col("h").alias("hy"), F.col("sh").alias("sy"))
@@ -220,7 +222,7 @@ def edge_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     return rs.select("conv_id", F.array_join(F.array_sort(F.array_distinct(steps)), ",").alias("ngrams"))
 
 
-_SIM = UNITS + ", " + "s AS (SELECT id, side, source, lang, n_chars // 40 AS band, " + TOKENS.format("text") + " AS k FROM u), q AS (SELECT x.id AS a_id, y.id AS b_id, x.k AS x, y.k AS y FROM s x JOIN s y ON x.side = 0 AND y.side = 1 AND x.source = y.source AND x.lang = y.lang AND x.band = y.band)"
+_SIM = UNITS + ", " + "s AS (SELECT id, side, source, lang, n_chars // 100 AS band, " + TOKENS.format("text") + " AS k FROM u), q AS (SELECT x.id AS a_id, y.id AS b_id, x.k AS x, y.k AS y FROM s x JOIN s y ON x.side = 0 AND y.side = 1 AND x.source = y.source AND x.lang = y.lang AND x.band = y.band)"
 
 
 @query(
@@ -234,7 +236,7 @@ _SIM = UNITS + ", " + "s AS (SELECT id, side, source, lang, n_chars // 40 AS ban
 )
 def set_similarities(spark: SparkSession, sf: str) -> DataFrame:
     """The four definitions side by side on pairs of like size."""
-    u = units(spark, sf).withColumn("k", scalars.token_set(F.col("text"))).withColumn("band", F.floor(F.col("n_chars") / 40))
+    u = units(spark, sf).withColumn("k", scalars.token_set(F.col("text"))).withColumn("band", F.floor(F.col("n_chars") / 100))
     a, b = sides(u)
     pairs = a.select(F.col("id").alias("a_id"), "source", "lang", "band", F.col("k").alias("x")).join(b.select(F.col("id").alias("b_id"), "source", "lang", "band", F.col("k").alias("y")), ["source", "lang", "band"])
     return pairs.select(
