@@ -80,11 +80,10 @@ _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 _SQL_OP4 = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (
-  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(generate_series(1, len(ws) - 3), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) END AS g
-  FROM w),
-e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+v AS (SELECT doc_id, unnest(ws) AS x, unnest(generate_series(1, len(ws))) AS i, len(ws) AS m FROM w),
+e4 AS (SELECT doc_id, m, i, x || ' ' || lead(x, 1) OVER q || ' ' || lead(x, 2) OVER q || ' ' || lead(x, 3) OVER q AS x FROM v WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+e1 AS (SELECT DISTINCT doc_id, x FROM e4 WHERE x IS NOT NULL UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 3),
+e AS (SELECT doc_id, x, count(*) OVER (PARTITION BY doc_id) AS n FROM e1),
 inter AS (
   SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS i, min(p.n) AS na, min(q.n) AS nb
   FROM e p JOIN e q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY 1, 2),
@@ -92,8 +91,9 @@ links AS (SELECT a, b FROM inter WHERE 100 * i >= 85 * (na + nb - i)),
 reach(a, b) AS (
   SELECT doc_id, doc_id FROM documents
   UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id
-FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON s.doc_id = c.a
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
+FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM e1 GROUP BY doc_id) s ON s.doc_id = w.doc_id
+JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON w.doc_id = c.a
 """
 
 _SQL_OP9 = f"""
