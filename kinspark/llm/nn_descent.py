@@ -6,12 +6,16 @@
 3. Rounds of NN-descent: at every node its neighbours and a sample of the nodes that
    list it are compared with each other, where one of the two is new; lists keep the k
    best. Rounds stop when few entries change.
-4. A node whose whole list lies above the threshold is saturated: its list is enlarged
-   to all of its component, compared in blocks of matrix products of which only the
-   counts leave. So no bound on partners is left.
+4. A node whose whole list lies above the threshold is saturated: links may be missing
+   from its list. Components with saturated nodes are cut into balls (centre, radius) and
+   every row outside is compared with each ball that can reach it; what links joins the
+   component. This goes on until nothing joins, then these components are compared whole,
+   in blocks of matrix products of which only the counts leave.
 5. Links are entries at or above the threshold in double precision.
-6. An audit compares a bounded sample of vectors (``audit_size``) with all rows by brute
-   force. Below ``min_recall`` the search goes on with more orders and longer lists.
+6. An audit compares bounded samples (``audit_size`` of all, of linked and of saturated
+   vectors) with all rows by brute force; each vector counts alike, the worst sample
+   decides. Below ``min_recall`` the search goes on with more orders and longer lists,
+   after three attempts with every component as one with saturated nodes, which is exact.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components,
 or have another length than most, link with nothing: n_links 0, themselves their
@@ -36,6 +40,7 @@ from kinspark.llm.shared import map_arrow, stored
 log = logging.getLogger(__name__)
 _WINDOW_ROWS = 96
 _BLOCK = 256
+_CENTRES = 4096
 _EDGE = "u long, v long, sim float"
 
 
@@ -246,9 +251,126 @@ def _whole_components(members: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(pairs.drop("blocks", "component"), kernel, schema).groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def _audit(nodes: DataFrame, found: DataFrame, threshold: float, audit_size: int, seed: int) -> float:
-    """Share of the true links of a sample of nodes that the search has, by brute force against all rows."""
-    sample = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(audit_size).select("node", "unit").collect()
+def _pack_balls(threshold: float):
+    """Rows sorted by component to balls of at most _BLOCK rows: unit vectors, centre, the row nearest to it, and the least cosine with the centre that a link into the ball can have."""
+    names = ["component", "ball", "units", "centre", "middle", "reach"]
+    theta = float(np.arccos(np.clip(threshold, -1, 1)))
+
+    def ball(component: int, nodes: list[int], units: list[bytes]) -> pa.RecordBatch:
+        x = np.frombuffer(b"".join(units), "<f8").reshape(len(units), -1)
+        mean = x.mean(0)
+        length = float(np.sqrt(mean @ mean))
+        centre = mean / length if length > 1e-6 else x[0]
+        cosine = np.clip(x @ centre, -1, 1)
+        angle = theta + float(np.arccos(cosine.min())) + 1e-6
+        reach = float(np.cos(angle)) - 1e-9 if angle < np.pi else -2.0
+        cols = [[component], [nodes[0]], [x.tobytes()], [centre.tobytes()], [units[int(cosine.argmax())]], [reach]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64()), strict=True)], names)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, units = None, [], []
+        for batch in batches:
+            for c, n, u in zip(*(batch.column(x).to_pylist() for x in ("component", "node", "unit")), strict=True):
+                if nodes and (now != c or len(nodes) == _BLOCK):
+                    yield ball(now, nodes, units)
+                    nodes, units = [], []
+                now = c
+                nodes.append(n)
+                units.append(u)
+        if nodes:
+            yield ball(now, nodes, units)
+
+    return kernel, "component long, ball long, units binary, centre binary, middle binary, reach double"
+
+
+def _within(rows: DataFrame, balls: DataFrame, point: str, reach: str | float) -> DataFrame:
+    """(node, own, ball, component): rows (node, component, full, unit) and the balls of other components whose ``point`` has a cosine of at least ``reach``. Two full components meet from one side only."""
+    dim_bytes = balls.select(F.max(F.length(point))).first()[0]
+    chunk = min(_CENTRES, max(64, (8 << 20) // dim_bytes))
+    chunks = -(-balls.count() // chunk)
+    bound = F.col(reach) if isinstance(reach, str) else F.lit(reach)
+    out = None
+    for i in range(chunks):
+        held = balls.where(F.pmod(F.xxhash64("ball"), F.lit(chunks)) == i).select("component", "ball", point, bound.alias("bound")).collect()
+        if not held:
+            continue
+        component, ball, least = (np.array([r[c] for r in held]) for c in ("component", "ball", "bound"))
+        points = np.stack([np.frombuffer(bytes(r[point]), "<f8") for r in held])
+
+        def kernel(batches: Iterator[pa.RecordBatch], component=component, ball=ball, least=least, points=points) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                node, own = batch.column("node").to_numpy(), batch.column("component").to_numpy()
+                full = batch.column("full").to_numpy(zero_copy_only=False)
+                other = np.where(full[:, None], component[None, :] < own[:, None], component[None, :] != own[:, None])
+                r, c = np.nonzero((_rows(batch, "unit", "<f8") @ points.T >= least) & other)
+                yield pa.RecordBatch.from_arrays([pa.array(node[r]), pa.array(own[r]), pa.array(ball[c]), pa.array(component[c])], ["node", "own", "ball", "component"])
+
+        found = stored(map_arrow(rows, kernel, "node long, own long, ball long, component long"), "nn_within")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _linked_to_balls(rows: DataFrame, balls: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of components between which a row (node, component, full, unit) links with a member of a ball, all that can link compared."""
+    near = _within(rows, balls, "centre", "reach")
+    parts = near.groupBy("ball").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("long").alias("parts"))
+    dealt = near.join(parts, "ball").join(rows.select("node", "unit"), "node")
+    dealt = dealt.select(F.col("ball").alias("component"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("block"), "node", F.col("own").alias("times"), "unit")
+    dealt = dealt.repartition("component", "block").sortWithinPartitions("component", "block", "node")
+    packed = map_arrow(dealt, _pack_blocks, "component long, block long, nodes binary, times binary, units binary")
+    packed = packed.select(F.col("component").alias("ball"), F.col("times").alias("owners"), F.col("units").alias("rows"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, members = np.frombuffer(row["owners"], "<i8"), row["units"]
+                x = np.frombuffer(row["rows"], "<f8").reshape(len(own), -1)
+                linked = np.unique(own[(x @ np.frombuffer(members, "<f8").reshape(-1, x.shape[1]).T >= threshold).any(1)])
+                yield pa.RecordBatch.from_arrays([pa.array(linked), pa.array(np.full(len(linked), row["component"], np.int64))], ["a", "b"])
+
+    return map_arrow(packed.join(balls.select("ball", "component", "units"), "ball"), kernel, "a long, b long").distinct()
+
+
+def _merged(label: DataFrame, joins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``label`` (node, component) with components joined along ``joins`` (a, b), and the new component of each old one that has joined."""
+    moved = connected_components(joins, "a", "b").select(F.col("node").alias("was"), F.col("component").alias("now"))
+    old = label.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    new = moved.join(label.select(F.col("node").alias("was")), "was", "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return stored(old.unionByName(new), "nn_label"), moved
+
+
+def _join_outside(nodes: DataFrame, label: DataFrame, full: DataFrame, threshold: float, dim: int) -> tuple[DataFrame, bool]:
+    """``label`` after the components of ``full`` (component) were compared with all rows outside them, and whether any joined."""
+    joined = False
+    of = nodes.select("node", "unit").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = stored(of.join(full.withColumn("full", F.lit(True)), "component", "left").select("node", "component", F.coalesce("full", F.lit(False)).alias("full"), "unit"), "nn_rows")
+    kernel, schema = _orders(dim, range(1), 32, 0)
+    along = map_arrow(rows.where("full").select("node", "unit"), kernel, schema).select("node", "code")
+    dealt = rows.where("full").join(along, "node").repartitionByRange("component", "code", "node").sortWithinPartitions("component", "code", "node")
+    kernel, schema = _pack_balls(threshold)
+    balls = stored(map_arrow(dealt.select("component", "node", "unit"), kernel, schema), "nn_balls")
+    middles = balls.select(F.col("ball").alias("node"), "component", F.lit(True).alias("full"), F.col("middle").alias("unit"))
+    joins = stored(_within(middles, balls, "middle", threshold).select(F.col("own").alias("a"), F.col("component").alias("b")).distinct(), "nn_joins")
+    if joins.limit(1).count():  # middles that link spare the comparison of their components' rows
+        joined = True
+        label, moved = _merged(label, joins)
+        rename = lambda df: df.join(moved, F.col("component") == F.col("was"), "left").withColumn("component", F.coalesce("now", "component")).drop("was", "now")
+        rows, balls = stored(rename(rows), "nn_rows"), stored(rename(balls), "nn_balls")
+    joins = stored(_linked_to_balls(rows, balls, threshold), "nn_joins")
+    if joins.limit(1).count():
+        joined = True
+        label, _ = _merged(label, joins)
+    return label, joined
+
+
+def _audit(nodes: DataFrame, found: DataFrame, saturated: DataFrame, threshold: float, audit_size: int, seed: int) -> float:
+    """Share of a vector's true links that the search has, on average in the worst of three samples (all, linked, saturated nodes), by brute force against all rows."""
+    order = [F.xxhash64(F.lit(seed), "node"), "node"]
+    samples = [[r["node"] for r in df.select("node").orderBy(*order).limit(audit_size).collect()] for df in (nodes, found, saturated)]
+    picked = sorted({n for s in samples for n in s})
+    sample = nodes.where(F.col("node").isin(picked)).select("node", "unit").collect() if picked else []
     if not sample:
         return 1.0
     ids = np.array([r["node"] for r in sample])
@@ -263,8 +385,10 @@ def _audit(nodes: DataFrame, found: DataFrame, threshold: float, audit_size: int
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["node", "true_links"])
 
     true = map_arrow(nodes.select("node", "times", "unit"), kernel, "node long, true_links long").groupBy("node").agg(F.sum("true_links").alias("true_links"))
-    got = true.join(found, "node", "left").agg(F.sum("true_links"), F.sum(F.least("true_links", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    got = true.join(found, "node", "left").where("true_links > 0").select("node", (F.least("true_links", F.coalesce("links", F.lit(0))) / F.col("true_links")).alias("share"))
+    share = {r["node"]: r["share"] for r in got.collect()}
+    means = [np.mean([share[n] for n in s if n in share]) for s in samples if any(n in share for n in s)]
+    return float(min(means, default=1.0))
 
 
 def near_duplicates(
@@ -289,11 +413,13 @@ def near_duplicates(
 
     for attempt in range(3):
         edges = stored(_search(nodes, threshold, k << attempt, tables + 4 * attempt, max_rounds, seed + attempt, dim), "nn_edges")
-        label, degree = _resolve(nodes, edges, threshold, k << attempt)
-        recall = _audit(nodes, degree, threshold, audit_size, seed)
-        log.info("near duplicates: recall %.4f on %d audited vectors with lists of %d", recall, audit_size, k << attempt)
+        label, degree, saturated = _resolve(nodes, edges, threshold, k << attempt, dim)
+        recall = _audit(nodes, degree, saturated, threshold, audit_size, seed)
+        log.info("near duplicates: recall %.4f on samples of %d audited vectors with lists of %d", recall, audit_size, k << attempt)
         if recall >= min_recall:
             break
+    else:
+        label, degree, _ = _resolve(nodes, edges, threshold, k << attempt, dim, everything=True)
     rows = own.join(nodes.select("node", "times"), "node").join(degree, "node", "left").join(label, "node", "left")
     rows = rows.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     rest = units.where("key is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -326,8 +452,8 @@ def _narrow(column: str):
     return narrow(F.col(column))
 
 
-def _resolve(nodes: DataFrame, edges: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """(node, component) of linked nodes and (node, links) of all that link, saturated components compared whole."""
+def _resolve(nodes: DataFrame, edges: DataFrame, threshold: float, k: int, dim: int, everything: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, component) of linked nodes, (node, links) of all that link, and the saturated nodes, whose components are compared with all rows (``everything``: all components are)."""
     near = edges.where(F.col("sim") >= threshold - 1e-4).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     for side in ("a", "b"):
         near = near.join(nodes.select(F.col("node").alias(side), F.col("unit").alias(f"unit_{side}")), side)
@@ -338,8 +464,17 @@ def _resolve(nodes: DataFrame, edges: DataFrame, threshold: float, k: int) -> tu
     times = nodes.select(F.col("node").alias("b"), "times")
     plain = both.join(times, "b").groupBy(F.col("a").alias("node")).agg(F.sum("times").alias("links"))
     saturated = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("worst")).where((F.col("n") >= k) & (F.col("worst") >= threshold - 1e-4))
-    full = label.join(saturated.select(F.col("u").alias("node")), "node", "left_semi").select("component").distinct()
-    members = label.join(full, "component", "left_semi").join(nodes.select("node", "times", "unit"), "node")
+    saturated = stored(nodes.select("node") if everything else saturated.select(F.col("u").alias("node")), "nn_saturated")
+    more = saturated.limit(1).count() > 0
+    while True:
+        of = saturated.join(label, "node", "left").select(F.coalesce("component", "node").alias("component"))
+        full = stored(of.distinct(), "nn_full")
+        if not more:
+            break
+        label, more = _join_outside(nodes, label, full, threshold, dim)
+    of = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = of.join(full, "component", "left_semi")
     whole = stored(_whole_components(members.select("component", "node", "times", "unit"), threshold), "nn_whole")
+    whole = whole.where("links > 0")
     degree = whole.unionByName(plain.join(whole.select("node"), "node", "left_anti"))
-    return label, stored(degree, "nn_degree")
+    return label, stored(degree, "nn_degree"), saturated

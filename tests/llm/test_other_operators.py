@@ -53,6 +53,28 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r["vec_id"]: r["n_links"] for r in got}[507] >= 1  # tiny and huge vectors keep their direction
 
 
+def test_near_duplicates_across_saturated_groups(spark):
+    rng = np.random.default_rng(3)
+    turn = np.arccos(0.93)
+    rows = []
+    for g, angle in enumerate((0.0, turn, 2 * turn)):  # each group fills its lists; the outer two link only through the middle one
+        centre = np.array([np.cos(angle), np.sin(angle), 0, 0, 0, 0, 0, 0])
+        rows += [(50 * g + i, (centre + 0.01 * rng.standard_normal(8)).tolist(), 0, 1, "k") for i in range(50)]
+    links, parts = brute(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert len(set(parts.values())) == 1 and min(links.values()) >= 90
+    assert got == {i: (links[i], parts[i]) for i in links}
+
+
+def test_near_duplicates_go_on_exactly(spark, monkeypatch):
+    """Where no search reaches the recall, all rows are compared."""
+    rows = vectors()[:120]
+    links, parts = brute(rows)
+    monkeypatch.setattr(nn_descent, "_audit", lambda *_: 0.0)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(spark.createDataFrame(rows, VECTORS), k=2, tables=1, max_rounds=0).collect()}
+    assert got == {i: (links[i], parts[i]) for i in links}
+
+
 def test_near_duplicates_edges(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
     one = spark.createDataFrame([(1, [1.0, 0.0], 0, 1, "k"), (1, [1.0, 0.0], 0, 1, "k"), (2, [1.0, 0.01], 0, 1, "k"), (None, [1.0, 0.0], 0, 1, "k")], VECTORS)
