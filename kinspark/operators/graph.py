@@ -112,6 +112,26 @@ def wave_profile(nodes: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
     return spark.createDataFrame(sizes, "wave long, n long")
 
 
+def wave_sizes(nodes: DataFrame, edges: DataFrame, max_waves: int = 100_000) -> DataFrame:
+    """(wave, n, deadlocked): size of every wave, and in a row without wave, if there are any, of the nodes on or behind cycles. One job a wave."""
+    edges = settle(edges.where("src <> dst").distinct())
+    open_nodes = settle(nodes.select("node").distinct())
+    sizes, before = [], open_nodes.count()
+    while before and len(sizes) < max_waves:
+        blocked = edges.join(open_nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        open_nodes = settle(open_nodes.join(blocked, "node", "left_semi"))
+        after = open_nodes.count()
+        if after == before:
+            sizes.append((None, before, True))
+            break
+        sizes.append((len(sizes), before - after, False))
+        before = after
+    else:
+        if before:
+            raise RuntimeError("waves did not end")
+    return nodes.sparkSession.createDataFrame(sizes, "wave long, n long, deadlocked boolean")
+
+
 def nearest_topological(rows: DataFrame, group: str) -> DataFrame:
     """(group, node, place): of the nodes whose constraint (after) is placed, always the one with the lowest desired rank, then the lowest id."""
     import heapq

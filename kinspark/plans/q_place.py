@@ -122,16 +122,27 @@ def relational_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 _REPLY = "WITH RECURSIVE e AS (SELECT event_id AS src, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS dst FROM events), w(node, wave) AS (SELECT src, 0 FROM e WHERE dst IS NULL UNION ALL SELECT e.src, w.wave + 1 FROM e JOIN w ON e.dst = w.node)"
 
 
-@query("wave_levels", "WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS wave FROM orders) SELECT least(wave, 8) AS wave, count(*) AS n FROM o WHERE wave < 8 GROUP BY 1 UNION ALL SELECT 8, count(*) FROM o WHERE wave >= 8 HAVING count(*) > 0")
-def wave_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Profile of waves: an order depends on the customer's order before it. Levels are set at a time, the first eight on their own."""
+def _order_chains(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as nodes, each depending on the customer's order before it."""
     o = t(spark, sf, "orders")
     prev = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     e = o.select(F.col("o_orderkey").alias("src"), prev.alias("dst"))
-    nodes, edges = o.select(F.col("o_orderkey").alias("node")), e.where("dst is not null")
+    return o.select(F.col("o_orderkey").alias("node")), e.where("dst is not null")
+
+
+@query("wave_levels", "WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS wave FROM orders) SELECT least(wave, 8) AS wave, count(*) AS n FROM o WHERE wave < 8 GROUP BY 1 UNION ALL SELECT 8, count(*) FROM o WHERE wave >= 8 HAVING count(*) > 0")
+def wave_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Profile of waves: an order depends on the customer's order before it. The first eight on their own, later ones together; wave_sizes has them all."""
+    nodes, edges = _order_chains(spark, sf)
     return graph.wave_profile(nodes, edges, 8)
 
 
+@query("wave_sizes", "WITH o AS (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS wave FROM orders) SELECT wave, count(*) AS n, false AS deadlocked FROM o GROUP BY wave")
+def wave_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """The size of every wave of the customers' orders; nodes on cycles would be counted apart."""
+    return graph.wave_sizes(*_order_chains(spark, sf))
+
+
 @query("taint_closure", "SELECT r_regionkey AS node, 'region' AS kind FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal < 0) UNION SELECT 100 + n_nationkey, 'nation' FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal < 0 UNION SELECT 1000 + s_suppkey, 'supplier' FROM supplier WHERE s_acctbal < 0")
 def taint_closure(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers in debt taint all that encloses them: closure along the parent edges."""

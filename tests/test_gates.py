@@ -108,6 +108,14 @@ def test_components_and_waves(spark):
     assert rows(graph.waves(nodes, edges), "node", "wave", "forced") == [(1, 0, False), (2, 1, False), (3, 2, False), (8, 3, True), (9, 3, True)]
 
 
+def test_wave_sizes_have_every_wave_and_cycles_apart(spark):
+    nodes = spark.createDataFrame([(i,) for i in [*range(1, 12), 20, 21, 22]], "node long")
+    chain = [(i, i - 1) for i in range(2, 12)]
+    edges = spark.createDataFrame([*chain, (20, 21), (21, 20), (22, 20), (5, 5)], "src long, dst long")
+    assert sorted(map(tuple, graph.wave_sizes(nodes, edges).collect()), key=str) == sorted([(i, 1, False) for i in range(11)] + [(None, 3, True)], key=str)
+    assert graph.wave_sizes(nodes.limit(0), edges).count() == 0
+
+
 def test_propagation_unlocks_in_rounds(spark):
     # 0 is matched; 1 touches 0, 2 touches 1: two rounds. 5 and 6 are interchangeable and stay open.
     cand = spark.createDataFrame([(1, 11), (1, 12), (2, 11), (2, 12), (5, 15), (5, 16), (6, 15), (6, 16)], "old_id long, new_id long")
