@@ -139,3 +139,41 @@ def first_of(*tiers: tuple[str, Column]) -> tuple[Column, Column]:
     for label, c in reversed(tiers):
         name = F.when(c.isNotNull(), F.lit(label)).otherwise(name)
     return value, name
+
+
+def edited_candidates(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
+    """(old_id, new_id, score): pairs of one head whose sets ``words`` share at least ``least`` of the larger one.
+
+    Records have id, head and words. Such a pair meets in the rarest words of both sets (all but as many as they must
+    share, plus one), so a frequent head or word does not bring all its records together.
+    """
+    both = old.select("id", "head", "words", F.lit(0).alias("side")).unionByName(new.select("id", "head", "words", F.lit(1).alias("side")))
+    word = settle(both.select("id", "side", "head", F.size("words").alias("n"), F.explode("words").alias("word")))
+    count = word.groupBy("head", "word").agg(F.count(F.lit(1)).alias("freq"))
+    turn = F.row_number().over(Window.partitionBy("side", "id").orderBy("freq", "word"))
+    rare = word.join(count, ["head", "word"]).withColumn("turn", turn).where(F.col("turn") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    x, y = (rare.where(F.col("side") == i).select("head", "word", F.col("id").alias(f"{c}_id"), F.col("n").alias(f"n_{c}")) for i, c in ((0, "old"), (1, "new")))
+    met = x.join(y, ["head", "word"]).where(F.least("n_old", "n_new") >= F.greatest("n_old", "n_new") * least).select("old_id", "new_id").distinct()
+    met = met.join(old.select(F.col("id").alias("old_id"), F.col("words").alias("old_words")), "old_id").join(new.select(F.col("id").alias("new_id"), F.col("words").alias("new_words")), "new_id")
+    score = F.size(F.array_intersect("old_words", "new_words")) / F.greatest(F.size("old_words"), F.size("new_words"))
+    return met.select("old_id", "new_id", score.alias("score")).where(F.col("score") >= least)
+
+
+def greedy_in_order(pairs: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """(old_id, new_id, score): each new record, by id, takes the best old one not yet taken, ties to the lower id.
+
+    Done for all at once: every new record asks for its best old one, an old one holds the lowest id that asked and
+    refuses the others for good, and those ask for their next. That ends with the result of one after another.
+    """
+    pairs = settle(pairs)
+    mine = Window.partitionBy("new_id").orderBy(F.desc("score"), "old_id")
+    theirs = Window.partitionBy("old_id")
+    for _ in range(max_rounds):
+        asked = pairs.withColumn("ask", F.row_number().over(mine) == 1)
+        first = F.min(F.when(F.col("ask"), F.col("new_id"))).over(theirs)
+        ranked = settle(asked.withColumn("first", first))
+        refused = F.col("new_id") > F.coalesce(F.col("first"), F.lit(2**63 - 1))
+        if ranked.where(F.col("ask") & refused).limit(1).count() == 0:
+            return ranked.where("ask").select("old_id", "new_id", "score")
+        pairs = ranked.where(~refused).select("old_id", "new_id", "score")
+    raise RuntimeError("pairs did not settle")

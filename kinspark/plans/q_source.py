@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinspark.functions import scalars
+from kinspark.operators import matching
 from kinspark.plans.common import LINES, UNITS, sides, t, units
 from kinspark.plans.registry import query
 from kinspark.sources import readers, sinks
@@ -125,6 +126,36 @@ def edited_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return o.join(n, ["head", "lang"]).select("old_id", "new_id")
 
 
+@query("edited_pairs_by_overlap")
+def edited_pairs_by_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Records without a twin, paired inside their masked head by best token overlap of 0.5 or more, each used once."""
+    return overlap_pairs(units(spark, sf))
+
+
+def overlap_pairs(u: DataFrame) -> DataFrame:
+    k = u.groupBy("h").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb")).where("na = 0 or nb = 0")
+    words = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1)), lambda w: F.length(w) > 2))
+    e = u.join(k, "h", "left_semi").select("id", "side", scalars.mask_words(F.split("text", "\n")[0]).alias("head"), words.alias("words"))
+    return matching.greedy_in_order(matching.edited_candidates(*sides(e)))
+
+
+@query("diff_ledger_by_overlap")
+def diff_ledger_by_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record in exactly one bucket; edited_pairs_by_overlap are modified, sole twins in another source moved."""
+    u = units(spark, sf)
+    k = u.groupBy("h").agg(
+        F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"), F.count_distinct("text").alias("forms"), F.count_distinct(F.coalesce("source", F.lit(""))).alias("places")
+    )
+    p = overlap_pairs(u)
+    edited = p.select(F.col("old_id").alias("id")).union(p.select("new_id")).withColumn("edited", F.lit(True))
+    one = (F.col("na") == 1) & (F.col("nb") == 1)
+    bucket = (
+        F.when(F.col("edited"), "modified").when(F.col("na") == 0, "added").when(F.col("nb") == 0, "removed").when(one & (F.col("places") > 1), "moved")
+        .when(F.col("forms") == 1, "clean").when(one, "noise").otherwise("family")
+    )
+    return u.join(k, "h").join(edited, "id", "left").select(bucket.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("statement_alignment", UNITS + ", l AS (SELECT id, side, source, i AS pos, md5(parts[i]) AS g FROM (SELECT id, side, source, string_split(text, chr(10)) AS parts FROM u), unnest(generate_series(1, len(parts))) AS q(i)), k AS (SELECT source, g FROM (SELECT source, g, count(*) AS n FROM l WHERE side = 0 GROUP BY ALL) JOIN (SELECT source, g, count(*) AS n FROM l WHERE side = 1 GROUP BY ALL) USING (source, g, n)), r AS (SELECT l.*, row_number() OVER (PARTITION BY side, source, g ORDER BY id, pos) AS rk FROM l JOIN k USING (source, g)) SELECT x.source, x.id AS old_id, CAST(x.pos AS BIGINT) AS old_pos, y.id AS new_id, CAST(y.pos AS BIGINT) AS new_pos FROM r x JOIN r y USING (source, g, rk) WHERE x.side = 0 AND y.side = 1")
 def statement_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """Lines whose hash occurs equally often on both sides of a source, paired in order."""

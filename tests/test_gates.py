@@ -99,6 +99,24 @@ def test_cosine_top_keeps_the_lower_id_on_ties(spark):
     assert rows(similarity_join.cosine_top(a, b, 3, 0.8), "a_id", "b_id") == [(1, 0), (1, 1), (1, 2)]
 
 
+def test_edited_records_pair_by_best_overlap_in_order(spark):
+    import random
+
+    rng = random.Random(5)
+    make = lambda base: [(base + i, "hot" if i % 3 else "rare", rng.sample("abcdefgh", rng.randrange(0, 6))) for i in range(40)]
+    old, new = make(0), make(100)
+    used, want = set(), []
+    for i, head, words in new:  # one after another, as the reference does
+        scored = [(-len(set(w) & set(words)) / max(len(w), len(words), 1), j) for j, h, w in old if h == head and j not in used]
+        best = min(scored, default=(0, 0))
+        if best[0] <= -0.5:
+            used.add(best[1])
+            want.append((best[1], i))
+    schema = "id long, head string, words array<string>"
+    pairs = matching.edited_candidates(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema))
+    assert len(want) > 20 and rows(matching.greedy_in_order(pairs), "old_id", "new_id") == sorted(want)
+
+
 def test_components_and_waves(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "x long, y long")
     got = dict(rows(graph.connected_labels(e, "x", "y"), "node", "component"))
