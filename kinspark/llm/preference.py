@@ -5,8 +5,9 @@ completions are what follows in each conversation. A mask in run lengths ("0:14,
 a completion's code points; 1 marks what is learnt: assistant texts with their end marks.
 
 ``pair_by_first_turn`` makes pairs where none are given: conversations that open with the same
-turn, in order of their ids, each with the next one. Groups larger than ``set_size`` are dealt
-into sets by id, so that no task holds an unbounded group. Of a pair the one with more assistant
+turn, in order of their ids, each with the next one. Groups are cut into ranges of ids; counts
+carried from range to range number the whole group, so that no task holds an unbounded group
+and no size changes the pairs. Of a pair the one with more assistant
 text is chosen, ties go to the lower id. A conversation without a partner stays unpaired.
 
 Defined results: a null role or text counts as empty; rows with a null conversation id are left
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinspark.llm.shared import scratch, stored
+
 _LAST = 2**62
 
 
@@ -33,17 +36,21 @@ def conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
 
 
 def pair_by_first_turn(convs: DataFrame, set_size: int = 1024) -> DataFrame:
-    """(chosen_id, rejected_id): rejected_id null for a conversation without a partner."""
+    """(chosen_id, rejected_id): rejected_id null for a conversation without a partner. Tasks number about ``set_size`` conversations at a time."""
     first = convs.select("conv_id", "weight", F.sha2(F.concat_ws("\n", F.col("turns")[0]["role"], F.col("turns")[0]["text"]), 256).alias("opening"))
-    sizes = first.groupBy("opening").agg(F.ceil(F.count(F.lit(1)) / set_size).cast("long").alias("sets"))
-    dealt = first.join(sizes, "opening").withColumn("part", F.pmod("conv_id", "sets"))
-    order = Window.partitionBy("opening", "part").orderBy("conv_id")
-    ahead = dealt.select(
-        "conv_id", "weight", F.lead("conv_id").over(order).alias("other"), F.lead("weight").over(order).alias("other_weight"), F.lag("conv_id").over(order).alias("before")
-    )
-    keeps = F.col("other").isNull() | (F.col("weight") >= F.col("other_weight"))
-    pairs = ahead.where("other is not null or before is null")
-    return pairs.select(F.when(keeps, F.col("conv_id")).otherwise(F.col("other")).alias("chosen_id"), F.when(keeps, F.col("other")).otherwise(F.col("conv_id")).alias("rejected_id"))
+    with scratch(convs.sparkSession) as keep:
+        first = stored(first, "pref_first")
+        parts = max(1, -(-first.count() // set_size))
+        ranged = stored(first.repartitionByRange(parts, "opening", "conv_id").withColumn("part", F.spark_partition_id()), "pref_ranged")
+        counts = ranged.groupBy("opening", "part").agg(F.count(F.lit(1)).alias("n"))
+        along = Window.partitionBy("opening").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select("opening", "part", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+        nth = F.row_number().over(Window.partitionBy("opening", "part").orderBy("conv_id")) - 1 + F.col("before")
+        pair = ranged.join(offsets, ["opening", "part"]).select("opening", F.floor(nth / 2).alias("pair"), F.struct("conv_id", "weight").alias("conv"))
+        pairs = keep(pair.groupBy("opening", "pair").agg(F.min("conv").alias("x"), F.max("conv").alias("y"), F.count(F.lit(1)).alias("n")), "pref_pairs")
+    alone = F.col("n") == 1
+    keeps = alone | (F.col("x.weight") >= F.col("y.weight"))
+    return pairs.select(F.when(keeps, F.col("x.conv_id")).otherwise(F.col("y.conv_id")).alias("chosen_id"), F.when(~alone, F.when(keeps, F.col("y.conv_id")).otherwise(F.col("x.conv_id"))).alias("rejected_id"))
 
 
 def _render(turns: Column) -> Column:

@@ -123,6 +123,16 @@ def test_large_openings_are_dealt_into_sets(spark):
     assert sorted({i for r in pairs for i in (r["chosen_id"], r["rejected_id"])}) == list(range(100))
 
 
+def test_group_size_does_not_change_pairs(spark):
+    """One odd id among even ones has a partner, whatever a task holds; so have ids of one residue."""
+    ids = sorted([*range(0, 66, 2), 7])
+    turns = spark.createDataFrame([(i, 0, "user", "hot", 1, 1) for i in ids] + [(200 + i, 0, "user", f"o{i // 3}", 1, 1) for i in range(9)], TURNS)
+    convs = preference.conversations(turns)
+    want = {(a, b) for a, b in zip(ids[::2], ids[1::2], strict=True)} | {p for i in (200, 203, 206) for p in ((i, i + 1), (i + 2, None))}
+    for size in (4, 1024):
+        assert {(r["chosen_id"], r["rejected_id"]) for r in preference.pair_by_first_turn(convs, set_size=size).collect()} == want
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("sf"))
