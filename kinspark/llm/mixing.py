@@ -3,7 +3,8 @@
 Sizes are counted in words. Targets share the total by weight, none above ``cap``
 times its source. A source is taken whole as often as its target allows; the rest
 of the budget is fitted on the table of exact lengths: first the same share of every
-length, then long to short while more than a window is left, then a bounded knapsack
+length, then, where more than a window is left but few sums are reachable, those sums in
+full; else long to short while more than a window is left, then a bounded knapsack
 over the lengths still available closes the window exactly where it can. Documents of
 a length are picked in the order of a seeded hash, so reruns agree.
 
@@ -32,6 +33,8 @@ from kinspark.llm.words import mix, word_counts
 
 #: Words that the knapsack closes; the bits of its table of reachable sums.
 KNAPSACK_WINDOW = 1 << 16
+#: Reachable sums up to which a budget beyond the window is fitted exactly.
+SPARSE_SUMS = 1 << 18
 _BUCKETS = 256
 
 
@@ -79,6 +82,12 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
     left = budget - int((lengths * take).sum())
     spare = counts - take
     order = np.argsort(-lengths, kind="stable")
+    if left > window:
+        exact = sparse_knapsack(lengths, spare, left, order)
+        if exact is not None:
+            for i, k in exact.items():
+                take[i] += k
+            return take
     for i in order.tolist():
         length = int(lengths[i])
         if left <= window:
@@ -93,6 +102,27 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
     return take
 
 
+def sparse_knapsack(lengths: np.ndarray, spare: np.ndarray, budget: int, order: np.ndarray, limit: int = SPARSE_SUMS) -> dict[int, int] | None:
+    """As ``bounded_knapsack``, with the reachable sums as a set; None where there are more than ``limit``."""
+    came: dict[int, tuple[int, int, int]] = {0: (0, -1, 0)}
+    for i in order.tolist():
+        length, n = int(lengths[i]), int(spare[i])
+        if length <= 0 or n <= 0 or length > budget:
+            continue
+        for base in list(came):
+            for k in range(1, min(n, (budget - base) // length) + 1):
+                came.setdefault(base + k * length, (base, i, k))
+                if len(came) > limit:
+                    return None
+        if budget in came:
+            break
+    at, out = max(came), {}
+    while at:
+        at, i, k = came[at]
+        out[i] = k
+    return out
+
+
 def bounded_knapsack(lengths: np.ndarray, spare: np.ndarray, budget: int, order: np.ndarray) -> dict[int, int]:
     """Counts whose lengths sum to the largest reachable number up to ``budget``.
 

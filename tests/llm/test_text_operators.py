@@ -158,6 +158,17 @@ def test_mix_reaches_targets(spark):
     assert rows_out.where("doc_id = 4").count() == 1  # without words: stays once
 
 
+def test_few_long_documents_fit_exactly():
+    lengths, counts = np.array([69_000, 71_000, 100_000]), np.array([1, 1, 1])
+    assert mixing.fit_counts(lengths, counts, 140_000).tolist() == [1, 1, 0]
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        lengths, counts = rng.choice(np.arange(70_000, 300_000), 4, replace=False), np.ones(4, np.int64)
+        budget = int(rng.integers(1, lengths.sum()))
+        best = max(s for m in range(16) if (s := sum(int(lengths[b]) for b in range(4) if m >> b & 1)) <= budget)
+        assert int((mixing.fit_counts(lengths, counts, budget) * lengths).sum()) == best
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 40), st.integers(1, 5)), min_size=1, max_size=8, unique_by=lambda x: x[0]), st.integers(0, 400))
 def test_knapsack_is_the_best_sum(items, budget):
