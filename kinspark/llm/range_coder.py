@@ -1,32 +1,45 @@
 """Adaptive context-mixing range coder for token ids, many blocks in step.
 
 A container holds a run of ids cut into blocks of equal length. Each block starts from the same
-empty state, has its own checksum and can be decoded without the others. Coding goes through all
-blocks of a container at once, position by position, so that each numpy call works on one id of
-every block.
+state, has its own checksum and is decoded without the others. Coding goes through all blocks of a
+container at once, position by position, so that each numpy call works on one id of every block.
 
-One position: the ids that followed the last two (order 2) and the last one (order 1) the last time
-give a candidate. Whether it is right is one binary decision, whose probability mixes in the
+One position: the ids that followed the last two (order 2) and the last one (order 1) earlier in the
+block give a candidate. Whether it is right is one binary decision, whose probability mixes in the
 logistic domain an adaptive rate by the two confidences, an adaptive rate by recent hits and the
-candidate's share overall (order 0), with weights that learn from each outcome. A miss is coded with
-the order-0 shares, which stand in the container's head. All arithmetic is on integers, so that
-encoder and decoder agree on any machine.
-
-Layout, little-endian: b"KSRC", version u8, bits of the order-0 total u8, block length u32, ids u64,
-distinct ids u32, blocks u32; distinct ids u32 each, their shares u32 each; for each block its words
-u32 and the CRC-32 of its bytes u32; then the blocks' words, u16 each.
+candidate's order-1 share, with weights that learn from each outcome. A miss is coded with the order-1
+shares of the last id, or, after an escape, with order-0 counts, which grow with what the block has
+held (in up to ``_EPOCHS`` steps). Tables, rates, weights and counts are those of the block alone and
+start anew in each; the shares they start from stand once in the container's head: the order-0 counts
+and the frequent order-1 pairs. All arithmetic is on integers, so that both sides agree on any machine.
+
+Layout, little-endian: b"KSRC", version u8, three bytes 0, block length u32, ids u64, blocks u32, bytes
+of the model u32, CRC-32 of the model and index u32, CRC-32 of all these fields u32; the model (zlib:
+distinct ids, count of each, pairs of each, second id and count of each pair; counts as 8 log2 in a
+byte); for each block its words u32 and the CRC-32 of its bytes u32; then the blocks' words, u16 each.
+Damage anywhere raises ValueError.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
 import numpy as np
 
-_HEAD = struct.Struct("<4sBBIQII")
-_MAGIC, _VERSION = b"KSRC", 1
+_HEAD = struct.Struct("<4sB3xIQIII")
+_MAGIC, _VERSION = b"KSRC", 2
+#: Ids of a block; slots of each of its two tables of candidates; times at which its order-0 counts grow.
+BLOCK = 2048
 _SLOTS = 512
+_EPOCHS = 2
+#: Pairs that occur so often in a container stand in its head; of one first id this many at most, or only more frequent ones do.
+_LEAST_PAIRS, _MOST_FOLLOWERS = 6, 1 << 14
+#: What one id of the block adds to its order-0 count, whose start sums to about 2^16.
+_GAIN = 32
+_LIST_BITS = 16
+_DENSE = 1 << 24
 _ONE32, _LOW48 = np.uint64(1 << 32), np.uint64((1 << 48) - 1)
 
 
@@ -66,25 +79,25 @@ def _at(table: np.ndarray, index: np.ndarray) -> np.ndarray:
     return table.take(index, mode="clip")  # indexes beyond the ends saturate; within them this is the fast mode
 
 
-class _Model:
+class _Adaptive:
     """The state of all blocks at one position: contexts, candidates, the mixed probability and its update.
 
-    A slot of the order-1 and order-2 tables holds a symbol and how sure it is: symbol * 16 + confidence.
+    A slot of the order-1 and order-2 tables holds a symbol, its order-1 share and how sure it is: symbol << 12 | share << 4 | confidence.
     """
 
-    def __init__(self, lanes: int, weight: np.ndarray):
+    def __init__(self, lanes: int, start: int):
         self.base = np.arange(lanes, dtype=np.int64) * _SLOTS
         self.base_a = np.arange(lanes, dtype=np.int64) * 256
         self.base_b = np.arange(lanes, dtype=np.int64) * 32
-        self.slots1 = np.zeros(lanes * _SLOTS, np.int32)
-        self.slots2 = np.zeros(lanes * _SLOTS, np.int32)
+        kind = np.int32 if start < 1 << 19 else np.int64
+        self.slots1 = np.zeros(lanes * _SLOTS, kind)
+        self.slots2 = np.zeros(lanes * _SLOTS, kind)
         self.rate_a = np.tile(_RATES, lanes)
         self.rate_b = np.full(lanes * 32, 16384, np.int32)
-        self.w_a, self.w_b, self.w_0 = (np.full(lanes, w, np.int32) for w in (46000, 16000, 6000))
-        self.last1 = np.zeros(lanes, np.int64)
+        self.w_a, self.w_b, self.w_1 = (np.full(lanes, w, np.int32) for w in (36000, 12000, 24000))
+        self.last1 = np.full(lanes, start, np.int64)
         self.mixed2 = np.zeros(lanes, np.int64)
         self.recent = np.zeros(lanes, np.int64)
-        self.share = weight  # stretched order-0 probability of each symbol
         self.steps = 0
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
@@ -93,129 +106,275 @@ class _Model:
         self.i1 = (mixed1 >> 15 & (_SLOTS - 1)) + self.base
         self.i2 = (mixed1 + self.mixed2 >> 17 & (_SLOTS - 1)) + self.base
         s1, s2 = _at(self.slots1, self.i1), _at(self.slots2, self.i2)
+        self.s1, self.s2 = s1, s2
         self.k1, self.k2 = s1 & 15, s2 & 15
-        self.c1, self.c2 = s1 >> 4, s2 >> 4
-        candidate = np.where(self.k2 > 0, self.c2, self.c1)
+        best = np.where(self.k2 > 0, s2, s1)
+        self.c1, self.c2 = s1 >> 12, s2 >> 12
         self.ia = self.base_a + (self.k2 << 4 | self.k1)
         self.ib = self.base_b + self.recent * 2 + (self.c1 == self.c2)
         self.ra, self.rb = _at(self.rate_a, self.ia), _at(self.rate_b, self.ib)
-        self.s_a, self.s_b, self.s_0 = _at(_STRETCH, self.ra >> 4), _at(_STRETCH, self.rb >> 4), _at(self.share, candidate)
+        self.share = best >> 4 & 255
+        self.s_a, self.s_b, self.s_1 = _at(_STRETCH, self.ra >> 4), _at(_STRETCH, self.rb >> 4), _at(_STRETCHED_SHARE, self.share)
         dot = self.w_a * self.s_a
         dot += self.w_b * self.s_b
-        dot += self.w_0 * self.s_0
+        dot += self.w_1 * self.s_1
         self.p = _at(_SQUASH, (dot >> 16) + 2048)
-        return candidate, self.p
+        return best >> 12, self.p
 
-    def update(self, symbol: np.ndarray, hit: np.ndarray) -> None:
+    def update(self, symbol: np.ndarray, hit: np.ndarray, share: np.ndarray) -> None:
         error = (hit.astype(np.int32) << 12) - self.p
         self.w_a += self.s_a * error + 4096 >> 13
         self.w_b += self.s_b * error + 4096 >> 13
-        self.w_0 += self.s_0 * error + 4096 >> 13
+        self.w_1 += self.s_1 * error + 4096 >> 13
         self.steps += 1
         if self.steps % 8 == 0:  # eight steps can't leave the range of 32 bits
-            for w in (self.w_a, self.w_b, self.w_0):
+            for w in (self.w_a, self.w_b, self.w_1):
                 np.minimum(w, 200_000, out=w)
                 np.maximum(w, -200_000, out=w)
         aim = hit.astype(np.int32) * 65535
         self.rate_a[self.ia] = self.ra + (aim - self.ra >> 5)
         self.rate_b[self.ib] = self.rb + (aim - self.rb >> 5)
-        for i, c, k, slots in ((self.i1, self.c1, self.k1, self.slots1), (self.i2, self.c2, self.k2, self.slots2)):
+        new = symbol << 12 | share << 4 | 1
+        for i, old, c, k, slots in ((self.i1, self.s1, self.c1, self.k1, self.slots1), (self.i2, self.s2, self.c2, self.k2, self.slots2)):
             # Right: surer. Wrong: half as sure; once not sure at all, the new symbol takes the slot.
-            slots[i] = np.where(c == symbol, c << 4 | np.minimum(k + 1, 15), np.where(k > 1, c << 4 | k >> 1, symbol << 4 | 1))
+            slots[i] = np.where(c == symbol, old + ((k < 15) & (k > 0)), np.where(k > 1, old - (k + 1 >> 1), new))
         self.recent = (self.recent << 1 | hit) & 15
         self.mixed2 = self.last1 * 0x85EBCA6B
         self.last1 = symbol.astype(np.int64)
 
 
-def _shares(counts: np.ndarray) -> tuple[int, np.ndarray]:
-    """Bits of the total and integer shares, one at least for each symbol, that sum to it."""
-    bits = max(16, int(len(counts)).bit_length() + 2)
-    total, spare = 1 << bits, (1 << bits) - len(counts)
-    shares = 1 + counts * spare // counts.sum()
-    shares[np.argmax(counts)] += total - shares.sum()
-    return bits, shares.astype(np.int64)
-
-
-def _stretched(shares: np.ndarray, bits: int) -> np.ndarray:
-    return _STRETCH[np.minimum(shares << 12 >> bits, 4095)]
-
-
-def encode(ids: np.ndarray, block: int = 2048) -> bytes:
+#: 2^(q/8), rounded down, for one-byte counts.
+_COUNT_OF = np.array([math.isqrt(math.isqrt(math.isqrt(1 << q))) for q in range(256)], np.int64)
+
+
+def _in_byte(counts: np.ndarray) -> np.ndarray:
+    """The greatest q with 2^(q/8) <= count."""
+    return (np.searchsorted(_COUNT_OF, counts, side="right") - 1).astype(np.uint8)
+
+
+#: An order-1 share in a byte (share of 2^16 as 8 log2, times 2 at most 255) and what it is in the logistic domain.
+_SHARE_BYTE = np.concatenate([[0], _in_byte(np.arange(1, 1 << _LIST_BITS | 1))]).astype(np.int32)
+_STRETCHED_SHARE = np.array([_STRETCH[min(int(_COUNT_OF[q]) >> 4, 4095)] if q else -2047 for q in range(256)], np.int32)
+
+
+class _Shares:
+    """What every block starts from: order-0 counts, and for each first symbol the shares of those that often follow it."""
+
+    def __init__(self, distinct: np.ndarray, zero: np.ndarray, followers: np.ndarray, second: np.ndarray, pairs: np.ndarray, escapes: np.ndarray):
+        """zero, pairs, escapes: counts in bytes; followers: pairs of each first symbol (the last one stands for a block's start)."""
+        k = len(distinct)
+        self.distinct = distinct
+        counts = _COUNT_OF[zero]
+        self.zero = 1 + counts * (1 << 16) // max(int(counts.sum()), 1)
+        first = np.repeat(np.arange(k + 1), followers)
+        weight, escape = _COUNT_OF[pairs], _COUNT_OF[escapes]
+        total = np.bincount(first, weight, k + 1).astype(np.int64) + escape
+        full = 1 << _LIST_BITS
+        self.share = 1 + weight * (full - followers[first] - 1) // total[first]
+        ends = np.cumsum(self.share)
+        starts = np.cumsum(followers) - followers
+        before = np.concatenate([[0], ends])[starts]
+        self.escape = full - np.bincount(first, self.share, k + 1).astype(np.int64)
+        self.at = self.escape[first] + ends - self.share - before[first]
+        self.lookup = (first << _LIST_BITS) + self.at
+        self.second = second.astype(np.int32)
+        self.bits = max(0, min(8, 22 - k.bit_length()))  # cuts of each first symbol's shares, with the pairs in which they begin
+        edges = np.arange(((k + 1) << self.bits) + 1, dtype=np.int64) << (_LIST_BITS - self.bits)
+        self.guide = (np.searchsorted(self.lookup, edges, side="right") - 1).astype(np.int32)
+
+    def find(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The pair of a first symbol in whose share ``target`` lies; any index where it is an escape."""
+        key = (context << _LIST_BITS) + target
+        cut = key >> (_LIST_BITS - self.bits)
+        lo, hi = _at(self.guide, cut), _at(self.guide, cut + 1)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            a, b = lo[open_], hi[open_]
+            mid = a + b + 1 >> 1
+            right = _at(self.lookup, mid) <= key[open_]
+            a, b = np.where(right, mid, a), np.where(right, b, mid - 1)
+            lo[open_], hi[open_] = a, b
+            open_ = open_[a < b]
+        return lo
+
+    @staticmethod
+    def packed(symbols: np.ndarray, distinct: np.ndarray, counts: np.ndarray, block: int) -> tuple[bytes, np.ndarray]:
+        """The model's bytes, and for each position the index of its pair among those of the head (-1: none)."""
+        k = len(distinct)
+        last = np.empty(len(symbols), np.int64)
+        last[1:] = symbols[:-1]
+        last[::block] = k
+        key = last * k + symbols
+        if (k + 1) * k <= _DENSE:
+            seen = np.bincount(key, minlength=(k + 1) * k)
+            keys = np.flatnonzero(seen)
+            n = seen[keys]
+        else:
+            keys, of, n = np.unique(key, return_inverse=True, return_counts=True)
+        least = _LEAST_PAIRS
+        while True:
+            keep = n >= least
+            followers = np.bincount(keys[keep] // k, minlength=k + 1)
+            if int(followers.max()) <= _MOST_FOLLOWERS:
+                break
+            least *= 2
+        escapes = np.bincount(keys[~keep] // k, n[~keep], k + 1).astype(np.int64)
+        number = np.full(len(keys), -1, np.int32)
+        number[keep] = np.arange(int(keep.sum()))
+        if (k + 1) * k <= _DENSE:
+            table = np.full((k + 1) * k, -1, np.int32)
+            table[keys] = number
+            pair = table[key]
+        else:
+            pair = number[of]
+        parts = [distinct.astype("<u4"), _in_byte(counts), followers.astype("<u4"), (keys[keep] % k).astype("<u4"), _in_byte(n[keep]), _in_byte(np.maximum(escapes, 1))]
+        planes = [p.view(np.uint8).reshape(-1, 4).T.tobytes() if p.dtype.itemsize == 4 else p.tobytes() for p in parts]
+        return zlib.compress(struct.pack("<II", k, int(keep.sum())) + b"".join(planes), 6), pair
+
+    @classmethod
+    def unpacked(cls, model: bytes) -> _Shares:
+        raw = zlib.decompress(model)
+        k, m = struct.unpack_from("<II", raw)
+        sizes = (4 * k, k, 4 * (k + 1), 4 * m, m, k + 1)
+        if len(raw) != 8 + sum(sizes):
+            raise ValueError("a model of another size than it states")
+        out, at = [], 8
+        for i, size in enumerate(sizes):
+            x = np.frombuffer(raw, np.uint8, size, at)
+            out.append(np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").ravel().astype(np.int64) if i in (0, 2, 3) else x)
+            at += size
+        return cls(*out)
+
+
+class _Zero:
+    """Order-0 counts of each block, cumulated: row b is count sums of block b, in one sorted line for searches."""
+
+    def __init__(self, shares: _Shares, lanes: int, block: int):
+        self.k = len(shares.zero)
+        start = np.concatenate([[0], np.cumsum(shares.zero)])
+        self.offset = np.arange(lanes, dtype=np.int64) << 34
+        self.sums = np.tile(start, (lanes, 1)) + self.offset[:, None]
+        self.epoch = max(-(-block // _EPOCHS), 1)
+
+    def learn(self, grid: np.ndarray) -> None:
+        """Count the rows of ``grid`` (position, block)."""
+        for b in range(grid.shape[1]):
+            seen = np.bincount(grid[:, b], minlength=self.k)
+            self.sums[b, 1:] += _GAIN * np.cumsum(seen)
+
+    def total(self, lane: np.ndarray) -> np.ndarray:
+        return (self.sums[lane, -1] - self.offset[lane]).astype(np.uint64)
+
+    def interval(self, lane: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.sums[lane, symbol]
+        return (at - self.offset[lane]).astype(np.uint64), (self.sums[lane, symbol + 1] - at).astype(np.uint64)
+
+    def find(self, lane: np.ndarray, target: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.sums.ravel(), target + self.offset[lane], side="right") - 1 - lane * (self.k + 1)
+
+
+def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A container of all ``ids`` (uint32)."""
     n = len(ids)
-    if n == 0:
-        return _HEAD.pack(_MAGIC, _VERSION, 16, block, 0, 0, 0)
     block = int(min(max(n // 1024, 256), block))
+    lanes = -(-n // block)
+    if n == 0:
+        return _sealed(block, 0, b"", [])
     counts = np.bincount(ids)
     distinct = np.flatnonzero(counts)
     place = np.zeros(len(counts), np.int32)
     place[distinct] = np.arange(len(distinct))
-    symbols, counts = place[ids], counts[distinct]
-    bits, shares = _shares(counts.astype(np.int64))
-    lanes = -(-n // block)
-    grid = np.zeros(lanes * block, np.int32)
-    grid[:n] = symbols
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    model = _Model(lanes, _stretched(shares, bits))
-    share, first = shares.astype(np.uint64), (np.cumsum(shares) - shares).astype(np.uint64)
+    symbols = place[ids]
+    model, pair = _Shares.packed(symbols, distinct, counts[distinct], block)
+    shares = _Shares.unpacked(model)
+
+    def in_step(x: np.ndarray, fill: int) -> np.ndarray:
+        grid = np.full(lanes * block, fill, np.int32)
+        grid[:n] = x
+        return np.ascontiguousarray(grid.reshape(lanes, block).T)
+
+    grid, pairs = in_step(symbols, 0), in_step(pair, -1)
+    state, zero = _Adaptive(lanes, len(distinct)), _Zero(shares, lanes, block)
+    share, first, escape = shares.share.astype(np.uint64), shares.at.astype(np.uint64), shares.escape.astype(np.uint64)
+    in_byte = _SHARE_BYTE[shares.share]
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    room = 2 * block + 8
+    room = 5 * block + 8
     words, at = np.zeros(lanes * room, np.uint16), np.arange(lanes, dtype=np.int64) * room
     start = at.copy()
-    twelve, sixteen, wide, shift = np.uint64(12), np.uint64(16), np.uint64(32), np.uint64(bits)
+    twelve, sixteen, wide, shift = np.uint64(12), np.uint64(16), np.uint64(32), np.uint64(_LIST_BITS)
 
-    def settle(lane: np.ndarray, lo: np.ndarray, sp: np.ndarray) -> None:
+    def settle(lane: np.ndarray | slice, lo: np.ndarray, sp: np.ndarray) -> None:
         """Carry into the words that are out, then put out the top word of spans that got short."""
+        where = at[lane]
         over = np.flatnonzero(lo > _LOW48)
         if len(over):
             lo[over] &= _LOW48
-            back = at[lane[over]] - 1
+            back = where[over] - 1
             while len(back):
                 words[back] += np.uint16(1)
                 back = back[words[back] == 0] - 1
         short = np.flatnonzero(sp < _ONE32)
         if len(short):
-            mine = lane[short]
-            words[at[mine]] = (lo[short] >> wide).astype(np.uint16)
-            at[mine] += 1
+            words[where[short]] = (lo[short] >> wide).astype(np.uint16)
+            where[short] += 1
+            at[lane] = where
             lo[short] = lo[short] << sixteen & _LOW48
             sp[short] <<= sixteen
         low[lane], span[lane] = lo, sp
 
-    every = np.arange(lanes)
-    for symbol in grid:
-        candidate, p = model.predict()
+    every = slice(None)
+    for t, (symbol, of) in enumerate(zip(grid, pairs, strict=True)):
+        if t and t % zero.epoch == 0:
+            zero.learn(grid[t - zero.epoch : t])
+        candidate, p = state.predict()
         hit = candidate == symbol
         edge = (span >> twelve) * p.astype(np.uint64)
         settle(every, np.where(hit, low, low + edge), np.where(hit, edge, span - edge))
+        byte = state.share
         miss = np.flatnonzero(~hit)
         if len(miss):
+            byte = byte.copy()
+            mine = of[miss]
+            escaped = mine < 0
             unit = span[miss] >> shift
-            s = symbol[miss]
-            settle(miss, low[miss] + unit * first[s], unit * share[s])
-        model.update(symbol, hit)
+            settle(miss, np.where(escaped, low[miss], low[miss] + unit * first.take(mine, mode="wrap") if len(first) else low[miss]), unit * np.where(escaped, escape[state.last1[miss]], share.take(mine, mode="wrap") if len(share) else 0))
+            byte[miss] = np.where(escaped, 0, in_byte.take(mine, mode="wrap") if len(in_byte) else 0)
+            rest = miss[escaped]
+            if len(rest):
+                unit = span[rest] // zero.total(rest)
+                lo, width = zero.interval(rest, symbol[rest])
+                settle(rest, low[rest] + unit * lo, unit * width)
+        state.update(symbol, hit, byte)
     for k in (32, 16, 0):  # all 48 bits of low
         words[at] = (low >> np.uint64(k)).astype(np.uint16)
         at += 1
-    parts = [words[a:b].astype("<u2").tobytes() for a, b in zip(start.tolist(), at.tolist(), strict=True)]
-    head = _HEAD.pack(_MAGIC, _VERSION, bits, block, n, len(distinct), lanes)
-    index = np.array([[len(x) // 2, zlib.crc32(x)] for x in parts], "<u4")
-    return b"".join([head, distinct.astype("<u4").tobytes(), shares.astype("<u4").tobytes(), index.tobytes(), *parts])
+    return _sealed(block, n, model, [words[a:b].astype("<u2").tobytes() for a, b in zip(start.tolist(), at.tolist(), strict=True)])
+
+
+def _sealed(block: int, n: int, model: bytes, parts: list[bytes]) -> bytes:
+    index = np.array([[len(x) // 2, zlib.crc32(x)] for x in parts], "<u4").tobytes()
+    head = _HEAD.pack(_MAGIC, _VERSION, block, n, len(parts), len(model), zlib.crc32(model + index))
+    return b"".join([head, struct.pack("<I", zlib.crc32(head)), model, index, *parts])
 
 
 def decode(container: bytes) -> np.ndarray:
-    """The ids of a container; a block whose checksum does not hold raises ValueError."""
-    magic, version, bits, block, n, k, lanes = _HEAD.unpack_from(container)
+    """The ids of a container; damage to its head, model, index or any block raises ValueError."""
+    at = _HEAD.size + 4
+    if len(container) < at or zlib.crc32(container[: _HEAD.size]) != struct.unpack_from("<I", container, _HEAD.size)[0]:
+        raise ValueError("the head is damaged")
+    magic, version, block, n, lanes, model_size, crc = _HEAD.unpack_from(container)
     if magic != _MAGIC or version != _VERSION:
         raise ValueError("not a container of this format")
+    model, index = container[at : at + model_size], container[at + model_size : at + model_size + 8 * lanes]
+    if zlib.crc32(model + index) != crc:
+        raise ValueError("the model or the index is damaged")
+    at += model_size + 8 * lanes
+    index = np.frombuffer(index, "<u4").reshape(-1, 2)
+    sizes = index[:, 0].astype(np.int64)
+    if len(container) != at + 2 * int(sizes.sum()):
+        raise ValueError("the container is cut short or too long")
     if n == 0:
         return np.zeros(0, np.uint32)
-    at = _HEAD.size
-    distinct = np.frombuffer(container, "<u4", k, at)
-    shares = np.frombuffer(container, "<u4", k, at + 4 * k).astype(np.int64)
-    index = np.frombuffer(container, "<u4", 2 * lanes, at + 8 * k).reshape(lanes, 2)
-    at += 8 * k + 8 * lanes
-    sizes = index[:, 0].astype(np.int64)
     ends = at + 2 * np.cumsum(sizes)
     for i, (a, b) in enumerate(zip((ends - 2 * sizes).tolist(), ends.tolist(), strict=True)):
         if zlib.crc32(container[a:b]) != index[i, 1]:
@@ -223,42 +382,63 @@ def decode(container: bytes) -> np.ndarray:
     words = np.concatenate([np.frombuffer(container, "<u2", int(sizes.sum()), at), np.zeros(4, np.uint16)]).astype(np.uint64)
     stop = np.cumsum(sizes)
     place = stop - sizes
-    model = _Model(lanes, _stretched(shares, bits))
-    share, first = shares.astype(np.uint64), (np.cumsum(shares) - shares).astype(np.uint64)
-    lookup = np.repeat(np.arange(k, dtype=np.int32), shares)
+    shares = _Shares.unpacked(model)
+    state, zero = _Adaptive(lanes, len(shares.distinct)), _Zero(shares, lanes, block)
+    share, first, escape = shares.share.astype(np.uint64), shares.at.astype(np.uint64), shares.escape.astype(np.uint64)
+    in_byte = _SHARE_BYTE[shares.share]
     code = words[place] << np.uint64(32) | words[place + 1] << np.uint64(16) | words[place + 2]
     place += 3
     span = np.full(lanes, 1 << 48, np.uint64)
     grid = np.empty((block, lanes), np.int32)
-    twelve, sixteen, shift, last = np.uint64(12), np.uint64(16), np.uint64(bits), np.uint64((1 << bits) - 1)
+    twelve, sixteen, shift, last = np.uint64(12), np.uint64(16), np.uint64(_LIST_BITS), np.uint64((1 << _LIST_BITS) - 1)
     limit = len(words) - 1
+
+    def refill(lane: np.ndarray | slice, c: np.ndarray, sp: np.ndarray) -> None:
+        """Take the next word where the span got short."""
+        short = np.flatnonzero(sp < _ONE32)
+        if len(short):
+            where = place[lane]
+            c[short] = c[short] << sixteen | words[np.minimum(where[short], limit)]
+            sp[short] <<= sixteen
+            where[short] += 1
+            place[lane] = where
+        code[lane], span[lane] = c, sp
+
+    every = slice(None)
     for t in range(block):
-        candidate, p = model.predict()
+        if t and t % zero.epoch == 0:
+            zero.learn(grid[t - zero.epoch : t])
+        candidate, p = state.predict()
         edge = (span >> twelve) * p.astype(np.uint64)
         hit = code < edge
-        code = np.where(hit, code, code - edge)
-        span = np.where(hit, edge, span - edge)
-        short = np.flatnonzero(span < _ONE32)
-        if len(short):
-            code[short] = code[short] << sixteen | words[np.minimum(place[short], limit)]
-            span[short] <<= sixteen
-            place[short] += 1
-        symbol = candidate.copy()
+        refill(every, np.where(hit, code, code - edge), np.where(hit, edge, span - edge))
+        symbol, byte = candidate, state.share
         miss = np.flatnonzero(~hit)
         if len(miss):
+            symbol, byte = symbol.copy(), byte.copy()
+            context = state.last1[miss]
             unit = span[miss] >> shift
             c = code[miss]
-            s = lookup.take(np.minimum(c // unit, last).astype(np.int64))
-            c -= unit * first[s]
-            sp = unit * share[s]
-            symbol[miss] = s
-            short = np.flatnonzero(sp < _ONE32)
-            if len(short):
-                mine = miss[short]
-                c[short] = c[short] << sixteen | words[np.minimum(place[mine], limit)]
-                sp[short] <<= sixteen
-                place[mine] += 1
-            code[miss], span[miss] = c, sp
+            target = np.minimum(c // unit, last).astype(np.int64)
+            wide = escape[context]
+            escaped = target < wide.astype(np.int64)
+            if len(first):
+                mine = shares.find(context, target)
+                refill(miss, np.where(escaped, c, c - unit * first.take(mine, mode="wrap")), unit * np.where(escaped, wide, share.take(mine, mode="wrap")))
+                symbol[miss] = shares.second.take(mine, mode="wrap")
+                byte[miss] = np.where(escaped, 0, in_byte.take(mine, mode="wrap"))
+            else:
+                refill(miss, c, unit * wide)
+                byte[miss] = 0
+            rest = miss[escaped]
+            if len(rest):
+                total = zero.total(rest)
+                unit = span[rest] // total
+                c = code[rest]
+                s = zero.find(rest, np.minimum(c // unit, total - np.uint64(1)).astype(np.int64))
+                lo, width = zero.interval(rest, s)
+                refill(rest, c - unit * lo, unit * width)
+                symbol[rest] = s
         grid[t] = symbol
-        model.update(symbol, hit)
-    return distinct[grid.T.ravel()[:n]]
+        state.update(symbol, hit, byte)
+    return shares.distinct[grid.T.ravel()[:n]].astype(np.uint32)

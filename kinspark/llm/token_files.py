@@ -2,11 +2,12 @@
 
 A file table holds containers (see range_coder) in Parquet rows: part and number of the container in
 it, ids before it in its part, the documents it holds with their id counts, and the coded bytes. Parts
-follow the order of document ids; a document never spans containers. Reading checks every block's
-checksum and gives back the ids.
+follow the order of document ids; a document never spans containers. Reading checks every
+checksum (head, model, index, each block) and gives back the ids.
 
 Defined results: a null or empty text is just its end id; null document ids come first; rows that
-share an id are ordered by text and stay separate; an empty table gives empty files.
+share an id are ordered by text and stay separate; a very long text is coded whole, over as many
+blocks as it takes; other columns, whatever their names, are not read; an empty table gives empty files.
 """
 
 from __future__ import annotations

@@ -253,10 +253,31 @@ def test_range_coder_compresses_and_detects_damage():
     x = np.tile(rng.integers(0, 49_000, 50), 400).astype(np.uint32)
     coded = range_coder.encode(x)
     assert len(coded) < x.nbytes / 8 and (range_coder.decode(coded) == x).all()
-    broken = bytearray(coded)
-    broken[-3] ^= 1
-    with pytest.raises(ValueError, match="damaged"):
-        range_coder.decode(bytes(broken))
+    for at in [*range(60), *range(60, len(coded), max(1, len(coded) // 200)), len(coded) - 1]:  # head, model, index, blocks
+        broken = bytearray(coded)
+        broken[at] ^= 1 << at % 8
+        with pytest.raises(ValueError, match="damaged"):
+            range_coder.decode(bytes(broken))
+    for cut in (0, 10, 40, len(coded) - 2):
+        with pytest.raises(ValueError, match="damaged|short"):
+            range_coder.decode(coded[:cut])
+
+
+def test_range_coder_learns_contexts():
+    """Ids that depend on the one before cost far less than their order-0 entropy; blocks of new symbols still come back."""
+    rng = np.random.default_rng(3)
+    follows = rng.integers(0, 3000, (3000, 4))
+    x = np.zeros(200_000, np.uint32)
+    picks = rng.integers(0, 4, len(x))
+    for i in range(1, len(x)):
+        x[i] = follows[x[i - 1], picks[i]]
+    coded = range_coder.encode(x)
+    shares = np.bincount(x)[np.unique(x)] / len(x)
+    order0 = -(shares * np.log2(shares)).sum()
+    assert (range_coder.decode(coded) == x).all()
+    assert len(coded) * 8 / len(x) < min(4.0, 0.5 * order0)
+    many = rng.permutation(60_000).astype(np.uint32)  # no id occurs twice
+    assert (range_coder.decode(range_coder.encode(many)) == many).all()
 
 
 @settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
