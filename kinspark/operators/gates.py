@@ -51,10 +51,14 @@ def verdict(pairs: list[tuple[Column, Column]]) -> Column:
 
 
 def mutual_best(df: DataFrame, a: str, b: str, score: str, floor: float | None = None) -> DataFrame:
-    """Pairs that are the strict best of both their ends."""
-    mine = strict_best(df, [a], score, floor).select(a, b)
-    yours = strict_best(df, [b], score, floor).select(a, b)
-    return df.join(mine, [a, b], "left_semi").join(yours, [a, b], "left_semi")
+    """Pairs that are the strict best of both their ends: one window over either end, no join."""
+    if floor is not None:
+        df = df.where(F.col(score) >= floor)
+    for end, best, ties in ((a, "_best_a", "_ties_a"), (b, "_best_b", "_ties_b")):
+        of = Window.partitionBy(end)
+        df = df.withColumn(best, F.max(score).over(of)).withColumn(ties, F.count_if(F.col(score) == F.col(best)).over(of))
+    wins = (F.col(score) == F.col("_best_a")) & (F.col("_ties_a") == 1) & (F.col(score) == F.col("_best_b")) & (F.col("_ties_b") == 1)
+    return df.where(wins).drop("_best_a", "_ties_a", "_best_b", "_ties_b")
 
 
 def narrow(candidates: DataFrame, old: str, keep: Column) -> DataFrame:

@@ -64,30 +64,63 @@ def waves(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFra
     raise RuntimeError("waves did not end")
 
 
-def propagate(candidates: DataFrame, matches: DataFrame, edges_old: DataFrame, edges_new: DataFrame, max_iterations: int = 10) -> DataFrame:
-    """(old_id, new_id, round): ambiguous pools narrowed by matched neighbours until nothing changes.
-
-    ``candidates`` (old_id, new_id) of open records, ``matches`` (old_id, new_id) so far, edges (src, dst). A
-    candidate stays if every matched neighbour of the old record, mapped, is its neighbour too. One left, with
-    at least one neighbour as evidence, is a match; a pool that shrank only because others were claimed isn't.
-    Rounds are synchronous: all of a round see the matches of the rounds before, and a candidate claimed twice in
-    one round is left open.
+def propagate(
+    old: DataFrame, new: DataFrame, matches: DataFrame, near_old: DataFrame, near_new: DataFrame, fixed: DataFrame, kinds: tuple[str, ...] = ("callee", "caller", "scopeParent", "externalRefs"),
+    max_iterations: int = 10,
+) -> DataFrame:
+    """(old_id, new_id, round, rung): ambiguous records identified by their matched neighbours until nothing changes.
+
+    Records have id, bucket, parent and pos; an open record's pool are the unclaimed fresh records of its bucket.
+    ``near_*`` (id, kind, near) are its neighbours; a neighbour is known through ``matches`` (old_id, new_id), which grow,
+    or through ``fixed`` (kind, near, mapped). Kind by kind, in order: without a known neighbour there is no evidence and
+    the pool stays; else only candidates stay that have all of them mapped; none left is a contradiction and ends the
+    record's round; one left closes it, with the kind as its rung. A pool that is still open is decided by position among
+    the records of its bucket under a matched parent (rung scopeOrdinal), where both parents have equally many.
+    A pool of one without evidence is no match.
+
+    Pools are never enumerated: candidates come from the neighbours' side, so cost follows the evidence, not the buckets.
+    Rounds are synchronous, and a fresh record claimed twice in a round stays open.
     """
-    known = settle(matches.select("old_id", "new_id", F.lit(0).alias("round")))
-    pool = settle(candidates.select("old_id", "new_id").distinct())
+    kind = F.col("kind")
+    old, new, near_old, near_new, fixed = (settle(x) for x in (old.select("id", "bucket", "parent", "pos"), new.select("id", "bucket", "parent", "pos"), near_old.distinct(), near_new.distinct(), fixed))
+    rank = lambda df: df.where("parent is not null").select("id", "bucket", "parent", F.row_number().over(Window.partitionBy("parent", "bucket").orderBy("pos", "id")).alias("_k"), F.count(F.lit(1)).over(Window.partitionBy("parent", "bucket")).alias("_n"))
+    sib_old, sib_new = settle(rank(old)), settle(rank(new))
+    known = settle(matches.select("old_id", "new_id", F.lit(0).alias("round"), F.lit("given").alias("rung")))
+    per_old = Window.partitionBy("old_id")
     for r in range(1, max_iterations + 1):
-        pool = settle(pool.join(known, "old_id", "left_anti").join(known.select("new_id"), "new_id", "left_anti").select("old_id", "new_id"))
-        near = edges_old.join(known.select(F.col("old_id").alias("dst"), F.col("new_id").alias("mapped")), "dst").select(F.col("src").alias("old_id"), "mapped").distinct()
-        wanted = near.groupBy("old_id").agg(F.count(F.lit(1)).alias("wanted"))
-        has = pool.join(near, "old_id").join(edges_new.select(F.col("src").alias("new_id"), F.col("dst").alias("mapped")).distinct(), ["new_id", "mapped"])
-        held = has.groupBy("old_id", "new_id").agg(F.count(F.lit(1)).alias("held"))
-        fit = pool.join(wanted, "old_id").join(held, ["old_id", "new_id"]).where("held = wanted")
-        w, v = Window.partitionBy("old_id"), Window.partitionBy("new_id")
-        one = fit.withColumn("n", F.count(F.lit(1)).over(w)).where("n = 1").withColumn("claims", F.count(F.lit(1)).over(v)).where("claims = 1")
-        found = settle(one.select("old_id", "new_id", F.lit(r).alias("round")))
-        if found.limit(1).count() == 0:
+        open_old = old.join(known.select(F.col("old_id").alias("id")), "id", "left_anti").select(F.col("id").alias("old_id"), "bucket")
+        free = new.join(known.select(F.col("new_id").alias("id")), "id", "left_anti").select(F.col("id").alias("new_id"), "bucket")
+        sizes = free.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n0"))
+        mapped = near_old.join(known.select(F.col("old_id").alias("near"), F.col("new_id").alias("mapped")), "near").select("id", "kind", "mapped")
+        mapped = mapped.unionByName(near_old.join(fixed, ["kind", "near"]).select("id", "kind", "mapped")).withColumnRenamed("id", "old_id").distinct()
+        expected = settle(mapped.join(open_old.join(sizes, "bucket"), "old_id"))
+        wanted = expected.groupBy("old_id").agg(*[F.count_if(kind == k).alias(f"_e{i}") for i, k in enumerate(kinds)])
+        hits = expected.join(near_new.select(F.col("id").alias("new_id"), "kind", F.col("near").alias("mapped")), ["kind", "mapped"]).join(free, ["new_id", "bucket"])
+        pairs = hits.groupBy("old_id", "new_id", "_n0").agg(*[F.count_if(kind == k).alias(f"_h{i}") for i, k in enumerate(kinds)]).join(wanted, "old_id")
+        passes, evidence, size = F.lit(True), F.lit(False), F.col("_n0")
+        closed, rung, target = F.lit(False), F.lit(None).cast("string"), F.lit(False)
+        for i, k in enumerate(kinds):
+            asked = F.col(f"_e{i}") > 0
+            passes = passes & (~asked | (F.col(f"_h{i}") == F.col(f"_e{i}")))
+            evidence = evidence | asked
+            pairs = pairs.withColumn(f"_q{i}", passes).withColumn(f"_s{i}", F.when(evidence, F.count_if(F.col(f"_q{i}")).over(per_old)).otherwise(size))
+            now = ~closed & asked & (F.col(f"_s{i}") == 1)
+            rung = F.coalesce(rung, F.when(now, F.lit(k)))
+            target = F.when(now, F.col(f"_q{i}")).otherwise(target)
+            closed = closed | now
+        last = len(kinds) - 1
+        pairs = settle(pairs.select("old_id", "new_id", closed.alias("closed"), target.alias("target"), rung.alias("rung"), F.col(f"_q{last}").alias("stays")))
+        found = pairs.where("closed and target").select("old_id", "new_id", "rung")
+        parents = expected.where(kind == "scopeParent").select(F.col("old_id").alias("id"), F.col("mapped").alias("parent_new"))
+        beside = sib_old.join(parents, "id").select(F.col("id").alias("old_id"), "bucket", F.col("parent_new").alias("parent"), "_k", "_n")
+        beside = beside.join(sib_new.withColumnRenamed("id", "new_id"), ["parent", "bucket", "_k", "_n"]).select("old_id", "new_id")
+        ordinal = beside.join(pairs.where("stays and not closed").select("old_id", "new_id"), ["old_id", "new_id"]).select("old_id", "new_id", F.lit("scopeOrdinal").alias("rung"))
+        claims = F.count(F.lit(1)).over(Window.partitionBy("new_id"))
+        one = found.unionByName(ordinal).withColumn("_claims", claims).where("_claims = 1")
+        one = settle(one.select("old_id", "new_id", F.lit(r).alias("round"), "rung"))
+        if one.limit(1).count() == 0:
             break
-        known = settle(known.unionByName(found))
+        known = settle(known.unionByName(one))
     return known
 
 

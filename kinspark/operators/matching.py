@@ -61,30 +61,50 @@ def set_identity(old: DataFrame, new: DataFrame, id_col: str = "id", key_col: st
 
 @dataclass(frozen=True)
 class KeyTier:
-    """A tier that keeps candidates of equal ``column``. ``open_null``: a record without a value keeps its whole pool."""
+    """A tier that keeps candidates of equal ``column``. ``open_null``: a record without a value keeps its whole pool.
+
+    ``falls_to``: how many tiers back the pool stands that is kept when this one empties it.
+    """
 
     name: str
     column: str
     open_null: bool = False
+    falls_to: int = 1
 
 
 def _count_pools(new: DataFrame, keys: list[str], level: int) -> DataFrame:
     return new.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n{level}"), F.min("id").alias(f"_m{level}"))
 
 
-def cascade(old: DataFrame, new: DataFrame, bucket: str, verdict_pairs: list[tuple[str, str]], tiers: list[KeyTier], shingles: str | None = None, floor: float = 0.5) -> DataFrame:
-    """(old_id, new_id, tier): the tier cascade with its gates.
+def cascade(
+    old: DataFrame, new: DataFrame, bucket: str, verdict_pairs: list[tuple[str, str]], tiers: list[KeyTier], shingles: str | None = None, floor: float = 0.5,
+    resolver: DataFrame | None = None, partners: DataFrame | None = None, parent: str | None = None,
+) -> DataFrame:
+    """(old_id, new_id, tier, pool, state): the tier cascade with its gates.
+
+    A bucket of one candidate closes unless the verdict rejects it. In larger ones ``resolver`` (old_id, new_id), where
+    it names a member, comes first (tier identity); then pools are narrowed tier by tier: one left closes, none left
+    ends the search as ambiguous. ``partners`` (old_id, new_id; tier enclosingStatement) come after the first tier, where
+    the partner is still in its pool. Narrowing needs only how many candidates share a prefix of keys, so pools are
+    counted, not enumerated; pairs are formed for the shingle tier alone, from records that every earlier tier left open.
 
-    A bucket of one candidate closes unless the verdict rejects it. Larger pools are narrowed tier by tier:
-    one left closes, none left ends the search as ambiguous. Narrowing needs only how many candidates share
-    a prefix of keys, so pools are counted, not enumerated; pairs are formed for the shingle tier alone, from
-    records that every earlier tier left open. A candidate claimed twice is taken from both.
+    A candidate claimed twice is taken from all (state demoted). Then, with a ``parent`` column, a match by enclosing
+    statement whose parents are matched, but to others, is taken back (state revoked). Both are ambiguous again, with
+    their whole bucket. ``pool`` is how many candidates an ambiguous record keeps, 0 for all others.
     """
     keyless = [t for t in tiers if t.open_null]
     if len(keyless) > 1 or (keyless and tiers[0] is not keyless[0]):
         raise ValueError("only the first tier may keep the pool of records without a value")
-    used = list(dict.fromkeys(["id", bucket, *[t.column for t in tiers], *[c for p in verdict_pairs for c in p], *([shingles] if shingles else [])]))
+    used = list(dict.fromkeys(["id", bucket, *[t.column for t in tiers], *[c for p in verdict_pairs for c in p], *([shingles] if shingles else []), *([parent] if parent else [])]))
     old, new = settle(old.select(*used)), settle(new.select(*used))  # each is read once for every tier
+    member = tiers[0].column if keyless else None
+    named = old.select(F.col("id").alias("_old"))
+    for label, pairs in (("_id", resolver), ("_at", partners)):
+        if pairs is None:
+            named = named.select("*", F.lit(None).cast("long").alias(label))
+        else:
+            of = new.select(F.col("id").alias(label), F.col(bucket).alias(f"{label}_bucket"), *([F.col(member).alias(f"{label}_member")] if member else []))
+            named = named.join(pairs.select(F.col("old_id").alias("_old"), F.col("new_id").alias(label)).join(of, label), "_old", "left")
     frames = []
     parts = [(old.where(F.col(tiers[0].column).isNotNull()), tiers), (old.where(F.col(tiers[0].column).isNull()), tiers[1:])] if keyless else [(old, tiers)]
     for rows, steps in parts:
@@ -95,14 +115,26 @@ def cascade(old: DataFrame, new: DataFrame, bucket: str, verdict_pairs: list[tup
             counts = _count_pools(new, keys, i).select(*[F.col(k).alias(f"_k_{k}") for k in keys], f"_n{i}", f"_m{i}")
             on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
             state = state.join(counts, on, "left").drop(*[f"_k_{k}" for k in keys])
-        for i in range(len(steps) + 1, len(tiers) + 1):
-            state = state.withColumn(f"_n{i}", F.lit(None).cast("long")).withColumn(f"_m{i}", F.lit(None).cast("long"))
-        tier, target = F.lit("open"), F.lit(None).cast("long")
-        for i in range(len(steps), 0, -1):
-            n = F.coalesce(F.col(f"_n{i}"), F.lit(0))
+        state = state.join(named, F.col("id") == F.col("_old"), "left").drop("_old")
+        size = lambda i: F.coalesce(F.col(f"_n{i}"), F.lit(0))
+        tier, target, pool = F.lit("open"), F.lit(None).cast("long"), size(len(steps))
+        in_bucket = lambda label: F.coalesce(F.col(f"{label}_bucket") == F.col(bucket), F.lit(False)) if f"{label}_bucket" in named.columns else F.lit(False)
+        first = 1 if keyless and steps is tiers else 0
+        for i in range(len(steps), -1, -1):
+            if i == first:
+                here = in_bucket("_at")
+                if member and first and "_at_member" in named.columns:
+                    here = here & F.coalesce(F.col("_at_member") == F.col(member), F.lit(False))
+                tier, target, pool = F.when(here, "enclosingStatement").otherwise(tier), F.when(here, F.col("_at")).otherwise(target), F.when(here, 0).otherwise(pool)
+            if i == 0:
+                break
+            n, back = size(i), size(max(i - steps[i - 1].falls_to, 0))
             tier = F.when(n == 1, steps[i - 1].name).when(n == 0, "ambiguous").otherwise(tier)
             target = F.when(n == 1, F.col(f"_m{i}")).when(n == 0, F.lit(None)).otherwise(target)
-        n0 = F.coalesce(F.col("_n0"), F.lit(0))
+            pool = F.when(n == 1, 0).when(n == 0, back).otherwise(pool)
+        known = in_bucket("_id")
+        tier, target, pool = F.when(known, "identity").otherwise(tier), F.when(known, F.col("_id")).otherwise(target), F.when(known, 0).otherwise(pool)
+        n0 = size(0)
         only = [bucket, *dict.fromkeys(c for p in verdict_pairs for c in p)]
         single = new.select(F.col("id").alias("_m0"), *[F.col(c).alias(f"_v_{c}") for c in only[1:]])
         state = state.join(single, "_m0", "left")
@@ -111,9 +143,9 @@ def cascade(old: DataFrame, new: DataFrame, bucket: str, verdict_pairs: list[tup
             rejects = rejects | F.coalesce(F.col(mine) != F.col(f"_v_{yours}"), F.lit(False))
         tier = F.when(n0 == 0, "unmatched").when((n0 == 1) & rejects, "unmatched").when(n0 == 1, "bucketUnique").otherwise(tier)
         target = F.when(n0 == 0, F.lit(None)).when((n0 == 1) & rejects, F.lit(None)).when(n0 == 1, F.col("_m0")).otherwise(target)
-        frames.append(state.select(F.col("id").alias("old_id"), target.alias("new_id"), tier.alias("tier"), bucket, *[t.column for t in tiers]))
+        frames.append(state.select(F.col("id").alias("old_id"), target.alias("new_id"), tier.alias("tier"), F.when(n0 <= 1, 0).otherwise(pool).cast("long").alias("pool"), n0.alias("_bucket"), bucket, *[t.column for t in tiers]))
     out = settle(frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1]))
-    decided = out.where("tier <> 'open'").select("old_id", "new_id", "tier")
+    decided = out.where("tier <> 'open'").select("old_id", "new_id", "tier", "pool", "_bucket")
     still = out.where("tier = 'open'")
     if shingles:
         keys = [bucket, *[t.column for t in tiers if not t.open_null]]
@@ -124,12 +156,28 @@ def cascade(old: DataFrame, new: DataFrame, bucket: str, verdict_pairs: list[tup
             pairs = pairs.where(F.col(tiers[0].column).isNull() | (F.col(tiers[0].column) == F.col("_first")))
         pairs = pairs.where(F.size("_o") > 0).withColumn("_score", F.size(F.array_intersect("_o", "_s")) / F.size(F.array_union("_o", "_s")))
         best = strict_best(pairs.select("old_id", "_cand", "_score"), ["old_id"], "_score", floor)
-        still = still.join(best, "old_id", "left").select("old_id", F.col("_cand").alias("new_id"), F.when(F.col("_cand").isNull(), "ambiguous").otherwise("shingleSimilarity").alias("tier"))
+        closed = F.col("_cand").isNotNull()
+        still = still.join(best, "old_id", "left").select("old_id", F.col("_cand").alias("new_id"), F.when(closed, "shingleSimilarity").otherwise("ambiguous").alias("tier"), F.when(closed, 0).otherwise(F.col("pool")).alias("pool"), "_bucket")
     else:
-        still = still.select("old_id", "new_id", F.lit("ambiguous").alias("tier"))
+        still = still.select("old_id", "new_id", F.lit("ambiguous").alias("tier"), "pool", "_bucket")
     every = settle(decided.unionByName(still))
     kept, demoted = injective(every.where("new_id is not null"), "new_id")
-    return kept.unionByName(demoted.withColumn("new_id", F.lit(None).cast("long")).withColumn("tier", F.lit("demoted"))).unionByName(every.where("new_id is null"))
+
+    def reopened(rows: DataFrame, state: str) -> DataFrame:
+        return rows.select("old_id", F.lit(None).cast("long").alias("new_id"), F.lit("ambiguous").alias("tier"), F.col("_bucket").alias("pool"), F.lit(state).alias("state"))
+
+    open_ = F.lit("").alias("state")
+    if parent is None:
+        stays, revoked = kept, None
+    else:
+        kept = settle(kept)
+        went = kept.select(F.col("old_id").alias("_op"), F.col("new_id").alias("_went"))
+        by = kept.where("tier = 'enclosingStatement'").join(old.select(F.col("id").alias("old_id"), F.col(parent).alias("_op")), "old_id").join(new.select(F.col("id").alias("new_id"), F.col(parent).alias("_np")), "new_id")
+        crossed = by.where("_np is not null").join(went, "_op").where("_went <> _np").select("old_id")
+        stays, revoked = kept.join(crossed, "old_id", "left_anti"), kept.join(crossed, "old_id", "left_semi")
+    result = stays.select("old_id", "new_id", "tier", F.lit(0).cast("long").alias("pool"), open_)
+    result = result.unionByName(reopened(demoted, "demoted")).unionByName(every.where("new_id is null").select("old_id", "new_id", "tier", "pool", open_))
+    return result if revoked is None else result.unionByName(reopened(revoked, "revoked"))
 
 
 def first_of(*tiers: tuple[str, Column]) -> tuple[Column, Column]:

@@ -3,63 +3,105 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.operators.gates import strict_best, unique_both_sides
+from kinspark.operators.gates import mutual_best, strict_best, unique_both_sides
 from kinspark.operators.graph import settle
-from kinspark.operators.similarity_join import containment_join, export_set_join, graded_join, shared_items
+from kinspark.operators.similarity_join import agreement, clear_best, position_join, similar_sets
 
 
-def _left(df: DataFrame, matches: DataFrame, side: str) -> DataFrame:
-    return df.join(matches.select(F.col(side).alias("id")), "id", "left_anti")
+def _open(pairs: DataFrame, matches: DataFrame) -> DataFrame:
+    """Pairs of which neither end is matched."""
+    return pairs.join(matches.select("a_id"), "a_id", "left_anti").join(matches.select("b_id"), "b_id", "left_anti")
 
 
-def module_cascade(a: DataFrame, b: DataFrame, signature: str = "signature", disabled: frozenset[str] = frozenset()) -> DataFrame:
-    """(a_id, b_id, tier): unique signature, then sole high overlap, unique stem with overlap, export sets, containment, graded similarity.
+def heir_veto(pairs: DataFrame, declared: DataFrame, exports: DataFrame, matches: DataFrame, floor: float = 0.6) -> DataFrame:
+    """``pairs`` (a_id, b_id, ...) without those whose exports flatly contradict while another open fresh record is the prior one's heir.
 
-    Records have id, the signature, ``stem`` and the set ``items``. Each tier sees only what earlier ones left; a tier
-    name in ``disabled`` is passed over.
+    ``declared`` (a_id, b_id) of pairs that share an export or of which one exports nothing can't contradict; ``exports`` (a_id, b_id, score) is their similarity.
     """
+    heirs = exports.where(F.col("score") >= floor).join(matches.select("b_id"), "b_id", "left_anti").select("a_id").distinct().withColumn("_heir", F.lit(True))
+    marked = pairs.join(heirs, "a_id", "left").join(declared.select("a_id", "b_id", F.lit(True).alias("_fits")), ["a_id", "b_id"], "left")
+    return marked.where("_heir is null or _fits is not null").drop("_heir", "_fits")
 
-    def unique(x: DataFrame, y: DataFrame) -> DataFrame:
-        return unique_both_sides(x.withColumnRenamed("id", "a_id"), y.withColumnRenamed("id", "b_id"), signature, "a_id", "b_id").select("a_id", "b_id")
-
-    def sole(x: DataFrame, y: DataFrame) -> DataFrame:
-        # A candidate shares an item; one candidate only, and an overlap of 0.8 or more, license a match.
-        p = shared_items(x, y).withColumn("score", F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).where("score >= 0.5")
-        n = p.groupBy("a_id").agg(F.count(F.lit(1)).alias("n"))
-        one = p.join(n, "a_id").where("n = 1 and score >= 0.8")
-        m = one.groupBy("b_id").agg(F.count(F.lit(1)).alias("m"))
-        return one.join(m, "b_id").where("m = 1").select("a_id", "b_id")
-
-    def stem(x: DataFrame, y: DataFrame) -> DataFrame:
-        u = unique_both_sides(x.withColumnRenamed("id", "a_id"), y.withColumnRenamed("id", "b_id"), "stem", "a_id", "b_id")
-        p = shared_items(x, y).where(F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter")) >= 0.7)
-        return u.join(p, ["a_id", "b_id"]).select("a_id", "b_id")
-
-    def injective(pairs: DataFrame) -> DataFrame:
-        n = pairs.groupBy("b_id").agg(F.count(F.lit(1)).alias("n"))
-        return pairs.join(n, "b_id").where("n = 1").select("a_id", "b_id")
-
-    tiers = [("uniqueSignature", unique), ("soleOverlap", sole), ("stem", stem), ("exportSet", export_set_join), ("containment", containment_join), ("graded", lambda x, y: injective(graded_join(x, y)))]
-    a, b = settle(a), settle(b)
-    out = None
-    for name, run in tiers:
-        if name in disabled:
-            continue
-        found = settle(run(a, b).select("a_id", "b_id", F.lit(name).alias("tier")))
-        a, b = settle(_left(a, found, "a_id")), settle(_left(b, found, "b_id"))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def alternate(pairs_one: DataFrame, pairs_two: DataFrame, links_old: DataFrame, links_new: DataFrame, rounds: int = 3) -> DataFrame:
+
+def module_cascade(a: DataFrame, b: DataFrame, edges_a: DataFrame, edges_b: DataFrame, disabled: frozenset[str] = frozenset(), max_rounds: int = 64) -> DataFrame:
+    """(a_id, b_id, tier): unique signature; edge corroboration or a sole high overlap, to a fixpoint; unique stem; export sets; containment; graded content; graph position.
+
+    Records have id, signature, stem and the sets items (their statements), declared (their exports) and words; edges are
+    (src, dst). Each tier sees what earlier ones left; a tier in ``disabled`` is passed over. The rounds of the edge tier
+    are synchronous, and a fresh record that two prior ones claim in a round goes to neither in it. Similar pairs are found
+    once; every tier only takes from them what is still open.
+    """
+    a, b, edges_a, edges_b = (settle(x) for x in (a, b, edges_a, edges_b))
+    jaccard = (F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).alias("score")
+    content = settle(similar_sets(a, b, 0.5).select("a_id", "b_id", jaccard))
+    shared = settle(similar_sets(a, b, 0.4, "declared").select("a_id", "b_id", jaccard, "inter", "n_a", "n_b"))
+    graded = settle(similar_sets(a, b, 0.5 / 1.5 - 1e-6, "words").select("a_id", "b_id", jaccard))
+    matches = settle(a.select(F.col("id").alias("a_id"), F.col("id").alias("b_id"), F.lit("").alias("tier")).limit(0))
+
+    def sets(pairs: DataFrame) -> DataFrame:
+        return pairs.join(a.select(F.col("id").alias("a_id"), F.col("declared").alias("_x")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("declared").alias("_y")), "b_id")
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        fits = sets(pairs.select("a_id", "b_id")).where((F.size("_x") == 0) | (F.size("_y") == 0) | F.arrays_overlap("_x", "_y"))
+        return heir_veto(pairs, fits, shared, matches)
+
+    def one_to_one(pairs: DataFrame) -> DataFrame:
+        claims = F.count(F.lit(1)).over(Window.partitionBy("b_id"))
+        return pairs.withColumn("_claims", claims).where("_claims = 1").drop("_claims")
+
+    def add(found: DataFrame, tier: str | Column) -> int:
+        nonlocal matches
+        new = settle(found.select("a_id", "b_id", (F.lit(tier) if isinstance(tier, str) else tier).alias("tier")))
+        matches = settle(matches.unionByName(new))
+        return new.limit(1).count()
+
+    def stems(df: DataFrame, end: str) -> DataFrame:
+        return df.withColumnRenamed("id", end).join(matches.select(end), end, "left_anti").select(end, "stem").where("stem is not null")
+
+    if "uniqueSignature" not in disabled:
+        add(unique_both_sides(a.withColumnRenamed("id", "a_id"), b.withColumnRenamed("id", "b_id"), "signature", "a_id", "b_id"), "uniqueSignature")
+    if "edge" not in disabled:
+        order = Window.partitionBy("a_id").orderBy(F.desc("agree"), F.desc("score"), "b_id")
+        for _ in range(max_rounds):
+            near = allowed(_open(content, matches)).join(agreement(matches, edges_a, edges_b), ["a_id", "b_id"], "left").withColumn("agree", F.coalesce("agree", F.lit(0)))
+            ranked = near.select("*", F.row_number().over(order).alias("_r"), F.lead("agree").over(order).alias("_agree2"), F.lead("score").over(order).alias("_score2"))
+            alone = F.col("_agree2").isNull()
+            first = alone | (F.col("agree") > F.col("_agree2")) | (F.col("score") > F.col("_score2") + 1e-9)
+            licensed = ((F.col("agree") >= 1) & first) | (alone & (F.col("score") >= 0.8))
+            found = one_to_one(ranked.where("_r = 1").where(licensed))
+            if not add(found, F.when(F.col("agree") >= 1, "edgeCorroborated").otherwise("highOverlap")):
+                break
+        else:
+            raise RuntimeError("the edge tier did not settle")
+    if "stem" not in disabled:
+        unique = unique_both_sides(stems(a, "a_id"), stems(b, "b_id"), "stem", "a_id", "b_id")
+        add(unique.join(content.where("score >= 0.7"), ["a_id", "b_id"]), "stem")
+    if "exportSet" not in disabled:
+        add(mutual_best(_open(shared, matches), "a_id", "b_id", "score", 0.6), "exportSet")
+    if "containment" not in disabled:
+        inside = _open(shared, matches).where(F.least("n_a", "n_b") >= 2).withColumn("score", F.col("inter") / F.least("n_a", "n_b"))
+        add(mutual_best(inside, "a_id", "b_id", "score", 0.75), "containment")
+    if "graded" not in disabled:
+        best = clear_best(_open(graded, matches), 0.5, 1.5, "b_id", "a_id")
+        only = F.count(F.lit(1)).over(Window.partitionBy("a_id"))
+        add(allowed(best.withColumn("_n", only).where("_n = 1").drop("_n")), "graded")
+    if "graphPosition" not in disabled:
+        add(allowed(position_join(matches, edges_a, edges_b)), "graphPosition")
+    return matches
+
+
+def alternate(
+    pairs_one: DataFrame, pairs_two: DataFrame, links_old: DataFrame, links_new: DataFrame, rounds: int = 3, self_old: DataFrame | None = None, self_new: DataFrame | None = None, self_rounds: int = 4
+) -> DataFrame:
     """(kind, old_id, new_id, round): two kinds of records identify one another in turns until nothing grows.
 
     ``pairs_*`` (old_id, new_id) are candidates of each kind; ``links_*`` (one, two) say which records touch. A
-    candidate pair is a match when it is the only one of both its ends, or the only one of them whose touching
-    matches of the other kind agree.
+    candidate pair is a match when it is the only one of both its ends, or the only one of them that a touching match of
+    the other kind supports. ``self_*`` (x, y) are links among records of the second kind: after each of its turns its
+    own matches support its other candidates too, in up to ``self_rounds`` rounds.
     """
 
     def closed(pairs: DataFrame) -> DataFrame:
@@ -67,20 +109,33 @@ def alternate(pairs_one: DataFrame, pairs_two: DataFrame, links_old: DataFrame,
         y = pairs.groupBy("new_id").agg(F.count(F.lit(1)).alias("m"))
         return pairs.join(x, "old_id").join(y, "new_id").where("n = 1 and m = 1").select("old_id", "new_id")
 
+    def supported(kind: str, pairs: DataFrame, witnesses: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+        """Open pairs of a kind that touch one of the ``witnesses``; old and new are links (id, near)."""
+        rest = pairs.join(found[kind].select("old_id"), "old_id", "left_anti").join(found[kind].select("new_id"), "new_id", "left_anti")
+        o = old.select(F.col("id").alias("old_id"), F.col("near").alias("x")).join(witnesses.select(F.col("old_id").alias("x"), F.col("new_id").alias("y")), "x")
+        n = new.select(F.col("id").alias("new_id"), F.col("near").alias("y"))
+        return rest.join(o, "old_id").join(n, ["new_id", "y"]).select("old_id", "new_id").distinct()
+
+    def grown(kind: str, agree: DataFrame, r: int) -> bool:
+        new = settle(closed(agree))
+        if new.limit(1).count() == 0:
+            return False
+        found[kind] = settle(found[kind].unionByName(new))
+        out.append(new.select(F.lit(kind).alias("kind"), "old_id", "new_id", F.lit(r).alias("round")))
+        return True
+
+    links = lambda df, a, b: df.select(F.col(a).alias("id"), F.col(b).alias("near"))
     found = {k: settle(closed(p)) for k, p in (("one", pairs_one), ("two", pairs_two))}
     out = [found[k].select(F.lit(k).alias("kind"), "old_id", "new_id", F.lit(0).alias("round")) for k in found]
     for r in range(1, rounds + 1):
         grew = False
         for kind, other, pairs in (("one", "two", pairs_one), ("two", "one", pairs_two)):
-            rest = pairs.join(found[kind].select("old_id"), "old_id", "left_anti").join(found[kind].select("new_id"), "new_id", "left_anti")
-            o = links_old.select(F.col(kind).alias("old_id"), F.col(other).alias("x")).join(found[other].select(F.col("old_id").alias("x"), F.col("new_id").alias("y")), "x")
-            n = links_new.select(F.col(kind).alias("new_id"), F.col(other).alias("y"))
-            agree = rest.join(o, "old_id").join(n, ["new_id", "y"]).select("old_id", "new_id").distinct()
-            new = settle(closed(agree))
-            if new.limit(1).count():
-                grew = True
-                found[kind] = settle(found[kind].unionByName(new))
-                out.append(new.select(F.lit(kind).alias("kind"), "old_id", "new_id", F.lit(r).alias("round")))
+            grew |= grown(kind, supported(kind, pairs, found[other], links(links_old, kind, other), links(links_new, kind, other)), r)
+            if kind == "two" and self_old is not None:
+                for _ in range(self_rounds):
+                    if not grown(kind, supported(kind, pairs, found[kind], links(self_old, "x", "y"), links(self_new, "x", "y")), r):
+                        break
+                    grew = True
         if not grew:
             break
     every = out[0]
@@ -89,23 +144,51 @@ def alternate(pairs_one: DataFrame, pairs_two: DataFrame, links_old: DataFrame,
     return every
 
 
-def assign_pools(pairs: DataFrame, pool: str) -> DataFrame:
-    """(pool, old_id, new_id, score): in certified pools (as many old as new) the best affinity first, ties to the lower old, then new id; sequential inside a pool."""
-    size = pairs.groupBy(pool).agg(F.count_distinct("old_id").alias("n"), F.count_distinct("new_id").alias("m")).where("n = m").select(pool)
+def certified_pools(old: DataFrame, new: DataFrame, matches: DataFrame, demoted: DataFrame | None = None) -> DataFrame:
+    """(bucket, n) of buckets whose members are interchangeable: as many old as new, none of them matched, no old one demoted, and one evidence key for all.
+
+    Records have id, bucket and evidence (not null). Only counts meet, so a bucket of any size is one row.
+    """
+    x = old.join(matches.select(F.col("old_id").alias("id"), F.lit(1).alias("_done")), "id", "left")
+    x = x.withColumn("_out", F.lit(0)) if demoted is None else x.join(demoted.select(F.col("old_id").alias("id"), F.lit(1).alias("_out")), "id", "left")
+    y = new.join(matches.select(F.col("new_id").alias("id"), F.lit(1).alias("_done")), "id", "left")
+    a = x.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("_done"), F.max("_out"), F.lit(0)).alias("_a"), F.min("evidence").alias("_lo"), F.max("evidence").alias("_hi"), F.count("evidence").alias("_k"))
+    b = y.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("_done"), F.lit(0)).alias("_b"), F.min("evidence").alias("_lo2"), F.max("evidence").alias("_hi2"), F.count("evidence").alias("_k2"))
+    both = a.join(b, ["bucket", "n"])
+    return both.where("_a = 0 and _b = 0 and _lo = _hi and _lo2 = _hi2 and _lo = _lo2 and _k = n and _k2 = n").select("bucket", "n")
+
+
+def ordinal_pools(old: DataFrame, new: DataFrame, matches: DataFrame, demoted: DataFrame | None = None) -> DataFrame:
+    """(old_id, new_id): certified pools paired by source order (``pos``, then id)."""
+    pools = certified_pools(old, new, matches, demoted).select("bucket")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("pos", "id")).alias("_k")
+    x, y = (df.join(pools, "bucket", "left_semi").select("bucket", F.col("id").alias(c), place) for df, c in ((old, "old_id"), (new, "new_id")))
+    return x.join(y, ["bucket", "_k"]).select("old_id", "new_id")
+
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        olds: set[int] = set()
-        news: set[int] = set()
-        out = []
-        for r in pdf.sort_values(["score", "old_id", "new_id"], ascending=[False, True, True]).itertuples():
-            if r.old_id not in olds and r.new_id not in news:
-                olds.add(r.old_id)
-                news.add(r.new_id)
-                out.append((getattr(r, pool), r.old_id, r.new_id, r.score))
-        return pd.DataFrame(out, columns=[pool, "old_id", "new_id", "score"])
+def assign_pools(old: DataFrame, new: DataFrame, scores: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(bucket, old_id, new_id, score): in each bucket the best affinity first, ties to the lower old, then new id; one to one.
 
-    kind = dict(pairs.dtypes)[pool]
-    return pairs.join(size, pool, "left_semi").select(pool, "old_id", "new_id", "score").groupBy(pool).applyInPandas(greedy, f"{pool} {kind}, old_id long, new_id long, score long")
+    ``scores`` (bucket, old_id, new_id, score) holds the pairs with an affinity above 0 only: a pair that is the first of
+    both its ends is what one after another would take, so all of those are taken at once, round by round. The others
+    have no affinity and are paired in order of their ids, which needs no pairs at all.
+    """
+    order = (F.desc("score"), "old_id", "new_id")
+    left = settle(scores)
+    taken = settle(scores.limit(0))
+    for _ in range(max_rounds):
+        first = left.withColumn("_a", F.row_number().over(Window.partitionBy("old_id").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy("new_id").orderBy(*order)))
+        now = settle(first.where("_a = 1 and _b = 1").drop("_a", "_b"))
+        if now.limit(1).count() == 0:
+            break
+        taken = settle(taken.unionByName(now))
+        left = settle(left.join(now.select("old_id"), "old_id", "left_anti").join(now.select("new_id"), "new_id", "left_anti"))
+    else:
+        raise RuntimeError("pools did not settle")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("id")).alias("_k")
+    x = old.join(taken.select(F.col("old_id").alias("id")), "id", "left_anti").select("bucket", F.col("id").alias("old_id"), place)
+    y = new.join(taken.select(F.col("new_id").alias("id")), "id", "left_anti").select("bucket", F.col("id").alias("new_id"), place)
+    return taken.unionByName(x.join(y, ["bucket", "_k"]).select("bucket", "old_id", "new_id", F.lit(0).cast("long").alias("score")))
 
 
 def token_diff_votes(pairs: DataFrame, old: str, new: str, floor: int = 2) -> DataFrame:

@@ -18,28 +18,54 @@ def shared_items(a: DataFrame, b: DataFrame, items: str = "items") -> DataFrame:
     return one.join(two, "_x").groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("inter"), F.min("n_a").cast("long").alias("n_a"), F.min("n_b").cast("long").alias("n_b"))
 
 
+def similar_sets(a: DataFrame, b: DataFrame, floor: float, items: str = "items") -> DataFrame:
+    """(a_id, b_id, inter, n_a, n_b) of sets (arrays without repeats) with a Jaccard similarity of at least ``floor``.
+
+    Two such sets share one of the n - ceil(floor * n) + 1 rarest items of each, so only those are joined: an item that
+    many sets have brings together only sets made of such items. The overlap is counted once for each pair that met.
+    """
+    both = a.select("id", F.lit(0).alias("side"), F.col(items).alias("_s")).unionByName(b.select("id", F.lit(1).alias("side"), F.col(items).alias("_s")))
+    each = both.select("id", "side", F.size("_s").alias("n"), F.explode("_s").alias("_x"))
+    count = each.groupBy("_x").agg(F.count(F.lit(1)).alias("_freq"))
+    turn = F.row_number().over(Window.partitionBy("side", "id").orderBy("_freq", "_x"))
+    rare = each.join(count, "_x").withColumn("_turn", turn).where(F.col("_turn") <= F.col("n") - F.ceil(F.col("n") * floor - 1e-9) + 1)
+    x, y = (rare.where(F.col("side") == i).select("_x", F.col("id").alias(f"{c}_id"), F.col("n").alias(f"n_{c}")) for i, c in ((0, "a"), (1, "b")))
+    met = x.join(y, "_x").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * floor - 1e-9).select("a_id", "b_id").distinct()
+    met = met.join(a.select(F.col("id").alias("a_id"), F.col(items).alias("_i")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col(items).alias("_j")), "b_id")
+    counted = met.select("a_id", "b_id", F.size(F.array_intersect("_i", "_j")).cast("long").alias("inter"), F.size("_i").cast("long").alias("n_a"), F.size("_j").cast("long").alias("n_b"))
+    return counted.where(_jaccard() >= floor)
+
+
 def _jaccard() -> Column:
     return F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))
 
 
+def _contained() -> Column:
+    return F.col("inter") / F.least("n_a", "n_b")
+
+
+def clear_best(pairs: DataFrame, floor: float = 0.5, margin: float = 1.5, end: str = "a_id", other: str = "b_id") -> DataFrame:
+    """Of each end the best pair, where it reaches the floor and ``margin`` times the second best."""
+    order = Window.partitionBy(end).orderBy(F.col("score").desc(), other)
+    ranked = pairs.withColumn("_rank", F.row_number().over(order)).withColumn("_second", F.lead("score").over(order))
+    clear = F.col("_second").isNull() | (F.col("score") >= F.lit(margin) * F.col("_second"))
+    return ranked.where((F.col("_rank") == 1) & (F.col("score") >= floor) & clear).drop("_rank", "_second")
+
+
 def export_set_join(a: DataFrame, b: DataFrame, floor: float = 0.6) -> DataFrame:
     """Mutual best by Jaccard."""
-    return mutual_best(shared_items(a, b).withColumn("score", _jaccard()), "a_id", "b_id", "score", floor).select("a_id", "b_id", "score")
+    return mutual_best(similar_sets(a, b, floor).withColumn("score", _jaccard()), "a_id", "b_id", "score", floor).select("a_id", "b_id", "score")
 
 
 def containment_join(a: DataFrame, b: DataFrame, floor: float = 0.75, jaccard_floor: float = 0.4, least: int = 2) -> DataFrame:
     """Mutual best by containment, with a floor for Jaccard and for the size of both sets."""
-    pairs = shared_items(a, b).where((F.least("n_a", "n_b") >= least) & (_jaccard() >= jaccard_floor))
-    return mutual_best(pairs.withColumn("score", F.col("inter") / F.least("n_a", "n_b")), "a_id", "b_id", "score", floor).select("a_id", "b_id", "score")
+    pairs = similar_sets(a, b, jaccard_floor).where(F.least("n_a", "n_b") >= least)
+    return mutual_best(pairs.withColumn("score", _contained()), "a_id", "b_id", "score", floor).select("a_id", "b_id", "score")
 
 
 def graded_join(a: DataFrame, b: DataFrame, floor: float = 0.5, margin: float = 1.5) -> DataFrame:
-    """The best by Jaccard, where it reaches the floor and ``margin`` times the second best."""
-    scored = shared_items(a, b).withColumn("score", _jaccard())
-    order = Window.partitionBy("a_id").orderBy(F.col("score").desc(), "b_id")
-    ranked = scored.withColumn("_rank", F.row_number().over(order)).withColumn("_second", F.lead("score").over(order))
-    clear = F.col("_second").isNull() | (F.col("score") >= F.lit(margin) * F.col("_second"))
-    return ranked.where((F.col("_rank") == 1) & (F.col("score") >= floor) & clear).select("a_id", "b_id", "score")
+    """The best by Jaccard, where it reaches the floor and ``margin`` times the second best (one below floor / margin can't rival it)."""
+    return clear_best(similar_sets(a, b, floor / margin - 1e-6).withColumn("score", _jaccard()), floor, margin).select("a_id", "b_id", "score")
 
 
 def multiset_join(a: DataFrame, b: DataFrame, floor: float = 0.5) -> DataFrame:
@@ -141,17 +167,24 @@ def stem_join(a: DataFrame, b: DataFrame, overlap: DataFrame, floor: float = 0.7
     return one.join(two, "stem").join(overlap.where(F.col("score") >= floor), ["a_id", "b_id"]).select("a_id", "b_id", "score")
 
 
-def position_join(matches: DataFrame, edges_a: DataFrame, edges_b: DataFrame) -> DataFrame:
-    """(a_id, b_id): unmatched records whose matched neighbours agree most, the strict best both ways.
+def agreement(matches: DataFrame, edges_a: DataFrame, edges_b: DataFrame) -> DataFrame:
+    """(a_id, b_id, agree): how many imports and importers of two open records map onto each other through ``matches`` (a_id, b_id). Edges (src, dst)."""
 
-    ``matches`` (a_id, b_id); ``edges_*`` (src, dst). Matched records are left out on both sides.
-    """
-    near_a = edges_a.join(matches.select(F.col("a_id").alias("dst"), F.col("b_id").alias("mapped")), "dst").select(F.col("src").alias("a_id"), "mapped")
-    near_b = edges_b.select(F.col("src").alias("b_id"), F.col("dst").alias("mapped"))
-    open_a = near_a.join(matches.select("a_id"), "a_id", "left_anti").distinct()
-    open_b = near_b.join(matches.select("b_id"), "b_id", "left_anti").distinct()
-    agree = open_a.join(open_b, "mapped").groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("score"))
-    return mutual_best(agree, "a_id", "b_id", "score").select("a_id", "b_id", "score")
+    def near(edges: DataFrame, end: str) -> DataFrame:
+        out = edges.select(F.col("src").alias(end), F.lit("imports").alias("way"), F.col("dst").alias("near"))
+        return out.unionByName(edges.select(F.col("dst").alias(end), F.lit("importers").alias("way"), F.col("src").alias("near"))).distinct()
+
+    mapped = near(edges_a, "a_id").join(matches.select("a_id"), "a_id", "left_anti").join(matches.select(F.col("a_id").alias("near"), F.col("b_id").alias("mapped")), "near").select("a_id", "way", F.col("mapped").alias("near"))
+    other = near(edges_b, "b_id").join(matches.select("b_id"), "b_id", "left_anti")
+    return mapped.join(other, ["way", "near"]).groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("agree"))
+
+
+def position_join(matches: DataFrame, edges_a: DataFrame, edges_b: DataFrame) -> DataFrame:
+    """(a_id, b_id, score): unmatched records whose matched neighbours agree most, the strict best both ways."""
+    return mutual_best(agreement(matches, edges_a, edges_b).withColumnRenamed("agree", "score"), "a_id", "b_id", "score").select("a_id", "b_id", "score")
 
 
-__all__ = ["containment_join", "content_anchor", "cosine_top", "export_set_join", "graded_join", "greedy_assign", "multiset_join", "position_join", "shared_items", "stem_join", "strict_best"]
+__all__ = [
+    "agreement", "clear_best", "containment_join", "content_anchor", "cosine_top", "export_set_join", "graded_join", "greedy_assign", "multiset_join", "position_join", "shared_items",
+    "similar_sets", "stem_join", "strict_best",
+]

@@ -171,68 +171,97 @@ def module_context_twins(spark: SparkSession, sf: str) -> DataFrame:
 
 _PARTS = """
 WITH e AS (SELECT DISTINCT l_partkey, s_nationkey, n_regionkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
-callee AS (SELECT l_partkey AS id, list_sort(list(DISTINCT n_regionkey)) AS regions, list_sort(list(DISTINCT s_nationkey)) AS nations FROM e GROUP BY 1),
-caller AS (SELECT l_partkey AS id, list_sort(list(DISTINCT l_returnflag || l_linestatus)) AS flags FROM lineitem GROUP BY 1),
+callee AS (SELECT l_partkey AS id, list_sort(list(DISTINCT n_regionkey)) AS regions, list_sort(list(DISTINCT s_nationkey % 5)) AS nations FROM e GROUP BY 1),
+caller AS (SELECT l_partkey AS id, list_sort(list(DISTINCT l_returnflag || l_linestatus)) AS flags, list_sort(list(DISTINCT l_linenumber)) AS places FROM lineitem GROUP BY 1),
 p AS (
-  SELECT p_partkey AS id, p_partkey % 2 AS side, p_name AS bucket, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_brand END AS member, p_type AS props,
+  SELECT p_partkey AS id, p_partkey % 2 AS side, p_name || '/' || p_type || CASE WHEN p_partkey % 11 < 2 THEN '/' || (p_partkey // 22) ELSE '' END AS bucket, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_brand END AS member, CAST(p_size % 2 AS VARCHAR) AS props, p_size,
     coalesce(array_to_string(regions, ','), '') AS regions, coalesce(array_to_string(flags, ','), '') AS flags, coalesce(array_to_string(nations, ','), '') AS nations,
+    coalesce(array_to_string(places, ','), '') AS places, p_name || '/' || p_type || '/' || p_brand AS known,
+    nullif(min(p_partkey) OVER (PARTITION BY p_partkey % 2, p_name, p_type, p_size % 2), p_partkey) AS parent,
     list_sort(list_distinct(regexp_extract_all(lower(p_type || ' ' || p_brand), '[a-z0-9]{2,}'))) AS sh
   FROM part LEFT JOIN callee ON callee.id = p_partkey LEFT JOIN caller ON caller.id = p_partkey)
 """
 
 
 def parts_as_functions(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts as graph vertices: bucket (name), member key (brand, sometimes absent), features, and what their suppliers and sales look like."""
+    """Parts as graph vertices: bucket (name and type, some of a few parts only), member key (brand, sometimes absent), features, an enclosing part, and what their suppliers and sales look like."""
     li, s, n, p = (t(spark, sf, x) for x in ("lineitem", "supplier", "nation", "part"))
     e = li.select("l_partkey", "l_suppkey").distinct().join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("n_nationkey") == F.col("s_nationkey"))
     key = lambda c: F.array_join(F.array_sort(F.collect_set(c)).cast("array<string>"), ",")
-    callee = e.groupBy(F.col("l_partkey").alias("id")).agg(key("n_regionkey").alias("regions"), key("s_nationkey").alias("nations"))
-    caller = li.groupBy(F.col("l_partkey").alias("id")).agg(key(F.concat("l_returnflag", "l_linestatus")).alias("flags"))
+    callee = e.groupBy(F.col("l_partkey").alias("id")).agg(key("n_regionkey").alias("regions"), key(F.col("s_nationkey") % 5).alias("nations"))
+    caller = li.groupBy(F.col("l_partkey").alias("id")).agg(key(F.concat("l_returnflag", "l_linestatus")).alias("flags"), key("l_linenumber").alias("places"))
     words = F.array_sort(F.array_distinct(scalars.tokens(F.concat_ws(" ", "p_type", "p_brand"), 2)))
+    own = F.when(F.col("p_partkey") % 11 < 2, F.concat(F.lit("/"), F.floor(F.col("p_partkey") / 22).cast("string"))).otherwise("")
+    bucket = F.concat("p_name", F.lit("/"), "p_type", own)
+    enclosing = F.min("p_partkey").over(Window.partitionBy(F.col("p_partkey") % 2, "p_name", "p_type", F.col("p_size") % 2))
     v = p.select(
-        F.col("p_partkey").alias("id"), (F.col("p_partkey") % 2).alias("side"), F.col("p_name").alias("bucket"), F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("member"),
-        F.col("p_type").alias("props"), words.alias("sh"),
+        F.col("p_partkey").alias("id"), (F.col("p_partkey") % 2).alias("side"), bucket.alias("bucket"), F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("member"),
+        (F.col("p_size") % 2).cast("string").alias("props"), "p_size", F.concat_ws("/", "p_name", "p_type", "p_brand").alias("known"), F.nullif(enclosing, F.col("p_partkey")).alias("parent"), words.alias("sh"),
     )
-    return v.join(callee, "id", "left").join(caller, "id", "left").fillna("", ["regions", "flags", "nations"])
+    return v.join(callee, "id", "left").join(caller, "id", "left").fillna("", ["regions", "flags", "nations", "places"])
 
 
 _CASCADE = _PARTS + """,
+known AS (
+  SELECT x.id AS old_id, y.id AS res_id FROM (SELECT known, min(id) AS id FROM p WHERE side = 0 AND p_size % 5 = 0 GROUP BY known HAVING count(*) = 1) x
+  JOIN (SELECT known, min(id) AS id FROM p WHERE side = 1 AND p_size % 5 = 0 GROUP BY known HAVING count(*) = 1) y USING (known)),
+held AS (SELECT side, bucket, props, p_size % 8 AS ctx, id, row_number() OVER (PARTITION BY side, bucket, props, p_size % 8 ORDER BY id) AS r, count(*) OVER (PARTITION BY side, bucket, props, p_size % 8) AS holders FROM p),
+partner AS (SELECT x.id AS old_id, y.id AS par_id FROM held x JOIN held y USING (bucket, props, ctx, r, holders) WHERE x.side = 0 AND y.side = 1),
 c AS (
   SELECT o.id AS old_id, n.id AS new_id, o.props AS op, n.props AS np, o.member AS om, n.member AS nm,
     (o.member IS NULL OR coalesce(n.member = o.member, false)) AS k1,
-    o.regions = n.regions AS k2, o.flags = n.flags AS k3, o.nations = n.nations AS k4, o.sh AS osh, n.sh AS nsh
-  FROM p o JOIN p n USING (bucket) WHERE o.side = 0 AND n.side = 1),
+    o.regions = n.regions AS k2, o.flags = n.flags AS k3, o.nations = n.nations AS k4, o.places = n.places AS k5, o.sh AS osh, n.sh AS nsh,
+    coalesce(n.id = res_id, false) AS is_known, coalesce(n.id = par_id, false) AS is_partner
+  FROM p o JOIN p n USING (bucket) LEFT JOIN known ON known.old_id = o.id LEFT JOIN partner ON partner.old_id = o.id WHERE o.side = 0 AND n.side = 1),
 s AS (
   SELECT *, count(*) OVER w AS n0, sum(CAST(k1 AS INT)) OVER w AS n1, sum(CAST(k1 AND k2 AS INT)) OVER w AS n2,
-    sum(CAST(k1 AND k2 AND k3 AS INT)) OVER w AS n3, sum(CAST(k1 AND k2 AND k3 AND k4 AS INT)) OVER w AS n4 FROM c WINDOW w AS (PARTITION BY old_id)),
+    sum(CAST(k1 AND k2 AND k3 AS INT)) OVER w AS n3, sum(CAST(k1 AND k2 AND k3 AND k4 AS INT)) OVER w AS n4, sum(CAST(k1 AND k2 AND k3 AND k4 AND k5 AS INT)) OVER w AS n5,
+    bool_or(is_known) OVER w AS some_known, bool_or(is_partner AND k1) OVER w AS some_partner FROM c WINDOW w AS (PARTITION BY old_id)),
 d AS (
   SELECT *, CASE WHEN n0 = 1 THEN (CASE WHEN coalesce(om <> nm, false) OR coalesce(op <> np, false) THEN 'unmatched' ELSE 'bucketUnique' END)
-      WHEN om IS NOT NULL AND n1 = 0 THEN 'ambiguous' WHEN om IS NOT NULL AND n1 = 1 THEN 'memberKey'
+      WHEN some_known THEN 'identity' WHEN om IS NOT NULL AND n1 = 0 THEN 'ambiguous' WHEN om IS NOT NULL AND n1 = 1 THEN 'memberKey' WHEN some_partner THEN 'enclosingStatement'
       WHEN n2 = 0 THEN 'ambiguous' WHEN n2 = 1 THEN 'calleeShapes' WHEN n3 = 0 THEN 'ambiguous' WHEN n3 = 1 THEN 'callerShapes'
-      WHEN n4 = 0 THEN 'ambiguous' WHEN n4 = 1 THEN 'calleeHashes' ELSE 'open' END AS tier,
+      WHEN n4 = 0 THEN 'ambiguous' WHEN n4 = 1 THEN 'calleeHashes' WHEN n5 = 0 THEN 'ambiguous' WHEN n5 = 1 THEN 'twoHopShapes' ELSE 'open' END AS tier,
+    CASE WHEN om IS NOT NULL AND n1 = 0 THEN n0 WHEN n2 = 0 THEN n1 WHEN n3 = 0 THEN n2 WHEN n4 = 0 THEN n3 WHEN n5 = 0 THEN n3 ELSE n5 END AS kept_pool,
     len(list_intersect(osh, nsh)) / len(list_distinct(osh || nsh)) AS score
   FROM s),
 closed AS (
-  SELECT old_id, tier, min(CASE WHEN tier = 'bucketUnique' OR (tier = 'memberKey' AND k1) OR (tier = 'calleeShapes' AND k1 AND k2)
-    OR (tier = 'callerShapes' AND k1 AND k2 AND k3) OR (tier = 'calleeHashes' AND k1 AND k2 AND k3 AND k4) THEN new_id END) AS new_id
+  SELECT old_id, tier, min(n0) AS n0, min(kept_pool) AS kept_pool, min(CASE WHEN tier = 'bucketUnique' OR (tier = 'identity' AND is_known) OR (tier = 'memberKey' AND k1) OR (tier = 'enclosingStatement' AND is_partner)
+    OR (tier = 'calleeShapes' AND k1 AND k2) OR (tier = 'callerShapes' AND k1 AND k2 AND k3) OR (tier = 'calleeHashes' AND k1 AND k2 AND k3 AND k4)
+    OR (tier = 'twoHopShapes' AND k1 AND k2 AND k3 AND k4 AND k5) THEN new_id END) AS new_id
   FROM d WHERE tier <> 'open' GROUP BY old_id, tier),
-o AS (SELECT old_id, new_id, score FROM d WHERE tier = 'open' AND k1 AND k2 AND k3 AND k4),
+o AS (SELECT old_id, new_id, score FROM d WHERE tier = 'open' AND k1 AND k2 AND k3 AND k4 AND k5),
 top AS (SELECT old_id, new_id FROM (SELECT *, max(score) OVER w AS best, count(*) OVER (PARTITION BY old_id, score) AS ties FROM o WINDOW w AS (PARTITION BY old_id)) WHERE score = best AND ties = 1 AND score >= 0.5),
 everything AS (
-  SELECT old_id, new_id, tier FROM closed
-  UNION ALL SELECT x.old_id, top.new_id, CASE WHEN top.new_id IS NULL THEN 'ambiguous' ELSE 'shingleSimilarity' END FROM (SELECT DISTINCT old_id FROM d WHERE tier = 'open') x LEFT JOIN top USING (old_id)
-  UNION ALL SELECT id, NULL, 'unmatched' FROM p WHERE side = 0 AND id NOT IN (SELECT old_id FROM c)),
+  SELECT old_id, new_id, tier, n0, CASE WHEN tier = 'ambiguous' THEN kept_pool ELSE 0 END AS pool FROM closed
+  UNION ALL SELECT x.old_id, top.new_id, CASE WHEN top.new_id IS NULL THEN 'ambiguous' ELSE 'shingleSimilarity' END, n0, CASE WHEN top.new_id IS NULL THEN kept_pool ELSE 0 END
+    FROM (SELECT DISTINCT old_id, n0, kept_pool FROM d WHERE tier = 'open') x LEFT JOIN top USING (old_id)
+  UNION ALL SELECT id, NULL, 'unmatched', 0, 0 FROM p WHERE side = 0 AND id NOT IN (SELECT old_id FROM c)),
+one AS (SELECT *, new_id IS NOT NULL AND count(*) OVER (PARTITION BY new_id) > 1 AS demoted FROM everything),
+kept AS (SELECT old_id, new_id, tier FROM one WHERE new_id IS NOT NULL AND NOT demoted),
+crossed AS (
+  SELECT k.old_id FROM kept k JOIN p a ON a.id = k.old_id JOIN p b ON b.id = k.new_id JOIN kept q ON q.old_id = a.parent
+  WHERE k.tier = 'enclosingStatement' AND b.parent IS NOT NULL AND q.new_id <> b.parent),
 final AS (
-  SELECT old_id, CASE WHEN new_id IS NOT NULL AND count(*) OVER (PARTITION BY new_id) > 1 THEN NULL ELSE new_id END AS new_id,
-    CASE WHEN new_id IS NOT NULL AND count(*) OVER (PARTITION BY new_id) > 1 THEN 'demoted' ELSE tier END AS tier FROM everything)
+  SELECT old_id, CASE WHEN demoted OR old_id IN (SELECT old_id FROM crossed) THEN NULL ELSE new_id END AS new_id,
+    CASE WHEN demoted OR old_id IN (SELECT old_id FROM crossed) THEN 'ambiguous' ELSE tier END AS tier,
+    CAST(CASE WHEN demoted OR old_id IN (SELECT old_id FROM crossed) THEN n0 ELSE pool END AS BIGINT) AS pool,
+    CASE WHEN demoted THEN 'demoted' WHEN old_id IN (SELECT old_id FROM crossed) THEN 'revoked' ELSE '' END AS state FROM one)
 """
 
 
 def part_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    v = parts_as_functions(spark, sf)
-    a, b = sides(v)
-    tiers = [matching.KeyTier("memberKey", "member", open_null=True), matching.KeyTier("calleeShapes", "regions"), matching.KeyTier("callerShapes", "flags"), matching.KeyTier("calleeHashes", "nations")]
-    return matching.cascade(a, b, "bucket", [("member", "member"), ("props", "props")], tiers, "sh")
+    """Every tier, with the identity resolver, partners by enclosing context and the parents that revoke them."""
+    a, b = sides(parts_as_functions(spark, sf))
+    tiers = [
+        matching.KeyTier("memberKey", "member", open_null=True), matching.KeyTier("calleeShapes", "regions"), matching.KeyTier("callerShapes", "flags"),
+        matching.KeyTier("calleeHashes", "nations"), matching.KeyTier("twoHopShapes", "places", falls_to=2),
+    ]
+    x, y = (s.where("p_size % 5 = 0") for s in (a, b))
+    known = gates.unique_both_sides(x.withColumnRenamed("id", "old_id"), y.withColumnRenamed("id", "new_id"), "known", "old_id", "new_id")
+    x, y = (s.withColumn("ctx", F.col("p_size") % 8) for s in (a, b))
+    partners = matching.ordinal_pairs(x, y, ["bucket", "props", "ctx"], ["id"])
+    return matching.cascade(a, b, "bucket", [("member", "member"), ("props", "props")], tiers, "sh", resolver=known, partners=partners, parent="parent")
 
 
 @query("cascade_match", _CASCADE + "SELECT * FROM final")
@@ -240,9 +269,9 @@ def cascade_match(spark: SparkSession, sf: str) -> DataFrame:
     return part_cascade(spark, sf)
 
 
-@query("cascade_stats", _CASCADE + "SELECT tier, count(*) AS n, count(new_id) AS matched FROM final GROUP BY tier")
+@query("cascade_stats", _CASCADE + "SELECT tier, state, count(*) AS n, count(new_id) AS matched, CAST(sum(pool) AS BIGINT) AS candidates FROM final GROUP BY ALL")
 def cascade_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return part_cascade(spark, sf).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count("new_id").alias("matched"))
+    return part_cascade(spark, sf).groupBy("tier", "state").agg(F.count(F.lit(1)).alias("n"), F.count("new_id").alias("matched"), F.sum("pool").alias("candidates"))
 
 
 @query(

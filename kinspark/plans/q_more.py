@@ -8,59 +8,222 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinspark.functions import scalars
-from kinspark.operators import modules, windows
+from kinspark.operators import gates, modules, windows
 from kinspark.plans.common import LINES, UNITS, lines, sides, t, units
 from kinspark.plans.q_source import _working
 from kinspark.plans.registry import query
 from kinspark.streaming import streams
 
 
-def _modules(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+_MODULES = UNITS + r""",
+m AS (
+  SELECT id, side, h AS signature, source || '/' || lang || '/' || (n_chars // 20) AS stem,
+    list_distinct(list_filter(string_split(text, chr(10)), lambda x: length(x) >= 12)) AS items, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS declared,
+    list_distinct(regexp_extract_all(lower(text), '[a-z]{7,}')) AS words FROM u),
+ma AS (SELECT * FROM m WHERE side = 0), mb AS (SELECT * FROM m WHERE side = 1),
+ed0 AS (
+  SELECT id AS src, lag(id) OVER (PARTITION BY side, source ORDER BY id) AS dst, side FROM u
+  UNION SELECT id, lag(id, 2) OVER (PARTITION BY side, lang ORDER BY id), side FROM u),
+ed AS (SELECT * FROM ed0 WHERE dst IS NOT NULL),
+nr AS (SELECT DISTINCT side, src AS id, 'imports' AS way, dst AS near FROM ed UNION SELECT DISTINCT side, dst, 'importers', src FROM ed),
+content AS (
+  SELECT a_id, b_id, inter / (n_a + n_b - inter) AS score FROM (
+    SELECT x.id AS a_id, y.id AS b_id, len(list_intersect(x.items, y.items)) AS inter, len(x.items) AS n_a, len(y.items) AS n_b FROM ma x, mb y WHERE list_has_any(x.items, y.items)) WHERE inter / (n_a + n_b - inter) >= 0.5),
+shared AS (
+  SELECT *, inter / (n_a + n_b - inter) AS score FROM (
+    SELECT x.id AS a_id, y.id AS b_id, len(list_intersect(x.declared, y.declared)) AS inter, len(x.declared) AS n_a, len(y.declared) AS n_b FROM ma x, mb y WHERE list_has_any(x.declared, y.declared))
+  WHERE inter / (n_a + n_b - inter) >= 0.4),
+graded AS (
+  SELECT *, inter / (n_a + n_b - inter) AS score FROM (
+    SELECT x.id AS a_id, y.id AS b_id, len(list_intersect(x.words, y.words)) AS inter, len(x.words) AS n_a, len(y.words) AS n_b FROM ma x, mb y WHERE list_has_any(x.words, y.words))
+  WHERE inter / (n_a + n_b - inter) >= 0.333),
+contra AS (SELECT x.id AS a_id, y.id AS b_id FROM ma x, mb y WHERE len(x.declared) > 0 AND len(y.declared) > 0 AND NOT list_has_any(x.declared, y.declared)),
+m0 AS (
+  SELECT x.id AS a_id, y.id AS b_id, 'uniqueSignature' AS tier FROM (SELECT signature, min(id) AS id FROM ma GROUP BY 1 HAVING count(*) = 1) x
+  JOIN (SELECT signature, min(id) AS id FROM mb GROUP BY 1 HAVING count(*) = 1) y USING (signature))"""
+
+
+def _agree_sql(m: str) -> str:
+    return f"""(SELECT a_id, b_id, count(*) AS agree FROM (SELECT p.id AS a_id, way, mm.b_id AS near FROM nr p JOIN {m} mm ON mm.a_id = p.near WHERE p.side = 0 AND p.id NOT IN (SELECT a_id FROM {m}))
+    JOIN (SELECT id AS b_id, way, near FROM nr WHERE side = 1 AND id NOT IN (SELECT b_id FROM {m})) USING (way, near) GROUP BY ALL)"""
+
+
+def _allowed_sql(pairs: str, m: str) -> str:
+    return f"(SELECT * FROM {pairs} WHERE NOT (a_id IN (SELECT a_id FROM shared WHERE score >= 0.6 AND b_id NOT IN (SELECT b_id FROM {m})) AND (a_id, b_id) IN (SELECT (a_id, b_id) FROM contra)))"
+
+
+def _open_sql(pairs: str, m: str) -> str:
+    return f"(SELECT * FROM {pairs} WHERE a_id NOT IN (SELECT a_id FROM {m}) AND b_id NOT IN (SELECT b_id FROM {m}))"
+
+
+def _mutual_sql(pairs: str, floor: float) -> str:
+    return f"""(SELECT a_id, b_id FROM (SELECT *, max(score) OVER (PARTITION BY a_id) AS pa, max(score) OVER (PARTITION BY b_id) AS pb, count(*) OVER (PARTITION BY a_id, score) AS ta, count(*) OVER (PARTITION BY b_id, score) AS tb
+    FROM {pairs} WHERE score >= {floor}) WHERE score = pa AND score = pb AND ta = 1 AND tb = 1)"""
+
+
+def _modules_sql(rounds: int) -> str:
+    """The cascade with ``rounds`` rounds of the edge tier written out."""
+    out, m = _MODULES, "m0"
+    for r in range(1, rounds + 1):
+        out += f""",
+g{r} AS MATERIALIZED (
+  SELECT a_id, b_id, agree FROM (
+    SELECT *, count(*) OVER (PARTITION BY b_id) AS claims FROM (
+      SELECT *, row_number() OVER w AS r, lead(agree) OVER w AS agree2, lead(score) OVER w AS score2 FROM (
+        SELECT c.a_id, c.b_id, score, coalesce(agree, 0) AS agree FROM {_allowed_sql(_open_sql('content', m), m)} c LEFT JOIN {_agree_sql(m)} g ON g.a_id = c.a_id AND g.b_id = c.b_id)
+      WINDOW w AS (PARTITION BY a_id ORDER BY agree DESC, score DESC, b_id))
+    WHERE r = 1 AND ((agree >= 1 AND (agree2 IS NULL OR agree > agree2 OR score > score2 + 1e-9)) OR (agree2 IS NULL AND score >= 0.8)))
+  WHERE claims = 1),
+e{r} AS MATERIALIZED (SELECT * FROM {m} UNION ALL SELECT a_id, b_id, CASE WHEN agree >= 1 THEN 'edgeCorroborated' ELSE 'highOverlap' END FROM g{r})"""
+        m = f"e{r}"
+    stems = lambda t, end: f"(SELECT stem, min(id) AS {end} FROM {t} WHERE id NOT IN (SELECT {end} FROM {m}) GROUP BY stem HAVING count(*) = 1)"
+    out += f""",
+t1 AS MATERIALIZED (SELECT * FROM {m} UNION ALL SELECT a_id, b_id, 'stem' FROM {stems('ma', 'a_id')} JOIN {stems('mb', 'b_id')} USING (stem) JOIN content USING (a_id, b_id) WHERE score >= 0.7),
+t2 AS MATERIALIZED (SELECT * FROM t1 UNION ALL SELECT a_id, b_id, 'exportSet' FROM {_mutual_sql(_open_sql('shared', 't1'), 0.6)}),
+t3 AS MATERIALIZED (SELECT * FROM t2 UNION ALL SELECT a_id, b_id, 'containment' FROM {_mutual_sql("(SELECT a_id, b_id, inter / least(n_a, n_b) AS score FROM " + _open_sql('shared', 't2') + " WHERE least(n_a, n_b) >= 2)", 0.75)}),
+bg AS (
+  SELECT a_id, b_id FROM (SELECT *, count(*) OVER (PARTITION BY a_id) AS n FROM (
+    SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM {_open_sql('graded', 't3')} WINDOW w AS (PARTITION BY b_id ORDER BY score DESC, a_id))
+    WHERE r = 1 AND score >= 0.5 AND (second IS NULL OR score >= 1.5 * second)) WHERE n = 1),
+t4 AS MATERIALIZED (SELECT * FROM t3 UNION ALL SELECT a_id, b_id, 'graded' FROM {_allowed_sql('bg', 't3')}),
+ag AS (SELECT a_id, b_id, agree AS score FROM {_agree_sql('t4')}),
+gp AS (SELECT a_id, b_id FROM {_mutual_sql('ag', 0)}),
+t5 AS MATERIALIZED (SELECT * FROM t4 UNION ALL SELECT a_id, b_id, 'graphPosition' FROM {_allowed_sql('gp', 't4')})
+"""
+    return out
+
+
+def _modules(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents as modules of lines that export their capitalised words; a module imports those shortly before it in its source and language."""
+    u = units(spark, sf)
     stem = F.concat_ws("/", "source", "lang", F.floor(F.col("n_chars") / 20).cast("string"))
     items = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 12))
-    return sides(units(spark, sf).select("id", "side", F.col("h").alias("signature"), stem.alias("stem"), items.alias("items")))
+    declared = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0)))
+    m = u.select("id", "side", F.col("h").alias("signature"), stem.alias("stem"), items.alias("items"), declared.alias("declared"), words.alias("words"))
+    before = lambda key, n: u.select("side", F.col("id").alias("src"), F.lag("id", n).over(Window.partitionBy("side", key).orderBy("id")).alias("dst"))
+    edges = before("source", 1).unionByName(before("lang", 2)).where("dst is not null").distinct()
+    return (*sides(m), edges.where("side = 0").select("src", "dst"), edges.where("side = 1").select("src", "dst"))
 
 
-@query("module_match_cascade")
+@query("module_match_cascade", _modules_sql(8) + "SELECT * FROM t5")
 def module_match_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """All tiers in order over documents as modules of lines; each sees what the earlier ones left."""
+    """All seven tiers in order; the edge tier to its fixpoint (the SQL writes out eight rounds)."""
     return modules.module_cascade(*_modules(spark, sf))
 
 
-@query("module_match_conservation", UNITS + " SELECT count(*) AS priors, 0 AS twice FROM a")
+@query("module_match_tiers", _modules_sql(8) + "SELECT tier, count(*) AS n FROM t5 GROUP BY tier")
+def module_match_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    return modules.module_cascade(*_modules(spark, sf)).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("module_match_conservation", _modules_sql(8) + "SELECT (SELECT count(*) FROM ma) AS priors, count(*) AS matched, (SELECT count(*) FROM ma) - count(*) AS left_over, count(*) - count(DISTINCT b_id) AS twice FROM t5")
 def module_match_conservation(spark: SparkSession, sf: str) -> DataFrame:
     """Matched and left over make up all prior records, and no fresh record is matched twice."""
-    a, b = _modules(spark, sf)
-    m = modules.module_cascade(a, b)
-    left = a.join(m.select(F.col("a_id").alias("id")), "id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
-    got = m.agg(F.count(F.lit(1)).alias("k"), (F.count(F.lit(1)) - F.count_distinct("b_id")).alias("twice"))
-    return got.crossJoin(left).select((F.col("k") + F.col("n")).alias("priors"), "twice")
+    a, *rest = _modules(spark, sf)
+    m = modules.module_cascade(a, *rest)
+    left = a.join(m.select(F.col("a_id").alias("id")), "id", "left_anti").agg(F.count(F.lit(1)).alias("left_over"))
+    got = m.agg(F.count(F.lit(1)).alias("matched"), (F.count(F.lit(1)) - F.count_distinct("b_id")).alias("twice"))
+    return got.crossJoin(left).select((F.col("matched") + F.col("left_over")).alias("priors"), "matched", "left_over", "twice")
+
+
+_ALTERNATE = """
+WITH one AS (
+  SELECT x.s_suppkey AS old_id, y.s_suppkey AS new_id FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND floor(x.s_acctbal / 3000) = floor(y.s_acctbal / 3000)),
+two AS (SELECT x.p_partkey AS old_id, y.p_partkey AS new_id FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_type = y.p_type AND x.p_size // 4 = y.p_size // 4),
+lo AS (SELECT DISTINCT l_suppkey AS one, l_partkey AS two FROM lineitem WHERE l_orderkey % 16 < 4), ln AS (SELECT DISTINCT l_suppkey AS one, l_partkey AS two FROM lineitem WHERE l_orderkey % 16 < 3),
+so AS (SELECT DISTINCT x.l_partkey AS x, y.l_partkey AS y FROM lineitem x JOIN lineitem y USING (l_orderkey) WHERE l_orderkey % 64 = 0 AND x.l_partkey <> y.l_partkey),
+sn AS (SELECT DISTINCT x.l_partkey AS x, y.l_partkey AS y FROM lineitem x JOIN lineitem y USING (l_orderkey) WHERE l_orderkey % 64 = 0 AND l_orderkey % 3 > 0 AND x.l_partkey <> y.l_partkey)"""
+
+
+def _closed_sql(pairs: str) -> str:
+    return f"(SELECT old_id, new_id FROM (SELECT *, count(*) OVER (PARTITION BY old_id) AS n, count(*) OVER (PARTITION BY new_id) AS m FROM {pairs}) WHERE n = 1 AND m = 1)"
+
+
+def _alternation_sql(rounds: int = 3, self_rounds: int = 4) -> str:
+    out = _ALTERNATE + "".join(f", {k}0 AS MATERIALIZED (SELECT old_id, new_id, 0 AS round FROM {_closed_sql(k)})" for k in ("one", "two"))
+    at = {"one": "one0", "two": "two0"}
+
+    def step(kind: str, name: str, r: int, witnesses: str, old: str, new: str, a: str, b: str) -> str:
+        mine = at[kind]
+        agree = f"""(SELECT DISTINCT p.old_id, p.new_id FROM {kind} p JOIN {old} o ON o.{a} = p.old_id JOIN {witnesses} w ON w.old_id = o.{b} JOIN {new} n ON n.{a} = p.new_id AND n.{b} = w.new_id
+    WHERE p.old_id NOT IN (SELECT old_id FROM {mine}) AND p.new_id NOT IN (SELECT new_id FROM {mine}))"""
+        at[kind] = name
+        return f", {name} AS MATERIALIZED (SELECT * FROM {mine} UNION ALL SELECT old_id, new_id, {r} FROM {_closed_sql(agree)})"
+
+    for r in range(1, rounds + 1):
+        for kind, other in (("one", "two"), ("two", "one")):
+            out += step(kind, f"{kind}{r}", r, at[other], "lo", "ln", kind, other)
+        for i in range(self_rounds):
+            out += step("two", f"two{r}_{i}", r, at["two"], "so", "sn", "x", "y")
+    return out + f" SELECT 'one' AS kind, * FROM {at['one']} UNION ALL SELECT 'two', * FROM {at['two']}"
 
 
-@query("alternation")
+@query("alternation", _alternation_sql())
 def alternation(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers and parts of two order snapshots name one another in turns: candidates share a coarse key, links are sales."""
+    """Suppliers and parts of two order snapshots name one another in turns: candidates share a coarse key, links are sales; parts sold in one order support each other."""
     li = t(spark, sf, "lineitem")
     s, p = t(spark, sf, "supplier"), t(spark, sf, "part")
-    pair = lambda df, key: df.select(F.col("id").alias("old_id"), key).join(df.select(F.col("id").alias("new_id"), key), key).select("old_id", "new_id")
-    one = pair(s.select(F.col("s_suppkey").alias("id"), F.concat_ws("/", F.col("s_nationkey").cast("string"), F.floor(F.col("s_acctbal") / 3000).cast("string")).alias("k")), "k")
-    two = pair(p.select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")).alias("k")), "k")
-    links = lambda side: li.where(F.col("l_orderkey") % 2 == side).select(F.col("l_suppkey").alias("one"), F.col("l_partkey").alias("two")).distinct()
-    return modules.alternate(one, two, links(0), links(1))
+    pair = lambda df: df.select(F.col("id").alias("old_id"), "k").join(df.select(F.col("id").alias("new_id"), "k"), "k").select("old_id", "new_id")
+    one = pair(s.select(F.col("s_suppkey").alias("id"), F.concat_ws("/", F.col("s_nationkey").cast("string"), F.floor(F.col("s_acctbal") / 3000).cast("string")).alias("k")))
+    two = pair(p.select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", "p_type", F.floor(F.col("p_size") / 4).cast("string")).alias("k")))
+    links = lambda least: li.where(F.col("l_orderkey") % 16 < least).select(F.col("l_suppkey").alias("one"), F.col("l_partkey").alias("two")).distinct()
+
+    def together(rows: DataFrame) -> DataFrame:
+        x, y = (rows.select("l_orderkey", F.col("l_partkey").alias(c)) for c in ("x", "y"))
+        return x.join(y, "l_orderkey").where("x <> y").select("x", "y").distinct()
+
+    some = li.where("l_orderkey % 64 = 0")
+    return modules.alternate(one, two, links(4), links(3), self_old=together(some), self_new=together(some.where("l_orderkey % 3 > 0")))
+
+
+def _pools(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders of two snapshots, fine buckets and their evidence key, and the matches of those alone in their bucket."""
+    o = t(spark, sf, "orders")
+    bucket = F.concat_ws("/", "o_orderstatus", "o_orderpriority", F.floor(F.col("o_totalprice") / 2000).cast("string"))
+    rec = o.select(F.col("o_orderkey").alias("id"), bucket.alias("bucket"), F.when(F.col("o_orderkey") % 29 != 0, F.col("o_orderpriority")).alias("evidence"), F.col("o_orderkey").alias("pos"), "o_custkey")
+    old, new = rec, rec.where("id % 17 <> 0").withColumn("id", F.col("id") + 1_000_000_000)
+    given = gates.unique_both_sides(old.withColumnRenamed("id", "old_id"), new.withColumnRenamed("id", "new_id"), "bucket", "old_id", "new_id").select("old_id", "new_id")
+    return old, new, given
+
+
+_POOLS = """
+WITH r AS (SELECT o_orderkey AS pos, o_orderstatus || '/' || o_orderpriority || '/' || CAST(floor(o_totalprice / 2000) AS BIGINT) AS bucket, CASE WHEN o_orderkey % 29 <> 0 THEN o_orderpriority END AS evidence FROM orders),
+x AS (SELECT pos AS id, * FROM r), y AS (SELECT pos + 1000000000 AS id, * FROM r WHERE pos % 17 <> 0),
+given AS (
+  SELECT p.id AS old_id, q.id AS new_id FROM (SELECT bucket, min(id) AS id FROM x GROUP BY 1 HAVING count(*) = 1) p JOIN (SELECT bucket, min(id) AS id FROM y GROUP BY 1 HAVING count(*) = 1) q USING (bucket)),
+ca AS (SELECT bucket, count(*) AS n, count(evidence) AS k, min(evidence) AS lo, max(evidence) AS hi, count(*) FILTER (id IN (SELECT old_id FROM given)) AS done FROM x GROUP BY 1),
+cb AS (SELECT bucket, count(*) AS n, count(evidence) AS k, min(evidence) AS lo, max(evidence) AS hi, count(*) FILTER (id IN (SELECT new_id FROM given)) AS done FROM y GROUP BY 1),
+pool AS (SELECT bucket FROM ca JOIN cb USING (bucket, n, k, lo, hi, done) WHERE k = n AND lo = hi AND done = 0)
+"""
+
+
+@query("certified_pool_order", _POOLS + """SELECT old_id, new_id FROM (SELECT bucket, id AS old_id, row_number() OVER (PARTITION BY bucket ORDER BY pos) AS r FROM x WHERE bucket IN (SELECT bucket FROM pool))
+JOIN (SELECT bucket, id AS new_id, row_number() OVER (PARTITION BY bucket ORDER BY pos) AS r FROM y WHERE bucket IN (SELECT bucket FROM pool)) USING (bucket, r)""")
+def certified_pool_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Buckets of which every member is undecided, of equal counts and with one evidence key, paired by position."""
+    return modules.ordinal_pools(*_pools(spark, sf))
 
 
 @query("pool_assignment")
 def pool_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Pools of equal hashes with as many prior as fresh records: affinity counts shared source, language and neighbours."""
-    u = units(spark, sf)
-    w = Window.partitionBy("side", "source").orderBy("id")
-    u = u.withColumn("prev", F.lag("h").over(w)).withColumn("next", F.lead("h").over(w))
-    a, b = sides(u)
-    x = a.select("h", F.col("id").alias("old_id"), *[F.col(c).alias(f"o_{c}") for c in ("source", "lang", "prev", "next")])
-    y = b.select("h", F.col("id").alias("new_id"), *[F.col(c).alias(f"n_{c}") for c in ("source", "lang", "prev", "next")])
-    same = lambda c: F.coalesce((F.col(f"o_{c}") == F.col(f"n_{c}")).cast("long"), F.lit(0))
-    pairs = x.join(y, "h").withColumn("score", same("prev") + same("next") + 2 * same("source") + 2 * same("lang"))
-    return modules.assign_pools(pairs.select(F.col("h").alias("pool"), "old_id", "new_id", F.col("score").cast("long").alias("score")), "pool")
+    """Certified pools: affinity 1 for a matched order before or after, 2 for the customer's one before or after; best first. Greedy choice has no SQL; tests compare it with one done step by step."""
+    old, new, given = _pools(spark, sf)
+    pools = modules.certified_pools(old, new, given).select("bucket")
+    inside = [df.join(pools, "bucket", "left_semi") for df in (old, new)]
+
+    def near(df: DataFrame) -> DataFrame:
+        by_customer = Window.partitionBy("o_custkey").orderBy("id")
+        # The session is cut into runs of a thousand ids, so that no window holds the whole table.
+        session = Window.partitionBy(F.floor(F.col("pos") / 1000)).orderBy("id")
+        cols = [("prev", F.lag("id").over(session), 1), ("next", F.lead("id").over(session), 1), ("caller", F.lag("id").over(by_customer), 2), ("callee", F.lead("id").over(by_customer), 2)]
+        rows = df.select("id", "bucket", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("near"), F.lit(w).alias("weight")) for k, c, w in cols])).alias("x"))
+        return rows.select("id", "bucket", "x.*").where("near is not null")
+
+    x = near(old).join(pools, "bucket", "left_semi").join(given, F.col("near") == F.col("old_id")).select(F.col("id").alias("old_id"), "bucket", "kind", "weight", F.col("new_id").alias("near"))
+    y = near(new).select(F.col("id").alias("new_id"), "bucket", "kind", "near")
+    scores = x.join(y, ["bucket", "kind", "near"]).groupBy("bucket", "old_id", "new_id").agg(F.sum("weight").alias("score"))
+    return modules.assign_pools(*inside, scores)
 
 
 @query("prior_diff_reconcile")

@@ -5,70 +5,136 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinspark.operators import graph, placement
+from kinspark.functions import scalars
+from kinspark.operators import gates, graph, placement
 from kinspark.plans.common import UNITS, sides, t, units
+from kinspark.plans.q_sets import _ANCHOR, anchors
 from kinspark.plans.registry import query
 
-_PLACE = UNITS + """,
+_REJECTED = r"""(len(list_filter(regexp_extract_all({0}, '[0-9]+'), lambda r: length(r) >= 2 AND r NOT IN ('8', '16', '32', '64', '128', '256', '512', '1024'))) > 0
+  OR regexp_matches({0}, '^(?:no[-_]?ops?\w*|doNothing\w*|silent[-_]?noops?\w*|empty(?:function|callback|operation|handler)s?\d*|idle[-_]?operation\d*|initializeModule\d+|placeholder\w*|_+\d*|reactLib\d+|\w+Val\d*)$', 'i')
+  OR regexp_matches({0}, '^(?:and|or|but|nor|the|an|a)(?:[A-Z0-9]|$)'))"""
+
+_PLACE = _ANCHOR + """,
+nm AS (
+  SELECT id, side, source, unnest(names) AS name, unnest(generate_series(1, len(names))) AS pos FROM (
+    SELECT id, side, source, [lang || CAST(n_chars % 90 AS VARCHAR)] || list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,}')[1:2]) AS names FROM u)),
+hm AS (SELECT name, count(*) AS n, min(source) AS lo, max(source) AS hi FROM nm WHERE side = 0 GROUP BY name),
+fc AS (SELECT name, count(*) AS m FROM nm WHERE side = 1 GROUP BY name),
+pk AS (SELECT name, source, row_number() OVER (PARTITION BY name ORDER BY id, pos) AS k FROM nm WHERE side = 0),
+fk AS (SELECT id, name, row_number() OVER (PARTITION BY name ORDER BY id, pos) AS k FROM nm WHERE side = 1),
+cast_votes AS (
+  SELECT fk.id, CASE WHEN lo = hi THEN lo WHEN n = m THEN pk.source END AS home, lo = hi AS same
+  FROM fk JOIN hm USING (name) JOIN fc USING (name) LEFT JOIN pk ON pk.name = fk.name AND pk.k = fk.k),
+votes AS (
+  SELECT id, count(DISTINCT home) AS votes, CASE WHEN min(home) = max(home) THEN min(home) END AS name_vote,
+    CASE WHEN min(home) FILTER (same) = max(home) FILTER (same) THEN min(home) FILTER (same) END AS allsame_vote, bool_or(NOT same) AS used_ordinal
+  FROM cast_votes WHERE home IS NOT NULL GROUP BY id),
+xs AS (SELECT lower(substr(name, 1, 5)) AS stem, min(name) AS prior_name FROM (SELECT DISTINCT name FROM nm WHERE side = 0) GROUP BY 1 HAVING count(*) = 1),
+ys AS (SELECT lower(substr(name, 1, 5)) AS stem, min(name) AS name FROM (SELECT DISTINCT name FROM nm WHERE side = 1) GROUP BY 1 HAVING count(*) = 1),
+mapped AS (SELECT nm.id, nm.name, lo AS home FROM nm JOIN ys USING (name) JOIN xs USING (stem) JOIN hm ON hm.name = xs.prior_name AND lo = hi WHERE side = 1),
+ident AS (SELECT id, min(home) AS identity FROM mapped GROUP BY id HAVING min(home) = max(home)),
+ident_real AS (SELECT id, min(home) AS identity_real FROM mapped WHERE NOT """ + _REJECTED.format("name") + """ GROUP BY id HAVING min(home) = max(home)),
+minted AS (SELECT id, bool_and(len(list_filter(regexp_extract_all(name, '[0-9]+'), lambda r: length(r) >= 2 AND r NOT IN ('8', '16', '32', '64', '128', '256', '512', '1024'))) > 0) AS all_minted FROM nm GROUP BY id),
+anc AS (
+  SELECT b_id AS id, a.source AS anchor, len(list_filter(string_split(new_text, chr(10)), lambda l: NOT list_contains(string_split(old_text, chr(10)), l))) / greatest(len(string_split(new_text, chr(10))), 1) <= 0.1 AS near
+  FROM anchored JOIN a ON a.id = a_id),
 pa AS (SELECT h, count(*) AS na, min(source) AS lo, max(source) AS hi FROM a GROUP BY h), pb AS (SELECT h, count(*) AS nb FROM b GROUP BY h),
 ht AS (SELECT h, CASE WHEN na = nb AND lo = hi THEN lo END AS home, CASE WHEN na IS NULL THEN 'absent' WHEN na <> nb THEN 'count' WHEN lo <> hi THEN 'split' END AS miss FROM pb LEFT JOIN pa USING (h)),
-an AS (SELECT *, lang || '/' || (n_chars // 10) AS name, row_number() OVER (PARTITION BY lang || '/' || (n_chars // 10) ORDER BY id) - 1 AS k FROM a),
-bn AS (SELECT *, lang || '/' || (n_chars // 10) AS name, row_number() OVER (PARTITION BY lang || '/' || (n_chars // 10) ORDER BY id) - 1 AS k FROM b),
-one AS (SELECT name, min(source) AS same FROM an GROUP BY name HAVING min(source) = max(source)),
-eq AS (SELECT name FROM (SELECT name, count(*) AS n FROM an GROUP BY name) JOIN (SELECT name, count(*) AS n FROM bn GROUP BY name) USING (name, n)),
-v AS (
-  SELECT bn.id, bn.h, bn.lang, one.same, CASE WHEN eq.name IS NOT NULL THEN an.source END AS kth
-  FROM bn LEFT JOIN one USING (name) LEFT JOIN eq USING (name) LEFT JOIN an ON an.name = bn.name AND an.k = bn.k),
-p AS (
-  SELECT v.id, v.lang, ht.home AS h1, CASE WHEN same IS NOT NULL THEN same END AS s1, CASE WHEN same IS NULL THEN kth END AS o1
-  FROM v JOIN ht USING (h)),
+e AS (
+  SELECT b.id, b.lang, CASE WHEN n_chars >= 60 THEN ht.home END AS t1, coalesce(votes, 0) AS votes, name_vote, allsame_vote, used_ordinal, identity,
+    CASE WHEN identity_real <> name_vote THEN identity_real END AS t2, CASE WHEN (near OR all_minted) AND anc.anchor <> name_vote THEN anc.anchor END AS t3,
+    CASE WHEN used_ordinal THEN name_vote END AS t4, CASE WHEN NOT used_ordinal THEN name_vote END AS t5, allsame_vote AS t6, CASE WHEN votes IS NULL THEN identity END AS t7, anc.anchor AS t8
+  FROM b JOIN ht USING (h) LEFT JOIN votes USING (id) LEFT JOIN ident USING (id) LEFT JOIN ident_real USING (id) LEFT JOIN minted USING (id) LEFT JOIN anc USING (id)),
 f AS (
-  SELECT id, last_value(coalesce(h1, o1, s1) IGNORE NULLS) OVER (PARTITION BY lang ORDER BY id ROWS UNBOUNDED PRECEDING) AS home,
-    CASE WHEN h1 IS NOT NULL THEN 'hash' WHEN o1 IS NOT NULL THEN 'ordinal' WHEN s1 IS NOT NULL THEN 'allsame' ELSE 'novote' END AS tier,
-    concat_ws(';', 'hash=' || h1, 'ordinal=' || o1, 'allsame=' || s1) AS trail FROM p)
+  SELECT id, coalesce(last_value(coalesce({answers}) IGNORE NULLS) OVER (PARTITION BY lang ORDER BY id ROWS UNBOUNDED PRECEDING), (SELECT arg_min(source, id) FROM a)) AS home,
+    CASE {labels} WHEN votes > 1 THEN 'conflict' ELSE 'novote' END AS tier, concat_ws(';', {trail}) AS trail FROM e)
 """
+_TIERS = ("hash", "preempt", "anchorPreempt", "ordinal", "name", "allsame", "fill", "anchor")
 
 
-def _placed(spark: SparkSession, sf: str, disabled: frozenset[str] = frozenset()) -> DataFrame:
-    name = F.concat(F.col("lang"), F.lit("/"), F.floor(F.col("n_chars") / 10).cast("string"))
-    a, b = (s.withColumn("name", name) for s in sides(units(spark, sf)))
-    tier = placement.hash_tier(a, b, "h", "source").select("h", F.col("source").alias("hash_home"))
-    v = placement.name_votes(a, b, "name", "id", "source").join(tier, "h")
-    tiers = [("hash", F.col("hash_home")), ("ordinal", F.when(F.col("kind") == "ordinal", F.col("vote"))), ("allsame", F.when(F.col("kind") == "allsame", F.col("vote")))]
-    return placement.place(v, tiers, ["lang"], "id", disabled)
+def _place_sql(disabled: str = "") -> str:
+    on = [(f"t{i}", name) for i, name in enumerate(_TIERS, 1) if name != disabled]
+    parts = {
+        "{answers}": ", ".join(c for c, _ in on), "{labels}": " ".join(f"WHEN {c} IS NOT NULL THEN '{n}'" for c, n in on), "{trail}": ", ".join(f"'{n}=' || {c}" for c, n in on),
+    }
+    out = _PLACE
+    for k, v in parts.items():
+        out = out.replace(k, v)
+    return out.replace("WHEN votes > 1 THEN 'conflict' ", "") if disabled == "conflict" else out
+
+
+def declared_names(u: DataFrame) -> DataFrame:
+    """(id, side, source, pos, name): a slot name that counters make, and the first capitalised words of each document."""
+    words = F.array_distinct(F.slice(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0)), 1, 2))
+    names = F.concat(F.array(F.concat("lang", (F.col("n_chars") % 90).cast("string"))), words)
+    return u.select("id", "side", "source", F.posexplode(names).alias("pos", "name"))
 
 
-@query("placement_cascade", _PLACE + " SELECT id, home, tier FROM f")
+def _placed(spark: SparkSession, sf: str, disabled: frozenset[str] = frozenset()) -> DataFrame:
+    u = units(spark, sf)
+    a, b = sides(u)
+    prior, fresh = (s.drop("side") for s in sides(declared_names(u)))
+    votes = placement.statement_votes(prior, fresh.drop("source"), "source")
+    stem = F.lower(F.substring("name", 1, 5)).alias("stem")
+    x, y = (s.select("name").distinct().select(stem, "name") for s in (prior, fresh))
+    matched = gates.unique_both_sides(x.withColumnRenamed("name", "prior_name"), y, "stem", "prior_name", "name").select("name", "prior_name")
+    identity = placement.identity_votes(prior, fresh.drop("source"), matched, "source")
+    real = placement.identity_votes(prior, fresh.drop("source").where(~scalars.is_rejected_stem(F.col("name"))), matched, "source").withColumnRenamed("identity", "identity_real")
+    minted = fresh.groupBy("id").agg(F.bool_and(scalars.has_minted_number(F.col("name"))).alias("all_minted"))
+    found = anchors(spark, sf).select("a_id", F.col("b_id").alias("id")).join(a.select(F.col("id").alias("a_id"), F.col("source").alias("anchor"), F.col("text").alias("old_text")), "a_id")
+    hashes = placement.hash_tier(a, b, "h", "source").select("h", F.col("source").alias("hash_home"))
+    rows = b.join(hashes, "h")
+    for side in (votes, identity, real, minted, found.drop("a_id")):
+        rows = rows.join(side, "id", "left")
+    strong = F.col("all_minted") | (scalars.changed_line_share(F.col("text"), F.col("old_text")) <= 0.1)
+    rows = rows.withColumn("anchor_strong", F.when(strong, F.col("anchor"))).withColumn("shapeless", F.col("n_chars") < 60).drop("source", "text", "old_text")
+    first = a.agg(F.min_by("source", "id")).first()[0]
+    return placement.place_by_evidence(rows, ["lang"], "id", F.lit(first), disabled)
+
+
+@query("placement_cascade", _place_sql() + " SELECT id, home, tier FROM f")
 def placement_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """The home of each fresh record by the first of ten tiers with an answer."""
     return _placed(spark, sf).select("id", "home", "tier")
 
 
-@query("placement_trails", _PLACE + " SELECT id, tier, trail, len(string_split(trail, ';')) > 1 AND NOT (trail LIKE '%=' || home || ';%=' || home) AS dissent FROM f")
+@query("placement_trails", _place_sql() + " SELECT id, tier, trail, len(list_distinct(list_transform(string_split(trail, ';'), lambda x: split_part(x, '=', 2)))) > 1 AS dissent FROM f")
 def placement_trails(spark: SparkSession, sf: str) -> DataFrame:
     """What every tier said about each record, and whether two of them differ."""
-    p = _placed(spark, sf)
-    dissent = (F.size(F.split("trail", ";")) > 1) & ~F.coalesce(F.like("trail", F.concat(F.lit("%="), F.col("home"), F.lit(";%="), F.col("home"))), F.lit(False))
-    return p.select("id", "tier", "trail", dissent.alias("dissent"))
+    said = F.array_distinct(F.transform(F.split("trail", ";"), lambda x: F.split_part(x, F.lit("="), F.lit(2))))
+    return _placed(spark, sf).select("id", "tier", "trail", (F.size(said) > 1).alias("dissent"))
 
 
-@query("placement_stats", _PLACE + " SELECT tier, count(*) AS n, count(*) FILTER (tier = 'novote') > 0 AS residue FROM f GROUP BY tier")
+@query("placement_stats", _place_sql() + " SELECT tier, count(*) AS n, tier IN ('conflict', 'novote') AS residue FROM f GROUP BY tier")
 def placement_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _placed(spark, sf).groupBy("tier").agg(F.count(F.lit(1)).alias("n")).select("tier", "n", (F.col("tier") == "novote").alias("residue"))
+    return _placed(spark, sf).groupBy("tier").agg(F.count(F.lit(1)).alias("n")).select("tier", "n", F.col("tier").isin("conflict", "novote").alias("residue"))
 
 
-@query(
-    "placement_without_hash",
-    _PLACE.replace("h1, o1, s1", "o1, s1").replace("CASE WHEN h1 IS NOT NULL THEN 'hash' WHEN o1", "CASE WHEN o1") + " SELECT id, home, tier FROM f",
-)
-def placement_without_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """Ablation: the cascade with a tier switched off."""
-    return _placed(spark, sf, frozenset({"hash"})).select("id", "home", "tier")
+def _ablation(tier: str) -> None:
+    @query(f"placement_without_{tier}", _place_sql(tier) + " SELECT id, home, tier FROM f")
+    def ablated(spark: SparkSession, sf: str) -> DataFrame:
+        return _placed(spark, sf, frozenset({tier})).select("id", "home", "tier")
+
 
+for _tier in (*_TIERS, "conflict"):  # the cascade with one tier switched off
+    _ablation(_tier)
 
-@query("hash_tier_misses", _PLACE + " SELECT miss, count(*) AS n FROM ht GROUP BY miss")
+
+@query(
+    "hash_tier_misses",
+    UNITS
+    + """, pa AS (SELECT h, count(*) AS na, min(source) AS lo, max(source) AS hi FROM a GROUP BY h), fb AS (SELECT id, h, n_chars < 60 AS bare, count(*) OVER (PARTITION BY h) AS nb FROM b)
+SELECT CASE WHEN bare THEN 'shapeless' WHEN na IS NULL THEN 'absent' WHEN na <> nb THEN 'count' WHEN lo <> hi THEN 'split' END AS miss, count(*) AS n, 'ledger' AS prior FROM fb LEFT JOIN pa USING (h) GROUP BY 1
+UNION ALL SELECT 'no-prior-hashes', count(*), 'none' FROM b""",
+)
 def hash_tier_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """Why the hash tier placed a record or not, against a prior ledger with hashes and against one without."""
     a, b = sides(units(spark, sf))
-    return placement.hash_tier(a, b, "h", "source").groupBy("miss").agg(F.count(F.lit(1)).alias("n"))
+    tier = placement.hash_tier(a, b, "h", "source").select("h", "miss")
+    rows = b.join(tier, "h").select(F.when(F.col("n_chars") < 60, "shapeless").otherwise(F.col("miss")).alias("miss"))
+    out = rows.groupBy("miss").agg(F.count(F.lit(1)).alias("n")).withColumn("prior", F.lit("ledger"))
+    return out.unionByName(b.agg(F.count(F.lit(1)).alias("n")).select(F.lit("no-prior-hashes").alias("miss"), "n", F.lit("none").alias("prior")))
 
 
 @query("identity_tier", UNITS + ", m AS (SELECT id, split_part(unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')), ' ', 1) AS name, source, side FROM u), home AS (SELECT name, min(source) AS source FROM m WHERE side = 0 GROUP BY name HAVING min(source) = max(source)), v AS (SELECT m.id, h.source FROM m JOIN home h USING (name) WHERE side = 1 GROUP BY ALL) SELECT id, min(source) AS home FROM v GROUP BY id HAVING count(*) = 1")
@@ -153,18 +219,88 @@ def taint_closure(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("node", kind.alias("kind"))
 
 
-@query("propagation_fixpoint")
+_ORDERS = """
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus || '/' || o_orderpriority || '/' || CAST(floor(o_totalprice / 20000) AS BIGINT) AS bucket FROM orders),
+oa AS (SELECT o_orderkey AS id, bucket, -o_custkey AS parent, o_orderkey AS pos FROM o),
+ob AS (SELECT o_orderkey + 1000000000 AS id, bucket, -o_custkey - 1000000000 AS parent, o_orderkey AS pos FROM o WHERE o_orderkey % 17 <> 0),
+fixed AS (
+  SELECT 'scopeParent' AS kind, -c_custkey AS near, -c_custkey - 1000000000 AS mapped FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT 'externalRefs', 5000000000 + p_partkey, 5000000000 + p_partkey FROM part WHERE p_partkey % 5 = 0),
+na AS (
+  SELECT id, 'callee' AS kind, lead(id) OVER (PARTITION BY parent ORDER BY id) AS near FROM oa UNION SELECT id, 'caller', lag(id) OVER (PARTITION BY parent ORDER BY id) FROM oa
+  UNION SELECT id, 'scopeParent', parent FROM oa UNION SELECT l_orderkey, 'externalRefs', 5000000000 + l_partkey FROM lineitem WHERE l_orderkey IN (SELECT id FROM oa)),
+nb AS (
+  SELECT id, 'callee' AS kind, lead(id) OVER (PARTITION BY parent ORDER BY id) AS near FROM ob UNION SELECT id, 'caller', lag(id) OVER (PARTITION BY parent ORDER BY id) FROM ob
+  UNION SELECT id, 'scopeParent', parent FROM ob UNION SELECT l_orderkey + 1000000000, 'externalRefs', 5000000000 + l_partkey FROM lineitem WHERE l_orderkey + 1000000000 IN (SELECT id FROM ob)),
+sa AS (SELECT id, bucket, parent, row_number() OVER (PARTITION BY parent, bucket ORDER BY pos, id) AS k, count(*) OVER (PARTITION BY parent, bucket) AS n FROM oa),
+sb AS (SELECT id, bucket, parent, row_number() OVER (PARTITION BY parent, bucket ORDER BY pos, id) AS k, count(*) OVER (PARTITION BY parent, bucket) AS n FROM ob),
+k0 AS (
+  SELECT x.id AS old_id, y.id AS new_id, 0 AS round, 'given' AS rung FROM (SELECT bucket, min(id) AS id FROM oa GROUP BY 1 HAVING count(*) = 1) x
+  JOIN (SELECT bucket, min(id) AS id FROM ob GROUP BY 1 HAVING count(*) = 1) y USING (bucket))"""
+_KINDS = ("callee", "caller", "scopeParent", "externalRefs")
+
+
+def _propagation_sql(rounds: int) -> str:
+    """The fixpoint with every round written out."""
+    out = _ORDERS
+    for r in range(1, rounds + 1):
+        k = f"k{r - 1}"
+        stays = [" AND ".join(f"(e{j} = 0 OR h{j} = e{j})" for j in range(i + 1)) for i in range(4)]
+        some = [" OR ".join(f"e{j} > 0" for j in range(i + 1)) for i in range(4)]
+        out += f""",
+x{r} AS MATERIALIZED (
+  SELECT m.*, bucket, n0 FROM (
+    SELECT na.id AS old_id, na.kind, new_id AS mapped FROM na JOIN {k} ON na.near = old_id UNION SELECT na.id, na.kind, fixed.mapped FROM na JOIN fixed USING (kind, near)) m
+  JOIN oa ON oa.id = m.old_id JOIN (SELECT bucket, count(*) AS n0 FROM ob WHERE id NOT IN (SELECT new_id FROM {k}) GROUP BY 1) USING (bucket) WHERE m.old_id NOT IN (SELECT old_id FROM {k})),
+p{r} AS MATERIALIZED (
+  SELECT *, {', '.join(f"CASE WHEN {some[i]} THEN count(*) FILTER ({stays[i]}) OVER w ELSE n0 END AS s{i}" for i in range(4))}
+  FROM (SELECT x.old_id, nb.id AS new_id, n0, {', '.join(f"count(*) FILTER (x.kind = '{c}') AS h{i}" for i, c in enumerate(_KINDS))}
+    FROM x{r} x JOIN nb ON nb.kind = x.kind AND nb.near = x.mapped JOIN ob ON ob.id = nb.id AND ob.bucket = x.bucket WHERE nb.id NOT IN (SELECT new_id FROM {k}) GROUP BY ALL)
+  JOIN (SELECT old_id, {', '.join(f"count(*) FILTER (kind = '{c}') AS e{i}" for i, c in enumerate(_KINDS))} FROM x{r} GROUP BY 1) USING (old_id) WINDOW w AS (PARTITION BY old_id)),
+c{r} AS MATERIALIZED (
+  SELECT *, CASE {' '.join(f"WHEN e{i} > 0 AND s{i} = 1 THEN '{c}'" for i, c in enumerate(_KINDS))} END AS rung,
+    CASE {' '.join(f"WHEN e{i} > 0 AND s{i} = 1 THEN {stays[i]}" for i in range(4))} ELSE false END AS target, {stays[3]} AS stays FROM p{r}),
+f{r} AS (
+  SELECT old_id, new_id, rung FROM c{r} WHERE target
+  UNION ALL SELECT c.old_id, c.new_id, 'scopeOrdinal' FROM sa JOIN x{r} x ON x.old_id = sa.id AND x.kind = 'scopeParent' JOIN sb ON sb.parent = x.mapped AND sb.bucket = sa.bucket AND sb.k = sa.k AND sb.n = sa.n
+    JOIN c{r} c ON c.old_id = sa.id AND c.new_id = sb.id WHERE c.stays AND c.rung IS NULL),
+k{r} AS MATERIALIZED (SELECT * FROM {k} UNION ALL SELECT old_id, new_id, {r}, rung FROM (SELECT *, count(*) OVER (PARTITION BY new_id) AS claims FROM f{r}) WHERE claims = 1)"""
+    return out
+
+
+def order_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
+    """Two snapshots of the orders (the second lacks some) as a graph: (old, new, given matches, neighbours of old, of new, fixed correspondences)."""
+    o, li = t(spark, sf, "orders"), t(spark, sf, "lineitem")
+    bucket = F.concat_ws("/", "o_orderstatus", "o_orderpriority", F.floor(F.col("o_totalprice") / 20000).cast("string"))
+    shift = 1_000_000_000
+
+    def snapshot(rows: DataFrame, by: int) -> tuple[DataFrame, DataFrame]:
+        rec = rows.select((F.col("o_orderkey") + by).alias("id"), bucket.alias("bucket"), (-F.col("o_custkey") - by).alias("parent"), F.col("o_orderkey").alias("pos"))
+        w = Window.partitionBy("parent").orderBy("id")
+        near = rec.select("id", F.lit("callee").alias("kind"), F.lead("id").over(w).alias("near")).unionByName(rec.select("id", F.lit("caller").alias("kind"), F.lag("id").over(w).alias("near")))
+        near = near.where("near is not null").unionByName(rec.select("id", F.lit("scopeParent").alias("kind"), F.col("parent").alias("near")))
+        refs = li.join(rows.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+        return rec, near.unionByName(refs.select((F.col("l_orderkey") + by).alias("id"), F.lit("externalRefs").alias("kind"), (F.col("l_partkey") + 5_000_000_000).alias("near")))
+
+    (old, near_old), (new, near_new) = snapshot(o, 0), snapshot(o.where("o_orderkey % 17 <> 0"), shift)
+    c, p = t(spark, sf, "customer").where("c_custkey % 3 = 0"), t(spark, sf, "part").where("p_partkey % 5 = 0")
+    fixed = c.select(F.lit("scopeParent").alias("kind"), (-F.col("c_custkey")).alias("near"), (-F.col("c_custkey") - shift).alias("mapped"))
+    fixed = fixed.unionByName(p.select(F.lit("externalRefs").alias("kind"), (F.col("p_partkey") + 5_000_000_000).alias("near"), (F.col("p_partkey") + 5_000_000_000).alias("mapped")))
+    given = gates.unique_both_sides(old.withColumnRenamed("id", "old_id"), new.withColumnRenamed("id", "new_id"), "bucket", "old_id", "new_id").select("old_id", "new_id")
+    return old, new, given, near_old, near_new, fixed
+
+
+@query("propagation_fixpoint", _propagation_sql(10) + " SELECT * FROM k10")
 def propagation_fixpoint(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with ambiguous twins, narrowed by their matched neighbours in the same source until nothing changes."""
-    u = units(spark, sf)
-    w = Window.partitionBy("side", "source").orderBy("id")
-    e = u.select("side", F.col("id").alias("src"), F.lag("id").over(w).alias("p"), F.lead("id").over(w).alias("q"))
-    e = e.select("side", "src", F.explode(F.array("p", "q")).alias("dst")).where("dst is not null")
-    a, b = sides(u)
-    count = u.groupBy("h").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
-    pairs = a.select("h", F.col("id").alias("old_id")).join(b.select("h", F.col("id").alias("new_id")), "h").join(count, "h")
-    sure, open_ = pairs.where("na = 1 and nb = 1").select("old_id", "new_id"), pairs.where("na > 1 or nb > 1").select("old_id", "new_id")
-    return graph.propagate(open_, sure, e.where("side = 0").select("src", "dst"), e.where("side = 1").select("src", "dst"))
+    """Orders of two snapshots: the few with a bucket of their own identify their neighbours, those the next, for up to ten rounds."""
+    return graph.propagate(*order_graph(spark, sf))
+
+
+@query("propagation_rungs", _propagation_sql(10) + " SELECT round, rung, count(*) AS n, CAST(sum(CASE WHEN new_id = old_id + 1000000000 THEN 1 ELSE 0 END) AS BIGINT) AS truly FROM k10 GROUP BY ALL")
+def propagation_rungs(spark: SparkSession, sf: str) -> DataFrame:
+    """Which rung closed how many records in each round, and how many of them are the same order."""
+    k = graph.propagate(*order_graph(spark, sf))
+    return k.groupBy("round", "rung").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("new_id") == F.col("old_id") + 1_000_000_000).alias("truly"))
 
 
 @query("co_importers", "WITH e AS (SELECT DISTINCT o_custkey AS importer, l_suppkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey), s AS (SELECT target, count(*) AS importers FROM e GROUP BY target), n AS (SELECT e.target, c_nationkey AS folder, count(*) AS votes FROM e JOIN customer ON c_custkey = importer GROUP BY ALL) SELECT target, importers, folder, votes FROM n JOIN s USING (target) WHERE votes >= 0.05 * importers")

@@ -285,7 +285,7 @@ def candidate_set_groups(spark: SparkSession, sf: str) -> DataFrame:
     r"""SELECT doc_id, substr(sha256(text), 1, 16) AS h16, substr(sha1(text), 1, 8) AS h8,
   regexp_replace(string_split(text, chr(10))[1], '[A-Za-z0-9_]+', '_', 'g') AS masked_head,
   CAST(floor(log10(abs(n_chars) + 1)) AS BIGINT) AS magnitude,
-  lower(regexp_replace(source, '[_$]*[0-9]*[_$]*$', '')) AS stem,
+  lower(regexp_replace(source, '(?:Val|Var|Ref|Item|Data|Value|Instance|Obj|_?[0-9]+)+$', '')) AS stem,
   CASE WHEN regexp_matches(lang || 's', '[^s]s$') THEN regexp_replace(lang || 's', 's$', '') ELSE lang || 's' END AS singular FROM documents""",
 )
 def scalar_battery(spark: SparkSession, sf: str) -> DataFrame:
@@ -298,7 +298,7 @@ def scalar_battery(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "name_forms",
-    r"""SELECT DISTINCT p_name AS name, regexp_replace(regexp_replace(lower(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\1-\2', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS kebab,
+    r"""SELECT DISTINCT p_name AS name, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\1-\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1-\2', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS kebab,
   regexp_replace(p_name, '([.*+?^${}()|\[\]\\])', '\\\1', 'g') AS escaped,
   array_to_string(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> ''), lambda x, i: CASE WHEN i = 1 THEN x ELSE upper(x[1]) || x[2:] END), '') AS camel FROM part""",
 )
@@ -307,7 +307,8 @@ def name_forms(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("name", scalars.kebab(F.col("name")).alias("kebab"), scalars.escape_regex(F.col("name")).alias("escaped"), scalars.camel(F.col("name")).alias("camel"))
 
 
-_BLUR = r"CASE WHEN regexp_matches({0}, '^[0-9]+\.[0-9]+\.[0-9]+([-+][0-9A-Za-z.-]+)?$') THEN '__SEMVER__' WHEN regexp_matches({0}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(T[0-9:.]+Z?)?$') THEN '__ISO8601__' WHEN regexp_matches({0}, '^[0-9a-f]{{16,64}}$') THEN '__HEX__' ELSE '__STR_' || length({0}) || '__' END"
+_VOLATILE = r"CASE WHEN regexp_matches({0}, '^v?[0-9]+\.[0-9]+\.[0-9]+(?:-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?$') THEN '__VOLATILE_SEMVER__' WHEN regexp_matches({0}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(?:\.[0-9]+)?(?:Z|[+-][0-9]{{2}}:?[0-9]{{2}})?$') THEN '__VOLATILE_ISO8601__' WHEN regexp_matches({0}, '^[0-9a-fA-F]{{16,64}}$') THEN '__VOLATILE_HEX_' || length({0}) || '__' END"
+_BLUR = f"coalesce({_VOLATILE}, '__STR_' || length({{0}}) || '__')"
 
 
 @query("literal_blurring", f"SELECT token, {_BLUR.format('token')} AS blurred, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) AS token FROM documents) GROUP BY ALL")
@@ -316,14 +317,83 @@ def literal_blurring(spark: SparkSession, sf: str) -> DataFrame:
     return w.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select("token", scalars.blur_string(F.col("token")).alias("blurred"), "n")
 
 
-@query("conflict_ladder", "WITH u AS (SELECT n_name AS base, list(DISTINCT r_name) || [n_name] || CASE WHEN n_nationkey % 2 = 0 THEN [n_name || 'Val', n_name || 'Ref'] ELSE [] END AS used FROM nation, region GROUP BY n_name, n_nationkey) SELECT base, list_filter([base, base || 'Val', base || 'Ref', base || 'Item'], lambda x: NOT list_contains(used, x))[1] AS name FROM u")
+_WORDS = ", ".join(f"base || '{w}'" for w in scalars.DECORATION_WORDS)
+
+
+@query(
+    "conflict_ladder",
+    f"""
+WITH n AS (SELECT n_name AS base, n_nationkey AS k FROM nation),
+u AS (
+  SELECT base, CASE k % 4 WHEN 0 THEN [] WHEN 1 THEN [base] WHEN 2 THEN [base, {_WORDS}, base || '2']
+    ELSE [base, {_WORDS}] || list_transform(generate_series(2, 999), lambda i: base || i) || [base || 'Val2'] END AS used FROM n),
+l AS (SELECT base, used, [base, {_WORDS}] || list_transform(generate_series(2, 999), lambda i: base || i) || list_transform(generate_series(2, 2000), lambda i: base || 'Val' || i) AS ladder FROM u)
+SELECT base, list_filter(ladder, lambda x: NOT list_contains(used, x))[1] AS name FROM l""",
+)
 def conflict_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    """The first name of the ladder that is free."""
-    regions = t(spark, sf, "region").agg(F.collect_set("r_name").alias("regions"))
-    n = t(spark, sf, "nation").join(F.broadcast(regions))
-    extra = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.concat("n_name", F.lit("Val")), F.concat("n_name", F.lit("Ref")))).otherwise(F.array().cast("array<string>"))
-    used = F.concat("regions", F.array("n_name"), extra)
-    return n.select(F.col("n_name").alias("base"), scalars.conflict_free(F.col("n_name"), used).alias("name"))
+    """The first name of the ladder that is free, with no, one, most and all of its first two rungs taken."""
+    base = F.col("n_name")
+    words = [F.concat(base, F.lit(w)) for w in scalars.DECORATION_WORDS]
+    numbered = F.transform(F.sequence(F.lit(2), F.lit(999)), lambda i: F.concat(base, i.cast("string")))
+    k = F.col("n_nationkey") % 4
+    used = (
+        F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(base)).when(k == 2, F.array(base, *words, F.concat(base, F.lit("2"))))
+        .otherwise(F.concat(F.array(base, *words), numbered, F.array(F.concat(base, F.lit("Val2")))))
+    )
+    return t(spark, sf, "nation").withColumn("used", used).select(base.alias("base"), scalars.conflict_free(base, F.col("used")).alias("name"))
+
+
+@query(
+    "literal_tokens",
+    f"""
+WITH v AS (
+  SELECT 'string' AS kind, p_name AS value, p_partkey % 3 = 0 AS keep FROM part UNION ALL SELECT 'number', CAST(p_size AS VARCHAR), p_partkey % 3 = 0 FROM part
+  UNION ALL SELECT 'bigint', CAST(p_partkey AS VARCHAR), p_partkey % 3 = 0 FROM part UNION ALL SELECT 'regex', p_type || '/g', p_partkey % 3 = 0 FROM part
+  UNION ALL SELECT 'template', p_brand, p_partkey % 3 = 0 FROM part
+  UNION ALL SELECT 'string', CASE n_nationkey % 5 WHEN 0 THEN 'v1.' || n_nationkey || '.0-rc.1+b' WHEN 1 THEN '2024-01-02T03:04:' || (10 + n_nationkey) || 'Z' WHEN 2 THEN sha256(n_name) WHEN 3 THEN '2024-01-02' ELSE upper(substr(sha256(n_name), 1, 15)) END, false FROM nation)
+SELECT kind, value, keep, CASE kind WHEN 'string' THEN 'S=' || CASE WHEN keep THEN '"' || value || '"' ELSE {_BLUR.format('value')} END
+  WHEN 'number' THEN 'N=' || CASE WHEN keep THEN value WHEN value = '0' THEN '0' ELSE CAST(CAST(floor(log10(abs(TRY_CAST(value AS DOUBLE)) + 1)) AS BIGINT) AS VARCHAR) END
+  WHEN 'bigint' THEN 'B=' || CASE WHEN keep THEN value ELSE '0' END WHEN 'regex' THEN 'R=' || value
+  ELSE 'Q=' || CASE WHEN keep THEN '"' || value || '"' ELSE coalesce({_VOLATILE.format('value')}, CAST(length(value) AS VARCHAR)) END END AS token, count(*) AS n FROM v GROUP BY ALL""",
+)
+def literal_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """What literals of every kind add to a structural hash, blurred or kept."""
+    p, n = t(spark, sf, "part"), t(spark, sf, "nation")
+    keep = (F.col("p_partkey") % 3 == 0).alias("keep")
+    kinds = {"string": F.col("p_name"), "number": F.col("p_size").cast("string"), "bigint": F.col("p_partkey").cast("string"), "regex": F.concat("p_type", F.lit("/g")), "template": F.col("p_brand")}
+    k, key = F.col("n_nationkey") % 5, F.col("n_nationkey")
+    odd = (
+        F.when(k == 0, F.concat(F.lit("v1."), key.cast("string"), F.lit(".0-rc.1+b"))).when(k == 1, F.concat(F.lit("2024-01-02T03:04:"), (key + 10).cast("string"), F.lit("Z")))
+        .when(k == 2, F.sha2("n_name", 256)).when(k == 3, F.lit("2024-01-02")).otherwise(F.upper(F.substring(F.sha2("n_name", 256), 1, 15)))
+    )
+    every = n.select(F.lit("string").alias("kind"), odd.alias("value"), F.lit(False).alias("keep"))
+    for kind, value in kinds.items():
+        every = every.unionByName(p.select(F.lit(kind).alias("kind"), value.alias("value"), keep))
+    return every.groupBy("kind", "value", "keep").agg(F.count(F.lit(1)).alias("n")).select("kind", "value", "keep", scalars.literal_token(F.col("kind"), F.col("value"), F.col("keep")).alias("token"), "n")
+
+
+_NAMES = "['appInitializer' || n_nationkey, 'float64Error', 'sha256Hasher' || n_nationkey, 'andTaskPipeline', 'themeEngine', 'noop', 'userVal' || n_nationkey, 'placeholderThing', 'a', 'emptyHandler', n_name || 'Instance' || n_nationkey, 'XMLParser' || 'Ref', 'HTTPServerData_2', 'resultValue']"
+
+
+@query(
+    "stem_predicates",
+    rf"""
+WITH v AS (SELECT DISTINCT unnest({_NAMES}) AS name FROM nation),
+m AS (SELECT name, len(list_filter(regexp_extract_all(name, '[0-9]+'), lambda r: length(r) >= 2 AND r NOT IN ('8', '16', '32', '64', '128', '256', '512', '1024'))) > 0 AS minted FROM v)
+SELECT name, minted, minted OR regexp_matches(name, '^(?:no[-_]?ops?\w*|doNothing\w*|silent[-_]?noops?\w*|empty(?:function|callback|operation|handler)s?\d*|idle[-_]?operation\d*|initializeModule\d+|placeholder\w*|_+\d*|reactLib\d+|\w+Val\d*)$', 'i')
+    OR regexp_matches(name, '^(?:and|or|but|nor|the|an|a)(?:[A-Z0-9]|$)') AS rejected,
+  lower(regexp_replace(name, '(?:Val|Var|Ref|Item|Data|Value|Instance|Obj|_?[0-9]+)+$', '')) AS stem FROM m""",
+)
+def stem_predicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Which names carry a minted number, which must not become stems, and the stem of each."""
+    key = F.col("n_nationkey").cast("string")
+    names = F.array(
+        F.concat(F.lit("appInitializer"), key), F.lit("float64Error"), F.concat(F.lit("sha256Hasher"), key), F.lit("andTaskPipeline"), F.lit("themeEngine"), F.lit("noop"), F.concat(F.lit("userVal"), key),
+        F.lit("placeholderThing"), F.lit("a"), F.lit("emptyHandler"), F.concat("n_name", F.lit("Instance"), key), F.lit("XMLParserRef"), F.lit("HTTPServerData_2"), F.lit("resultValue"),
+    )
+    v = t(spark, sf, "nation").select(F.explode(names).alias("name")).distinct()
+    name = F.col("name")
+    return v.select("name", scalars.has_minted_number(name).alias("minted"), scalars.is_rejected_stem(name).alias("rejected"), scalars.name_stem(name).alias("stem"))
 
 
 @query("canonical_json", "SELECT event_id, '{' || array_to_string(list_transform(list_sort(json_keys(props)), lambda k: '\"' || k || '\":' || CAST(json_extract(props, '$.' || k) AS VARCHAR)), ',') || '}' AS body FROM events")

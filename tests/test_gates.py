@@ -134,13 +134,39 @@ def test_wave_sizes_have_every_wave_and_cycles_apart(spark):
     assert graph.wave_sizes(nodes.limit(0), edges).count() == 0
 
 
+RECORDS, NEAR, FIXED = "id long, bucket string, parent long, pos long", "id long, kind string, near long", "kind string, near long, mapped long"
+
+
+def _propagated(spark, old, new, near_old, near_new, fixed=(), sure=((0, 10),)):
+    frames = [(old, RECORDS), (new, RECORDS), (sure, "old_id long, new_id long"), (near_old, NEAR), (near_new, NEAR), (fixed, FIXED)]
+    return rows(graph.propagate(*[spark.createDataFrame(list(x), s) for x, s in frames]).where("round > 0"), "old_id", "new_id", "round", "rung")
+
+
 def test_propagation_unlocks_in_rounds(spark):
-    # 0 is matched; 1 touches 0, 2 touches 1: two rounds. 5 and 6 are interchangeable and stay open.
-    cand = spark.createDataFrame([(1, 11), (1, 12), (2, 11), (2, 12), (5, 15), (5, 16), (6, 15), (6, 16)], "old_id long, new_id long")
-    sure = spark.createDataFrame([(0, 10)], "old_id long, new_id long")
-    old = spark.createDataFrame([(1, 0), (2, 1)], "src long, dst long")
-    new = spark.createDataFrame([(11, 10), (12, 11)], "src long, dst long")
-    assert rows(graph.propagate(cand, sure, old, new), "old_id", "new_id") == [(0, 10), (1, 11), (2, 12)]
+    # 0 is matched; 1 calls 0, 2 calls 1: two rounds. 5 and 6 have no evidence and stay open, 7 is alone in its bucket without evidence.
+    old = [(i, b, None, i) for i, b in ((0, "a"), (1, "b"), (2, "b"), (5, "c"), (6, "c"), (7, "d"))]
+    new = [(i, b, None, i) for i, b in ((10, "a"), (11, "b"), (12, "b"), (15, "c"), (16, "c"), (17, "d"))]
+    assert _propagated(spark, old, new, [(1, "callee", 0), (2, "callee", 1)], [(11, "callee", 10), (12, "callee", 11)]) == [(1, 11, 1, "callee"), (2, 12, 2, "callee")]
+
+
+def test_propagation_rungs_decide_in_order(spark):
+    old = [(0, "a", None, 0), *[(i, "b", 900, i) for i in (1, 2, 3)], (4, "z", 900, 4)]
+    new = [(10, "a", None, 0), *[(i, "b", 901, i) for i in (11, 12, 13)], (14, "z", 902, 4), (15, "z", 903, 5)]
+    fixed = [("scopeParent", 900, 901), ("externalRefs", 50, 60), ("externalRefs", 51, 61)]
+    parent = lambda r: [(i, "scopeParent", p) for i, _, p, _ in r if p]
+    # Position under the matched parent decides 1, 2 and 3; no candidate of 4 has that parent: a contradiction.
+    assert _propagated(spark, old, new, parent(old), parent(new), fixed) == [(i, i + 10, 1, "scopeOrdinal") for i in (1, 2, 3)]
+    # References come after the parent and close 2; a callee comes before it and closes 3; a caller that nobody has is a contradiction for 1.
+    more_old = [*parent(old), (2, "externalRefs", 50), (3, "callee", 0), (1, "caller", 0)]
+    more_new = [*parent(new), (13, "externalRefs", 60), (11, "callee", 10)]
+    got = _propagated(spark, old, new, more_old, more_new, fixed)
+    assert (3, 11, 1, "callee") in got and (2, 13, 1, "externalRefs") in got and not [g for g in got if g[0] in (1, 4)]
+
+
+def test_propagation_refuses_a_double_claim(spark):
+    old = [(0, "a", None, 0), (1, "b", None, 1), (2, "b", None, 2)]
+    new = [(10, "a", None, 0), (11, "b", None, 1), (12, "b", None, 2)]
+    assert _propagated(spark, old, new, [(1, "callee", 0), (2, "callee", 0)], [(11, "callee", 10)]) == []
 
 
 def test_cascade_conserves_and_is_order_free(spark):
@@ -154,6 +180,76 @@ def test_cascade_conserves_and_is_order_free(spark):
     assert run(old.repartition(3).orderBy(F.rand(1)), new.repartition(2).orderBy(F.rand(2))) == want
 
 
+CASCADE = "id long, bucket string, m string, p string, k1 string, k2 string, k3 string, k4 string, parent long, sh array<string>"
+
+
+def _one_bucket(spark, old, new, known=(), partners=()):
+    """Cascade over records given by what they have beside the bucket they share."""
+    base = {"bucket": "b", "m": "m", "p": "p", "k1": "1", "k2": "2", "k3": "3", "k4": "4", "parent": None, "sh": ["x"]}
+    frame = lambda rs: spark.createDataFrame([tuple({**base, **r, "id": i}[c.split()[0]] for c in CASCADE.split(", ")) for i, r in rs], CASCADE)
+    pairs = lambda ps: spark.createDataFrame(list(ps), "old_id long, new_id long") if ps else None
+    names = [("memberKey", "m", True, 1), ("calleeShapes", "k1", False, 1), ("callerShapes", "k2", False, 1), ("calleeHashes", "k3", False, 1), ("twoHopShapes", "k4", False, 2)]
+    tiers = [matching.KeyTier(*t) for t in names]
+    got = matching.cascade(frame(old), frame(new), "bucket", [("m", "m"), ("p", "p")], tiers, "sh", resolver=pairs(known), partners=pairs(partners), parent="parent")
+    return {r["old_id"]: (r["new_id"], r["tier"], r["pool"], r["state"]) for r in got.collect()}
+
+
+@pytest.mark.parametrize(
+    ("differs", "tier"), [({"m": "o"}, "memberKey"), ({"k1": "o"}, "calleeShapes"), ({"k2": "o"}, "callerShapes"), ({"k3": "o"}, "calleeHashes"), ({"k4": "o"}, "twoHopShapes"), ({"sh": ["y"]}, "shingleSimilarity")]
+)
+def test_each_cascade_tier_decides_alone(spark, differs, tier):
+    assert _one_bucket(spark, [(1, {})], [(11, {}), (12, differs)])[1] == (11, tier, 0, "")
+
+
+def test_emptied_pools_end_the_search(spark):
+    two = lambda **k: [(11, k), (12, k)]
+    assert _one_bucket(spark, [(1, {})], two(m="o"))[1] == (None, "ambiguous", 2, "")
+    assert _one_bucket(spark, [(1, {})], [(11, {"k1": "o"}), (12, {"k1": "o"}), (13, {"m": "o"})])[1] == (None, "ambiguous", 2, "")  # the pool of memberKey
+    # Two-hop shapes empty the pool: what the caller shapes left is kept, 13 among it.
+    assert _one_bucket(spark, [(1, {})], [*two(k4="o"), (13, {"k3": "o"})])[1] == (None, "ambiguous", 3, "")
+    assert _one_bucket(spark, [(1, {"sh": []})], two())[1] == (None, "ambiguous", 2, "")
+
+
+def test_identity_and_partners_come_before_weaker_tiers(spark):
+    new = [(11, {"k1": "o"}), (12, {})]
+    assert _one_bucket(spark, [(1, {})], new)[1] == (12, "calleeShapes", 0, "")
+    assert _one_bucket(spark, [(1, {})], new, known=[(1, 11)])[1] == (11, "identity", 0, "")
+    assert _one_bucket(spark, [(1, {})], new, partners=[(1, 11)])[1] == (11, "enclosingStatement", 0, "")
+    assert _one_bucket(spark, [(1, {})], [(11, {"m": "o"}), (12, {}), (13, {"k1": "o"})], partners=[(1, 11)])[1] == (12, "calleeShapes", 0, "")  # not in the pool of its member key
+    assert _one_bucket(spark, [(1, {})], new, known=[(1, 99)])[1] == (12, "calleeShapes", 0, "")  # not in the bucket
+
+
+def test_crossed_parents_revoke_and_double_claims_demote(spark):
+    old = [(1, {"parent": 5}), (5, {"bucket": "q"})]
+    new = [(11, {"parent": 16}), (12, {}), (15, {"bucket": "q"}), (16, {"bucket": "r"})]
+    assert _one_bucket(spark, old, new, partners=[(1, 11)])[1] == (None, "ambiguous", 2, "revoked")  # 5 went to 15, not to 16
+    assert _one_bucket(spark, old, [(11, {"parent": 15}), *new[1:]], partners=[(1, 11)])[1] == (11, "enclosingStatement", 0, "")
+    twice = _one_bucket(spark, [(1, {}), (2, {})], [(11, {}), (12, {"m": "o"})])
+    assert twice == {1: (None, "ambiguous", 2, "demoted"), 2: (None, "ambiguous", 2, "demoted")}
+
+
+def test_ten_placement_tiers(spark):
+    cols = "id long, lang string, hash_home string, shapeless boolean, votes long, name_vote string, allsame_vote string, used_ordinal boolean, identity string, identity_real string, anchor string, anchor_strong string"
+    none = [None] * 8
+    rows_ = [
+        (1, "x", None, False, *none), (2, "x", "A", False, 1, "B", "B", False, "C", "C", "D", "D"), (3, "x", "A", True, 1, "B", "B", False, "C", "C", "D", "D"), (4, "x", None, False, 1, "B", "B", False, "C", "B", "D", "D"),
+        (5, "x", None, False, 1, "B", None, True, "B", "B", "B", "B"), (6, "x", None, False, 1, "B", "B", False, None, None, None, None), (7, "x", None, False, 2, None, "E", True, "C", "C", "D", "D"),
+        (8, "x", None, False, None, None, None, None, "F", None, "G", None), (9, "x", None, False, None, None, None, None, None, None, "G", None), (10, "x", None, False, 2, None, None, True, "H", "H", None, None), (11, "x", None, False, *none),
+    ]
+    df = spark.createDataFrame(rows_, cols)
+    got = {r["id"]: (r["home"], r["tier"]) for r in placement.place_by_evidence(df, ["lang"], "id", F.lit("first")).collect()}
+    assert got == {
+        1: ("first", "novote"), 2: ("A", "hash"), 3: ("C", "preempt"), 4: ("D", "anchorPreempt"), 5: ("B", "ordinal"), 6: ("B", "name"), 7: ("E", "allsame"), 8: ("F", "fill"), 9: ("G", "anchor"), 10: ("G", "conflict"), 11: ("G", "novote"),
+    }
+
+
+def test_names_vote_by_home_or_by_order(spark):
+    prior = spark.createDataFrame([(1, 0, "a", "F"), (2, 0, "a", "F"), (3, 0, "b", "F"), (4, 0, "b", "G"), (5, 0, "c", "F"), (6, 0, "c", "G")], "id long, pos int, name string, home string")
+    fresh = spark.createDataFrame([(11, 0, "a"), (12, 0, "b"), (13, 0, "b"), (14, 0, "c"), (15, 0, "a"), (15, 1, "b2")], "id long, pos int, name string")
+    got = rows(placement.statement_votes(prior, fresh, "home"), "id", "name_vote", "used_ordinal")
+    assert got == [(11, "F", False), (12, "F", True), (13, "G", True), (15, "F", False)]  # c: two homes, one declaration: silent
+
+
 def test_self_match_is_total(spark):
     df = spark.createDataFrame([(i, f"h{i % 7}" if i < 7 else "same") for i in range(10)], "id long, h string")
     got = matching.twin_match(df, df, "h")
@@ -188,7 +284,41 @@ def test_scalars(spark):
         scalars.blur_string(F.col("a")), scalars.kebab(F.col("b")), scalars.camel(F.col("b")), scalars.name_stem(F.col("c")), scalars.magnitude(F.col("d")),
         scalars.conflict_free(F.lit("x"), F.array(F.lit("x"), F.lit("xVal"))), scalars.singular(F.lit("boxes")),
     ).first()
-    assert tuple(r) == ("__SEMVER__", "foo-bar-baz", "foobarBaz", "name", 3, "xRef", "box")
+    assert tuple(r) == ("__VOLATILE_SEMVER__", "foo-bar-baz", "foobarBaz", "name", 3, "xVar", "box")
+
+
+def test_exact_scalar_values(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    blurred = {"v1.2.3-rc.1+b": "__VOLATILE_SEMVER__", "2024-01-02": "__STR_10__", "2024-01-02T03:04:05Z": "__VOLATILE_ISO8601__", "A" * 16: "__VOLATILE_HEX_16__", "A" * 15: "__STR_15__"}
+    for value, want in blurred.items():
+        assert one(scalars.blur_string(F.lit(value))) == want
+    assert one(scalars.kebab(F.lit("XMLHttpRequestID"))) == "xml-http-request-id"
+    stems = {"userVal2": "user", "compareResult": "compareresult", "dataItem_3Ref": "data", "fooInstance": "foo", "Val": ""}
+    for name, want in stems.items():
+        assert one(scalars.name_stem(F.lit(name))) == want
+    rejected = {"appInitializer17": True, "float64Error": False, "theTaskRunner": True, "themeEngine": False, "noop": True, "thingVal": True, "sha256Hasher": False}
+    for name, want in rejected.items():
+        assert one(scalars.is_rejected_stem(F.lit(name))) == want
+    assert one(scalars.carries_no_content(F.lit("var a, b;"))) and not one(scalars.carries_no_content(F.lit("var a = 1;")))
+    assert one(scalars.canonical_json_text(F.lit('{"b": [{"d": 1, "c": null}], "a": "x"}'))) == '{"a":"x","b":[{"c":null,"d":1}]}'
+    assert one(scalars.leaf_paths(F.lit('{"b": [{"d": 1, "c": null}], "a": {}}'))) == ["a", "b[0].c", "b[0].d"]
+    assert tuple(one(scalars.edited_line_counts(F.lit("a\na\nb"), F.lit("a\nc\nd")))) == (2, 2)
+    paths = {("src/a/x.js", "src/a/y.js"): "./y.js", ("src/a/x.js", "src/b/c/y.js"): "../b/c/y.js", ("x.js", "lib/y.js"): "./lib/y.js", ("a/b/x.js", "y.js"): "../../y.js"}
+    for (source, target), want in paths.items():
+        assert one(scalars.relative_import(F.lit(source), F.lit(target))) == want
+    assert one(scalars.mask_name(F.lit("foo(food, foo)"), F.lit("foo"))) == "_(food, _)"
+
+
+def test_similar_sets_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    make = lambda base: [(base + i, rng.sample("abcdefghijkl", rng.randrange(0, 9))) for i in range(60)]
+    a, b = make(0), make(100)
+    frame = lambda r: spark.createDataFrame(r, "id long, items array<string>")
+    for floor in (0.34, 0.5, 0.6):
+        want = sorted((i, j) for i, x in a for j, y in b if x and y and set(x) & set(y) and len(set(x) & set(y)) / len(set(x) | set(y)) >= floor)
+        assert rows(similarity_join.similar_sets(frame(a), frame(b), floor), "a_id", "b_id") == want
 
 
 def test_empty_tables(spark):
