@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors see: what spark.checkpoint.dir names, else one in the warehouse, which they share too."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/kinspark-work"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop into the folder that spark.checkpoint.dir names (a temporary one where it is unset)."""
+    """Cut the lineage of a loop into the shared folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinspark-"))
+        sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinspark.operators.graph import settle
+
 
 def ordinal_in_group(df: DataFrame, key: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
     """Rank from 0 in a group, null where a record is alone in it."""
@@ -118,3 +120,23 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
     both = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(kinds[value])).unionByName(right.select(key, at, F.lit(0).alias("_side"), F.col(value).alias("_v")), allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_v")
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, at: str) -> DataFrame:
+    """Left rows with ``nearest``: the position of the right row of their key that is nearest to theirs, ties to the earlier one; no range join."""
+    both = left.withColumn("_side", F.lit(1)).withColumn("_p", F.lit(None).cast(dict(right.dtypes)[at])).unionByName(right.select(key, at, F.lit(0).alias("_side"), F.col(at).alias("_p")), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(at, "_side")
+    before = F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("_p", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    out = both.withColumn("_b", before).withColumn("_a", after).where("_side = 1")
+    later = F.col("_b").isNull() | (F.col("_a") - F.col(at) < F.col(at) - F.col("_b"))
+    return out.withColumn("nearest", F.when(later, F.col("_a")).otherwise(F.col("_b"))).drop("_side", "_p", "_a", "_b")
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the place of every row in a total order, from 1: ranges are sorted on their own and start where the counts before them end."""
+    ranged = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, place.cast("long")).drop("_part", "_before")

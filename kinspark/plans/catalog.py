@@ -6,3 +6,4 @@ from kinspark.plans import q_window  # noqa: F401
 from kinspark.plans import q_place  # noqa: F401
 from kinspark.plans import q_source  # noqa: F401
 from kinspark.plans import q_more  # noqa: F401
+from kinspark.plans import q_full  # noqa: F401

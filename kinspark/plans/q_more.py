@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -216,9 +214,10 @@ def pool_assignment(spark: SparkSession, sf: str) -> DataFrame:
         by_customer = Window.partitionBy("o_custkey").orderBy("id")
         # The session is cut into runs of a thousand ids, so that no window holds the whole table.
         session = Window.partitionBy(F.floor(F.col("pos") / 1000)).orderBy("id")
-        cols = [("prev", F.lag("id").over(session), 1), ("next", F.lead("id").over(session), 1), ("caller", F.lag("id").over(by_customer), 2), ("callee", F.lead("id").over(by_customer), 2)]
-        rows = df.select("id", "bucket", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("near"), F.lit(w).alias("weight")) for k, c, w in cols])).alias("x"))
-        return rows.select("id", "bucket", "x.*").where("near is not null")
+        at = df.select("id", "bucket", F.lag("id").over(session).alias("prev"), F.lead("id").over(session).alias("next"), F.lag("id").over(by_customer).alias("caller"), F.lead("id").over(by_customer).alias("callee"))
+        kinds = [("prev", 1), ("next", 1), ("caller", 2), ("callee", 2)]
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("near"), F.lit(w).alias("weight")) for k, w in kinds]))
+        return at.select("id", "bucket", each.alias("x")).select("id", "bucket", "x.*").where("near is not null")
 
     x = near(old).join(pools, "bucket", "left_semi").join(given, F.col("near") == F.col("old_id")).select(F.col("id").alias("old_id"), "bucket", "kind", "weight", F.col("new_id").alias("near"))
     y = near(new).select(F.col("id").alias("new_id"), "bucket", "kind", "near")
@@ -325,12 +324,11 @@ def shingle_cap(spark: SparkSession, sf: str) -> DataFrame:
     return first.groupBy("id").agg(F.least(F.count(F.lit(1)), F.lit(2048)).cast("long").alias("kept"), F.count(F.lit(1)).alias("shingles"), F.max("at").alias("last_at"))
 
 
-@query("multi_key_order", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity) AS place FROM lineitem QUALIFY place <= 100")
+@query("multi_key_order", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity) AS place FROM lineitem")
 def multi_key_order(spark: SparkSession, sf: str) -> DataFrame:
-    """The hundred highest scores with all ties decided (a report of the top)."""
-    top = t(spark, sf, "lineitem").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").limit(100)
-    w = Window.orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    return top.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.row_number().over(w).cast("long").alias("place"))
+    """The place of every row by score, then by all that decides ties."""
+    keys = [F.col("l_extendedprice").desc(), *[F.col(c).asc() for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")]]
+    return windows.global_rank(t(spark, sf, "lineitem"), keys, "place").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "place")
 
 
 @query("barrier_order", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY role, length(text), turn) - 1 AS seq FROM conversations")
@@ -401,11 +399,10 @@ def leaf_paths(spark: SparkSession, sf: str) -> DataFrame:
 @query("streaming_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS s FROM events), k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '6 hours' AS end_, count(*) AS n FROM k GROUP BY user_id, session")
 def streaming_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions that a pause of six hours closes, from the stream of events."""
-    e = t(spark, sf, "events")
-    name = f"sessions_{uuid.uuid4().hex}"
+    e, work = t(spark, sf, "events"), _working(spark)
     stream = streams.sessions(streams.read_stream(spark, f"{sf}/events.parquet", e.schema), "6 hours")
-    stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", _working(spark)).start().awaitTermination()
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end_", F.col("end_").cast("timestamp_ntz"))
+    done = streams.complete_to_table(stream, spark, f"{work}/out", f"{work}/state")
+    return done.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end_", F.col("end_").cast("timestamp_ntz"))
 
 
 @query("streaming_wave_barrier", "SELECT event_type, count(*) AS applied FROM events GROUP BY event_type")

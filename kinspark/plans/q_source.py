@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinspark.functions import scalars
 from kinspark.operators import matching
+from kinspark.operators.graph import shared_dir
 from kinspark.plans.common import LINES, UNITS, sides, t, units
 from kinspark.plans.registry import query
 from kinspark.sources import readers, sinks
@@ -169,19 +169,16 @@ def statement_alignment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _working(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinspark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
 @query("streaming_rate_windows", "SELECT time_bucket(INTERVAL '6 hours', ts) AS at, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def streaming_rate_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The stream of events through tumbling windows, driven to its end in complete mode."""
-    e = t(spark, sf, "events")
-    stream = streams.read_stream(spark, f"{sf}/events.parquet", e.schema)
-    name = f"rate_{uuid.uuid4().hex}"
-    q = streams.rate_windows(stream, "6 hours").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", _working(spark)).start()
-    q.awaitTermination()
-    return spark.table(name).withColumn("total", F.round("total", 6)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    e, work = t(spark, sf, "events"), _working(spark)
+    stream = streams.rate_windows(streams.read_stream(spark, f"{sf}/events.parquet", e.schema), "6 hours")
+    done = streams.complete_to_table(stream, spark, f"{work}/out", f"{work}/state")
+    return done.withColumn("total", F.round("total", 6)).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 @query("streaming_first_claimant", "SELECT user_id AS target, first(event_id ORDER BY event_id) AS claimant FROM events GROUP BY user_id")

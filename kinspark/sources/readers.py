@@ -15,11 +15,28 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def tree(spark: SparkSession, root: str, pattern: str = "*.txt", skip: str = "vendor") -> DataFrame:
-    """Whole files below a directory, without those under a skipped folder."""
+def tree(spark: SparkSession, root: str, pattern: str = "*.txt", skip: str = "node_modules") -> DataFrame:
+    """Whole files below a directory, without those in a folder named ``skip`` at any depth below it."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     files = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return files.where(~F.col("path").contains(f"/{skip}/"))
+    name = root.rstrip("/").rpartition("/")[2]
+    below = F.split(F.substring_index("path", f"/{name}/", -1), "/")
+    return files.where(~F.array_contains(F.slice(below, F.lit(1), F.size(below) - 1), skip))
+
+
+def records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Committed records of a run: JSON lines of a known schema; fields they lack are null."""
+    return spark.read.schema(schema).json(path)
+
+
+def detect_kind(spark: SparkSession, path: str) -> str:
+    """The format of a folder by the endings of its files; text where none is known."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    for kind in ("parquet", "orc", "json", "csv"):
+        if any(n.endswith(f".{kind}") for n in names):
+            return kind
+    return "text"
 
 
 def statements(df: DataFrame, key: str, text: str, separator: str = "\n") -> DataFrame:

@@ -10,6 +10,11 @@ def write_tree(df: DataFrame, path: str, by: str = "file") -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def write_text_tree(df: DataFrame, path: str, by: str) -> None:
+    """Text files in one folder for each value of ``by``."""
+    df.write.mode("overwrite").partitionBy(by).text(path)
+
+
 def ledger(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """Rows back to parallel arrays, in order."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *columns)))
@@ -22,6 +27,12 @@ def frame_fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(each).cast("string").alias("fingerprint"))
 
 
+def frame_fingerprint_md5(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(rows, fingerprint) by the first 13 hex digits of each row's MD5, summed: other engines can say the same."""
+    each = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])), 1, 13), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(each).cast("string").alias("fingerprint"))
+
+
 def apply_spans(text: Column, spans: Column) -> Column:
     """The text with spans (start, end, value; ends exclusive, not overlapping) replaced from right to left."""
     return F.aggregate(

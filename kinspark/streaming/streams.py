@@ -65,3 +65,16 @@ def run_to_table(stream: DataFrame, spark: SparkSession, path: str, checkpoint:
     """Drive a stream over everything available into Parquet and read it back."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path)
+
+
+def complete_to_table(stream: DataFrame, spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
+    """Drive an aggregating stream over everything available in complete mode; the last batch's whole result is written by the executors and read back."""
+    schema = stream.schema
+    last: list[int] = []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{n}")
+        last.append(n)
+
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/{max(last)}") if last else spark.createDataFrame([], schema)
