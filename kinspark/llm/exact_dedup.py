@@ -5,8 +5,9 @@ after lower-casing A-Z; of equal texts the row with the largest id stays.
 
 Defined results: a null text counts as the empty text; rows with a null id rank
 below every id; a row that repeats another one (same id, equal text) is dropped
-like any copy, so that exactly one row of each group stays; an empty table gives
-an empty result.
+like any copy, so that exactly one row of each group stays; a very long text is hashed
+whole; other columns, whatever their names, are not read, and ``drop_copies`` returns
+them as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,23 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.llm.shared import scratch, stored, with_columns_renamed_free
+from kinspark.llm.shared import scratch, small, stored, with_columns_renamed_free
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Ids up to this many are broadcast (24 MB as a hashed relation); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
-
 
 def folded(text: Column) -> Column:
     """The text with A-Z lower-cased and nothing else changed; null becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    """Broadcast a checked number of ids; beyond that leave the join to a shuffle."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-
-
 def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, digest_all: bool = False) -> DataFrame:
     """One row per document: (id, keep_id, group_size, kept, text_sha256).
 
@@ -54,7 +47,7 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if digest_all:
         hashed = alive
     else:
-        ids = _small(alive.select(F.col("doc_id").alias("_alive")).distinct())
+        ids = small(alive.select(F.col("doc_id").alias("_alive")).distinct())
         full = docs.select(id_col, text_col).join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("_alive")), "left_semi")
         hashed = stored(full.select(*keys, sha.alias("text_sha256")), "exact_survivors").join(heads, ["length", "prefix_hash"], "left_semi")
     key = ["length", "prefix_hash", "text_sha256"]
@@ -85,7 +78,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     null_gone = gone.where(F.col(mark).isNull()).limit(1).count() > 0
     if repeats or null_gone:
         return _drop_repeats(docs, found, id_col, text_col, mark)
-    return docs.join(_small(gone), docs[id_col].cast("long") == F.col(mark), "left_anti")
+    return docs.join(small(gone), docs[id_col].cast("long") == F.col(mark), "left_anti")
 
 
 def _drop_repeats(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, mark: str) -> DataFrame:

@@ -15,39 +15,45 @@ of the hash, and only the bucket in which the count runs out is ranked.
 
 Defined results: a null or blank text has size 0 and is taken 0 times; a null source
 is a source of its own, ordered last; rows that repeat are counted and taken one by
-one; null ids are allowed; an empty table gives an empty result.
+one; null ids are allowed; a very long text is one document of its length, taken whole or not; other
+columns, whatever their names, are not read, and ``take_mix`` returns them as they are; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.llm.shared import map_arrow, scratch, slices, stored, text_buffers, with_columns_renamed_free
-from kinspark.llm.words import mix, word_counts
+from kinspark.llm.shared import batches_of_texts, scratch, slices, stored, text_buffers, with_columns_renamed_free
+from kinspark.llm.words import word_counts
 
 #: Words that the knapsack closes; the bits of its table of reachable sums.
 KNAPSACK_WINDOW = 1 << 16
-#: Reachable sums up to which a budget beyond the window is fitted exactly.
+#: Reachable sums up to which a budget beyond the window is fitted exactly, and additions that may be spent on finding them.
 SPARSE_SUMS = 1 << 18
-_BUCKETS = 256
+SPARSE_STEPS = 1 << 19
+#: Rows (source, length) up to which a mix's decisions are broadcast, about 20 MB.
+BROADCAST_LENGTHS = 200_000
+_NO_ID = -(2**63)
+
+
+def _ticket(doc_id: Column, seed: int) -> Column:
+    """The place of a document in the seeded order of its length."""
+    return F.xxhash64(F.lit(seed), doc_id)
 
 
-def _sizes(seed: int):
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            n = word_counts(*text_buffers(part.column("text"))).astype(np.int64)
-            ids = part.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype(np.int64)
-            ticket = mix(mix(ids.view(np.uint64) + np.uint64(seed)) ^ np.uint64(0xB5297A4D3F84D5B5))
-            bucket = (ticket >> np.uint64(56)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(n), pa.array(bucket), pa.array(ticket.view(np.int64))], ["doc_id", "source", "size", "bucket", "ticket"])
+def _size_of():
+    @F.pandas_udf("long")
+    def size_of(texts: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+        out = [word_counts(*text_buffers(part.column(0))) for part in slices([batch], "text")]
+        return pd.Series(np.concatenate(out) if out else np.zeros(0, np.int64))
 
-    return kernel, "doc_id long, source string, size long, bucket int, ticket long"
+    return size_of
 
 
 def target_sizes(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -103,17 +109,22 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
 
 
 def sparse_knapsack(lengths: np.ndarray, spare: np.ndarray, budget: int, order: np.ndarray, limit: int = SPARSE_SUMS) -> dict[int, int] | None:
-    """As ``bounded_knapsack``, with the reachable sums as a set; None where there are more than ``limit``."""
+    """As ``bounded_knapsack``, with the reachable sums as a set; None where there are more than ``limit`` or they take more than SPARSE_STEPS additions."""
     came: dict[int, tuple[int, int, int]] = {0: (0, -1, 0)}
+    steps = 0
     for i in order.tolist():
         length, n = int(lengths[i]), int(spare[i])
         if length <= 0 or n <= 0 or length > budget:
             continue
         for base in list(came):
-            for k in range(1, min(n, (budget - base) // length) + 1):
+            most = min(n, (budget - base) // length)
+            steps += most
+            if steps > SPARSE_STEPS or len(came) + most > 2 * limit:
+                return None
+            for k in range(1, most + 1):
                 came.setdefault(base + k * length, (base, i, k))
-                if len(came) > limit:
-                    return None
+        if len(came) > limit:
+            return None
         if budget in came:
             break
     at, out = max(came), {}
@@ -172,16 +183,26 @@ def mix_to_targets(
     docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
     """One row per row of ``docs``: (doc_id, source, size, source_size, target, copies, taken)."""
-    kernel, schema = _sizes(seed)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    sized = stored(map_arrow(texts, kernel, schema), "mix_sizes")
+    rows = _decided(docs, weights, cap, seed, id_col, text_col, source_col)
+    copies = F.col("whole") + F.col("picked")
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def _decided(docs: DataFrame, weights: tuple[float, ...], cap: float, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, id, source, size, ticket, source_size, target, whole, picked): taken ``whole`` times, and once more where picked is 1."""
+    batches_of_texts(docs.sparkSession)
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _size_of()(F.col(text_col)).alias("size"))
+    ticket = _ticket(F.coalesce("doc_id", F.lit(_NO_ID)), seed)
+    sized = stored(found.withColumn("ticket", ticket).withColumn("bucket", F.shiftrightunsigned("ticket", 56).cast("int")), "mix_sizes")
     counts = stored(sized.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "mix_counts")
     targets = stored(target_sizes(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, cap), "mix_targets")
     of = targets.withColumnRenamed("source", "_source")
     ranked = counts.join(of, F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
+    # Buckets in signed order of the ticket: its top byte from -128 on.
+    ranked = ranked.withColumn("turn", (F.col("bucket") + 128) % 256)
     per_length = ranked.where("size > 0").groupBy("rank", "size", "source_size", "target").agg(F.sum("n").alias("n"))
     plan = per_length.groupBy("rank").applyInPandas(_fit_source, "rank int, size long, whole long, pick long")
-    along = Window.partitionBy("rank", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("rank", "size").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     cut = ranked.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).join(plan, ["rank", "size"], "left")
     cut = cut.select(
         "rank", "size", "bucket", "source_size", "target", F.coalesce("whole", F.lit(0)).alias("whole"),
@@ -193,20 +214,31 @@ def mix_to_targets(
     open_rows = rows.where("here > 0 and here < n")
     nth = F.row_number().over(Window.partitionBy("rank", "size", "bucket").orderBy("ticket", "doc_id"))
     ranked_rows = open_rows.withColumn("picked", (nth <= F.col("here")).cast("long"))
-    copies = (F.col("whole") + F.col("picked")).alias("copies")
-    return sure.unionByName(ranked_rows).select("doc_id", "source", "size", "source_size", "target", copies, (F.col("size") * (F.col("whole") + F.col("picked"))).alias("taken"))
+    return sure.unionByName(ranked_rows).withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID)))
 
 
 def take_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns as they are, each as often as the mix takes it.
 
-    Rows that share an id are all taken as often as the one of them taken most. Documents without words,
-    which no budget counts, stay once.
+    Whole texts stay where they are: of each source and length the decision is one row (how often all of its
+    documents are taken, and the last ticket and id of those taken once more). Those rows are broadcast while there
+    are at most ``BROADCAST_LENGTHS``; beyond, the documents are joined to them by a shuffle. Rows alike in id, source
+    and size are taken alike. Documents without words, which no budget counts, stay once.
     """
     with scratch(docs.sparkSession) as keep:
-        plan = mix_to_targets(docs, weights, cap, seed, id_col, text_col, source_col)
-        times = keep(plan.groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias("times")).where("times > 0"), "mix_times")
-    mark, n = (with_columns_renamed_free(docs, c) for c in ("_mix_id", "_mix_times"))
-    side = times.select(F.col("doc_id").alias(mark), F.col("times").alias(n))
-    joined = docs.join(side, docs[id_col].cast("long").eqNullSafe(F.col(mark)))
-    return joined.withColumn(mark, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+        plan = _decided(docs, weights, cap, seed, id_col, text_col, source_col)
+        last = F.max(F.when(F.col("picked") > 0, F.struct("ticket", "id"))).alias("last")
+        cuts = plan.where("size > 0").groupBy("source", "size").agg(F.max("whole").alias("whole"), last)
+        mark, side = with_columns_renamed_free(docs, "_mix"), with_columns_renamed_free(docs, "_mix_cut")
+        cuts = keep(cuts.select(F.struct("source", "size", "whole", "last").alias(side)), "mix_cuts")
+    if cuts.count() <= BROADCAST_LENGTHS:
+        cuts = F.broadcast(cuts)
+    own = F.struct(F.col(source_col).cast("string").alias("s"), _size_of()(F.col(text_col)).alias("n"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"))
+    sized = docs.withColumn(mark, own)
+    mine, cut = (lambda c: F.col(mark)[c]), (lambda c: F.col(side)[c])
+    joined = sized.join(cuts, mine("s").eqNullSafe(cut("source")) & (mine("n") == cut("size")), "left")
+    ticket = F.struct(_ticket(mine("id"), seed).alias("ticket"), mine("id").alias("id"))
+    picked = F.coalesce((ticket <= cut("last")).cast("long"), F.lit(0))
+    times = F.when(mine("n") == 0, 1).otherwise(F.coalesce(cut("whole"), F.lit(0)) + picked)
+    counted = joined.withColumn(mark, times.cast("long")).where(F.col(mark) > 0)
+    return counted.withColumn(mark, F.explode(F.sequence(F.lit(1).cast("long"), F.col(mark)))).select(*[F.col(f"`{c}`") for c in docs.columns])

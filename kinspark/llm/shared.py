@@ -9,7 +9,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextvars import ContextVar
@@ -21,27 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from kinspark.operators.graph import shared_dir
+
 #: Text bytes that one numpy pass works on; bounds the workers' scratch memory.
 SLICE_BYTES = 1 << 20
 #: Rows of one Arrow batch between the JVM and a Python worker, where the session does not set it (Spark's 10000 whole documents are many MB).
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinspark-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the shared folder (never a local checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def working_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/kinspark-{uuid.uuid4().hex}/{name}"
@@ -116,6 +102,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: Ids up to this many are broadcast (24 MB as a hashed relation); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """Broadcast a checked number of narrow rows; beyond that leave the join to a shuffle."""
+    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+
+
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -127,11 +122,16 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def batches_of_texts(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def map_arrow(df: DataFrame, kernel: Kernel, schema: str | StructType) -> DataFrame:
     """mapInArrow in batches of BATCH_ROWS unless the session says otherwise; a task's memory is released at its end."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key, None) is None:
-        conf.set(key, BATCH_ROWS)
+    batches_of_texts(df.sparkSession)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -153,5 +153,5 @@ def with_columns_renamed_free(df: DataFrame, name: str) -> str:
 def keep_where(df: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on ``key``, whatever other columns the two sides have in common."""
     own = with_columns_renamed_free(df, f"_{key}_key")
-    side = keys.select(F.col(key).alias(own)).distinct()
+    side = small(keys.select(F.col(key).alias(own)).distinct())
     return df.join(side, df[key] == side[own], how)
