@@ -128,27 +128,6 @@ def propagate(
     return known
 
 
-def wave_profile(nodes: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
-    """(wave, n): size of the first ``levels`` waves, and of all later ones together under ``levels``. One job a level, not one a wave."""
-    edges = settle(edges.where("src <> dst").distinct())
-    open_nodes = settle(nodes.select("node").distinct())
-    spark = nodes.sparkSession
-    sizes = []
-    for level in range(levels):
-        blocked = edges.join(open_nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        rest = settle(open_nodes.join(blocked, "node", "left_semi"))
-        before, after = open_nodes.count(), rest.count()
-        if before > after:
-            sizes.append((level, before - after))
-        open_nodes = rest
-        if after == 0 or before == after:
-            break
-    left = open_nodes.count()
-    if left:
-        sizes.append((levels, left))
-    return spark.createDataFrame(sizes, "wave long, n long")
-
-
 def wave_sizes(nodes: DataFrame, edges: DataFrame, max_waves: int = 100_000) -> DataFrame:
     """(wave, n, deadlocked): size of every wave, and in a row without wave, if there are any, of the nodes on or behind cycles. One job a wave."""
     edges = settle(edges.where("src <> dst").distinct())
@@ -170,27 +149,63 @@ def wave_sizes(nodes: DataFrame, edges: DataFrame, max_waves: int = 100_000) ->
 
 
 def nearest_topological(rows: DataFrame, group: str) -> DataFrame:
-    """(group, node, place): of the nodes whose constraint (after) is placed, always the one with the lowest desired rank, then the lowest id."""
+    """(group, node, place, forced): always the node with the lowest desired rank, then id, whose constraints (array ``after``) are placed.
+
+    Constraints on nodes outside the group don't hold it up. Where a cycle leaves none free, the lowest of all that are
+    left is placed all the same and marked as forced. Sequential inside a group, groups in parallel.
+    """
     import heapq
 
     import pandas as pd
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         rank = dict(zip(pdf["node"], pdf["rank"], strict=True))
+        wait: dict[int, int] = {}
         follow: dict[int, list[int]] = {}
-        ready = []
-        for n, a in zip(pdf["node"], pdf["after"], strict=True):
-            if pd.isna(a) or int(a) not in rank:
-                ready.append((rank[n], n))
-            else:
-                follow.setdefault(int(a), []).append(n)
+        for n, after in zip(pdf["node"], pdf["after"], strict=True):
+            need = {int(a) for a in (after if after is not None else ()) if int(a) in rank and int(a) != n}
+            wait[n] = len(need)
+            for a in need:
+                follow.setdefault(a, []).append(n)
+        ready = [(rank[n], n) for n in wait if wait[n] == 0]
+        held = [(rank[n], n) for n in wait]
         heapq.heapify(ready)
-        out = []
-        while ready:
-            _, n = heapq.heappop(ready)
-            out.append(n)
+        heapq.heapify(held)
+        out, placed = [], set()
+        while held:
+            forced = not ready
+            _, n = heapq.heappop(held if forced else ready)
+            if n in placed:
+                continue
+            placed.add(n)
+            out.append((n, forced))
             for m in follow.get(n, ()):
-                heapq.heappush(ready, (rank[m], m))
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(out), "node": out, "place": range(len(out))})
+                wait[m] -= 1
+                if wait[m] == 0 and m not in placed:
+                    heapq.heappush(ready, (rank[m], m))
+            while held and held[0][1] in placed:
+                heapq.heappop(held)
+        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(out), "node": [n for n, _ in out], "place": range(len(out)), "forced": [f for _, f in out]})
+
+    return rows.groupBy(group).applyInPandas(order, f"{group} long, node long, place long, forced boolean")
 
-    return rows.groupBy(group).applyInPandas(order, f"{group} long, node long, place long")
+
+def order_constraints(accesses: DataFrame, key: str, node: str, mode: str) -> DataFrame:
+    """(key, node, after, reason): what must come first. ``mode`` is read, write or effect; ``node`` gives the order.
+
+    RAW and WAW: after the last write before; WAR: a write after the reads since the one before it; BARRIER: an effect
+    after all since the last effect, and all after the effect before them. Each access has at most four such edges.
+    """
+    before = Window.partitionBy(key).orderBy(node).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(key).orderBy(node).rowsBetween(1, Window.unboundedFollowing)
+    is_write, is_effect = F.col(mode) == "write", F.col(mode) == "effect"
+    last = lambda cond: F.last(F.when(cond, F.col(node)), ignorenulls=True).over(before)
+    following = lambda cond: F.first(F.when(cond, F.col(node)), ignorenulls=True).over(ahead)
+    at = accesses.select(key, F.col(node).alias("node"), F.col(mode).alias("mode"), last(is_write).alias("lw"), following(is_write).alias("nw"), last(is_effect).alias("le"), following(is_effect).alias("ne"))
+    edge = lambda cond, n, a, reason: F.when(cond & F.col(n).isNotNull() & F.col(a).isNotNull(), F.struct(F.col(n).alias("node"), F.col(a).alias("after"), reason.alias("reason")))
+    mine = F.col("mode")
+    edges = F.array(
+        edge(mine.isin("read", "write"), "node", "lw", F.when(mine == "write", "WAW").otherwise("RAW")), edge(mine == "read", "nw", "node", F.lit("WAR")),
+        edge(F.lit(True), "node", "le", F.lit("BARRIER")), edge(mine != "effect", "ne", "node", F.lit("BARRIER")),
+    )
+    return at.select(key, F.explode(F.filter(edges, lambda x: x.isNotNull())).alias("x")).select(key, "x.*")

@@ -92,7 +92,8 @@ def cosine_top(a: DataFrame, b: DataFrame, k: int = 3, floor: float = 0.8, block
     """(a_id, b_id, score): up to k best of B for each of A, at the floor or above, ties to the lower id.
 
     Either side is cut into blocks of about ``block`` vectors; pairs of blocks are matrix products, and only
-    each block's best rows leave them. Nothing is broadcast, and no pair of rows is formed by a join.
+    each block's best rows leave them. Nothing is broadcast, and no pair of rows is formed by a join. Scores are rounded
+    to nine places, so that equal vectors tie whatever block they are in.
     """
     import numpy as np
 
@@ -119,6 +120,7 @@ def cosine_top(a: DataFrame, b: DataFrame, k: int = 3, floor: float = 0.8, block
                 i, j = np.frombuffer(row.p_ids, np.int64), np.frombuffer(row.q_ids, np.int64)
                 order = np.argsort(j, kind="stable")
                 s = np.frombuffer(row.p_x, np.float64).reshape(len(i), -1) @ np.frombuffer(row.q_x, np.float64).reshape(len(j), -1)[order].T
+                s = np.round(s, 9)
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 r = np.repeat(np.arange(len(i)), top.shape[1])
                 score = s[r, top.ravel()]

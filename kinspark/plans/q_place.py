@@ -196,11 +196,17 @@ def _order_chains(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return o.select(F.col("o_orderkey").alias("node")), e.where("dst is not null")
 
 
-@query("wave_levels", "WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS wave FROM orders) SELECT least(wave, 8) AS wave, count(*) AS n FROM o WHERE wave < 8 GROUP BY 1 UNION ALL SELECT 8, count(*) FROM o WHERE wave >= 8 HAVING count(*) > 0")
+@query(
+    "wave_levels",
+    """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER w - 1 AS wave, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+l AS (SELECT *, o_custkey % 10 = 0 AND n > 1 AS stuck FROM o)
+SELECT CASE WHEN stuck THEN NULL ELSE wave END AS wave, count(*) AS n, stuck AS deadlocked FROM l GROUP BY ALL""",
+)
 def wave_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Profile of waves: an order depends on the customer's order before it. The first eight on their own, later ones together; wave_sizes has them all."""
+    """Every wave of orders that depend on the customer's order before; for some customers the first depends on the last, and all of them are deadlocked."""
     nodes, edges = _order_chains(spark, sf)
-    return graph.wave_profile(nodes, edges, 8)
+    o = t(spark, sf, "orders").where("o_custkey % 10 = 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("src"), F.max("o_orderkey").alias("dst")).where("src <> dst")
+    return graph.wave_sizes(nodes, edges.unionByName(o.select("src", "dst")))
 
 
 @query("wave_sizes", "WITH o AS (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS wave FROM orders) SELECT wave, count(*) AS n, false AS deadlocked FROM o GROUP BY wave")
@@ -313,37 +319,64 @@ def co_importers(spark: SparkSession, sf: str) -> DataFrame:
     return n.join(s, "target").where(F.col("votes") >= 0.05 * F.col("importers")).select("target", "importers", "folder", "votes")
 
 
-@query("folder_consensus", "WITH e AS (SELECT DISTINCT o_custkey AS importer, l_suppkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT target, r_name AS folder, count(*) AS votes FROM e JOIN customer ON c_custkey = importer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL) SELECT target, first(folder ORDER BY votes DESC, folder) AS folder, max(votes) >= 0.25 * sum(votes) AS agreed FROM n GROUP BY target")
+@query("folder_consensus", "WITH e AS (SELECT DISTINCT o_custkey AS importer, l_suppkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT target, r_name AS folder, count(*) AS votes FROM e JOIN customer ON c_custkey = importer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL) SELECT target, first(folder ORDER BY votes DESC, folder) AS folder, max(votes) >= 0.5 * sum(votes) AS agreed FROM n GROUP BY target")
 def folder_consensus(spark: SparkSession, sf: str) -> DataFrame:
     """A target goes to the folder most of its importers are in; ties by folder name."""
     o, li, c, n, r = (t(spark, sf, x) for x in ("orders", "lineitem", "customer", "nation", "region"))
     e = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("importer"), F.col("l_suppkey").alias("target")).distinct()
     where = c.join(n, F.col("n_nationkey") == F.col("c_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey")).select("c_custkey", F.col("r_name").alias("folder"))
     v = e.join(where, F.col("c_custkey") == F.col("importer")).groupBy("target", "folder").agg(F.count(F.lit(1)).alias("votes"))
-    return v.groupBy("target").agg(F.min(F.struct(-F.col("votes"), "folder")).getField("folder").alias("folder"), (F.max("votes") >= 0.25 * F.sum("votes")).alias("agreed"))
+    return v.groupBy("target").agg(F.min(F.struct(-F.col("votes"), "folder")).getField("folder").alias("folder"), (F.max("votes") >= 0.5 * F.sum("votes")).alias("agreed"))
+
+
+_ACCESS = """WITH a AS (SELECT user_id, event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'write' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'effect' ELSE 'read' END AS mode FROM events),
+x AS (
+  SELECT *, last_value(CASE WHEN mode = 'write' THEN event_id END IGNORE NULLS) OVER p AS lw, last_value(CASE WHEN mode = 'effect' THEN event_id END IGNORE NULLS) OVER p AS le,
+    first_value(CASE WHEN mode = 'write' THEN event_id END IGNORE NULLS) OVER n AS nw, first_value(CASE WHEN mode = 'effect' THEN event_id END IGNORE NULLS) OVER n AS ne
+  FROM a WINDOW p AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+"""
+
+
+def _accesses(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as reads, writes and effects of their user's state."""
+    kind = F.col("event_type")
+    mode = F.when(kind.isin("purchase", "signup"), "write").when((kind == "error") & (F.col("event_id") % 4 == 0), "effect").otherwise("read")
+    return t(spark, sf, "events").select("user_id", "event_id", mode.alias("mode"), "value")
 
 
 @query(
     "load_order_edges",
-    """WITH a AS (SELECT user_id, event_id, event_type, CASE WHEN event_type IN ('purchase', 'signup') THEN 'write' ELSE 'read' END AS mode FROM events),
-w AS (SELECT *, last_value(CASE WHEN mode = 'write' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS writer FROM a)
-SELECT event_id AS node, writer AS after, CASE WHEN mode = 'write' THEN 'WAW' ELSE 'RAW' END AS reason FROM w WHERE writer IS NOT NULL""",
+    _ACCESS
+    + """SELECT user_id, event_id AS node, lw AS after, CASE WHEN mode = 'write' THEN 'WAW' ELSE 'RAW' END AS reason FROM x WHERE mode <> 'effect' AND lw IS NOT NULL
+UNION ALL SELECT user_id, nw, event_id, 'WAR' FROM x WHERE mode = 'read' AND nw IS NOT NULL
+UNION ALL SELECT user_id, event_id, le, 'BARRIER' FROM x WHERE le IS NOT NULL
+UNION ALL SELECT user_id, ne, event_id, 'BARRIER' FROM x WHERE mode <> 'effect' AND ne IS NOT NULL""",
 )
 def load_order_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Order constraints: reads and writes after the last write of the same user."""
-    e = t(spark, sf, "events").select("user_id", "event_id", F.col("event_type").isin("purchase", "signup").alias("write"))
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("after", F.last(F.when(F.col("write"), F.col("event_id")), ignorenulls=True).over(w)).where("after is not null")
-    return e.select(F.col("event_id").alias("node"), "after", F.when(F.col("write"), "WAW").otherwise("RAW").alias("reason"))
+    """Order constraints: reads and writes after writes, writes after reads, and effects as barriers."""
+    return graph.order_constraints(_accesses(spark, sf), "user_id", "event_id", "mode")
 
 
 @query("constrained_order")
 def constrained_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Topological order nearest to the desired ranks, per user: sequential inside a group, groups in parallel."""
-    e = t(spark, sf, "events").select("user_id", F.col("event_id").alias("node"), F.col("event_type").isin("purchase", "signup").alias("write"), "value")
-    w = Window.partitionBy("user_id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("after", F.last(F.when(F.col("write"), F.col("node")), ignorenulls=True).over(w))
-    return graph.nearest_topological(e.select("user_id", "node", "after", F.col("value").alias("rank")), "user_id")
+    """Topological order nearest to the desired ranks, per user, under all constraints. A greedy choice, step by step: tests compare it with one done in full."""
+    e = _accesses(spark, sf)
+    after = graph.order_constraints(e, "user_id", "event_id", "mode").groupBy("node").agg(F.collect_set("after").alias("after"))
+    rows = e.select("user_id", F.col("event_id").alias("node"), F.col("value").alias("rank")).join(after, "node", "left")
+    return graph.nearest_topological(rows, "user_id")
+
+
+@query(
+    "constrained_order_holds",
+    _ACCESS + "SELECT CAST(count(*) AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS forced FROM a",
+)
+def constrained_order_holds(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node has a place and no constraint is broken."""
+    placed = constrained_order(spark, sf)
+    edges = load_order_edges(spark, sf).select("node", "after")
+    at = placed.select(F.col("node"), F.col("place").alias("here")), placed.select(F.col("node").alias("after"), F.col("place").alias("there"))
+    broken = edges.join(at[0], "node", "left").join(at[1], "after", "left").agg(F.count_if(~F.coalesce(F.col("there") < F.col("here"), F.lit(False))).alias("broken"))
+    return placed.agg(F.count(F.lit(1)).alias("nodes"), F.count_if("forced").alias("forced")).crossJoin(broken).select("nodes", "broken", "forced")
 
 
 @query("components", "WITH RECURSIVE e AS (SELECT DISTINCT p_size AS x, CAST(substr(p_brand, -1) AS INT) + 1000 AS y FROM part WHERE regexp_matches(p_brand, '[0-9]$')), b AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r(a, b) AS (SELECT x, x FROM b UNION SELECT r.a, b.y FROM r JOIN b ON r.b = b.x) SELECT a AS node, min(b) AS component FROM r GROUP BY a")

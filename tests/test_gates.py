@@ -169,6 +169,68 @@ def test_propagation_refuses_a_double_claim(spark):
     assert _propagated(spark, old, new, [(1, "callee", 0), (2, "callee", 0)], [(11, "callee", 10)]) == []
 
 
+def test_constrained_order_is_the_greedy_one(spark):
+    import random
+
+    rng = random.Random(8)
+    acc = [(u, u * 100 + i, rng.choice(["read", "read", "write", "effect"]), rng.random()) for u in (1, 2) for i in range(40)]
+    edges = {u: set() for u in (1, 2)}
+    for u, n, mode, _ in acc:
+        earlier = [(m, k) for v, m, k, _ in acc if v == u and m < n]
+        writes, effects = [m for m, k in earlier if k == "write"], [m for m, k in earlier if k == "effect"]
+        if mode != "effect" and writes:
+            edges[u].add((n, max(writes), "WAW" if mode == "write" else "RAW"))
+        if mode == "write":
+            edges[u] |= {(n, m, "WAR") for m, k in earlier if k == "read" and m > max(writes, default=-1)}
+        if effects:
+            edges[u].add((n, max(effects), "BARRIER"))
+        if mode == "effect":
+            edges[u] |= {(n, m, "BARRIER") for m, k in earlier if k != "effect" and m > max(effects, default=-1)}
+    df = spark.createDataFrame(acc, "u long, n long, mode string, rank double")
+    got = graph.order_constraints(df, "u", "n", "mode")
+    assert rows(got, "u", "node", "after", "reason") == sorted((u, *e) for u in edges for e in edges[u])
+    want = []
+    for u in (1, 2):
+        rank, left, place = {n: r for v, n, _, r in acc if v == u}, {n for v, n, _, _ in acc if v == u}, 0
+        while left:
+            free = [n for n in left if not any(a in left for m, a, _ in edges[u] if m == n)]
+            n = min(free, key=lambda x: (rank[x], x))
+            want.append((u, n, place, False))
+            left.remove(n)
+            place += 1
+    after = got.groupBy("node").agg(F.collect_set("after").alias("after"))
+    placed = graph.nearest_topological(df.select("u", F.col("n").alias("node"), "rank").join(after, "node", "left"), "u")
+    assert rows(placed, "u", "node", "place", "forced") == sorted(want)
+
+
+def test_cycles_are_forced_not_lost(spark):
+    df = spark.createDataFrame([(1, 1, 0.5, [2]), (1, 2, 0.1, [1]), (1, 3, 0.0, [2, 99]), (1, 4, 0.9, None)], "u long, node long, rank double, after array<long>")
+    got = rows(graph.nearest_topological(df, "u"), "place", "node", "forced")
+    assert got == [(0, 4, False), (1, 3, True), (2, 2, True), (3, 1, False)]
+
+
+def test_nearest_position_and_global_rank(spark):
+    left = spark.createDataFrame([(1, 5), (1, 10), (1, 12), (2, 7)], "k long, p long")
+    right = spark.createDataFrame([(1, 0), (1, 10), (1, 14), (3, 7)], "k long, p long")
+    got = rows(windows.nearest(left, right, "k", "p").na.fill({"nearest": -1}), "k", "p", "nearest")
+    assert got == [(1, 5, 0), (1, 10, 10), (1, 12, 10), (2, 7, -1)]
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v")).repartition(7)
+    ranked = windows.global_rank(df, [F.col("v").desc()], "place")
+    assert ranked.where("place <> 1000 - v").count() == 0 and ranked.count() == 1000
+
+
+def test_readers_and_registry(spark, tmp_path):
+    for folder, text in (("a", "one\ntwo"), ("a/node_modules/x", "skipped"), ("node_modules_not", "three")):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "f.txt").write_text(text)
+    assert sorted(r["text"] for r in readers.tree(spark, str(tmp_path)).collect()) == ["one\ntwo", "three"]
+    assert readers.whole_files(spark, str(tmp_path / "a" / "f.txt")).first()["text"] == "one\ntwo"
+    spark.range(3).write.orc(str(tmp_path / "o"))
+    assert readers.detect_kind(spark, str(tmp_path / "o")) == "orc" and readers.read(spark, "orc", str(tmp_path / "o")).count() == 3
+    spark.createDataFrame([(1, 1), (2, 2)], "k long, version int").write.json(str(tmp_path / "l"))
+    assert [r["k"] for r in readers.snapshot(spark, str(tmp_path / "l"), "k long, version int", 2).collect()] == [2]
+
+
 def test_cascade_conserves_and_is_order_free(spark):
     cols = "id long, bucket string, m string, p string, k string, sh array<string>"
     old = spark.createDataFrame([(1, "b", "x", "p", "k", ["a"]), (2, "b", None, "p", "q", ["a"]), (3, "c", "x", "p", "k", []), (4, "zz", "x", "p", "k", [])], cols)
