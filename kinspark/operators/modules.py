@@ -166,25 +166,48 @@ def ordinal_pools(old: DataFrame, new: DataFrame, matches: DataFrame, demoted: D
     return x.join(y, ["bucket", "_k"]).select("old_id", "new_id")
 
 
-def assign_pools(old: DataFrame, new: DataFrame, scores: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(bucket, old_id, new_id, score): in each bucket the best affinity first, ties to the lower old, then new id; one to one.
+def greedy_pairs(pairs: DataFrame, order: tuple, max_rounds: int = 10_000) -> DataFrame:
+    """Of ``pairs`` (old_id, new_id, ...) those that one after another would take in a total ``order``, each end once.
 
-    ``scores`` (bucket, old_id, new_id, score) holds the pairs with an affinity above 0 only: a pair that is the first of
-    both its ends is what one after another would take, so all of those are taken at once, round by round. The others
-    have no affinity and are paired in order of their ids, which needs no pairs at all.
+    A pair that is the first of both its ends would be taken whatever comes before it, so all of those go at once, round by round.
     """
-    order = (F.desc("score"), "old_id", "new_id")
-    left = settle(scores)
-    taken = settle(scores.limit(0))
+    left = settle(pairs)
+    taken = settle(pairs.limit(0))
     for _ in range(max_rounds):
         first = left.withColumn("_a", F.row_number().over(Window.partitionBy("old_id").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy("new_id").orderBy(*order)))
         now = settle(first.where("_a = 1 and _b = 1").drop("_a", "_b"))
         if now.limit(1).count() == 0:
-            break
+            return taken
         taken = settle(taken.unionByName(now))
         left = settle(left.join(now.select("old_id"), "old_id", "left_anti").join(now.select("new_id"), "new_id", "left_anti"))
-    else:
-        raise RuntimeError("pools did not settle")
+    raise RuntimeError("pairs did not settle")
+
+
+def family_moves(fresh: DataFrame, prior: DataFrame) -> DataFrame:
+    """(bucket, from_name, to_name, support): fresh members of a family that take a prior name their contexts support better than their own.
+
+    Members are rows (bucket, name, context), one for each context; names are unique in their bucket and side. Only
+    buckets of two or more prior members count. A name is supported by the contexts its prior member shares; a move needs
+    one at least and more than the own name has; the best supported go first, ties to the lower fresh, then prior name.
+    """
+    family = prior.select("bucket", "name").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select("bucket")
+    f = fresh.select("bucket", F.col("name").alias("old_id"), "context").distinct()
+    p = prior.join(family, "bucket", "left_semi").select("bucket", F.col("name").alias("new_id"), "context").distinct()
+    support = settle(f.join(p, ["bucket", "context"]).groupBy("bucket", "old_id", "new_id").agg(F.count(F.lit(1)).alias("support")))
+    own = support.where("old_id = new_id").select("bucket", "old_id", F.col("support").alias("_own"))
+    able = support.join(own, ["bucket", "old_id"], "left").where("support > coalesce(_own, 0)").drop("_own")
+    keyed = able.select(F.concat_ws("\u0001", "bucket", "old_id").alias("old_id"), F.concat_ws("\u0001", "bucket", "new_id").alias("new_id"), "bucket", F.col("old_id").alias("from_name"), F.col("new_id").alias("to_name"), "support")
+    moves = greedy_pairs(keyed, (F.desc("support"), "from_name", "to_name"))
+    return moves.where("from_name <> to_name").select("bucket", "from_name", "to_name", "support")
+
+
+def assign_pools(old: DataFrame, new: DataFrame, scores: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(bucket, old_id, new_id, score): in each bucket the best affinity first, ties to the lower old, then new id; one to one.
+
+    ``scores`` (bucket, old_id, new_id, score) holds the pairs with an affinity above 0 only. The others are paired in
+    order of their ids, which needs no pairs at all.
+    """
+    taken = greedy_pairs(scores, (F.desc("score"), "old_id", "new_id"), max_rounds)
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("id")).alias("_k")
     x = old.join(taken.select(F.col("old_id").alias("id")), "id", "left_anti").select("bucket", F.col("id").alias("old_id"), place)
     y = new.join(taken.select(F.col("new_id").alias("id")), "id", "left_anti").select("bucket", F.col("id").alias("new_id"), place)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,21 +82,28 @@ def spaced_valleys(curve: DataFrame, group: str, min_gap: int, target: int) -> D
 
 
 def proximity_groups(df: DataFrame, group: str, position: str, span: int = 100, most: int = 10) -> DataFrame:
-    """Adds ``cluster``: a new one where a row lies more than ``span`` behind the first of its cluster, or the cluster is full."""
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(position)).alias("_p"))
-    start = F.struct(F.lit(-1).cast("long").alias("c"), F.lit(None).cast("long").alias("first"), F.lit(0).alias("n"), F.array().cast("array<struct<position:bigint,cluster:bigint>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        p = p.cast("long")
-        fresh = acc["first"].isNull() | (p - acc["first"] > span) | (acc["n"] >= most)
-        c = F.when(fresh, acc["c"] + 1).otherwise(acc["c"])
-        return F.struct(
-            c.alias("c"), F.when(fresh, p).otherwise(acc["first"]).alias("first"), F.when(fresh, 1).otherwise(acc["n"] + 1).alias("n"),
-            F.concat(acc["out"], F.array(F.struct(p.alias("position"), c.alias("cluster")))).alias("out"),
-        )
-
-    folded = rows.select(group, F.explode(F.aggregate("_p", start, step, lambda acc: acc["out"])).alias("x"))
-    return folded.select(group, F.col("x.position").alias(position), F.col("x.cluster").alias("cluster"))
+    """Adds ``cluster``: a new one where a row lies more than ``span`` behind the first of its cluster, or the cluster is full.
+
+    Sorted rows stream past with only the open cluster held, so a group of any length takes no memory.
+    """
+    kind = dict(df.dtypes)[group]
+    rows = df.select(group, F.col(position).cast("long").alias(position)).repartition(group).sortWithinPartitions(group, position)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, first, n, c = None, 0, 0, -1
+        for pdf in batches:
+            out = []
+            for g, p in zip(pdf[group], pdf[position], strict=True):
+                if now is None or g != now:
+                    now, first, n, c = g, p, 1, 0
+                elif p - first > span or n >= most:
+                    first, n, c = p, 1, c + 1
+                else:
+                    n += 1
+                out.append(c)
+            yield pdf.assign(cluster=out)
+
+    return rows.mapInPandas(stream, f"{group} {kind}, {position} long, cluster long")
 
 
 def gap_split(df: DataFrame, group: str, position: str, order: str, parts: int) -> DataFrame:

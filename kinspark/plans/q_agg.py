@@ -260,7 +260,7 @@ m AS (SELECT source, lang, min(id) FILTER (side = 0) AS old_id, min(id) FILTER (
 def diff_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Every record in exactly one bucket; added and removed records that are alone in their slot pair up as modified."""
     u = units(spark, sf)
-    k = u.groupBy("h").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"), F.count_distinct("text").alias("forms"))
+    k = u.groupBy("h").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"), F.when(F.min(F.sha2("text", 256)) == F.max(F.sha2("text", 256)), 1).otherwise(2).alias("forms"))
     j = u.join(k, "h").withColumn("lone", (F.col("na") == 0) | (F.col("nb") == 0)).withColumn("slot", F.col("n_chars") % 53)
     w = Window.partitionBy("source", "lang", "slot", "lone")
     one = (F.sum((F.col("side") == 0).cast("int")).over(w) == 1) & (F.sum((F.col("side") == 1).cast("int")).over(w) == 1)

@@ -225,6 +225,19 @@ def pool_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return modules.assign_pools(*inside, scores)
 
 
+@query("family_permutation")
+def family_permutation(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of one name and brand are a family whose members are known by the orders that hold them; some have swapped names, and move back. Greedy: tests compare it with one list worked off in order."""
+    li = t(spark, sf, "lineitem").select("l_partkey", "l_orderkey").distinct()
+    p = t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", "p_name", "p_brand").alias("bucket"))
+    name = F.lpad(F.col("l_partkey").cast("string"), 12, "0")
+    w = Window.partitionBy("bucket").orderBy("l_partkey")
+    swapped = F.when(F.row_number().over(w) % 2 == 1, F.coalesce(F.lead(name).over(w), name)).otherwise(F.lag(name).over(w))
+    fresh = p.withColumn("name", F.when(F.hash("bucket") % 3 == 0, swapped).otherwise(name))
+    contexts = lambda members, rows: members.join(rows, "l_partkey").select("bucket", "name", F.col("l_orderkey").alias("context"))
+    return modules.family_moves(contexts(fresh, li.where("l_orderkey % 3 > 0")), contexts(p.withColumn("name", name), li.where("l_orderkey % 5 > 0")))
+
+
 @query("prior_diff_reconcile")
 def prior_diff_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     """Names that differ at the same place in edited twins, where two lines or more agree and no other name rivals."""

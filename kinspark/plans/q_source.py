@@ -76,7 +76,10 @@ def unique_names(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.unique_names(d, "stem", "doc_id").select("doc_id", "name")
 
 
-@query("trace_events")
+@query(
+    "trace_events",
+    """SELECT '{"name":"' || event_type || '","cat":"' || event_type || '","ph":"X","ts":' || epoch_us(ts) || ',"dur":' || CAST(trunc(value * 1000) AS BIGINT) || ',"pid":1,"tid":' || user_id || '}' AS event FROM events""",
+)
 def trace_events(spark: SparkSession, sf: str) -> DataFrame:
     e = t(spark, sf, "events").withColumn("start", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("end_", F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("value") * 1000).cast("long"))
     return sinks.trace_events(e, "event_type", "event_type", "start", "end_", "user_id")
@@ -144,7 +147,7 @@ def diff_ledger_by_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Every record in exactly one bucket; edited_pairs_by_overlap are modified, sole twins in another source moved."""
     u = units(spark, sf)
     k = u.groupBy("h").agg(
-        F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"), F.count_distinct("text").alias("forms"), F.count_distinct(F.coalesce("source", F.lit(""))).alias("places")
+        F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"), F.when(F.min(F.sha2("text", 256)) == F.max(F.sha2("text", 256)), 1).otherwise(2).alias("forms"), F.count_distinct(F.coalesce("source", F.lit(""))).alias("places")
     )
     p = overlap_pairs(u)
     edited = p.select(F.col("old_id").alias("id")).union(p.select("new_id")).withColumn("edited", F.lit(True))

@@ -129,7 +129,15 @@ def leftmost_minimum(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("user_id").agg(F.min_by("day", F.struct("n", "day")).alias("day"))
 
 
-@query("proximity_groups")
+@query(
+    "proximity_groups",
+    """WITH RECURSIVE o AS (SELECT user_id, h, row_number() OVER (PARTITION BY user_id ORDER BY h) AS k FROM (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS h FROM events)),
+r AS (
+  SELECT user_id, k, h, h AS lo, 1 AS n, 0 AS cluster FROM o WHERE k = 1
+  UNION ALL SELECT o.user_id, o.k, o.h, CASE WHEN o.h - lo > 100 OR n >= 10 THEN o.h ELSE lo END, CASE WHEN o.h - lo > 100 OR n >= 10 THEN 1 ELSE n + 1 END, cluster + CASE WHEN o.h - lo > 100 OR n >= 10 THEN 1 ELSE 0 END
+  FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+SELECT user_id, cluster, min(h) AS first, count(*) AS n FROM r GROUP BY ALL""",
+)
 def proximity_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Hours of a user's events in clusters that span a hundred at most and hold ten at most."""
     e = t(spark, sf, "events").select("user_id", F.floor(F.unix_timestamp("ts") / 3600).alias("hour"))

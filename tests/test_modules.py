@@ -90,6 +90,28 @@ def test_pool_assignment_is_the_sequential_one(spark):
     assert rows(got, "old_id", "new_id", "score") == sorted(want)
 
 
+def test_family_moves_are_the_sequential_ones(spark):
+    import random
+
+    rng = random.Random(6)
+    make = lambda: [(f"b{i % 3}", f"n{i // 3}", c) for i in range(18) for c in rng.sample(range(12), rng.randrange(1, 7))]
+    fresh, prior = make(), [*make(), ("lone", "x", 1)]
+    want = []
+    for b in ("b0", "b1", "b2"):
+        f, p = ({n: {c for x, m, c in rows_ if x == b and m == n} for x, n, _ in rows_ if x == b} for rows_ in (fresh, prior))
+        able = sorted((-len(f[x] & p[y]), x, y) for x in f for y in p if len(f[x] & p[y]) >= 1 and len(f[x] & p[y]) > len(f[x] & p.get(x, set())))
+        used_f, used_p = set(), set()
+        for s, x, y in able:
+            if x not in used_f and y not in used_p:
+                used_f.add(x)
+                used_p.add(y)
+                if x != y:
+                    want.append((b, x, y, -s))
+    member = "bucket string, name string, context long"
+    got = modules.family_moves(spark.createDataFrame([*fresh, ("lone", "y", 1)], member), spark.createDataFrame(prior, member))
+    assert len(want) > 5 and rows(got, "bucket", "from_name", "to_name", "support") == sorted(want)
+
+
 def test_reconcile_needs_two_witnesses_and_no_rival(spark):
     p = spark.createDataFrame([("a x\nb x\nc y\nd z", "a q\nb q\nc r\nd z")], "o string, n string")
     assert rows(modules.token_diff_votes(p, "o", "n", 2), "old_name", "new_name", "witnesses") == [("x", "q", 2)]
