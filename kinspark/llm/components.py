@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.shared import settle
+from kinspark.llm.shared import stored
 
 
 def _point_to_least(pairs: DataFrame) -> DataFrame:
@@ -25,9 +25,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40)
     Null ends and loops are ignored; repeated edges do no harm; an empty table gives an empty table.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    star = settle(
-        edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where(x.isNotNull() & y.isNotNull() & (x != y)).distinct()
-    )
+    star = stored(edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where(x.isNotNull() & y.isNotNull() & (x != y)).distinct(), "star")
     before = None
     for _ in range(max_rounds):
         # Large star: among both directions, larger neighbours hang on the least one.
@@ -35,12 +33,13 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40)
         large = _point_to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: smaller neighbours and the vertex itself hang on the least one.
         small = _point_to_least(large)
-        star = settle(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        )
+        star = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "star")
         now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if now == before or now[0] == 0:
             break
+        # Every vertex has one parent, and no parent has one: these are stars already.
+        if now[0] == now[2] and star.join(star.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() == 0:
+            break
         before = now
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")

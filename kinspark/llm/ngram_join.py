@@ -11,24 +11,28 @@ without loss:
 * In a bucket every member is paired with a first document of about its size (its
   hub) first: a count that is linear in the bucket. The links found give components.
 * Pairs of different components that share a bucket follow: first one pair of
-  representatives, then each document's likeliest partners, then all others that
-  still lie between components. Pairs inside one component need no count: they
-  can't change it.
+  representatives, then all others that still lie between components. Pairs inside
+  one component need no count: they can't change it.
+
+A bucket of more than ``_HOT`` rows is cut into blocks, every two of which meet in a
+task of their own, so that no task holds a bucket, however common its n-gram.
 
 Sizes, the first common position and the counts in equal cuts of the hash range bound
 the overlap from above and spare most unlike pairs the count. Equal sets are known
 by a 128-bit sum of their members and link without one.
 
 Frequent n-grams are found over all documents: each task counts in windows of
-about two million n-grams and reports those it saw three times or more; sums of
-at least 1/2^18 of all n-grams (64 at the least) make an n-gram frequent, so that
-there are 2^18 of them at most and they can be broadcast. The order only decides
-how fast the join is, not what it finds.
+about two million n-grams and reports those it saw twice or more; sums of
+at least the least power of two that leaves 2^18 n-grams (16 at the least) make an
+n-gram frequent, so that they can be broadcast. The order only decides how fast the
+join is, not what it finds.
 
 Defined results: a null or blank text has an empty set and links with nothing; a
 text of fewer than k words is one n-gram, its whole sequence; rows with a null id
 link with nothing and get a null component; rows that share an id count as one
-document (its greatest text); an empty table gives an empty result.
+document (its greatest text); a very long text is read whole, as a set of its own size; other columns,
+whatever their names, are not read, and ``keep_representatives`` returns them as they are; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,17 +45,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.llm.components import connected_components
-from kinspark.llm.shared import keep_where, map_arrow, scratch, slices, stored, text_buffers
+from kinspark.llm.shared import keep_where, map_arrow, scratch, slices, small, stored, text_buffers
 from kinspark.llm.words import mix, shingle_sets
 
 FRAGMENTS = 4
 _BAND = float(np.log(1.05))
 _WINDOW = 2_000_000
-_LEAST_FREQUENT = 64
+_LEAST_FREQUENT = 16
 _MOST_FREQUENT = 1 << 18
 _SALTS = 32
-_FIRST_PARTNERS = 3
-_SIEVE_BITS = 1 << 23
+_SIEVE_BITS = (1 << 20, 1 << 27)
+_HOT = 4096
 _SEED_A, _SEED_B = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -60,13 +64,13 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def _profile(k: int):
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("cuts", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("cuts", pa.binary()), ("coarse", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())])
 
     def seen(window: list[np.ndarray]) -> pa.RecordBatch:
         grams, times = np.unique(np.concatenate(window), return_counts=True)
-        keep = times >= 3
+        keep = times >= 2
         m = int(keep.sum())
-        return _batch(schema, *(pa.nulls(m, f.type) for f in list(schema)[:5]), grams[keep], times[keep])
+        return _batch(schema, *(pa.nulls(m, f.type) for f in list(schema)[:6]), grams[keep], times[keep])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window: list[np.ndarray] = []
@@ -84,7 +88,7 @@ def _profile(k: int):
                 out[:] = (sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)
             cuts = [_cut_counts(x) for x in sets]
             m = len(sets)
-            yield _batch(schema, part.column("doc"), n, one, two, cuts, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()))
+            yield _batch(schema, part.column("doc"), n, one, two, cuts, [_coarse_counts(x) for x in sets], pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()))
             window.append(flat)
             held += len(flat)
             if held >= _WINDOW:
@@ -93,7 +97,7 @@ def _profile(k: int):
         if held:
             yield seen(window)
 
-    return kernel, "doc long, n int, k1 long, k2 long, cuts binary, gram long, times long"
+    return kernel, "doc long, n int, k1 long, k2 long, cuts binary, coarse binary, gram long, times long"
 
 
 def _cut_counts(grams: np.ndarray) -> bytes:
@@ -103,6 +107,11 @@ def _cut_counts(grams: np.ndarray) -> bytes:
     return counts.astype("<u4" if len(grams) > 1 << 15 else "<u2").tobytes()
 
 
+def _coarse_counts(grams: np.ndarray) -> bytes:
+    """How many of a set lie in each of 32 equal cuts of the hash range, 255 for that and more."""
+    return np.minimum(np.bincount((grams.view(np.uint64) >> np.uint64(59)).astype(np.int64), minlength=32), 255).astype(np.uint8).tobytes()
+
+
 def _most_shared(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
     """An upper bound of the overlap of two sets: the sum over common cuts of the smaller count."""
     x, y = (np.frombuffer(v, "<u4" if n > 1 << 15 else "<u2").astype(np.int64) for v, n in ((a, n_a), (b, n_b)))
@@ -114,8 +123,8 @@ def _most_shared(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
 
 
 def _bounded(num: int, den: int):
-    """Pairs with both profiles: those whose bound of the overlap allows a link, with that bound."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("most", pa.int32())])
+    """Pairs with both profiles: those whose bound of the overlap allows a link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,10 +132,9 @@ def _bounded(num: int, den: int):
             cuts = zip(batch.column("cuts_a").to_pylist(), batch.column("cuts_b").to_pylist(), na, nb, strict=True)
             most = np.fromiter((_most_shared(*c) for c in cuts), np.int64, len(na))
             keep = most * (num + den) >= num * (np.array(na, np.int64) + np.array(nb, np.int64))
-            cols = [*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(most.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "n_a", "n_b")], schema=schema).filter(pa.array(keep))
 
-    return kernel, "a long, b long, n_a int, n_b int, most int"
+    return kernel, "a long, b long, n_a int, n_b int"
 
 
 def _in_order(grams: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
@@ -171,7 +179,7 @@ def _name_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A place is a band of sizes (5 % wide), then how many n-grams of the document are not frequent. So the hub,
     the first row of its band, is the one most made of what the bucket's documents share. Only one row of an
     open bucket is held, however long the bucket is. Salted buckets of frequent n-grams keep single rows, as
-    they meet the other salts' hubs later.
+    they meet the other salts' hubs later. A row without a document tells how many rows a batch has of a long bucket.
     """
     schema = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("light", pa.int32()), ("hub", pa.int64()), ("hub_n", pa.int32())])
     open_key: tuple[int, int] | None = None
@@ -206,23 +214,33 @@ def _name_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = many[run]
         if keep.any():
             yield _batch(schema, *(c[keep] for c in cols[:5]), (place[keep] & ((1 << 40) - 1)).astype(np.int32), hubs[piece][keep], hub_ns[piece][keep])
+        rows = np.diff(np.append(at, len(g)))
+        tell = np.flatnonzero(rows >= min(len(g), _HOT // _SALTS) // 2)
+        if len(tell):
+            none = [pa.nulls(len(tell), f.type) for f in list(schema)[4:]]
+            yield _batch(schema, g[at[tell]], s[at[tell]], pa.nulls(len(tell), pa.int64()), rows[tell].astype(np.int32), *none)
 
 
 def _across(num: int, den: int):
-    """Rows of open buckets sorted by (gram, n, doc): pairs of different components that size and position allow."""
+    """Rows of open buckets sorted by (gram, cell, n, doc): pairs of different components that size, position and the coarse counts allow. In a cell of two blocks only rows of different blocks meet."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = None
-        past = {c: np.zeros(0, np.int64) for c in ("doc", "n", "pos", "component", "hub")}
+        bucket = None
+        names = ("doc", "n", "pos", "component", "hub", "block")
+        none = {c: np.zeros(0, np.int64) for c in names} | {"coarse": np.zeros((0, 32), np.uint8)}
+        past = none
         for batch in batches:
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("gram", *past)}
-            cut = np.flatnonzero(np.diff(cols["gram"])) + 1
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("gram", "cell", *names)}
+            cols["coarse"] = np.frombuffer(b"".join(batch.column("coarse").to_pylist()), np.uint8).reshape(-1, 32)
+            cut = np.flatnonzero((np.diff(cols["gram"]) != 0) | (np.diff(cols["cell"]) != 0)) + 1
             for at, to in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(cols["gram"])]]).tolist(), strict=True):
                 if to == at:
                     continue
-                if gram != cols["gram"][at]:
-                    gram, past = int(cols["gram"][at]), {c: np.zeros(0, np.int64) for c in past}
+                cell = int(cols["cell"][at])
+                if bucket != (int(cols["gram"][at]), cell):
+                    bucket, past = (int(cols["gram"][at]), cell), none
+                crossing = cell >> 32 != cell & 0xFFFFFFFF
                 for lo in range(at, to, 256):  # a block of later rows against the earlier ones of fitting size
                     hi = min(lo + 256, to)
                     new = {c: cols[c][lo:hi] for c in past}
@@ -236,8 +254,14 @@ def _across(num: int, den: int):
                         ok = (n1 * den >= n2 * num) & (old["component"][:, None] != new["component"][None, :])
                         ok &= np.minimum(n1 - old["pos"][:, None], n2 - new["pos"][None, :]) >= inter
                         ok &= (old["hub"][:, None] != new["doc"][None, :]) & (new["hub"][None, :] != old["doc"][:, None])
+                        if crossing:
+                            ok &= old["block"][:, None] != new["block"][None, :]
                         ok &= (x + np.arange(len(old["n"])))[:, None] < first + np.arange(hi - lo)[None, :]
                         i, j = np.nonzero(ok)
+                        x32, y32 = old["coarse"][i], new["coarse"][j]
+                        most = np.minimum(x32, y32).sum(1, dtype=np.int64) + (((x32 == 255) & (y32 == 255)).any(1) * (1 << 40))
+                        able = most >= inter[i, j]
+                        i, j = i[able], j[able]
                         if len(i):
                             p, q = old["doc"][i], new["doc"][j]
                             swap = p > q
@@ -256,7 +280,7 @@ def _segments(k: int, frequent: np.ndarray, sieve: np.ndarray):
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            v = part.column("doc").to_numpy(zero_copy_only=False) % _SIEVE_BITS
+            v = part.column("doc").to_numpy(zero_copy_only=False) % (len(sieve) << 3)
             part = part.filter(pa.array((sieve[v >> 3] >> (v & 7).astype(np.uint8) & 1).astype(bool)))
             docs, fragments, items = [], [], []
             for doc, grams in zip(part.column("doc").to_pylist(), shingle_sets(*text_buffers(part.column("text")), k), strict=True):
@@ -275,17 +299,19 @@ def _segments(k: int, frequent: np.ndarray, sieve: np.ndarray):
 
 
 def _sieve(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (1 MB) that holds every id's remainder; others may pass it by chance."""
-    v = F.pmod(F.col("doc"), F.lit(_SIEVE_BITS)) + 1
+    """A bitmap (16 MB at most) that holds every id's remainder; others may pass it by chance, which the joins that follow mend."""
+    least, most = _SIEVE_BITS
+    size = min(max(least, 1 << (16 * ids.count()).bit_length()), most)
+    v = F.pmod(F.col("doc"), F.lit(size)) + 1
     bits = ids.select(F.bitmap_bucket_number(v).alias("bucket"), F.bitmap_bit_position(v).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(_SIEVE_BITS >> 3, np.uint8)
-    for bucket, piece in bits.collect():  # 256 rows of 4 KB at most
+    out = np.zeros(size >> 3, np.uint8)
+    for bucket, piece in bits.toLocalIterator():  # 4096 rows of 4 KB at most
         out[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(piece)] = np.frombuffer(bytes(piece), np.uint8)
     return out
 
 
 def _possible(pairs: DataFrame, profile: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    """Of pairs (a, b, n_a, n_b) those that the counts in cuts of the hash range don't rule out, with the bound (most)."""
+    """Of pairs (a, b, n_a, n_b) those that the counts in cuts of the hash range don't rule out."""
     side = profile.select("doc", "cuts")
     two = pairs.join(side.select(F.col("doc").alias("a"), F.col("cuts").alias("cuts_a")), "a").join(side.select(F.col("doc").alias("b"), F.col("cuts").alias("cuts_b")), "b")
     kernel, schema = _bounded(num, den)
@@ -294,9 +320,9 @@ def _possible(pairs: DataFrame, profile: DataFrame, num: int, den: int, name: st
 
 def _counted(texts: DataFrame, pairs: DataFrame, k: int, frequent: np.ndarray, num: int, den: int) -> DataFrame:
     """(a, b) of the pairs that link: overlaps are counted fragment by fragment and summed."""
-    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    ids = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ngram_ids")
     kernel, schema = _segments(k, frequent, _sieve(ids))
-    segments = map_arrow(texts, kernel, schema)
+    segments = stored(map_arrow(texts, kernel, schema), "ngram_segments")
     left = pairs.select("a", "b", "n_a", "n_b").withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     left = left.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("items").alias("items_a")), ["a", "fragment"])
     both = left.join(segments.select(F.col("doc").alias("b"), "fragment", F.col("items").alias("items_b")), ["b", "fragment"])
@@ -313,22 +339,40 @@ def _renamed(label: DataFrame, links: DataFrame) -> DataFrame:
     merged = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b").select(F.col("node").alias("was"), F.col("component").alias("now"))
     old = mine.join(merged, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
     new = merged.join(mine.select(F.col("node").alias("was")), "was", "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
-    return stored(old.unionByName(new), "ngram_labels")
-
+    return old.unionByName(new)
 
-def _mixed_buckets(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows (gram, doc, n, pos, light, hub, component) of the buckets that hold more than one component."""
-    here = shared.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    here = stored(here.select("gram", "doc", "n", "pos", "light", "hub", "component"), "ngram_buckets")
-    mixed = here.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
-    return here.join(mixed, "gram", "left_semi")
 
+def _met(shared: DataFrame, profile: DataFrame, label: DataFrame, hot: DataFrame, num: int, den: int, representatives: bool) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of different components that meet in a bucket; ``representatives``: one row of each component in it only.
 
-def _between(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    side = label.select("node", "component")
-    both = pairs.join(side.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(side.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+    ``hot`` (gram, blocks) are the long buckets: their rows are dealt to cells, one for every two blocks.
+    """
+    kernel, schema = _across(num, den)
+    columns = ["gram", "cell", "block", "doc", "n", "pos", "component", "hub", "coarse"]
+    here = shared.join(small(label.select(F.col("node").alias("doc"), "component")), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    here = here.join(small(profile.select("doc", "coarse")), "doc").select("gram", "doc", "n", "pos", "light", "hub", "component", "coarse")
+
+    def first_of_each(rows: DataFrame, *keys: str) -> DataFrame:
+        first = F.min(F.struct("light", "doc", "n", "pos", "hub", "coarse")).alias("x")
+        return rows.groupBy(*keys, "component").agg(first).select(*keys, "component", "x.*")
+
+    all_of = Window.partitionBy("gram")
+    plain = here.join(small(hot), "gram", "left_anti").repartition("gram")
+    plain = plain.withColumn("lo", F.min("component").over(all_of)).withColumn("hi", F.max("component").over(all_of)).where("lo < hi").drop("lo", "hi")
+    if representatives:
+        plain = first_of_each(plain, "gram")
+    plain = plain.withColumn("cell", F.lit(0).cast("long")).withColumn("block", F.lit(0)).select(*columns).sortWithinPartitions("gram", "cell", "n", "doc")
+    if not hot.limit(1).count():
+        return map_arrow(plain, kernel, schema).distinct()
+    busy = here.join(small(hot), "gram")
+    mixed = busy.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
+    busy = busy.join(mixed, "gram", "left_semi")
+    if representatives:
+        busy = first_of_each(busy, "gram", "blocks")
+    busy = busy.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    busy = busy.withColumn("cell", F.shiftleft(F.least("block", "other"), 32) + F.greatest("block", "other")).select(*columns)
+    busy = busy.repartition("gram", "cell").sortWithinPartitions("gram", "cell", "n", "doc")
+    return map_arrow(plain, kernel, schema).unionByName(map_arrow(busy, kernel, schema)).distinct()
 
 
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,62 +381,67 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         return keep(_components(docs, k, num, den, id_col, text_col), "ngram_components")
 
 
+def _frequent(scanned: DataFrame) -> np.ndarray:
+    """The frequent n-grams, sorted: those seen so often that no more than _MOST_FREQUENT are."""
+    seen = stored(scanned.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= _LEAST_FREQUENT), "ngram_seen")
+    power = F.floor(F.log2("times")).cast("int")
+    by_power = {r["power"]: r["n"] for r in seen.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 64 rows at most
+    least, held = 64, 0
+    for p in sorted(by_power, reverse=True):
+        held += by_power[p]
+        if held > _MOST_FREQUENT:
+            break
+        least = p
+    return np.sort(seen.where(power >= least).select("gram").toArrow().column("gram").to_numpy().astype(np.int64))
+
+
 def _components(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     kernel, schema = _profile(k)
     scanned = stored(map_arrow(texts, kernel, schema), "ngram_profile")
     rows = scanned.where("n is not null")
-    sums = rows.agg(F.count("doc"), F.count_distinct("doc"), F.sum("n")).first()
+    sums = rows.agg(F.count("doc"), F.count_distinct("doc")).first()
     if sums[0] > sums[1]:  # ids repeat: one document each, with its greatest text
         one = texts.groupBy("doc").agg(F.max("text").alias("text"))
         found = ngram_components(one, k, num, den, "doc", "text")
         mine = texts.select("doc")
         return mine.join(found, F.col("doc").eqNullSafe(F.col("doc_id"))).select("doc_id", "n_shingles", "component_id")
-    least = max(_LEAST_FREQUENT, (sums[2] or 0) // _MOST_FREQUENT)
-    late = scanned.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("gram")
-    frequent = np.sort(late.toArrow().column("gram").to_numpy().astype(np.int64))
+    frequent = _frequent(scanned)
     usable = texts.where("doc is not null")
-    kernel, schema = _postings(k, frequent, num, den)
-    dealt = map_arrow(usable, kernel, schema).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "place", "doc")
-    shared = stored(map_arrow(dealt, _name_hubs, "gram long, salt int, doc long, n int, pos int, light int, hub long, hub_n int"), "ngram_shared")
-
-    # Equal sets are one node from here on: the least document that has the set.
     profile = rows.where("doc is not null and n > 0")
+    spark = docs.sparkSession
+    # Equal sets are one node from here on: the least document that has the set.
     classes = profile.groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
     rep_of = stored(profile.join(classes, ["n", "k1", "k2"]).where("doc <> rep").select(F.col("doc").alias("copy"), "rep"), "ngram_copies")
-    shared = shared.join(rep_of, F.col("doc") == F.col("copy"), "left").withColumn("doc", F.coalesce("rep", "doc")).drop("copy", "rep").distinct()
-    shared = shared.join(rep_of, F.col("hub") == F.col("copy"), "left").withColumn("hub", F.coalesce("rep", "hub")).drop("copy", "rep")
-    shared = stored(shared, "ngram_nodes")
-
-    near = (F.least("n", "hub_n").cast("long") * den) >= (F.greatest("n", "hub_n").cast("long") * num)
-    to_hub = shared.where("doc <> hub").where(near).select(F.col("hub").alias("a"), F.col("doc").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b"))
-    heads = shared.where("salt >= 0 and doc = hub").select("gram", "doc", "n").distinct()
-    top = heads.groupBy("gram").agg(F.min(F.struct("doc", "n")).alias("top"))
-    heads = heads.join(top, "gram").where("doc <> top.doc").select(F.col("top.doc").alias("a"), F.col("doc").alias("b"), F.col("top.n").alias("n_a"), F.col("n").alias("n_b"))
-    heads = heads.where(F.least("n_a", "n_b").cast("long") * den >= F.greatest("n_a", "n_b").cast("long") * num)
-    hubs = _possible(to_hub.union(heads).distinct(), profile, num, den, "ngram_hub_pairs")
-    label = stored(connected_components(_counted(usable, hubs, k, frequent, num, den), "a", "b"), "ngram_labels")
+    with scratch(spark) as keep:
+        kernel, schema = _postings(k, frequent, num, den)
+        dealt = map_arrow(usable, kernel, schema).repartition("gram", "salt").sortWithinPartitions("gram", "salt", "place", "doc")
+        found = stored(map_arrow(dealt, _name_hubs, "gram long, salt int, doc long, n int, pos int, light int, hub long, hub_n int"), "ngram_buckets")
+        hot = found.where("doc is null").groupBy("gram").agg(F.sum("n").alias("rows")).where(F.col("rows") > _HOT)
+        hot = keep(hot.select("gram", F.ceil(F.col("rows") / _HOT).cast("long").alias("blocks")), "ngram_hot")
+        copies = small(rep_of)
+        shared = found.where("doc is not null").join(copies.select(F.col("copy").alias("doc")), "doc", "left_anti")
+        shared = shared.join(copies, F.col("hub") == F.col("copy"), "left").withColumn("hub", F.coalesce("rep", "hub")).drop("copy", "rep")
+        shared = keep(shared, "ngram_shared")
+
+    with scratch(spark) as keep:
+        near = (F.least("n", "hub_n").cast("long") * den) >= (F.greatest("n", "hub_n").cast("long") * num)
+        to_hub = shared.where("doc <> hub").where(near).select(F.col("hub").alias("a"), F.col("doc").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b"))
+        heads = shared.where("salt >= 0 and doc = hub").select("gram", "doc", "n").distinct()
+        top = heads.groupBy("gram").agg(F.min(F.struct("doc", "n")).alias("top"))
+        heads = heads.join(top, "gram").where("doc <> top.doc").select(F.col("top.doc").alias("a"), F.col("doc").alias("b"), F.col("top.n").alias("n_a"), F.col("n").alias("n_b"))
+        heads = heads.where(F.least("n_a", "n_b").cast("long") * den >= F.greatest("n_a", "n_b").cast("long") * num)
+        hubs = _possible(to_hub.union(heads).distinct(), profile, num, den, "ngram_hub_pairs")
+        label = keep(connected_components(_counted(usable, hubs, k, frequent, num, den), "a", "b"), "ngram_labels")
 
     # Components that share a bucket first try one pair of members, those most made of shared n-grams; then all pairs
     # of the components that are still apart.
-    kernel, schema = _across(num, den)
-    mixed = _mixed_buckets(shared, label)
-    first = F.min(F.struct("light", "doc", "n", "pos", "hub")).alias("x")
-    reps = mixed.groupBy("gram", "component").agg(first).select("gram", "component", "x.*").repartition("gram").sortWithinPartitions("gram", "n", "doc")
-    tried = _possible(map_arrow(reps, kernel, schema).distinct(), profile, num, den, "ngram_rep_pairs")
-    label = _renamed(label, _counted(usable, tried, k, frequent, num, den))
-    dealt = _mixed_buckets(shared, label).repartition("gram").sortWithinPartitions("gram", "n", "doc")
-    rest = stored(map_arrow(dealt, kernel, schema).distinct(), "ngram_across")
-    # Of what is left each document first tries its likeliest partners: mostly that joins the components, and the
-    # other pairs between them need no count any more. Then all that still lie between components are counted.
-    rest = _possible(rest, profile, num, den, "ngram_pairs").withColumn("_share", F.col("most") / (F.col("n_a") + F.col("n_b")))
-    for partners in (_FIRST_PARTNERS, None):
-        tried = _between(rest, label)
-        if partners:
-            best = [F.row_number().over(Window.partitionBy(e).orderBy(F.col("_share").desc(), o)).alias(f"_{e}") for e, o in (("a", "b"), ("b", "a"))]
-            tried = tried.select("*", *best).where(F.least("_a", "_b") <= partners)
-        tried = stored(tried.select("a", "b", "n_a", "n_b"), "ngram_tried")
-        label = _renamed(label, _counted(usable, tried, k, frequent, num, den))
+    with scratch(spark) as keep:
+        tried = _possible(_met(shared, profile, label, hot, num, den, True), profile, num, den, "ngram_rep_pairs")
+        label = keep(_renamed(label, _counted(usable, tried, k, frequent, num, den)), "ngram_labels")
+    with scratch(spark) as keep:
+        rest = _possible(_met(shared, profile, label, hot, num, den, False), profile, num, den, "ngram_pairs")
+        label = keep(_renamed(label, _counted(usable, rest, k, frequent, num, den)), "ngram_labels")
     named = label
     own = rows.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))
     own = own.join(rep_of, F.col("doc_id") == F.col("copy"), "left").withColumn("own_node", F.coalesce("rep", "doc_id"))
