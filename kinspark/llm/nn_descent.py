@@ -17,10 +17,11 @@
    decides. Below ``min_recall`` the search goes on with more orders and longer lists,
    after three attempts with every component as one with saturated nodes, which is exact.
 
-Defined results: vectors that are null, empty, zero, hold null or non-finite components,
-or have another length than most, link with nothing: n_links 0, themselves their
-component. A row with a null id likewise, with a null component. Rows that share an id
-count as one vector (the greatest), repeated rows too. An empty table gives an empty result.
+Defined results: vectors that are null, empty, zero, hold null or non-finite components
+link with nothing: n_links 0, themselves their component. Vectors of different lengths
+don't link; those of each length are searched on their own, one after another. A row with a null id likewise, with a null component. Rows that share an id
+count as one vector (the greatest), repeated rows too. Other columns, whatever their names, are not read.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -397,14 +398,21 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``vectors``: (vec_id, n_links, component_id, kept)."""
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
-    dims = raw.groupBy(F.size("embedding").alias("d")).count().where("d > 0").orderBy(F.desc("count"), F.desc("d")).first()
-    dim = dims["d"] if dims else 1
+    lengths = [r["d"] for r in raw.groupBy(F.size("embedding").alias("d")).count().where("d > 0").orderBy(F.desc("count"), F.desc("d")).collect()]  # one row a length
+    dim = lengths[0] if lengths else 1
     counts = raw.agg(F.count("vec_id"), F.count_distinct("vec_id")).first()
     if counts[0] > counts[1]:  # ids repeat: one vector each, then back to the rows
         one = raw.groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
         found = near_duplicates(one, threshold, k, tables, max_rounds, seed, audit_size, min_recall, "vec_id", "embedding")
         found = found.withColumnRenamed("vec_id", "_vec")
         return raw.select("vec_id").join(found, F.col("vec_id").eqNullSafe(F.col("_vec"))).drop("_vec")
+    if len(lengths) > 1:
+        size, out = F.size("embedding"), None
+        for d in lengths:  # null and empty vectors go with the most frequent length
+            own_length = (size == d) if d != dim else (size.isNull() | (size <= 0) | (size == d))
+            part = near_duplicates(raw.where(own_length), threshold, k, tables, max_rounds, seed, audit_size, min_recall, "vec_id", "embedding")
+            out = part if out is None else out.unionByName(part)
+        return out
     kernel, schema = _units(dim)
     units = stored(map_arrow(raw.repartition("vec_id"), kernel, schema), "nn_units")
     usable = units.where("key is not null and vec_id is not null")

@@ -10,8 +10,16 @@ order of a seeded hash of their id; every document is scored over its whole text
 
 Defined results: a null or empty text has no features and so the grade of the
 intercepts alone; null ids are scored like others; labels with a null id or a null
-flag are passed over; of repeated labels the highest flag counts; with no toxic or
-no clean label nothing can be learnt and every document gets severity 0.
+flag are passed over; of repeated labels the highest flag counts, of documents that
+share a labelled id the greatest text is learnt from; with no toxic or no clean label
+nothing can be learnt and every document gets severity 0. Each row is scored on its
+own, repeated ones alike, a very long text over all of it. A document is toxic when
+P(grade >= 1) is above 0.5, not at it; of equally likely grades the lowest counts.
+Other columns, whatever their names, are not read, and ``drop_toxic`` returns them as
+they are; an empty table gives an empty result.
+
+Bounds of the fit: ``max_labelled`` documents and ``max_features`` features, those with
+the highest odds among features of enough support.
 """
 
 from __future__ import annotations
@@ -73,8 +81,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int, seed: int,
     clean = labels.select(F.col(id_col).cast("long").alias("_label_id"), F.col(flag).cast("int").alias("toxic")).dropna()
     sample = clean.groupBy("_label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.lit(seed), "_label_id"), "_label_id").limit(max_labelled)
     texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("text"))
-    joined = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_label_id")).select("toxic", "text")
-    return map_arrow(joined, _features_of, "toxic int, hashes binary, counts binary").toArrow()
+    joined = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_label_id")).groupBy("_label_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
+    return map_arrow(joined.select("toxic", "text"), _features_of, "toxic int, hashes binary, counts binary").toArrow()
 
 
 def fit_ordinal(

@@ -15,7 +15,8 @@ falls into phases between such moments, each with constant shares.
 
 Defined results: a null or empty text is just its end id; rows that repeat, or share
 an id, are packed one by one; a null source is a queue of its own; null ids are
-allowed; an empty table gives an empty result. One row per queue is held by the driver
+allowed; a very long text is cut into as many pieces as it takes; other columns, whatever their names, are
+not read; an empty table gives an empty result. One row per queue is held by the driver
 and by each task (``max_sources`` bounds them).
 """
 
@@ -213,7 +214,7 @@ def _pieces(plan: list[Phase], total: int, window: int, grain: int):
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, grain: int = 32, weights: dict[str | None, float] | None = None, max_sources: int = MAX_SOURCES,
+    docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, grain: int = 256, weights: dict[str | None, float] | None = None, max_sources: int = MAX_SOURCES,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).

@@ -12,7 +12,9 @@ span around its anchor and validates it:
 
 Spans of one kind don't overlap and go from left to right. Positions are code points, ends
 exclusive. Defined results: a null text counts as empty and has no spans; rows are treated one
-by one, so null ids and repeated rows come back as they are; an empty table gives an empty result.
+by one, so null ids and repeated rows come back as they are; a very long text is searched whole, a match
+that spans any part of it included; other columns, whatever their names, are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

@@ -5,14 +5,15 @@ completions are what follows in each conversation. A mask in run lengths ("0:14,
 a completion's code points; 1 marks what is learnt: assistant texts with their end marks.
 
 ``pair_by_first_turn`` makes pairs where none are given: conversations that open with the same
-turn, in order of their ids, each with the next one. Groups are cut into ranges of ids; counts
+turn, in order of their ids, the first with the second, the third with the fourth and so on. Groups are cut into ranges of ids; counts
 carried from range to range number the whole group, so that no task holds an unbounded group
 and no size changes the pairs. Of a pair the one with more assistant
 text is chosen, ties go to the lower id. A conversation without a partner stays unpaired.
 
 Defined results: a null role or text counts as empty; rows with a null conversation id are left
 out; a null turn number comes last; turns with one number are ordered by role, then text, and
-repeated rows stay repeated; an empty table gives an empty result. All in DataFrame functions.
+repeated rows stay repeated; a very long text is compared and rendered whole; other columns, whatever
+their names, are not read; an empty table gives an empty result. All in DataFrame functions.
 """
 
 from __future__ import annotations

@@ -112,15 +112,12 @@ convs AS (
   FROM rows GROUP BY conv_id),
 opening AS (
   SELECT conv_id, weight, turns[1].role || chr(10) || turns[1].text AS o,
-    CAST(ceil(count(*) OVER (PARTITION BY turns[1].role || chr(10) || turns[1].text) / 1024.0) AS BIGINT) AS sets
+    (row_number() OVER (PARTITION BY turns[1].role || chr(10) || turns[1].text ORDER BY conv_id) - 1) // 2 AS pair
   FROM convs),
-ahead AS (
-  SELECT conv_id, weight, lead(conv_id) OVER w AS other, lead(weight) OVER w AS other_weight, lag(conv_id) OVER w AS before
-  FROM opening WINDOW w AS (PARTITION BY o, conv_id % sets ORDER BY conv_id)),
-pairs AS (
-  SELECT CASE WHEN other IS NULL OR weight >= other_weight THEN conv_id ELSE other END AS chosen_id,
-    CASE WHEN other IS NULL OR weight >= other_weight THEN other ELSE conv_id END AS rejected_id
-  FROM ahead WHERE other IS NOT NULL OR before IS NULL),
+two AS (
+  SELECT min(conv_id) AS x, arg_min(weight, conv_id) AS wx, CASE WHEN count(*) = 2 THEN max(conv_id) END AS y, arg_max(weight, conv_id) AS wy
+  FROM opening GROUP BY o, pair),
+pairs AS (SELECT CASE WHEN y IS NULL OR wx >= wy THEN x ELSE y END AS chosen_id, CASE WHEN y IS NOT NULL THEN CASE WHEN wx >= wy THEN y ELSE x END END AS rejected_id FROM two),
 duo AS (
   SELECT chosen_id, rejected_id, a.turns AS a, b.turns AS b,
     CASE WHEN b.turns IS NULL THEN len(a.turns) ELSE coalesce(

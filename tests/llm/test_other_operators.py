@@ -82,6 +82,33 @@ def test_near_duplicates_edges(spark):
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True)]
 
 
+def test_near_duplicates_of_every_length(spark):
+    """Vectors of a rare length link with each other, never with those of another one."""
+    rows = [(i, [1.0, 0.001 * i], 0, 1, "k") for i in range(4)] + [(10, [1.0, 0.0, 0.0], 0, 1, "k"), (11, [0.9, 0.0, 0.0], 0, 1, "k"), (12, [0.0, 0.0, 1.0], 0, 1, "k"), (20, None, 0, 1, "k"), (21, [], 0, 1, "k")]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 10: (1, 10), 11: (1, 10), 12: (0, 12), 20: (0, 20), 21: (0, 21)}
+
+
+def test_preferences_match_their_sql_in_groups(spark, tmp_path):
+    """Openings shared by one to five conversations, with ties of weight."""
+    import random
+
+    import duckdb
+
+    from kinspark.llm import queries
+    from tests.oracle import compare
+
+    rng, rows, n = random.Random(2), [], 0
+    for opening in range(12):
+        for _ in range(1 + opening % 5):
+            rows += [(n, 0, "user", f"open {opening}"), *[(n, t, rng.choice(["assistant", "user"]), rng.choice(["a", "bb", "ccc"])) for t in range(1, 4)]]
+            n += 1
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert compare(queries.op8_preferences(spark, str(tmp_path)), con, queries.oracle_sql()["op8_preferences"]) is None
+
+
 def test_components_of_long_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(100, 180)] + [(7, 1000 + i) for i in range(200)] + [(5, 5), (None, 3), (300, 301), (301, 300)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

@@ -6,12 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from kinspark.llm import cotrain, exact_dedup, mixing, ngram_join, ordinal_toxicity, packing, pii, queries, range_coder, token_files, tokens
-from kinspark.llm.shared import working_path
+from kinspark.llm.shared import text_buffers, working_path
 from tests.conftest import TESTDATA
 from tests.llm.common import awkward, components, documents, shingles, words
 from tests.oracle import compare, connect
@@ -108,6 +109,35 @@ def test_ngram_frequent_grams_and_small_windows(spark, monkeypatch):
     assert got == components(sets, link)
 
 
+def test_ngram_hot_bucket_of_several_components(spark, monkeypatch):
+    """Thousands of rows of several components meet in the buckets of a few n-grams, which are cut into blocks."""
+    monkeypatch.setattr(ngram_join, "_HOT", 300)
+    rng = np.random.default_rng(9)
+    rows, n = [], 3000
+    for i in range(n):
+        kind = int(rng.integers(0, 6))
+        w = [f"c{j}" for j in range(24)] + [f"k{kind}_{j}" for j in range(3 + kind)]  # kinds share most of their n-grams
+        if rng.random() < 0.4:
+            w[int(rng.integers(0, len(w)))] = f"e{int(rng.integers(0, 400))}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    sets = [shingles(r[1], 4) for r in rows]
+    place = {g: j for j, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((n, len(place)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[g] for g in s]] = 1
+    inter, size = m @ m.T, m.sum(1)
+    near = 100 * inter >= 85 * (size[:, None] + size[None, :] - inter)
+    least = np.arange(n)
+    while True:
+        now = np.where(near, least[None, :], n).min(1)
+        if (now == least).all():
+            break
+        least = now
+    assert len(set(least.tolist())) > 3
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(documents(spark, rows), 4, 85, 100).collect()}
+    assert [got[i] for i in range(n)] == least.tolist()
+
+
 def test_ngram_repeated_ids(spark):
     rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "A b c d e f", "en", "s", 1)]
     got = ngram_join.ngram_components(documents(spark, rows), 4, 85, 100).collect()
@@ -155,6 +185,8 @@ def test_mix_reaches_targets(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
     rows_out = mixing.take_mix(docs)
     assert rows_out.columns == docs.columns
+    times = Counter(r["doc_id"] for r in rows_out.select("doc_id").collect())
+    assert all(times[r["doc_id"]] == r["copies"] for r in got if r["size"] and r["doc_id"] is not None)
     assert rows_out.where("doc_id = 4").count() == 1  # without words: stays once
 
 
@@ -384,6 +416,38 @@ def test_quality_held_out(spark):
     assert got["acc"] > 0.95 and got["keeps"] > 0.97
 
 
+def test_quality_gains_from_the_exchange(spark):
+    """From few labels, the views that teach each other over all unlabelled documents do better than the labels alone."""
+    docs, labels = (spark.read.parquet(f"{TESTDATA}/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    few, rest = labels.where("doc_id % 40 = 0"), labels.where("doc_id % 40 <> 0")
+
+    def loss(rounds):
+        held = cotrain.score_quality(docs, cotrain.fit_quality(docs, few, rounds=rounds)).join(rest, "doc_id")
+        p = "least(greatest(p_quality, 1e-6), 1 - 1e-6)"
+        return held.selectExpr(f"avg(case when quality = 1 then -ln({p}) else -ln(1 - {p}) end)").first()[0]
+
+    assert loss(3) < loss(0)
+
+
+def test_quality_text_view_knows_words():
+    """Equal forms, other words: the view of the text tells them apart."""
+    view = lambda t: cotrain.text_view(*text_buffers(pa.array([t])))[0]
+    one, two = view("alpha beta gamma"), view("delta omega theta")
+    plain = cotrain.FORMS + cotrain._SHARES
+    assert (one[: cotrain.FORMS] == two[: cotrain.FORMS]).all() and (one[plain:] != two[plain:]).any()
+    swapped = view("beta alpha gamma")
+    assert (one[plain : plain + cotrain.WORDS] == swapped[plain : plain + cotrain.WORDS]).all() and (one[plain + cotrain.WORDS :] != swapped[plain + cotrain.WORDS :]).any()
+
+
+def test_classifier_samples_are_bounded_by_rows(spark):
+    rows = [(7, f"word {i} text", "en", "a", 10) for i in range(50)] + [(i, "other words here", "en", "b", 10) for i in range(20, 40)]
+    marks = spark.createDataFrame([(7, 1, 1), *[(i, i % 2, i % 2) for i in range(20, 40)]], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    assert ordinal_toxicity._labelled(docs, marks, 100, 1, "doc_id", "text", "toxic").num_rows == 21
+    sample = marks.selectExpr("doc_id", "doc_id as _order", "quality as label")
+    assert cotrain._views_of(cotrain._inputs(docs), sample).num_rows == 21
+
+
 def test_quality_awkward_rows(spark):
     docs = documents(spark, clashing=True)
     labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (9, None)], "doc_id long, quality int")
