@@ -1,6 +1,6 @@
 """Adaptive context-mixing range coder for token ids, many blocks in step.
 
-A container holds a run of ids cut into blocks of equal length. Each block starts from the same
+A container holds a run of ids cut into blocks of equal length (2048, longer where ids are many-valued). Each block starts from the same
 state, has its own checksum and is decoded without the others. Coding goes through all blocks of a
 container at once, position by position, so that each numpy call works on one id of every block.
 
@@ -36,6 +36,8 @@ _SLOTS = 512
 _EPOCHS = 2
 #: Pairs that occur so often in a container stand in its head; of one first id this many at most, or only more frequent ones do.
 _LEAST_PAIRS, _MOST_FOLLOWERS = 6, 1 << 14
+#: Order-0 counts of all blocks together (128 MB); with more distinct ids blocks get longer and fewer.
+_ZERO_CELLS = 1 << 24
 #: What one id of the block adds to its order-0 count, whose start sums to about 2^16.
 _GAIN = 32
 _LIST_BITS = 16
@@ -277,11 +279,12 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A container of all ``ids`` (uint32)."""
     n = len(ids)
     block = int(min(max(n // 1024, 256), block))
-    lanes = -(-n // block)
     if n == 0:
         return _sealed(block, 0, b"", [])
     counts = np.bincount(ids)
     distinct = np.flatnonzero(counts)
+    block = max(block, -(-n * len(distinct) // _ZERO_CELLS))
+    lanes = -(-n // block)
     place = np.zeros(len(counts), np.int32)
     place[distinct] = np.arange(len(distinct))
     symbols = place[ids]
