@@ -56,6 +56,7 @@ _MOST_FREQUENT = 1 << 18
 _SALTS = 32
 _SIEVE_BITS = (1 << 20, 1 << 27)
 _HOT = 4096
+_COARSE = 64
 _SEED_A, _SEED_B = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -108,8 +109,9 @@ def _cut_counts(grams: np.ndarray) -> bytes:
 
 
 def _coarse_counts(grams: np.ndarray) -> bytes:
-    """How many of a set lie in each of 32 equal cuts of the hash range, 255 for that and more."""
-    return np.minimum(np.bincount((grams.view(np.uint64) >> np.uint64(59)).astype(np.int64), minlength=32), 255).astype(np.uint8).tobytes()
+    """How many of a set lie in each of ``_COARSE`` equal cuts of the hash range, 255 for that and more."""
+    cut = (grams.view(np.uint64) >> np.uint64(65 - _COARSE.bit_length())).astype(np.int64)
+    return np.minimum(np.bincount(cut, minlength=_COARSE), 255).astype(np.uint8).tobytes()
 
 
 def _most_shared(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
@@ -228,11 +230,11 @@ def _across(num: int, den: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = None
         names = ("doc", "n", "pos", "component", "hub", "block")
-        none = {c: np.zeros(0, np.int64) for c in names} | {"coarse": np.zeros((0, 32), np.uint8)}
+        none = {c: np.zeros(0, np.int64) for c in names} | {"coarse": np.zeros((0, _COARSE), np.uint8)}
         past = none
         for batch in batches:
             cols = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("gram", "cell", *names)}
-            cols["coarse"] = np.frombuffer(b"".join(batch.column("coarse").to_pylist()), np.uint8).reshape(-1, 32)
+            cols["coarse"] = np.frombuffer(b"".join(batch.column("coarse").to_pylist()), np.uint8).reshape(-1, _COARSE)
             cut = np.flatnonzero((np.diff(cols["gram"]) != 0) | (np.diff(cols["cell"]) != 0)) + 1
             for at, to in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(cols["gram"])]]).tolist(), strict=True):
                 if to == at:
@@ -258,8 +260,8 @@ def _across(num: int, den: int):
                             ok &= old["block"][:, None] != new["block"][None, :]
                         ok &= (x + np.arange(len(old["n"])))[:, None] < first + np.arange(hi - lo)[None, :]
                         i, j = np.nonzero(ok)
-                        x32, y32 = old["coarse"][i], new["coarse"][j]
-                        most = np.minimum(x32, y32).sum(1, dtype=np.int64) + (((x32 == 255) & (y32 == 255)).any(1) * (1 << 40))
+                        mine, yours = old["coarse"][i], new["coarse"][j]
+                        most = np.minimum(mine, yours).sum(1, dtype=np.int64) + (((mine == 255) & (yours == 255)).any(1) * (1 << 40))
                         able = most >= inter[i, j]
                         i, j = i[able], j[able]
                         if len(i):
