@@ -150,8 +150,7 @@ JOIN j USING (a_id, b_id) WHERE score >= 0.7""",
 def stem_join(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _item_sides(spark, sf)
     stem = F.concat_ws("/", "source", "lang", F.floor(F.col("n_chars") / 20).cast("string"))
-    overlap = sim.shared_items(a, b).withColumn("score", F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter")))
-    return _rounded(sim.stem_join(a.withColumn("stem", stem), b.withColumn("stem", stem), overlap))
+    return _rounded(sim.stem_join(a.withColumn("stem", stem), b.withColumn("stem", stem)))
 
 
 _POSITION = """
