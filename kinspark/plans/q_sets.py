@@ -182,10 +182,14 @@ def heir_veto(spark: SparkSession, sf: str) -> DataFrame:
     """Weak candidates, without those that share nothing while a real heir of the prior record exists."""
     a, b = _item_sides(spark, sf)
     a, b = (s.withColumn("band", F.floor(F.col("n_chars") / 100)) for s in (a, b))
-    scored = sim.shared_items(a, b).where(F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter")) >= 0.6)
-    weak = a.select(F.col("id").alias("a_id"), "source", "lang", "band", F.col("items").alias("x")).join(b.select(F.col("id").alias("b_id"), "source", "lang", "band", F.col("items").alias("y")), ["source", "lang", "band"])
-    vetoed = weak.where((F.size("x") > 0) & (F.size("y") > 0) & ~F.arrays_overlap("x", "y")).join(scored.select("a_id").distinct(), "a_id", "left_semi").select("a_id", "b_id")
-    return weak.select("a_id", "b_id").join(vetoed, ["a_id", "b_id"], "left_anti")
+    heirs = sim.similar_sets(a, b, 0.6).select(F.col("a_id").alias("id")).distinct().withColumn("heir", F.lit(True))
+    hashed = F.transform("items", lambda x: F.xxhash64(x))
+    a = a.select("id", "source", "lang", "band", hashed.alias("x")).join(heirs, "id", "left")
+    # Only sets of which an emptied overlap would veto meet the others item by item.
+    x = a.select(F.col("id").alias("a_id"), "source", "lang", "band", F.when(F.col("heir") & (F.size("x") > 0), F.col("x")).alias("x"))
+    y = b.select(F.col("id").alias("b_id"), "source", "lang", "band", hashed.alias("y"))
+    kept = F.col("x").isNull() | (F.size("y") == 0) | F.arrays_overlap("x", "y")
+    return x.join(y, ["source", "lang", "band"]).where(kept).select("a_id", "b_id")
 
 
 _WORDS4 = "regexp_extract_all(lower(text), '[a-z0-9]{2,}')"
