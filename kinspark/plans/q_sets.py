@@ -243,13 +243,17 @@ _SIM = UNITS + ", " + "s AS (SELECT id, side, source, lang, n_chars // 100 AS ba
 )
 def set_similarities(spark: SparkSession, sf: str) -> DataFrame:
     """The four definitions side by side on pairs of like size."""
-    u = units(spark, sf).withColumn("k", scalars.token_set(F.col("text"))).withColumn("band", F.floor(F.col("n_chars") / 100))
+    # Sets travel as 64-bit hashes; the shared ones of a pair are counted once, the rest follows from the sizes.
+    u = units(spark, sf).select("id", "side", "source", "lang", F.floor(F.col("n_chars") / 100).alias("band"), F.transform(scalars.token_set(F.col("text")), lambda x: F.xxhash64(x)).alias("k"))
     a, b = sides(u)
-    pairs = a.select(F.col("id").alias("a_id"), "source", "lang", "band", F.col("k").alias("x")).join(b.select(F.col("id").alias("b_id"), "source", "lang", "band", F.col("k").alias("y")), ["source", "lang", "band"])
+    x = a.select(F.col("id").alias("a_id"), "source", "lang", "band", F.col("k").alias("x"))
+    y = b.select(F.col("id").alias("b_id"), "source", "lang", "band", F.col("k").alias("y"))
+    pairs = x.join(y, ["source", "lang", "band"]).select("a_id", "b_id", similarity.shared("x", "y").cast("long").alias("shared"), F.size("x").alias("n"), F.size("y").alias("m"))
+    n, m, union = F.col("n"), F.col("m"), F.col("n") + F.col("m") - F.col("shared")
+    over = lambda empty, whole, otherwise=0.0: F.round(F.when(empty, otherwise).otherwise(F.col("shared") / whole), 9)
     return pairs.select(
-        "a_id", "b_id", similarity.shared("x", "y").cast("long").alias("shared"), F.round(similarity.jaccard_both_empty_one("x", "y"), 9).alias("jaccard_one"),
-        F.round(similarity.jaccard_any_empty_zero("x", "y"), 9).alias("jaccard_zero"), F.round(similarity.containment("x", "y"), 9).alias("containment"),
-        F.round(similarity.overlap_of_larger("x", "y"), 9).alias("overlap"),
+        "a_id", "b_id", "shared", over(union == 0, union, 1.0).alias("jaccard_one"), over((n == 0) | (m == 0), union).alias("jaccard_zero"),
+        over(F.least(n, m) == 0, F.least(n, m)).alias("containment"), over(F.greatest(n, m) == 0, F.greatest(n, m)).alias("overlap"),
     )
 
 
