@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.operators.gates import equal_count_keys, injective, strict_best, unique_both_sides
-from kinspark.operators.graph import settle
+from kinspark.operators.graph import settle, stored
+from kinspark.operators.similarity_join import overlapping_sets
 
 
 def bucket_candidates(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -192,19 +194,13 @@ def first_of(*tiers: tuple[str, Column]) -> tuple[Column, Column]:
 def edited_candidates(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
     """(old_id, new_id, score): pairs of one head whose sets ``words`` share at least ``least`` of the larger one.
 
-    Records have id, head and words. Such a pair meets in the rarest words of both sets (all but as many as they must
-    share, plus one), so a frequent head or word does not bring all its records together.
+    Records have id, head and words (without repeats). Words count under their head, so a frequent head or word does not
+    bring all its records together.
     """
-    both = old.select("id", "head", "words", F.lit(0).alias("side")).unionByName(new.select("id", "head", "words", F.lit(1).alias("side")))
-    word = settle(both.select("id", "side", "head", F.size("words").alias("n"), F.explode("words").alias("word")))
-    count = word.groupBy("head", "word").agg(F.count(F.lit(1)).alias("freq"))
-    turn = F.row_number().over(Window.partitionBy("side", "id").orderBy("freq", "word"))
-    rare = word.join(count, ["head", "word"]).withColumn("turn", turn).where(F.col("turn") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    x, y = (rare.where(F.col("side") == i).select("head", "word", F.col("id").alias(f"{c}_id"), F.col("n").alias(f"n_{c}")) for i, c in ((0, "old"), (1, "new")))
-    met = x.join(y, ["head", "word"]).where(F.least("n_old", "n_new") >= F.greatest("n_old", "n_new") * least).select("old_id", "new_id").distinct()
-    met = met.join(old.select(F.col("id").alias("old_id"), F.col("words").alias("old_words")), "old_id").join(new.select(F.col("id").alias("new_id"), F.col("words").alias("new_words")), "new_id")
-    score = F.size(F.array_intersect("old_words", "new_words")) / F.greatest(F.size("old_words"), F.size("new_words"))
-    return met.select("old_id", "new_id", score.alias("score")).where(F.col("score") >= least)
+    under = F.transform("words", lambda w: F.struct(F.col("head"), w))
+    pairs = overlapping_sets(old, new, least, lambda n, m: F.ceil(F.greatest(n, m) * least - 1e-9), under)
+    score = F.col("inter") / F.greatest("n_a", "n_b")
+    return pairs.select(F.col("a_id").alias("old_id"), F.col("b_id").alias("new_id"), score.alias("score")).where(F.col("score") >= least)
 
 
 def greedy_in_order(pairs: DataFrame, max_rounds: int = 100_000) -> DataFrame:
@@ -225,3 +221,27 @@ def greedy_in_order(pairs: DataFrame, max_rounds: int = 100_000) -> DataFrame:
             return ranked.where("ask").select("old_id", "new_id", "score")
         pairs = ranked.where(~refused).select("old_id", "new_id", "score")
     raise RuntimeError("pairs did not settle")
+
+
+def greedy_within(pairs: DataFrame, key: str, most: int = 2_000_000) -> DataFrame:
+    """What greedy_in_order gives for ``pairs`` (old_id, new_id, score, key) whose ends never compete across keys.
+
+    The pairs of a key are worked off in order in one task; keys with more than ``most`` of them go through the rounds.
+    """
+    pairs = stored(pairs)
+    large = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(key)
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["new_id", "score", "old_id"], ascending=[True, False, True], kind="stable")
+        used: set[int] = set()
+        out, last = [], None
+        for old, new, score in zip(pdf["old_id"].to_numpy(), pdf["new_id"].to_numpy(), pdf["score"].to_numpy(), strict=True):
+            if new != last and old not in used:
+                used.add(old)
+                out.append((old, new, score))
+                last = new
+        return pd.DataFrame(out, columns=["old_id", "new_id", "score"])
+
+    small = pairs.join(large, key, "left_anti").groupBy(key).applyInPandas(take, "old_id long, new_id long, score double")
+    rest = pairs.join(large, key, "left_semi").select("old_id", "new_id", "score")
+    return small.unionByName(greedy_in_order(rest)) if large.limit(1).count() else small

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinspark.functions import scalars
 from kinspark.operators import matching
-from kinspark.operators.graph import shared_dir
+from kinspark.operators.graph import shared_dir, stored
 from kinspark.plans.common import LINES, UNITS, sides, t, units
 from kinspark.plans.registry import query
 from kinspark.sources import readers, sinks
@@ -132,24 +132,31 @@ def edited_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query("edited_pairs_by_overlap")
 def edited_pairs_by_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Records without a twin, paired inside their masked head by best token overlap of 0.5 or more, each used once."""
-    return overlap_pairs(units(spark, sf))
+    return overlap_pairs(units(spark, sf))[0]
 
 
-def overlap_pairs(u: DataFrame) -> DataFrame:
-    k = u.groupBy("h").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb")).where("na = 0 or nb = 0")
+def overlap_pairs(u: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs, and all records with what else the ledger counts: id, side, h, source, form (digest of the text) and head (hash of the masked first line)."""
+    every = stored(u.select("id", "side", "h", "source", F.sha2("text", 256).alias("form"), F.xxhash64(scalars.mask_words(F.split("text", "\n")[0])).alias("head")))
+    k = every.groupBy("h").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb")).where("na = 0 or nb = 0")
+    alone = every.join(k, "h", "left_semi").select("id", "side", "head")
+    shared = alone.groupBy("head").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi")
+    open_ = stored(alone.join(shared, "head", "left_semi"))
     words = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1)), lambda w: F.length(w) > 2))
-    e = u.join(k, "h", "left_semi").select("id", "side", scalars.mask_words(F.split("text", "\n")[0]).alias("head"), words.alias("words"))
-    return matching.greedy_in_order(matching.edited_candidates(*sides(e)))
+    # Hashes are taken before the join: texts stay where they are.
+    e = u.select("id", F.transform(words, lambda w: F.xxhash64(w)).alias("words")).join(open_, "id")
+    pairs = matching.edited_candidates(*sides(e)).join(open_.select(F.col("id").alias("old_id"), "head"), "old_id")
+    return matching.greedy_within(pairs, "head"), every
 
 
 @query("diff_ledger_by_overlap")
 def diff_ledger_by_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Every record in exactly one bucket; edited_pairs_by_overlap are modified, sole twins in another source moved."""
-    u = units(spark, sf)
+    p, u = overlap_pairs(units(spark, sf))
+    p = stored(p)
     k = u.groupBy("h").agg(
-        F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"), F.when(F.min(F.sha2("text", 256)) == F.max(F.sha2("text", 256)), 1).otherwise(2).alias("forms"), F.count_distinct(F.coalesce("source", F.lit(""))).alias("places")
+        F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"), F.when(F.min("form") == F.max("form"), 1).otherwise(2).alias("forms"), F.count_distinct(F.coalesce("source", F.lit(""))).alias("places")
     )
-    p = overlap_pairs(u)
     edited = p.select(F.col("old_id").alias("id")).union(p.select("new_id")).withColumn("edited", F.lit(True))
     one = (F.col("na") == 1) & (F.col("nb") == 1)
     bucket = (
