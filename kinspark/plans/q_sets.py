@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from kinspark.functions import scalars, similarity
 from kinspark.operators import gates
 from kinspark.operators import similarity_join as sim
-from kinspark.operators.graph import connected_labels
 from kinspark.plans.common import TOKENS, UNITS, sides, t, units
 from kinspark.plans.registry import query
 
@@ -131,13 +130,9 @@ def cosine_top3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("close_match")
 def close_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Top three by cosine of 0.8 or more, then greedy one to one with mutual abstention; sequential inside a component of competing pairs. No SQL: tests compare it with one list worked off in order."""
+    """Top three by cosine of 0.8 or more, then greedy one to one with mutual abstention, in rounds. No SQL: tests compare it with one list worked off in order."""
     a, b = _vectors(spark, sf)
-    top = sim.cosine_top(a, b, 3, 0.8)
-    # Old records are even nodes, fresh ones odd: the two ids may be the same number.
-    label = connected_labels(top.select((F.col("a_id") * 2).alias("x"), (F.col("b_id") * 2 + 1).alias("y")), "x", "y")
-    of = label.where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("a_id"), "component")
-    return sim.greedy_assign(top.join(of, "a_id"), "component")
+    return sim.greedy_assign(sim.cosine_top(a, b, 3, 0.8))
 
 
 @query(
