@@ -21,6 +21,11 @@ Sizes, the first common position and the counts in equal cuts of the hash range
 the overlap from above and spare most unlike pairs the count. Equal sets are known
 by a 128-bit sum of their members and link without one.
 
+A pair that shares many prefix n-grams would leave as many buckets. Each row therefore names the
+``_BEFORE`` n-grams that precede its own among its document's shared ones: where two rows have one of
+these in common, the pair has met there already (both lie nearer to the start, so no bound rules the
+pair out there that admits it here), and is passed over. At its first common n-gram it always stays.
+
 Frequent n-grams are found over all documents: each task counts in windows of
 about two million n-grams and reports those it saw twice or more; sums of
 at least the least power of two that leaves 2^18 n-grams (16 at the least) make an
@@ -57,6 +62,7 @@ _SALTS = 32
 _SIEVE_BITS = (1 << 20, 1 << 27)
 _HOT = 4096
 _COARSE = 64
+_BEFORE = 4
 _SEED_A, _SEED_B = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -224,16 +230,17 @@ def _name_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(num: int, den: int):
-    """Rows of open buckets sorted by (gram, cell, n, doc): pairs of different components that size, position and the coarse counts allow. In a cell of two blocks only rows of different blocks meet."""
+    """Rows of open buckets sorted by (gram, cell, n, doc): pairs of different components that size, position and the coarse counts allow. In a cell of two blocks only rows of different blocks meet, and a pair that has met at an n-gram before is passed over."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = None
         names = ("doc", "n", "pos", "component", "hub", "block")
-        none = {c: np.zeros(0, np.int64) for c in names} | {"coarse": np.zeros((0, _COARSE), np.uint8)}
+        none = {c: np.zeros(0, np.int64) for c in (*names, "known")} | {"coarse": np.zeros((0, _COARSE), np.uint8), "before": np.zeros((0, _BEFORE), np.int64)}
         past = none
         for batch in batches:
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("gram", "cell", *names)}
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("gram", "cell", *names, "known")}
+            cols["before"] = np.stack([batch.column(f"before{x}").to_numpy(zero_copy_only=False) for x in range(_BEFORE)], axis=1)
             cols["coarse"] = np.frombuffer(b"".join(batch.column("coarse").to_pylist()), np.uint8).reshape(-1, _COARSE)
             cut = np.flatnonzero((np.diff(cols["gram"]) != 0) | (np.diff(cols["cell"]) != 0)) + 1
             for at, to in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(cols["gram"])]]).tolist(), strict=True):
@@ -264,6 +271,11 @@ def _across(num: int, den: int):
                         most = np.minimum(mine, yours).sum(1, dtype=np.int64) + (((mine == 255) & (yours == 255)).any(1) * (1 << 40))
                         able = most >= inter[i, j]
                         i, j = i[able], j[able]
+                        met = np.zeros(len(i), bool)
+                        for x1 in range(_BEFORE):
+                            for x2 in range(_BEFORE):
+                                met |= (old["before"][i, x1] == new["before"][j, x2]) & (old["known"][i] > x1) & (new["known"][j] > x2)
+                        i, j = i[~met], j[~met]
                         if len(i):
                             p, q = old["doc"][i], new["doc"][j]
                             swap = p > q
@@ -350,12 +362,13 @@ def _met(shared: DataFrame, profile: DataFrame, label: DataFrame, hot: DataFrame
     ``hot`` (gram, blocks) are the long buckets: their rows are dealt to cells, one for every two blocks.
     """
     kernel, schema = _across(num, den)
-    columns = ["gram", "cell", "block", "doc", "n", "pos", "component", "hub", "coarse"]
+    before = ["known", *(f"before{x}" for x in range(_BEFORE))]
+    columns = ["gram", "cell", "block", "doc", "n", "pos", "component", "hub", "coarse", *before]
     here = shared.join(small(label.select(F.col("node").alias("doc"), "component")), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    here = here.join(small(profile.select("doc", "coarse")), "doc").select("gram", "doc", "n", "pos", "light", "hub", "component", "coarse")
+    here = here.join(small(profile.select("doc", "coarse")), "doc").select("gram", "doc", "n", "pos", "light", "hub", "component", "coarse", *before)
 
     def first_of_each(rows: DataFrame, *keys: str) -> DataFrame:
-        first = F.min(F.struct("light", "doc", "n", "pos", "hub", "coarse")).alias("x")
+        first = F.min(F.struct("light", "doc", "n", "pos", "hub", "coarse", *before)).alias("x")
         return rows.groupBy(*keys, "component").agg(first).select(*keys, "component", "x.*")
 
     all_of = Window.partitionBy("gram")
@@ -424,7 +437,9 @@ def _components(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_c
         copies = small(rep_of)
         shared = found.where("doc is not null").join(copies.select(F.col("copy").alias("doc")), "doc", "left_anti")
         shared = shared.join(copies, F.col("hub") == F.col("copy"), "left").withColumn("hub", F.coalesce("rep", "hub")).drop("copy", "rep")
-        shared = keep(shared, "ngram_shared")
+        along = Window.partitionBy("doc").orderBy("pos")
+        shared = shared.withColumn("known", F.least(F.row_number().over(along) - 1, F.lit(_BEFORE)))
+        shared = keep(shared.withColumns({f"before{x}": F.lag("gram", x + 1, 0).over(along) for x in range(_BEFORE)}), "ngram_shared")
 
     with scratch(spark) as keep:
         near = (F.least("n", "hub_n").cast("long") * den) >= (F.greatest("n", "hub_n").cast("long") * num)

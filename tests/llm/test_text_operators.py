@@ -471,3 +471,42 @@ def test_empty_tables(spark):
     path = working_path(spark, "tokens")
     token_files.write_token_files(none, path, WORDS)
     assert token_files.document_index(token_files.read_token_files(spark, path)).count() == 0
+
+
+def test_ngram_pairs_leave_their_first_common_bucket_only():
+    """Families of similar sets share many prefix n-grams: no pair is lost, and few leave more than one bucket."""
+    ng, num, den = ngram_join, 80, 100
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(-(2**63), 2**63, 150)
+        for _ in range(9):
+            sets.append(np.unique(np.concatenate([rng.permutation(base)[: rng.integers(110, 150)], rng.integers(-(2**63), 2**63, rng.integers(0, 12))])))
+    prefix = [s[: len(s) + (-len(s) * num) // den + 1] for s in sets]
+    owners = {}
+    for doc, grams in enumerate(prefix):
+        for g in grams.tolist():
+            owners.setdefault(g, []).append(doc)
+    shared = [[(p, g) for p, g in enumerate(grams.tolist()) if len(owners[g]) > 1] for grams in prefix]
+    rows = []
+    for doc, own in enumerate(shared):
+        for i, (pos, gram) in enumerate(own):
+            earlier = [own[i - 1 - x][1] if x < i else 0 for x in range(ng._BEFORE)]
+            rows.append((gram, 0, 0, doc, len(sets[doc]), pos, doc, -1, ng._coarse_counts(sets[doc]), min(i, ng._BEFORE), *earlier))
+    rows.sort(key=lambda r: (r[0], r[4], r[3]))
+    names = ["gram", "cell", "block", "doc", "n", "pos", "component", "hub", "coarse", "known", *(f"before{x}" for x in range(ng._BEFORE))]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names)
+    got = [(a, b) for out in ng._across(num, den)[0](iter([batch])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
+    want, meetings = set(), 0
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            n1, n2 = len(sets[a]), len(sets[b])
+            inter = -((-num * (n1 + n2)) // (num + den))
+            x, y = ({g: p for p, g in shared[d]} for d in (a, b))
+            met = [min(n1 - x[g], n2 - y[g]) >= inter for g in x.keys() & y.keys()]
+            most = np.minimum(*(np.frombuffer(ng._coarse_counts(sets[d]), np.uint8) for d in (a, b))).sum()
+            if any(met) and min(n1, n2) * den >= max(n1, n2) * num and most >= inter:
+                want.add((a, b))
+                meetings += sum(met)
+    assert set(got) == want and len(want) > 100
+    assert meetings > 5 * len(want) and len(got) < 1.5 * len(want)
