@@ -5,11 +5,11 @@ state, has its own checksum and is decoded without the others. Coding goes throu
 container at once, position by position, so that each numpy call works on one id of every block.
 
 One position: the ids that followed the last two (order 2) and the last one (order 1) earlier in the
-block give a candidate. Whether it is right is one binary decision, whose probability mixes in the
-logistic domain an adaptive rate by the two confidences, an adaptive rate by recent hits and the
-candidate's order-1 share, with weights that learn from each outcome. A miss is coded with the order-1
-shares of the last id, or, after an escape, with order-0 counts, which grow with what the block has
-held (in up to ``_EPOCHS`` steps). Tables, rates, weights and counts are those of the block alone and
+block give a candidate. Where one has been right in its context before, whether it is right again is one
+binary decision, whose probability mixes in the logistic domain an adaptive rate by the two confidences,
+an adaptive rate by recent hits and the candidate's order-1 share, with weights that learn from each
+outcome. All other ids are coded with the order-1 shares of the last id, or, after an escape, with order-0
+counts, which grow with what the block has held (in up to ``_EPOCHS`` steps). Tables, rates, weights and counts are those of the block alone and
 start anew in each; the shares they start from stand once in the container's head: the order-0 counts
 and the frequent order-1 pairs. All arithmetic is on integers, so that both sides agree on any machine.
 
@@ -25,24 +25,27 @@ from __future__ import annotations
 import math
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 
 _HEAD = struct.Struct("<4sB3xIQIII")
-_MAGIC, _VERSION = b"KSRC", 2
+_MAGIC, _VERSION = b"KSRC", 3
 #: Ids of a block; slots of each of its two tables of candidates; times at which its order-0 counts grow.
 BLOCK = 2048
-_SLOTS = 512
+_SLOTS = 256
 _EPOCHS = 2
 #: Pairs that occur so often in a container stand in its head; of one first id this many at most, or only more frequent ones do.
 _LEAST_PAIRS, _MOST_FOLLOWERS = 6, 1 << 14
-#: Order-0 counts of all blocks together (128 MB); with more distinct ids blocks get longer and fewer.
+#: Order-0 counts of all blocks together (64 MB, or 128 where blocks are many); with more distinct ids blocks get longer and fewer.
 _ZERO_CELLS = 1 << 24
 #: What one id of the block adds to its order-0 count, whose start sums to about 2^16.
 _GAIN = 32
 _LIST_BITS = 16
+#: Up to so many symbols an entry of the order-1 shares is one number.
+_PACKED = 1 << 22
 _DENSE = 1 << 24
-_ONE32, _LOW48 = np.uint64(1 << 32), np.uint64((1 << 48) - 1)
+_ONE32, _LOW48 = 1 << 32, (1 << 48) - 1
 
 
 def _logistic_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -81,68 +84,92 @@ def _at(table: np.ndarray, index: np.ndarray) -> np.ndarray:
     return table.take(index, mode="clip")  # indexes beyond the ends saturate; within them this is the fast mode
 
 
+def _hashed(k: int) -> np.ndarray:
+    """For each symbol (and the one that stands for a block's start) its order-1 slot and its parts in order-2 slots as last and as last but one, 9 bits each."""
+    mixed = np.arange(k + 1, dtype=np.int64) * 0x9E3779B1
+    return (mixed >> 15 & _SLOTS - 1) | (mixed >> 18 & _SLOTS - 1) << 9 | (mixed >> 11 & _SLOTS - 1) << 18
+
+
 class _Adaptive:
-    """The state of all blocks at one position: contexts, candidates, the mixed probability and its update.
+    """The state of all blocks at one position: contexts, candidates, the mixed probabilities and their update.
 
-    A slot of the order-1 and order-2 tables holds a symbol, its order-1 share and how sure it is: symbol << 12 | share << 4 | confidence.
+    A slot holds a symbol, its order-1 share and how sure it is: symbol << 12 | share << 4 | confidence. The order-1 slots of all blocks
+    come first, then the order-2 slots.
     """
 
     def __init__(self, lanes: int, start: int):
         self.base = np.arange(lanes, dtype=np.int64) * _SLOTS
-        self.base_a = np.arange(lanes, dtype=np.int64) * 256
-        self.base_b = np.arange(lanes, dtype=np.int64) * 32
-        kind = np.int32 if start < 1 << 19 else np.int64
-        self.slots1 = np.zeros(lanes * _SLOTS, kind)
-        self.slots2 = np.zeros(lanes * _SLOTS, kind)
-        self.rate_a = np.tile(_RATES, lanes)
-        self.rate_b = np.full(lanes * 32, 16384, np.int32)
-        self.w_a, self.w_b, self.w_1 = (np.full(lanes, w, np.int32) for w in (36000, 12000, 24000))
-        self.last1 = np.full(lanes, start, np.int64)
-        self.mixed2 = np.zeros(lanes, np.int64)
+        self.base2 = self.base + lanes * _SLOTS
+        self.slots = np.zeros(2 * lanes * _SLOTS, np.int32 if start < 1 << 19 else np.int64)
+        self.kind = self.slots.dtype
+        self.hashed = _hashed(start)
+        # Of each block the rates by confidences, then those by recent hits; the first weight of all blocks, then the second and the third.
+        self.rates = np.tile(np.concatenate([_RATES, np.full(32, 16384, np.int32)]), lanes)
+        self.weights = np.repeat(np.array([36000, 12000, 24000], np.int32), lanes)
+        self.each = np.arange(3, dtype=np.int64)[:, None] * lanes
+        self.before = np.zeros(lanes, np.int64)
         self.recent = np.zeros(lanes, np.int64)
+        self.at, self.other = np.empty((2, lanes), np.int64), np.empty(lanes, np.int64)
         self.steps = 0
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The candidate symbol of each block and the 12-bit probability that it is right."""
-        mixed1 = self.last1 * 0x9E3779B1
-        self.i1 = (mixed1 >> 15 & (_SLOTS - 1)) + self.base
-        self.i2 = (mixed1 + self.mixed2 >> 17 & (_SLOTS - 1)) + self.base
-        s1, s2 = _at(self.slots1, self.i1), _at(self.slots2, self.i2)
-        self.s1, self.s2 = s1, s2
-        self.k1, self.k2 = s1 & 15, s2 & 15
-        best = np.where(self.k2 > 0, s2, s1)
-        self.c1, self.c2 = s1 >> 12, s2 >> 12
-        self.ia = self.base_a + (self.k2 << 4 | self.k1)
-        self.ib = self.base_b + self.recent * 2 + (self.c1 == self.c2)
-        self.ra, self.rb = _at(self.rate_a, self.ia), _at(self.rate_b, self.ib)
-        self.share = best >> 4 & 255
-        self.s_a, self.s_b, self.s_1 = _at(_STRETCH, self.ra >> 4), _at(_STRETCH, self.rb >> 4), _at(_STRETCHED_SHARE, self.share)
-        dot = self.w_a * self.s_a
-        dot += self.w_b * self.s_b
-        dot += self.w_1 * self.s_1
-        self.p = _at(_SQUASH, (dot >> 16) + 2048)
-        return best >> 12, self.p
-
-    def update(self, symbol: np.ndarray, hit: np.ndarray, share: np.ndarray) -> None:
-        error = (hit.astype(np.int32) << 12) - self.p
-        self.w_a += self.s_a * error + 4096 >> 13
-        self.w_b += self.s_b * error + 4096 >> 13
-        self.w_1 += self.s_1 * error + 4096 >> 13
+    def predict(self, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The blocks whose candidate has been right before, the slots of these candidates and the 12-bit probabilities that they are right."""
+        h, at, other = _at(self.hashed, last), self.at, self.other
+        np.bitwise_and(h, _SLOTS - 1, out=at[0])
+        at[0] += self.base
+        np.right_shift(h, 9, out=other)
+        other ^= self.before
+        other &= _SLOTS - 1
+        np.add(other, self.base2, out=at[1])
+        np.right_shift(h, 18, out=self.before)
+        self.s = s = _at(self.slots, at)
+        self.k = k = s & 15
+        lane = self.lane = np.flatnonzero((k[0] | k[1]) > 1)
+        s1, s2 = _at(s[0], lane), _at(s[1], lane)
+        k1, k2 = s1 & 15, s2 & 15
+        best = np.where(k2 > 1, s2, s1)
+        of = np.empty((2, len(lane)), np.int64)
+        np.add(k2 << 4, k1, out=of[0])
+        np.add(_at(self.recent, lane) * 2 + 256, (s1 ^ s2) < 4096, out=of[1])
+        of += lane * 288
+        self.of, self.r = of, _at(self.rates, of)
+        inputs = np.empty((3, len(lane)), np.int64)
+        np.right_shift(self.r, 4, out=inputs[:2])
+        np.add(best >> 4 & 255, 4096, out=inputs[2])
+        self.x = _at(_INPUTS, inputs)
+        self.of_w = lane + self.each
+        self.w = _at(self.weights, self.of_w)
+        dot = (self.w * self.x).sum(0, np.int32)
+        dot >>= 16
+        dot += 2048
+        self.p = _at(_SQUASH, dot)
+        return lane, best, self.p
+
+    def update(self, new: np.ndarray, hit: np.ndarray) -> None:
+        """``new``: for each block symbol << 12 | share << 4 | 1; ``hit``: for each block of the last prediction whether its candidate was right."""
+        lane, hits, x = self.lane, hit.astype(np.int32), self.x
+        x *= (hits << 12) - self.p
+        x += 4096
+        x >>= 13
+        x += self.w
+        self.weights[self.of_w.ravel()] = x.ravel()
         self.steps += 1
         if self.steps % 8 == 0:  # eight steps can't leave the range of 32 bits
-            for w in (self.w_a, self.w_b, self.w_1):
-                np.minimum(w, 200_000, out=w)
-                np.maximum(w, -200_000, out=w)
-        aim = hit.astype(np.int32) * 65535
-        self.rate_a[self.ia] = self.ra + (aim - self.ra >> 5)
-        self.rate_b[self.ib] = self.rb + (aim - self.rb >> 5)
-        new = symbol << 12 | share << 4 | 1
-        for i, old, c, k, slots in ((self.i1, self.s1, self.c1, self.k1, self.slots1), (self.i2, self.s2, self.c2, self.k2, self.slots2)):
-            # Right: surer. Wrong: half as sure; once not sure at all, the new symbol takes the slot.
-            slots[i] = np.where(c == symbol, old + ((k < 15) & (k > 0)), np.where(k > 1, old - (k + 1 >> 1), new))
-        self.recent = (self.recent << 1 | hit) & 15
-        self.mixed2 = self.last1 * 0x85EBCA6B
-        self.last1 = symbol.astype(np.int64)
+            np.minimum(self.weights, 200_000, out=self.weights)
+            np.maximum(self.weights, -200_000, out=self.weights)
+        aim = hits * 65535 - self.r
+        aim >>= 5
+        aim += self.r
+        self.rates[self.of.ravel()] = aim.ravel()
+        self.recent[lane] = (_at(self.recent, lane) << 1 | hits) & 15
+        # Right: surer. Wrong: half as sure; once not sure at all, the new symbol takes the slot.
+        s, k = self.s.ravel(), self.k
+        right = (self.s ^ new) < 4096
+        out = np.where(right, np.minimum(self.s + 1, self.s | 15), new).ravel()
+        doubtful = np.flatnonzero((k > 1) > right)
+        old = _at(s, doubtful)
+        out[doubtful] = old - ((old & 15) + 1 >> 1)
+        self.slots[self.at.ravel()] = out
 
 
 #: 2^(q/8), rounded down, for one-byte counts.
@@ -157,6 +184,8 @@ def _in_byte(counts: np.ndarray) -> np.ndarray:
 #: An order-1 share in a byte (share of 2^16 as 8 log2, times 2 at most 255) and what it is in the logistic domain.
 _SHARE_BYTE = np.concatenate([[0], _in_byte(np.arange(1, 1 << _LIST_BITS | 1))]).astype(np.int32)
 _STRETCHED_SHARE = np.array([_STRETCH[min(int(_COUNT_OF[q]) >> 4, 4095)] if q else -2047 for q in range(256)], np.int32)
+#: What goes into the mix: a rate (of 4096), or from 4096 on a share in a byte, in the logistic domain.
+_INPUTS = np.concatenate([_STRETCH, _STRETCHED_SHARE])
 
 
 class _Shares:
@@ -172,45 +201,80 @@ class _Shares:
         weight, escape = _COUNT_OF[pairs], _COUNT_OF[escapes]
         total = np.bincount(first, weight, k + 1).astype(np.int64) + escape
         full = 1 << _LIST_BITS
-        self.share = 1 + weight * (full - followers[first] - 1) // total[first]
-        ends = np.cumsum(self.share)
+        share = 1 + weight * (full - followers[first] - 1) // total[first]
+        # The entries of a first symbol: its escape, then its pairs.
         starts = np.cumsum(followers) - followers
-        before = np.concatenate([[0], ends])[starts]
-        self.escape = full - np.bincount(first, self.share, k + 1).astype(np.int64)
-        self.at = self.escape[first] + ends - self.share - before[first]
-        self.lookup = (first << _LIST_BITS) + self.at
-        self.second = second.astype(np.int32)
-        self.bits = max(0, min(8, 22 - k.bit_length()))  # cuts of each first symbol's shares, with the pairs in which they begin
-        edges = np.arange(((k + 1) << self.bits) + 1, dtype=np.int64) << (_LIST_BITS - self.bits)
-        self.guide = (np.searchsorted(self.lookup, edges, side="right") - 1).astype(np.int32)
+        self.escapes = starts + np.arange(k + 1)
+        self.pairs = np.arange(len(first)) + first + 1
+        width = np.empty(len(first) + k + 1, np.int64)
+        width[self.escapes], width[self.pairs] = full - np.bincount(first, share, k + 1).astype(np.int64), share
+        ends = np.cumsum(width)
+        self.lookup = ends - width
+        at = self.lookup & full - 1
+        new = np.zeros(len(width), np.int64)
+        new[self.pairs] = second << 12 | _SHARE_BYTE[share].astype(np.int64) << 4 | 1
+        self.kind = np.int32 if k < 1 << 19 else np.int64
+        # In one number, where symbols are few enough: an escape's sign; symbol << 8 | share in a byte; width - 1 and start, 16 bits each.
+        self.parts = (new.astype(self.kind), at, width) if k >= _PACKED else None
+        self.entries = new >> 4 << 32 | width - 1 << 16 | at
+        self.entries[self.escapes] |= -1 << 63
+
+    def open(self) -> None:
+        """For searches: of each cut of a first symbol's shares the first entry, counted from its escape, times two, plus one where another begins inside."""
+        k = len(self.escapes) - 1
+        self.bits = max(0, min(10, 22 - k.bit_length()))
+        shift, cuts = _LIST_BITS - self.bits, (k + 1) << self.bits
+        begin = np.bincount(self.lookup >> shift, minlength=cuts)
+        at_edge = np.zeros(cuts, bool)
+        at_edge[self.lookup[(self.lookup & (1 << shift) - 1) == 0] >> shift] = True
+        hi = np.cumsum(begin)
+        lo = hi - begin + at_edge - 1
+        if k < 1 << 14:
+            self.lookup = self.lookup.astype(np.int32)
+        self.guide = (lo - np.repeat(self.escapes, 1 << self.bits) << 1 | (begin > at_edge)).astype(np.uint16)
+
+    def read(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each entry: whether it is an escape, symbol << 12 | share << 4 | 1, where its share starts, and its share."""
+        if self.parts is not None:
+            new, at, width = (_at(x, entry) for x in self.parts)
+            return new == 0, new, at, width
+        x = _at(self.entries, entry)
+        new = (x >> 28).astype(self.kind)
+        new &= -16
+        new |= 1
+        width = x >> 16
+        width &= (1 << _LIST_BITS) - 1
+        width += 1
+        missing = x < 0
+        x &= (1 << _LIST_BITS) - 1
+        return missing, new, x, width
 
     def find(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """The pair of a first symbol in whose share ``target`` lies; any index where it is an escape."""
-        key = (context << _LIST_BITS) + target
-        cut = key >> (_LIST_BITS - self.bits)
-        lo, hi = _at(self.guide, cut), _at(self.guide, cut + 1)
-        open_ = np.flatnonzero(lo < hi)
-        while len(open_):
-            a, b = lo[open_], hi[open_]
-            mid = a + b + 1 >> 1
-            right = _at(self.lookup, mid) <= key[open_]
-            a, b = np.where(right, mid, a), np.where(right, b, mid - 1)
-            lo[open_], hi[open_] = a, b
-            open_ = open_[a < b]
-        return lo
+        """The entry of a first symbol in whose share ``target`` lies."""
+        cut = context << self.bits
+        cut += target >> (_LIST_BITS - self.bits)
+        found = _at(self.guide, cut)
+        entry = _at(self.escapes, context)
+        entry += found >> 1
+        open_ = np.flatnonzero(found & 1)
+        key = (_at(context, open_) << _LIST_BITS) + _at(target, open_)
+        entry[open_] = np.searchsorted(self.lookup, key.astype(self.lookup.dtype), side="right") - 1
+        return entry
 
     @staticmethod
-    def packed(symbols: np.ndarray, distinct: np.ndarray, counts: np.ndarray, block: int) -> tuple[bytes, np.ndarray]:
-        """The model's bytes, and for each position the index of its pair among those of the head (-1: none)."""
+    def packed(symbols: np.ndarray, distinct: np.ndarray, counts: np.ndarray, block: int) -> tuple[bytes, Callable[[_Shares], np.ndarray]]:
+        """The model's bytes, and what gives each position's entry in that model."""
         k = len(distinct)
-        last = np.empty(len(symbols), np.int64)
-        last[1:] = symbols[:-1]
-        last[::block] = k
-        key = last * k + symbols
-        if (k + 1) * k <= _DENSE:
+        key = np.empty(len(symbols), np.int64)
+        np.multiply(symbols[:-1], k, out=key[1:], dtype=np.int64)
+        key[::block] = k * k
+        key += symbols
+        dense = (k + 1) * k <= _DENSE
+        if dense:
             seen = np.bincount(key, minlength=(k + 1) * k)
             keys = np.flatnonzero(seen)
             n = seen[keys]
+            del seen
         else:
             keys, of, n = np.unique(key, return_inverse=True, return_counts=True)
         least = _LEAST_PAIRS
@@ -221,17 +285,19 @@ class _Shares:
                 break
             least *= 2
         escapes = np.bincount(keys[~keep] // k, n[~keep], k + 1).astype(np.int64)
-        number = np.full(len(keys), -1, np.int32)
-        number[keep] = np.arange(int(keep.sum()))
-        if (k + 1) * k <= _DENSE:
-            table = np.full((k + 1) * k, -1, np.int32)
-            table[keys] = number
-            pair = table[key]
-        else:
-            pair = number[of]
+
+        def entries(shares: _Shares) -> np.ndarray:
+            if dense:
+                table = np.repeat(shares.escapes.astype(np.int32), k)
+                table[keys[keep]] = shares.pairs
+                return table[key]
+            own = shares.escapes[keys // k]
+            own[keep] = shares.pairs
+            return own[of].astype(np.int32)
+
         parts = [distinct.astype("<u4"), _in_byte(counts), followers.astype("<u4"), (keys[keep] % k).astype("<u4"), _in_byte(n[keep]), _in_byte(np.maximum(escapes, 1))]
         planes = [p.view(np.uint8).reshape(-1, 4).T.tobytes() if p.dtype.itemsize == 4 else p.tobytes() for p in parts]
-        return zlib.compress(struct.pack("<II", k, int(keep.sum())) + b"".join(planes), 6), pair
+        return zlib.compress(struct.pack("<II", k, int(keep.sum())) + b"".join(planes), 6), entries
 
     @classmethod
     def unpacked(cls, model: bytes) -> _Shares:
@@ -249,30 +315,58 @@ class _Shares:
 
 
 class _Zero:
-    """Order-0 counts of each block, cumulated: row b is count sums of block b, in one sorted line for searches."""
+    """Order-0 counts, cumulated: one row for all blocks until they have learnt, then row b for block b, in one sorted line for searches."""
 
     def __init__(self, shares: _Shares, lanes: int, block: int):
-        self.k = len(shares.zero)
-        start = np.concatenate([[0], np.cumsum(shares.zero)])
-        self.offset = np.arange(lanes, dtype=np.int64) << 34
-        self.sums = np.tile(start, (lanes, 1)) + self.offset[:, None]
+        self.k, self.lanes = len(shares.zero), lanes
+        self.start = np.concatenate([[0], np.cumsum(shares.zero)])
         self.epoch = max(-(-block // _EPOCHS), 1)
+        bits = int(self.start[-1] + _GAIN * block).bit_length()
+        self.kind = np.int32 if lanes << bits < 1 << 31 else np.int64
+        self.offset = np.arange(lanes, dtype=np.int64) << bits
+        self.sums: np.ndarray | None = None
+        #: Every so many counts one stands in a shorter line, which is searched first.
+        self.stride = 32
 
     def learn(self, grid: np.ndarray) -> None:
         """Count the rows of ``grid`` (position, block)."""
-        for b in range(grid.shape[1]):
+        if self.sums is None:
+            self.sums = self.start.astype(self.kind) + self.offset.astype(self.kind)[:, None]
+        for b in range(self.lanes):
             seen = np.bincount(grid[:, b], minlength=self.k)
-            self.sums[b, 1:] += _GAIN * np.cumsum(seen)
+            seen *= _GAIN
+            self.sums[b, 1:] += np.cumsum(seen, dtype=self.kind)
+        self.short = np.ascontiguousarray(self.sums[:, :: self.stride])
 
-    def total(self, lane: np.ndarray) -> np.ndarray:
-        return (self.sums[lane, -1] - self.offset[lane]).astype(np.uint64)
+    def total(self, lane: np.ndarray) -> np.ndarray | int:
+        if self.sums is None:
+            return int(self.start[-1])
+        return self.sums[lane, -1] - self.offset[lane]
 
     def interval(self, lane: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.sums[lane, symbol]
-        return (at - self.offset[lane]).astype(np.uint64), (self.sums[lane, symbol + 1] - at).astype(np.uint64)
+        if self.sums is None:
+            at = self.start[symbol]
+            return at, self.start[symbol + 1] - at
+        at = self.sums[lane, symbol].astype(np.int64)
+        return at - self.offset[lane], self.sums[lane, symbol + 1] - at
 
     def find(self, lane: np.ndarray, target: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.sums.ravel(), target + self.offset[lane], side="right") - 1 - lane * (self.k + 1)
+        if self.sums is None:
+            return np.searchsorted(self.start, target, side="right") - 1
+        key = (target + self.offset[lane]).astype(self.kind)
+        lo = np.searchsorted(self.short.ravel(), key, side="right") - 1 - lane * self.short.shape[1]
+        lo *= self.stride
+        # What follows a block's line, the next block's or its own sum again, is above its targets.
+        line = _at(self.sums.ravel(), (lo + lane * (self.k + 1))[:, None] + np.arange(self.stride))
+        return lo + (line <= key[:, None]).sum(1) - 1
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """A matrix's transpose in memory order, a few of its lines at once."""
+    out = np.empty(x.shape[::-1], x.dtype)
+    for i in range(0, x.shape[0], 64):
+        out[:, i : i + 64] = x[i : i + 64].T
+    return out
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -288,70 +382,92 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     place = np.zeros(len(counts), np.int32)
     place[distinct] = np.arange(len(distinct))
     symbols = place[ids]
-    model, pair = _Shares.packed(symbols, distinct, counts[distinct], block)
+    model, entries = _Shares.packed(symbols, distinct, counts[distinct], block)
     shares = _Shares.unpacked(model)
+    tail = [int(shares.escapes[symbols[-1]]), int(shares.escapes[0])]  # beyond the last id: symbols 0, as escapes
 
-    def in_step(x: np.ndarray, fill: int) -> np.ndarray:
-        grid = np.full(lanes * block, fill, np.int32)
-        grid[:n] = x
-        return np.ascontiguousarray(grid.reshape(lanes, block).T)
+    def in_step(x: np.ndarray, first: int, fill: int) -> np.ndarray:
+        flat = np.full(lanes * block, fill, np.int32)
+        flat[:n] = x
+        flat[n : n + 1] = first
+        return _turned(flat.reshape(lanes, block))
 
-    grid, pairs = in_step(symbols, 0), in_step(pair, -1)
+    grid, pairs = in_step(symbols, 0, 0), in_step(entries(shares), *tail)
+    del symbols, entries
     state, zero = _Adaptive(lanes, len(distinct)), _Zero(shares, lanes, block)
-    share, first, escape = shares.share.astype(np.uint64), shares.at.astype(np.uint64), shares.escape.astype(np.uint64)
-    in_byte = _SHARE_BYTE[shares.share]
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    # Word i of all blocks, then word i + 1: blocks put out about as many in as many positions.
     room = 5 * block + 8
-    words, at = np.zeros(lanes * room, np.uint16), np.arange(lanes, dtype=np.int64) * room
-    start = at.copy()
-    twelve, sixteen, wide, shift = np.uint64(12), np.uint64(16), np.uint64(32), np.uint64(_LIST_BITS)
-
-    def settle(lane: np.ndarray | slice, lo: np.ndarray, sp: np.ndarray) -> None:
-        """Carry into the words that are out, then put out the top word of spans that got short."""
-        where = at[lane]
-        over = np.flatnonzero(lo > _LOW48)
-        if len(over):
-            lo[over] &= _LOW48
-            back = where[over] - 1
-            while len(back):
-                words[back] += np.uint16(1)
-                back = back[words[back] == 0] - 1
-        short = np.flatnonzero(sp < _ONE32)
-        if len(short):
-            words[where[short]] = (lo[short] >> wide).astype(np.uint16)
-            where[short] += 1
-            at[lane] = where
-            lo[short] = lo[short] << sixteen & _LOW48
-            sp[short] <<= sixteen
-        low[lane], span[lane] = lo, sp
-
-    every = slice(None)
-    for t, (symbol, of) in enumerate(zip(grid, pairs, strict=True)):
+    words, at = np.zeros(lanes * room, np.uint16), np.arange(lanes, dtype=np.int64)
+
+    def carry(lane: np.ndarray) -> None:
+        """Carry into the words that are out."""
+        low[lane] &= _LOW48
+        back = at[lane] - lanes
+        while len(back):
+            words[back] += np.uint16(1)
+            back = back[words[back] == 0] - lanes
+
+    def settle(short: np.ndarray) -> None:
+        """Put out the top words of blocks whose spans got short."""
+        while len(short):
+            lo = _at(low, short)
+            over = lo > _LOW48
+            if over.any():
+                carry(short[over])
+            where, sp = _at(at, short), _at(span, short)
+            words[where] = lo >> 32 & 0xFFFF
+            where += lanes
+            at[short] = where
+            lo <<= 16
+            lo &= _LOW48
+            low[short] = lo
+            sp <<= 16
+            span[short] = sp
+            short = short[sp < _ONE32]
+
+    last = np.full(lanes, len(distinct), np.int64)
+    for t, (symbol, entry) in enumerate(zip(grid, pairs, strict=True)):
         if t and t % zero.epoch == 0:
             zero.learn(grid[t - zero.epoch : t])
-        candidate, p = state.predict()
-        hit = candidate == symbol
-        edge = (span >> twelve) * p.astype(np.uint64)
-        settle(every, np.where(hit, low, low + edge), np.where(hit, edge, span - edge))
-        byte = state.share
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            byte = byte.copy()
-            mine = of[miss]
-            escaped = mine < 0
-            unit = span[miss] >> shift
-            settle(miss, np.where(escaped, low[miss], low[miss] + unit * first.take(mine, mode="wrap") if len(first) else low[miss]), unit * np.where(escaped, escape[state.last1[miss]], share.take(mine, mode="wrap") if len(share) else 0))
-            byte[miss] = np.where(escaped, 0, in_byte.take(mine, mode="wrap") if len(in_byte) else 0)
-            rest = miss[escaped]
-            if len(rest):
-                unit = span[rest] // zero.total(rest)
-                lo, width = zero.interval(rest, symbol[rest])
-                settle(rest, low[rest] + unit * lo, unit * width)
-        state.update(symbol, hit, byte)
+        lane, best, p = state.predict(last)
+        missing, new, first, share = shares.read(entry)
+        escaped = np.flatnonzero(missing)
+        last = symbol.astype(np.int64)
+        new[escaped] = last[escaped] << 12 | 1
+        # Whether the candidate is right; where it is, the symbol's share is everything.
+        hit = (best ^ _at(new, lane)) < 4096
+        sp = _at(span, lane)
+        edge = (sp >> 12) * p
+        sp -= edge
+        np.copyto(sp, edge, where=hit)
+        span[lane] = sp
+        edge[hit] = 0
+        low[lane] += edge
+        right = lane[hit]
+        new[right] = best[hit] & -16 | 1
+        first[right], share[right] = 0, 1 << _LIST_BITS
+        span >>= _LIST_BITS
+        first *= span
+        low += first
+        span *= share
+        settle(np.flatnonzero(span < _ONE32))
+        missing[right] = False
+        rest = escaped[missing[escaped]]
+        if len(rest):
+            unit = span[rest] // zero.total(rest)
+            lo, width = zero.interval(rest, last[rest])
+            low[rest] += unit * lo
+            span[rest] = unit * width
+            settle(rest[span[rest] < _ONE32])
+        state.update(new, hit)
+    carry(np.flatnonzero(low > _LOW48))
     for k in (32, 16, 0):  # all 48 bits of low
-        words[at] = (low >> np.uint64(k)).astype(np.uint16)
-        at += 1
-    return _sealed(block, n, model, [words[a:b].astype("<u2").tobytes() for a, b in zip(start.tolist(), at.tolist(), strict=True)])
+        words[at] = (low >> k).astype(np.uint16)
+        at += lanes
+    at //= lanes
+    lines = _turned(words.reshape(room, lanes)[: int(at.max())]).astype("<u2")
+    return _sealed(block, n, model, [x[:m].tobytes() for x, m in zip(lines, at.tolist(), strict=True)])
 
 
 def _sealed(block: int, n: int, model: bytes, parts: list[bytes]) -> bytes:
@@ -382,66 +498,70 @@ def decode(container: bytes) -> np.ndarray:
     for i, (a, b) in enumerate(zip((ends - 2 * sizes).tolist(), ends.tolist(), strict=True)):
         if zlib.crc32(container[a:b]) != index[i, 1]:
             raise ValueError(f"block {i} of {lanes} is damaged")
-    words = np.concatenate([np.frombuffer(container, "<u2", int(sizes.sum()), at), np.zeros(4, np.uint16)]).astype(np.uint64)
+    words = np.concatenate([np.frombuffer(container, "<u2", int(sizes.sum()), at), np.zeros(4, np.uint16)])
     stop = np.cumsum(sizes)
     place = stop - sizes
     shares = _Shares.unpacked(model)
     state, zero = _Adaptive(lanes, len(shares.distinct)), _Zero(shares, lanes, block)
-    share, first, escape = shares.share.astype(np.uint64), shares.at.astype(np.uint64), shares.escape.astype(np.uint64)
-    in_byte = _SHARE_BYTE[shares.share]
-    code = words[place] << np.uint64(32) | words[place + 1] << np.uint64(16) | words[place + 2]
-    place += 3
-    span = np.full(lanes, 1 << 48, np.uint64)
+    shares.open()
+    code = np.zeros(lanes, np.int64)
+    for _ in range(3):
+        code = code << 16 | words[place]
+        place += 1
+    span = np.full(lanes, 1 << 48, np.int64)
     grid = np.empty((block, lanes), np.int32)
-    twelve, sixteen, shift, last = np.uint64(12), np.uint64(16), np.uint64(_LIST_BITS), np.uint64((1 << _LIST_BITS) - 1)
-    limit = len(words) - 1
-
-    def refill(lane: np.ndarray | slice, c: np.ndarray, sp: np.ndarray) -> None:
-        """Take the next word where the span got short."""
-        short = np.flatnonzero(sp < _ONE32)
-        if len(short):
-            where = place[lane]
-            c[short] = c[short] << sixteen | words[np.minimum(where[short], limit)]
-            sp[short] <<= sixteen
-            where[short] += 1
-            place[lane] = where
-        code[lane], span[lane] = c, sp
-
-    every = slice(None)
+
+    def refill(short: np.ndarray) -> None:
+        """Take the next words of blocks whose spans got short."""
+        while len(short):
+            where, c, sp = _at(place, short), _at(code, short), _at(span, short)
+            c <<= 16
+            c |= _at(words, where)
+            code[short] = c
+            where += 1
+            place[short] = where
+            sp <<= 16
+            span[short] = sp
+            short = short[sp < _ONE32]
+
+    last = np.full(lanes, len(shares.distinct), np.int64)
     for t in range(block):
         if t and t % zero.epoch == 0:
             zero.learn(grid[t - zero.epoch : t])
-        candidate, p = state.predict()
-        edge = (span >> twelve) * p.astype(np.uint64)
-        hit = code < edge
-        refill(every, np.where(hit, code, code - edge), np.where(hit, edge, span - edge))
-        symbol, byte = candidate, state.share
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            symbol, byte = symbol.copy(), byte.copy()
-            context = state.last1[miss]
-            unit = span[miss] >> shift
-            c = code[miss]
-            target = np.minimum(c // unit, last).astype(np.int64)
-            wide = escape[context]
-            escaped = target < wide.astype(np.int64)
-            if len(first):
-                mine = shares.find(context, target)
-                refill(miss, np.where(escaped, c, c - unit * first.take(mine, mode="wrap")), unit * np.where(escaped, wide, share.take(mine, mode="wrap")))
-                symbol[miss] = shares.second.take(mine, mode="wrap")
-                byte[miss] = np.where(escaped, 0, in_byte.take(mine, mode="wrap"))
-            else:
-                refill(miss, c, unit * wide)
-                byte[miss] = 0
-            rest = miss[escaped]
-            if len(rest):
-                total = zero.total(rest)
-                unit = span[rest] // total
-                c = code[rest]
-                s = zero.find(rest, np.minimum(c // unit, total - np.uint64(1)).astype(np.int64))
-                lo, width = zero.interval(rest, s)
-                refill(rest, c - unit * lo, unit * width)
-                symbol[rest] = s
-        grid[t] = symbol
-        state.update(symbol, hit, byte)
-    return shares.distinct[grid.T.ravel()[:n]].astype(np.uint32)
+        lane, best, p = state.predict(last)
+        sp, c = _at(span, lane), _at(code, lane)
+        edge = (sp >> 12) * p
+        hit = c < edge
+        sp -= edge
+        np.copyto(sp, edge, where=hit)
+        span[lane] = sp
+        edge[hit] = 0
+        c -= edge
+        code[lane] = c
+        right = lane[hit]
+        span >>= _LIST_BITS
+        # Below 2^52 the floor of a quotient of floating-point numbers is that of the integers.
+        entry = shares.find(last, (code / span).astype(np.int64))
+        missing, new, first, share = shares.read(entry)
+        missing[right] = False
+        new[right] = best[hit] & -16 | 1
+        first[right], share[right] = 0, 1 << _LIST_BITS
+        first *= span
+        np.subtract(code, first, out=code)
+        span *= share
+        refill(np.flatnonzero(span < _ONE32))
+        rest = np.flatnonzero(missing)
+        if len(rest):
+            total = zero.total(rest)
+            unit = span[rest] // total
+            c = code[rest]
+            s = zero.find(rest, np.minimum(c // unit, total - 1))
+            lo, width = zero.interval(rest, s)
+            code[rest] = c - unit * lo
+            span[rest] = unit * width
+            refill(rest[span[rest] < _ONE32])
+            new[rest] = s << 12 | 1
+        last = (new >> 12).astype(np.int64)
+        grid[t] = last
+        state.update(new, hit)
+    return shares.distinct.astype(np.uint32)[_turned(grid).ravel()[:n]]

@@ -26,6 +26,8 @@ from kinspark.llm.shared import map_arrow, slices
 
 #: Ids that one container holds at least, unless its part ends.
 CONTAINER_IDS = 6 << 20
+#: Text bytes encoded at once, and chunks that a Python worker remembers: coding takes more memory than either.
+SLICE_BYTES, KNOWN_CHUNKS = 4 << 20, 600_000
 _SCHEMA = "part int, number int, before long, docs array<bigint>, counts array<bigint>, coded binary"
 
 
@@ -33,7 +35,7 @@ def _write(path: str, end_id: int, container_ids: int):
     fields = [("part", pa.int32()), ("number", pa.int32()), ("before", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("coded", pa.binary())]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path)
+        enc = tokens.encoder(path, KNOWN_CHUNKS)
         part_id, number, before, held = TaskContext.get().partitionId(), 0, 0, 0
         docs: list[list] = []
         ids: list[np.ndarray] = []
@@ -43,11 +45,12 @@ def _write(path: str, end_id: int, container_ids: int):
             row = [[part_id], [number], [before], [[d for x in docs for d in x]], [np.concatenate(counts)], [range_coder.encode(np.concatenate(ids))]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(row, fields, strict=True)], [n for n, _ in fields])
 
-        for part in slices(batches, "text", tokens.SLICE_BYTES):
+        for part in slices(batches, "text", SLICE_BYTES):
             flat, at = enc.encode(part.column("text"))
-            n = part.num_rows
-            full = np.full(len(flat) + n, end_id, np.uint32)
-            full[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(at))] = flat
+            full = np.full(len(flat) + part.num_rows, end_id, np.uint32)
+            inside = np.ones(len(full), bool)
+            inside[at[1:] + np.arange(part.num_rows)] = False
+            full[inside] = flat
             docs.append(part.column("doc_id").to_pylist())
             ids.append(full)
             counts.append(np.diff(at) + 1)

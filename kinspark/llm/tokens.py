@@ -16,6 +16,7 @@ U+00C0..U+00FF) just cause fewer cuts.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 from itertools import chain
@@ -35,10 +36,14 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,;:!?%$#&*()"]] = True
 #: How byte-level files write bytes: visible ones as themselves, the others as the characters from U+0100 on, in order.
 _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTE_FORMS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_HIDDEN = sorted(set(range(256)) - set(_VISIBLE))
+_BYTE_FORMS = "".join(chr(0x100 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256))
+_LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 _SOLID = np.array([b < 128 and not _SPACE[b] for b in range(256)])
+#: What a byte can be, as bits: solid, a letter, a mark, a space or line feed, a line feed, the first byte of U+00C0..U+00FF, a second byte of a letter there.
+_KINDS = (
+    _SOLID + 2 * _LETTER + 4 * _MARK + 8 * np.isin(np.arange(256), [0x20, 0x0A]) + 16 * (np.arange(256) == 0x0A) + 32 * (np.arange(256) == 0xC3) + 64 * ~np.isin(np.arange(256), [0x97, 0xB7])
+).astype(np.uint8).tobytes()
 
 
 def default_path(name: str) -> str:
@@ -53,19 +58,16 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(data)
     if n == 0:
         return np.zeros(1, np.int64)
-    latin = np.zeros(n, bool)  # the second byte of a letter U+00C0..U+00FF
-    latin[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-    solid_before, letter_before = np.zeros(n, bool), np.zeros(n, bool)
-    solid_before[1:] = (_SOLID[data] | latin)[:-1]
-    letter_before[1:] = (_LETTER[data] | latin)[:-1]
-    solid_after = np.zeros(n, bool)
-    solid_after[:-1] = (_SOLID[data] | (data == 0xC3))[1:]
-    gap = solid_before & solid_after & ((data == 0x20) | (data == 0x0A))
-    cut = gap | (letter_before & _MARK[data])
-    feed = gap & (data == 0x0A)
-    cut[1:] |= feed[:-1]
+    kind = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
+    before = kind & 3  # bits 1 and 2: what ends here is solid, is a letter
+    before[1:] |= ((kind[:-1] & 32) >> 5 & kind[1:] >> 6) * np.uint8(3)
+    # A space or line feed between two such characters; marks after letters.
     ends = np.zeros(n + 1, bool)
-    ends[:n] = cut
+    cut = ends[:n]
+    cut[1:] = before[:-1] >> 1 & kind[1:] >> 2 & 1
+    gap = before[:-2] & kind[1:-1] >> 3 & (kind[2:] | kind[2:] >> 5) & 1
+    cut[1:-1] |= gap.view(bool)
+    cut[2:] |= (gap & kind[1:-1] >> 4).view(bool)
     ends[offsets] = True
     return np.flatnonzero(ends)
 
@@ -73,10 +75,11 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """This Python worker's encoder for a file: tasks that follow one another share what it has seen."""
+def encoder(path: str, known_chunks: int = _KNOWN_CHUNKS) -> ChunkEncoder:
+    """This Python worker's encoder for a file: tasks that follow one another share what it has seen, ``known_chunks`` or little more (about 200 bytes each)."""
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
+    _encoders[path].known_chunks = known_chunks
     return _encoders[path]
 
 
@@ -88,6 +91,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self.known_chunks = _KNOWN_CHUNKS
         self._known: dict[bytes, int] = {}
         self._ids = np.zeros(1 << 16, np.uint32)
         self._used = 0
@@ -124,7 +128,7 @@ class ChunkEncoder:
         text = word.decode()
         if not text.isalpha() or max(text) > "\u00ff":
             return None
-        return lead + (text.lower().encode() if self._folds else word).decode("latin-1").translate(_BYTE_FORMS)
+        return lead + codecs.charmap_decode(text.lower().encode() if self._folds else word, "strict", _BYTE_FORMS)[0]
 
     def _lists(self, chunks: list[bytes]) -> list[list[int]]:
         """Ids of each chunk. Plain words go straight to the model, past normalizer and splitter, which would not change them."""
@@ -161,14 +165,14 @@ class ChunkEncoder:
         """All ids one after another (uint32) and the n + 1 offsets of the texts in them (null: empty)."""
         data, offsets = text_buffers(column)
         cuts = cut_points(data, offsets)
-        if self._folds and b"<|" not in data.tobytes():  # upper case makes no difference then, and chunks get fewer
-            data = _LOWER[data]
+        if self._folds and b"<|" not in (raw := data.tobytes()):  # upper case makes no difference then, and chunks get fewer
+            data = np.frombuffer(raw.translate(_LOWER), np.uint8)
         if len(cuts) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self._known) > _KNOWN_CHUNKS:
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self._known) > self.known_chunks:
             self._forget()
         index = coded.indices.to_numpy()
         find = self._known.get

@@ -312,6 +312,46 @@ def test_range_coder_learns_contexts():
     assert (range_coder.decode(range_coder.encode(many)) == many).all()
 
 
+def test_range_coder_mixes_only_for_candidates_that_were_right_before(monkeypatch):
+    """Most ids of a text have no such candidate: the mix, the dearest part of a position, is worked out for few blocks."""
+    rng = np.random.default_rng(5)
+    x = np.minimum(rng.zipf(1.3, 60_000), 3000).astype(np.uint32)
+    x[30_000:40_000] = np.tile(x[:50], 200)
+    plain, mixed = range_coder._Adaptive.predict, []
+
+    def predict(self, *last):
+        out = plain(self, *last)
+        mixed.append(len(out[0]))
+        return out
+
+    monkeypatch.setattr(range_coder._Adaptive, "predict", predict)
+    coded = range_coder.encode(x)
+    assert 5_000 < sum(mixed) < len(x) // 2
+    assert (range_coder.decode(coded) == x).all()
+
+
+def test_range_coder_with_separate_entries(monkeypatch):
+    """Containers of more symbols than fit into packed entries hold the same bytes and come back."""
+    x = np.random.default_rng(6).zipf(1.2, 20_000).clip(max=400).astype(np.uint32)
+    packed = range_coder.encode(x)
+    monkeypatch.setattr(range_coder, "_PACKED", 4)
+    assert range_coder.encode(x) == packed and (range_coder.decode(packed) == x).all()
+
+
+def test_token_files_remember_chunks_that_come_back():
+    """200,000 different words are split once; with room for fewer they were forgotten and split anew."""
+    words = pa.array(["".join(chr(97 + w // 26**i % 26) for i in range(4)) for w in range(200_000)])
+    enc = tokens.encoder(WORDS, token_files.KNOWN_CHUNKS)
+    first, learnt, learn = [], [], enc._learn
+    try:
+        for _ in range(2):
+            enc._learn = lambda chunks: (learnt.append(len(chunks)), learn(chunks))
+            first.append([enc.encode(words.slice(i, 20_000))[0].tolist() for i in range(0, len(words), 20_000)])
+    finally:
+        del enc._learn
+    assert sum(learnt) <= 200_000 and first[0] == first[1]
+
+
 @settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.text(alphabet=st.sampled_from(list("ab Zé×÷ß\n\t.,'’s<|>endoftxt$%09 　́ Σς\x1c")), max_size=60))
 def test_chunks_give_the_tokenizers_ids(text):
