@@ -63,6 +63,9 @@ _SIEVE_BITS = (1 << 20, 1 << 27)
 _HOT = 4096
 _COARSE = 64
 _BEFORE = 4
+_FEW = 64
+_TOGETHER = 1 << 14
+_COLUMNS = ("gram", "cell", "doc", "n", "pos", "component", "hub", "block", "known")
 _SEED_A, _SEED_B = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -229,26 +232,90 @@ def _name_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(schema, g[at[tell]], s[at[tell]], pa.nulls(len(tell), pa.int64()), rows[tell].astype(np.int32), *none)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """Rows of buckets as columns, about ``_TOGETHER`` at a time, and whether they are the last (these may be none)."""
+    none = {c: np.zeros(0, np.int64) for c in _COLUMNS} | {"coarse": np.zeros((0, _COARSE), np.uint8), "before": np.zeros((0, _BEFORE), np.int64)}
+    parts, held = [none], 0
+    for batch in batches:
+        part = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _COLUMNS}
+        part["before"] = np.stack([batch.column(f"before{x}").to_numpy(zero_copy_only=False) for x in range(_BEFORE)], axis=1)
+        part["coarse"] = np.frombuffer(b"".join(batch.column("coarse").to_pylist()), np.uint8).reshape(-1, _COARSE)
+        parts.append(part)
+        held += batch.num_rows
+        if held >= _TOGETHER:
+            yield {c: np.concatenate([x[c] for x in parts]) for c in none}, False
+            parts, held = [none], 0
+    yield {c: np.concatenate([x[c] for x in parts]) for c in none}, True
+
+
 def _across(num: int, den: int):
-    """Rows of open buckets sorted by (gram, cell, n, doc): pairs of different components that size, position and the coarse counts allow. In a cell of two blocks only rows of different blocks meet, and a pair that has met at an n-gram before is passed over."""
+    """Rows of open buckets sorted by (gram, cell, n, doc): pairs of different components that size, position and the coarse counts allow. In a cell of two blocks only rows of different blocks meet, and a pair that has met at an n-gram before is passed over.
+
+    Most buckets have a few rows: those of up to ``_FEW`` are compared together, each row of all of them with the next one, the next but one
+    and so on of its bucket. Longer ones are worked off one by one, in blocks.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32())])
 
+    def admitted(old: dict[str, np.ndarray], i: np.ndarray, new: dict[str, np.ndarray], j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of the pairs of rows i and j those that the coarse counts allow and that have not met before."""
+        for x in range(0, len(i), _TOGETHER):
+            p, q = i[x : x + _TOGETHER], j[x : x + _TOGETHER]
+            low = np.minimum(old["coarse"][p], new["coarse"][q])
+            able = (low.sum(1, dtype=np.int64) * (num + den) >= num * (old["n"][p] + new["n"][q])) | (low == 255).any(1)
+            p, q = p[able], q[able]
+            met = np.zeros(len(p), bool)
+            mine, yours, known, given = old["before"][p], new["before"][q], old["known"][p], new["known"][q]
+            for x1 in range(_BEFORE):
+                for x2 in range(_BEFORE):
+                    met |= (mine[:, x1] == yours[:, x2]) & (known > x1) & (given > x2)
+            p, q = p[~met], q[~met]
+            if len(p):
+                d, e, n_d, n_e = old["doc"][p], new["doc"][q], old["n"][p], new["n"][q]
+                swap = d > e
+                yield _batch(schema, np.where(swap, e, d), np.where(swap, d, e), np.where(swap, n_e, n_d).astype(np.int32), np.where(swap, n_d, n_e).astype(np.int32))
+
+    def few(cols: dict[str, np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs inside the buckets whose end is given with each row (0: not these)."""
+        n, component, hub, doc, block = (cols[c] for c in ("n", "component", "hub", "doc", "block"))
+        left = n - cols["pos"]
+        crossing = cols["cell"] >> 32 != cols["cell"] & 0xFFFFFFFF
+        i, step, found, count = np.arange(len(n)), 0, [], 0
+        while len(i):
+            step += 1
+            i = i[i + step < ends[i]]
+            i = i[n[i] * den >= n[i + step] * num]  # sizes grow along a bucket: no later row fits either
+            j = i + step
+            ok = (component[i] != component[j]) & (hub[i] != doc[j]) & (hub[j] != doc[i])
+            ok &= np.minimum(left[i], left[j]) * (num + den) >= num * (n[i] + n[j])
+            ok &= ~crossing[i] | (block[i] != block[j])
+            found.append((i[ok], j[ok]))
+            count += len(found[-1][0])
+            if count >= _TOGETHER or not len(i):
+                yield from admitted(cols, np.concatenate([x for x, _ in found]), cols, np.concatenate([y for _, y in found]))
+                found, count = [], 0
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = None
-        names = ("doc", "n", "pos", "component", "hub", "block")
-        none = {c: np.zeros(0, np.int64) for c in (*names, "known")} | {"coarse": np.zeros((0, _COARSE), np.uint8), "before": np.zeros((0, _BEFORE), np.int64)}
-        past = none
-        for batch in batches:
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("gram", "cell", *names, "known")}
-            cols["before"] = np.stack([batch.column(f"before{x}").to_numpy(zero_copy_only=False) for x in range(_BEFORE)], axis=1)
-            cols["coarse"] = np.frombuffer(b"".join(batch.column("coarse").to_pylist()), np.uint8).reshape(-1, _COARSE)
+        bucket = held = past = None
+        for cols, last in _gathered(batches):
+            if held is not None:
+                cols = {c: np.concatenate([held[c], v]) for c, v in cols.items()}
+                held = None
+            size = len(cols["n"])
+            if not size:
+                continue
             cut = np.flatnonzero((np.diff(cols["gram"]) != 0) | (np.diff(cols["cell"]) != 0)) + 1
-            for at, to in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(cols["gram"])]]).tolist(), strict=True):
-                if to == at:
-                    continue
+            starts, stops = np.concatenate([[0], cut]), np.concatenate([cut, [size]])
+            long = stops - starts > _FEW
+            long[0] |= bucket == (int(cols["gram"][0]), int(cols["cell"][0]))
+            ends = np.where(long, 0, stops)
+            if not last and not long[-1]:  # it may go on
+                held = {c: v[starts[-1] :] for c, v in cols.items()}
+                ends[-1] = 0
+            yield from few(cols, np.repeat(ends, stops - starts))
+            for at, to in zip(starts[long].tolist(), stops[long].tolist(), strict=True):
                 cell = int(cols["cell"][at])
                 if bucket != (int(cols["gram"][at]), cell):
-                    bucket, past = (int(cols["gram"][at]), cell), none
+                    bucket, past = (int(cols["gram"][at]), cell), {c: v[:0] for c, v in cols.items()}
                 crossing = cell >> 32 != cell & 0xFFFFFFFF
                 for lo in range(at, to, 256):  # a block of later rows against the earlier ones of fitting size
                     hi = min(lo + 256, to)
@@ -267,21 +334,7 @@ def _across(num: int, den: int):
                             ok &= old["block"][:, None] != new["block"][None, :]
                         ok &= (x + np.arange(len(old["n"])))[:, None] < first + np.arange(hi - lo)[None, :]
                         i, j = np.nonzero(ok)
-                        mine, yours = old["coarse"][i], new["coarse"][j]
-                        most = np.minimum(mine, yours).sum(1, dtype=np.int64) + (((mine == 255) & (yours == 255)).any(1) * (1 << 40))
-                        able = most >= inter[i, j]
-                        i, j = i[able], j[able]
-                        met = np.zeros(len(i), bool)
-                        for x1 in range(_BEFORE):
-                            for x2 in range(_BEFORE):
-                                met |= (old["before"][i, x1] == new["before"][j, x2]) & (old["known"][i] > x1) & (new["known"][j] > x2)
-                        i, j = i[~met], j[~met]
-                        if len(i):
-                            p, q = old["doc"][i], new["doc"][j]
-                            swap = p > q
-                            a, b = np.where(swap, q, p), np.where(swap, p, q)
-                            na, nb = np.where(swap, new["n"][j], old["n"][i]), np.where(swap, old["n"][i], new["n"][j])
-                            yield _batch(schema, a, b, na.astype(np.int32), nb.astype(np.int32))
+                        yield from admitted(old, i, new, j)
 
     return kernel, "a long, b long, n_a int, n_b int"
 

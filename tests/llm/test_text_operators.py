@@ -550,3 +550,43 @@ def test_ngram_pairs_leave_their_first_common_bucket_only():
                 meetings += sum(met)
     assert set(got) == want and len(want) > 100
     assert meetings > 5 * len(want) and len(got) < 1.5 * len(want)
+
+
+def test_ngram_short_buckets_are_compared_together(monkeypatch):
+    """Thousands of buckets of a few rows give a few batches of pairs, not one each; longer buckets and any batch size give the same pairs."""
+    ng, num, den = ngram_join, 85, 100
+    rng = np.random.default_rng(11)
+    names = ["gram", "cell", "block", "doc", "n", "pos", "component", "hub", "coarse", "known", *(f"before{x}" for x in range(ng._BEFORE))]
+    sizes = rng.integers(80, 110, 400)
+    coarse = rng.integers(0, 6, (400, ng._COARSE)).astype(np.uint8)
+    rows = []
+    for gram in range(3000):
+        cell, many = (1 << 32 | 2, 8) if gram % 10 == 0 else (0, 150) if gram % 500 == 1 else (0, int(rng.integers(2, 6)))
+        docs = rng.choice(400, many, replace=False).tolist()
+        own = sorted((int(sizes[d]), d, int(rng.integers(0, 12)), int(rng.integers(0, 3)), rng.integers(0, 9, ng._BEFORE).tolist()) for d in docs)
+        rows += [(gram, cell, 1 + d % 2, d, n, pos, d // 2, docs[0], coarse[d].tobytes(), known, *before) for n, d, pos, known, before in own]
+    want = []
+    for at in range(len(rows)):
+        for to in range(at + 1, len(rows)):
+            x, y = rows[at], rows[to]
+            if x[:2] != y[:2]:
+                break
+            need = -((-num * (x[4] + y[4])) // (num + den))
+            apart = x[6] != y[6] and x[7] != y[3] and y[7] != x[3] and (not x[1] or x[2] != y[2])
+            able = x[4] * den >= y[4] * num and min(x[4] - x[5], y[4] - y[5]) >= need and np.minimum(coarse[x[3]], coarse[y[3]]).sum() >= need
+            if apart and able and not set(x[10 : 10 + x[9]]) & set(y[10 : 10 + y[9]]):
+                want.append((*sorted((x[3], y[3])), *(int(sizes[d]) for d in sorted((x[3], y[3])))))
+    table = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names)
+
+    def run(step):
+        return list(ng._across(num, den)[0](table.slice(x, step) for x in range(0, len(rows), step)))
+
+    def pairs(found):
+        return sorted(tuple(r.values()) for out in found for r in out.to_pylist())
+
+    found = run(1000)
+    assert len(want) > 1000 and pairs(found) == sorted(want)
+    assert len(found) < 50
+    monkeypatch.setattr(ng, "_TOGETHER", 60)
+    monkeypatch.setattr(ng, "_FEW", 4)
+    assert pairs(run(7)) == sorted(want)
